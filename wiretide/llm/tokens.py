@@ -38,16 +38,16 @@ class Encoder:
         self.width = np.zeros(self.slow.get_vocab_size(), dtype=np.int64)
         for b, i in ranks.items():
             self.width[i] = len(b)
-        self.special = {t: i for t, i in self.slow.get_vocab().items() if i not in set(ranks.values())}
-        for t, i in self.special.items():
-            self.width[i] = len(t.encode())
+        for t, i in self.slow.get_vocab().items():
+            if not self.width[i]:  # a special token: its own string
+                self.width[i] = len(t.encode())
 
     def ids(self, text: str):
         import numpy as np
 
         if self.odd.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.array(self.fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+        return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
 
 
 def public_files() -> tuple[str, str, str]:
