@@ -114,7 +114,7 @@ def search(
     blocks = max(1, math.ceil(facts["q"] / block_rows))
     radius = math.sqrt(facts["r2"] or 0.0)
     cells = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", cells)
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", cells)
     index = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def cell(q, x):
@@ -139,10 +139,10 @@ def search(
         u = v[first[order]]
         extra = np.sqrt(np.maximum(0, radius**2 - np.einsum("ij,ij->i", u, u)))
         tree = Tree(np.concatenate([u, extra[:, None]], axis=1), members)
-        qv = np.array(q["v"].tolist())
+        qv = np.array(q["q"].tolist())
         found = tree.search(qv, np.einsum("ij,ij->i", qv, qv), k + 1, factor, radius)
         out = []
-        for me, vec, got in zip(q["vec_id"], qv, found, strict=True):
+        for me, vec, got in zip(q["query_id"], qv, found, strict=True):
             got = got[got >= 0]
             s = u[got] @ vec
             taken = 0
