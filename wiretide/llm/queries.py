@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, jaccard_join, language_id, neighbours, packing, pii, quality_rules, tokens
+from . import html_extraction, jaccard_join, language_id, lm_scoring, neighbours, packing, pii, quality_rules, tokens
 from .common import table
 
 COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -16,6 +16,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.main_text(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
