@@ -493,6 +493,8 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents that name their component, and those without words, as they were."""
-    kept = link(docs, width).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).dropDuplicates()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
+    """The documents that name their component, once each, those without words, and those without an id; as they were."""
+    kept = link(docs, width).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    named = named.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

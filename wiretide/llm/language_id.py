@@ -138,38 +138,49 @@ def fit(docs: DataFrame, dims: int, centroids: int, sample_rows: int, rounds: in
     return langs, owner, np.concatenate(found) if found else np.zeros((0, dims)), idf
 
 
+class Predictor:
+    """Names the language of texts with a fitted model."""
+
+    def __init__(self, langs: list[str], owner: list[int], c, idf) -> None:
+        self.langs, self.owner, self.c, self.idf, self.letter = langs, owner, c, idf, letters_table()
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        import numpy as np
+
+        g = grams(text or "", self.letter, len(self.idf)) if self.owner else None
+        if g is None:
+            return "und", 0.0
+        sim = self.c @ weigh(g, self.idf)
+        k = int(np.argmax(sim))
+        return self.langs[self.owner[k]], float(min(1.0, max(0.0, sim[k])))
+
+
 def identify(docs: DataFrame, dims: int = 2048, centroids: int = 4, sample_rows: int = 4000, rounds: int = 8, max_distance: float = 0.92) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected."""
-    import numpy as np
-
-    langs, owner, c, idf = fit(docs, dims, centroids, sample_rows, rounds)
-    c, idf = np.asarray(c, dtype=np.float64), np.asarray(idf)
+    model = fit(docs, dims, centroids, sample_rows, rounds)
 
     def predict(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        letter = letters_table()
+        name = Predictor(*model)
         for batch in batches:
-            names, scores, far = [], [], []
-            for t in batch.column("text"):
-                g = grams(t.as_py() or "", letter, dims) if langs else None
-                if g is None:
-                    name, s = "und", 0.0
-                else:
-                    sim = c @ weigh(g, idf)
-                    k = int(np.argmax(sim))
-                    name, s = langs[owner[k]], float(min(1.0, max(0.0, sim[k])))
-                names.append(name)
-                scores.append(s)
-                far.append(1 - s > max_distance)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            got = [name(t.as_py()) for t in batch.column("text")]
+            columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([1 - g[1] > max_distance for g in got], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = pick(docs, "doc_id", "text").select("doc_id", (crc32_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
-def keep_identified(docs: DataFrame, **options) -> DataFrame:
+def keep_identified(docs: DataFrame, dims: int = 2048, centroids: int = 4, sample_rows: int = 4000, rounds: int = 8, max_distance: float = 0.92) -> DataFrame:
     """The documents with a language, as they were; those without letters or far from every centroid go."""
-    kept = identify(docs, **options).where(~F.col("rejected")).select(F.col("doc_id").alias("_id")).dropDuplicates()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    model = fit(docs, dims, centroids, sample_rows, rounds)
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        name = Predictor(*model)
+        for batch in batches:
+            yield batch.filter(pa.array([1 - name(t.as_py())[1] <= max_distance for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -90,17 +90,17 @@ def _votes(source: str) -> tuple[str, str, str]:
     return f"({dense} AND x.m RLIKE '^[0-9a-f]{{32,}}$') OR (x.m RLIKE '[a-z]' AND x.m RLIKE '[A-Z]' AND {dense})", f"x.before RLIKE {_q(KEYWORDS)}", r"x.before RLIKE '[:=]\\s*[\"\']?$'"
 
 
-def candidates(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, text (if kept) and c: an array of start, end, kind (a number), source, and the votes r, g, c; base: valid base match."""
-    d = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep and c: an array of start, end, kind (a number), source, and the votes r, g, c; base: valid base match."""
+    d = pick(docs, "doc_id", "text", *[k for k in keep if k != "text"]).withColumn("t", F.coalesce("text", F.lit("")))
     arrays = []
     for source, (kind, test, pattern) in SOURCES.items():
         r, g, c = _votes(source)
         base = "r" if source in BASE else "false"
         inner = f"struct(x.start AS start, {KINDS.index(kind)} AS kind, x.end AS end, {_q(source)} AS source, coalesce({r}, false) AS r, coalesce({g}, false) AS g, coalesce({c}, false) AS c)"
         arrays.append(f"transform(transform({_matches(pattern, test)}, x -> {inner}), y -> struct(y.start, y.kind, y.end, y.source, y.r, y.g, y.c, {base.replace('r', 'y.r') if base == 'r' else base} AS base))")
-    text = [F.col("t").alias("text")] if keep_text else []
-    return d.select("doc_id", *text, F.expr(f"concat({','.join(arrays)})").alias("c"))
+    kept = [F.col("t").alias("text") if k == "text" else F.col(k) for k in keep]
+    return d.select("doc_id", *kept, F.expr(f"concat({','.join(arrays)})").alias("c"))
 
 
 def train(found: DataFrame, rounds: int = 30) -> dict[tuple, float]:
@@ -146,12 +146,12 @@ def train(found: DataFrame, rounds: int = 30) -> dict[tuple, float]:
     return {t[:4]: sigmoid(sum(weight[n] * v for n, v in row(t))) for t in table}
 
 
-def detect(docs: DataFrame, threshold: float = 0.5, min_votes: int = 2, keep_text: bool = False) -> DataFrame:
-    """doc_id, text (if kept), base and spans: sorted arrays of (start, kind, end); kind indexes KINDS, ends are exclusive."""
-    found = materialise(candidates(docs, keep_text), "pii")
+def detect(docs: DataFrame, threshold: float = 0.5, min_votes: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, base and spans: sorted arrays of (start, kind, end); kind indexes KINDS, ends are exclusive."""
+    found = materialise(candidates(docs, keep), "pii")
     model = train(found)
     good = [k for k, p in model.items() if p >= threshold and sum(k[1:]) >= min_votes and k[1]]
-    ids = ["doc_id", *["text"] * keep_text]
+    ids = ["doc_id", *keep]
     word = lambda b: "true" if b else "false"
     test = " OR ".join(f"(x.source = {_q(s)} AND x.r = {word(r)} AND x.g = {word(g)} AND x.c = {word(c)})" for s, r, g, c in good) or "false"
     narrow = "transform(filter(c, x -> {}), x -> struct(x.start AS start, x.kind AS kind, x.end AS end))"
@@ -175,8 +175,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(found: DataFrame) -> DataFrame:
-    """From detect(keep_text=True): doc_id and text with every span replaced by its kind's mark; of overlapping spans the first counts."""
+    """From detect(keep=("text", ...)): the rows, their text with every span replaced by its kind's mark; of overlapping
+    spans the first counts."""
     marks = f"array({','.join(_q(MARK[k]) for k in KINDS)})"
     step = f"CASE WHEN x.start < s.at THEN s ELSE struct(array_append(s.out, concat(substr(text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), {marks}[x.kind])) AS out, x.end AS at) END"
     built = f"aggregate(spans, struct(CAST(array() AS ARRAY<STRING>) AS out, 0L AS at), (s, x) -> {step}, s -> concat(array_join(s.out, ''), substr(text, CAST(s.at + 1 AS INT))))"
-    return found.select("doc_id", F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE {built} END").alias("text"))
+    return found.withColumn("text", F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE {built} END")).drop("base", "spans")

@@ -67,6 +67,7 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.select(
         "doc_id",
         "lang",
+        F.xxhash64("t").alias("text_hash"),
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.size(F.regexp_extract_all("t", F.lit(SYMBOLS), F.lit(0))).cast("long").alias("n_symbols"),
@@ -80,7 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
     rest = F.greatest(F.lit(0.0), F.col("word_chars") - sum((F.col(k) for k in CLASSES), F.col("wide")) - F.col("n_symbols"))
     return d.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         F.array(*[F.col(k) for k in CLASSES], "wide", F.col("n_symbols").cast("double"), F.col("n") - F.col("word_chars"), rest).alias("chars"),
         F.concat("common", F.array(F.greatest(F.lit(0.0), F.col("n_words") - F.col("n_common")))).alias("common"),
@@ -132,6 +133,6 @@ def quality(
 
 
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their columns as they were."""
-    kept = quality(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).dropDuplicates()
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    """The documents that pass, with their columns as they were.  A verdict belongs to an id and its text."""
+    kept = quality(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["_hash"]), "left_semi")
