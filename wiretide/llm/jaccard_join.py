@@ -241,7 +241,9 @@ def blocks(docs: DataFrame, survivors: DataFrame, width: int) -> DataFrame:
         if nodes:
             yield row()
 
-    joined = pick(docs, "doc_id", "text").join(survivors.select(F.col("first_doc").alias("doc_id"), "node", "h1", "h2"), "doc_id")
+    # Survivors grow with the documents, so this is a shuffle join at every size.
+    wanted = survivors.select(F.col("first_doc").alias("doc_id"), "node", "h1", "h2").hint("shuffle_merge")
+    joined = pick(docs, "doc_id", "text").join(wanted, "doc_id")
     return joined.select("text", "node", "h1", "h2").mapInArrow(run, "block long, nodes binary, sizes binary, sets binary")
 
 
