@@ -9,9 +9,10 @@ T(n) = ceil(0.75 n) shingles of the other.  No stage compares everything with ev
 2. Index.  Over what remains, list lengths are counted, and each set is ordered by them, rarest first.  Shingles of one
    class only match nothing; of the others, those among the first n - T(n) + 1 make the short inverted lists: linked
    classes share one.
-3. Stars.  Each class is searched for from the centre with which it shares most short lists: the centre's shingles are
-   the query, the classes around it the index, and DivideSkip merges the short lists with a heap and probes the long
-   ones by binary search.  Links found are joined into components; large groups of near copies collapse here.
+3. Stars.  Each class is searched for from that centre of another component with which it shares most short lists: the
+   centre's shingles are the query, the classes around it the index, and DivideSkip merges the short lists with a heap
+   and probes the long ones by binary search.  Links found are joined into components, and new centres are drawn while
+   that finds much; large groups of near copies collapse here.
 4. Rest.  Short lists whose classes are still of different components give their pairs across components (by size and
    position filter), which are searched the same way.  Every link of two different components is thus found.
 
@@ -35,7 +36,8 @@ from .components import components
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 POSTINGS_PER_BUCKET = 1_500_000
 BLOCK = 1_000_000
-CHUNK = 1024
+CHUNK = 512
+TURNS = 10
 
 
 def required(n: int) -> int:
@@ -417,11 +419,17 @@ def search(pairs: DataFrame, idx: DataFrame, label: str) -> DataFrame:
     return materialise(found, label)
 
 
-def stars(idx: DataFrame) -> DataFrame:
-    """centre, node, chunk: each class under the least class of most of its short lists."""
-    entries = postings(idx)
-    centres = materialise(entries.groupBy("shingle").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre != last").select("shingle", "centre"), "centres")
-    shared = entries.select("shingle", "node").join(centres, "shingle").where("node != centre").groupBy("node", "centre").count()
+def stars(idx: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
+    """centre, node, chunk: each class under that centre of another component with which it shares most short lists.
+
+    A list's centre is drawn by a hash that changes with every turn."""
+    entries = postings(idx).select("shingle", "node")
+    entries = entries.withColumn("component", F.col("node")) if comps is None else entries.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    entries = materialise(entries, "star-entries")
+    pick_one = F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)))
+    centres = entries.groupBy("shingle").agg(pick_one.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    centres = materialise(centres.select("shingle", F.col("c.node").alias("centre"), F.col("c.component").alias("other")), "centres")
+    shared = entries.join(centres, "shingle").where("component != other").groupBy("node", "centre").count()
     best = shared.groupBy("node").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("centre"))
     sized = materialise(best, "stars")
     chunks = sized.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
@@ -481,10 +489,17 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     survivors = classes.join(shared, "h1").where(F.col("shared") >= least).select("node", "first_doc", "h1", "h2").where(F.col("first_doc").isNotNull())
     sets = materialise(blocks(docs, materialise(survivors, "survivors"), width), "sets")
     idx = materialise(index(sets, buckets), "index")
-    first = search(stars(idx), idx, "links")
-    comps = materialise(components(first), "components")
+    links, comps, most = None, None, 0
+    for turn in range(TURNS):  # only joins components early: whatever a turn leaves, the last step finds
+        found = search(stars(idx, comps, turn), idx, "links")
+        n = found.count()
+        links = found if links is None else links.unionByName(found)
+        comps = materialise(components(links), "components")
+        most = max(most, n)
+        if n <= most // 60:
+            break
     rest = search(across(idx, comps, buckets), idx, "links")
-    comps = components(first.unionByName(rest))
+    comps = components(links.unionByName(rest))
     named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named.select("h1", "h2", "n_copies", "component", "first_doc"), "named")
     least_id = materialise(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "least")
