@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,7 +31,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/wiretide/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    written(spark).append(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._wiretide_path = at
+    return out
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that this session has materialised and not swept."""
+    if not hasattr(spark, "_wiretide_paths"):
+        spark._wiretide_paths = []
+    return spark._wiretide_paths
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables materialised since then, but those to keep, and let Spark drop shuffle files no plan needs."""
+    paths, kept = written(spark), {getattr(k, "_wiretide_path", None) for k in keep}
+    for at in paths[since:]:
+        if at not in kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths[since:] = [at for at in paths[since:] if at in kept]
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def crc32_mod(column: str, n: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sweep, written
 
 
 def _stars(edges: DataFrame, label: str) -> DataFrame:
@@ -21,6 +21,8 @@ def _stars(edges: DataFrame, label: str) -> DataFrame:
 
 def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge, component the least node of its component."""
+    spark = edges.sparkSession
+    since = len(written(spark))
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), label)
     # Done when each node points to one root and no root points on: the edges are then a forest of stars.
     for _ in range(rounds):
@@ -28,4 +30,5 @@ def components(edges: DataFrame, label: str = "cc", rounds: int = 60) -> DataFra
         if (facts or 0) <= 1 and now.select("b").distinct().join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         now = materialise(_stars(now, label), label)
+        sweep(spark, since, now)
     raise RuntimeError("components did not settle")

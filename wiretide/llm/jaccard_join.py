@@ -30,14 +30,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import materialise, pick, sweep, written
 from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 POSTINGS_PER_BUCKET = 1_500_000
 BLOCK = 1_000_000
 CHUNK = 512
-TURNS = 10
+TURNS = 5
+CENTRES = 5
 
 
 def required(n: int) -> int:
@@ -420,7 +421,8 @@ def search(pairs: DataFrame, idx: DataFrame, label: str) -> DataFrame:
 
 
 def stars(idx: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
-    """centre, node, chunk: each class under that centre of another component with which it shares most short lists.
+    """centre, node, chunk: each class under the centre (after the first turn, the few centres) of other components with
+    which it shares most short lists.
 
     A list's centre is drawn by a hash that changes with every turn."""
     entries = postings(idx).select("shingle", "node")
@@ -430,7 +432,9 @@ def stars(idx: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
     centres = entries.groupBy("shingle").agg(pick_one.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     centres = materialise(centres.select("shingle", F.col("c.node").alias("centre"), F.col("c.component").alias("other")), "centres")
     shared = entries.join(centres, "shingle").where("component != other").groupBy("node", "centre").count()
-    best = shared.groupBy("node").agg(F.max_by("centre", F.struct("count", -F.col("centre"))).alias("centre"))
+    # A class has no more centres than short lists, so the list that is sorted is bounded by its own size.
+    ranked = F.sort_array(F.collect_list(F.struct("count", "centre")), asc=False)
+    best = shared.groupBy("node").agg(F.slice(ranked, 1, 1 if turn == 0 else CENTRES).alias("best")).select("node", F.explode("best.centre").alias("centre"))
     sized = materialise(best, "stars")
     chunks = sized.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     return materialise(sized.join(materialise(chunks, "chunks"), "centre").select("centre", "node", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")), "stars")
@@ -479,6 +483,7 @@ def across(idx: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
 
 def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links) and n_copies (documents of the same words)."""
+    since = len(written(docs.sparkSession))
     seen = materialise(keys(docs, width), "keys")
     total = seen.agg(F.sum("n")).first()[0] or 0
     buckets = max(24, math.ceil(0.35 * total / POSTINGS_PER_BUCKET))
@@ -489,17 +494,20 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     survivors = classes.join(shared, "h1").where(F.col("shared") >= least).select("node", "first_doc", "h1", "h2").where(F.col("first_doc").isNotNull())
     sets = materialise(blocks(docs, materialise(survivors, "survivors"), width), "sets")
     idx = materialise(index(sets, buckets), "index")
-    links, comps, most = None, None, 0
+    spark, links, comps, most = docs.sparkSession, None, None, 0
+    sweep(spark, since, seen, classes, idx)
     for turn in range(TURNS):  # only joins components early: whatever a turn leaves, the last step finds
         found = search(stars(idx, comps, turn), idx, "links")
         n = found.count()
-        links = found if links is None else links.unionByName(found)
+        links = materialise(found if links is None else links.unionByName(found), "all-links")
         comps = materialise(components(links), "components")
+        sweep(spark, since, seen, classes, idx, links, comps)
         most = max(most, n)
         if n <= most // 60:
             break
     rest = search(across(idx, comps, buckets), idx, "links")
-    comps = components(links.unionByName(rest))
+    comps = materialise(components(links.unionByName(rest)), "components")
+    sweep(spark, since, seen, classes, comps)
     named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named.select("h1", "h2", "n_copies", "component", "first_doc"), "named")
     least_id = materialise(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "least")
