@@ -64,4 +64,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-ORACLES: dict[str, str] = {}
+#: Where SQL expresses the whole result.  The search's SQL is exact; at the oracle's size its pruning loses nothing.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w, ' ') AS seq, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r(node, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.other)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, CASE WHEN len(sh) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY seq) END AS n_copies FROM s JOIN (SELECT node, min(other) AS c FROM r GROUP BY node) m ON m.node = s.doc_id""",
+    "op10_nearest_neighbours": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i]), lambda a, b: a + b) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 20""",
+}
