@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..operators import aggregates, anomaly, custody, exports, flows, governance, packages, rules, transport
+from ..operators import aggregates, anomaly, custody, evidence, exports, flows, governance, packages, rules, transport
 from .views import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -618,3 +618,56 @@ def robust_z(spark, sf_dir):
 @query("outliers")
 def outliers(spark, sf_dir):
     return anomaly.outliers(v_flow(spark, sf_dir)).select("session_id", "flow_id", F.round("score", 6).alias("score"), F.to_json("reasons").alias("reasons"), "place")
+
+
+# ---- cross-checks ------------------------------------------------------------------------------------------------------
+
+
+@query("beacon_groups", f"""WITH f AS (SELECT session_id, initiator_ip AS host, CASE WHEN tls_sni <> '' THEN lower(tls_sni) ELSE peer END AS destination, CASE WHEN tls_sni <> '' THEN 'sni' ELSE 'ip' END AS grouped_by, service AS port, protocol, first_seen, bytes_sent, flow_id FROM ({DIRECTED})),
+w AS (SELECT *, first_seen - lag(first_seen) OVER (PARTITION BY session_id, host, destination, grouped_by, port, protocol ORDER BY first_seen, flow_id) AS gap, count(*) OVER (PARTITION BY session_id, host, destination, grouped_by, port, protocol) AS n FROM f),
+x AS (SELECT *, CASE WHEN gap >= 30 THEN count(*) OVER (PARTITION BY session_id, host, destination, grouped_by, port, protocol, gap >= 30 ORDER BY gap RANGE BETWEEN CURRENT ROW AND 2 FOLLOWING) END AS near FROM w WHERE n >= 4)
+SELECT session_id, host, destination, grouped_by, CAST(port AS INT) AS port, protocol, count(*) AS connections, max(first_seen) - min(first_seen) AS span, count(*) FILTER (gap > 0) AS intervals, CASE WHEN count(*) FILTER (gap > 0) >= 2 THEN round(median(gap) FILTER (gap > 0), 3) END AS median_s, CASE WHEN count(*) FILTER (gap > 0) >= 2 THEN round(stddev_pop(gap) FILTER (gap > 0) / avg(gap) FILTER (gap > 0), 5) END AS cv,
+count(*) FILTER (gap >= 30) AS flare_intervals, round(max(near) / count(*) FILTER (gap >= 30), 5) AS flare_share, round(stddev_pop(bytes_sent) / avg(bytes_sent), 5) AS bytes_cov FROM x GROUP BY session_id, host, destination, grouped_by, port, protocol""")
+def beacon_groups(spark, sf_dir):
+    g = evidence.beacon_groups(v_flow(spark, sf_dir), CTX)
+    return g.withColumns({"median_s": F.round("median_s", 3), "cv": F.round("cv", 5), "flare_share": F.round("flare_share", 5), "bytes_cov": F.round("bytes_cov", 5)})
+
+
+@query("indicator_correlation", """WITH e AS (SELECT page_id AS sample_id, split_part(split_part(url, '//', 2), '/', 1) AS value FROM pages WHERE page_id % 10 = 0), r AS (SELECT DISTINCT sample_id, 'dns' AS kind, e.value AS indicator, session_id, 'resolved by ' || src_ip AS detail FROM e JOIN v_dns ON query_name = e.value UNION SELECT DISTINCT sample_id, 'feed', e.value, CAST(NULL AS BIGINT), 'listed in feed ' || feed_id FROM e JOIN v_indicator i ON i.value = e.value)
+SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY sample_id, kind ORDER BY indicator, session_id, detail) <= 60""")
+def indicator_correlation(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 10 = 0").select(F.col("page_id").alias("sample_id"), F.split("url", "/")[2].alias("value"), F.lit("name").alias("scope"))
+    return evidence.correlate(e, view(spark, sf_dir, "v_dns"), v_flow(spark, sf_dir), view(spark, sf_dir, "v_indicator"))
+
+
+@query("package_chains", "SELECT exhibit_id, CAST(NULL AS INT) AS sequence, 'recorded count differs' AS problem FROM (SELECT DISTINCT exhibit_id FROM v_custody) WHERE exhibit_id % 7 = 1")
+def package_chains(spark, sf_dir):
+    c = custody.append(view(spark, sf_dir, "v_custody"))
+    e = F.struct("sequence", "action", "actor_badge", "actor_ip", "detail", "timestamp", "previous_hash", "entry_hash")
+    p = c.groupBy("exhibit_id").agg(F.array_sort(F.collect_list(e)).alias("events"), F.max_by("entry_hash", "sequence").alias("head_hash"), F.count("*").cast("int").alias("n"))
+    count = (F.col("n") + F.when(F.col("exhibit_id") % 7 == 1, 1).otherwise(0)).alias("event_count")
+    return evidence.package_problems(p.select(F.col("exhibit_id").alias("package_id"), F.to_json(F.struct("exhibit_id", count, "head_hash", "events")).alias("content")))
+
+
+@query("manifest_mismatches", "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 10 = 1 THEN 'missing' WHEN doc_id % 10 = 2 THEN 'unlisted' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 10 IN (1, 2, 3)")
+def manifest_mismatches(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    k = F.col("doc_id") % 10
+    return evidence.manifest_mismatches(d.where(k != 1), d.where(k != 2).withColumn("sha256", F.when(k == 3, "0").otherwise(F.col("sha256"))))
+
+
+@query("identity_findings", "SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 4 = 0 THEN 'identity.signer_not_authorised' ELSE 'identity.label_claims_another_package' END AS finding_id, CASE WHEN c_custkey % 4 <> 0 THEN 0 WHEN c_nationkey % 2 = 0 THEN 3 ELSE 2 END AS tier FROM customer WHERE c_custkey % 4 IN (0, 1)")
+def identity_findings(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k, name = F.col("c_custkey") % 4, F.concat(F.lit("org.app"), F.col("c_custkey").cast("string"))
+    ref = c.select(name.alias("package"), F.concat(F.lit("App "), F.col("c_custkey").cast("string")).alias("label"), F.array(F.lit("good")).alias("certificates"), F.when(F.col("c_nationkey") % 2 == 0, "publisher").otherwise("channel").alias("authority"))
+    ids = c.select(F.col("c_custkey").alias("sample_id"), F.when(k == 1, F.concat(F.lit("x."), name)).otherwise(name).alias("package"), F.concat(F.lit("APP-"), F.col("c_custkey").cast("string")).alias("label"), F.array(F.when(k == 0, "bad").otherwise("good")).alias("certificates"), F.lit("2049-01-01").cast("date").alias("not_after"))
+    return evidence.identity_findings(ids, ref).select("sample_id", "finding_id", "tier")
+
+
+@query("second_opinions", "SELECT p_partkey AS report_id, p_name AS package, p_size AS score, p_partkey % 3 AS high, p_partkey % 2 = 0 AS valid FROM part")
+def second_opinions(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    high = F.transform(F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("p_partkey") % 3).cast("int")), lambda x: x)
+    content = F.to_json(F.struct(F.col("p_name").alias("package_name"), F.when(F.col("p_partkey") % 2 == 0, F.sha2("p_name", 256)).otherwise("bad").alias("sha256"), F.struct(F.col("p_size").alias("security_score"), high.alias("high")).alias("appsec")))
+    return evidence.second_opinions(p.select(F.col("p_partkey").alias("report_id"), content.alias("content"))).select("report_id", "package", "score", F.col("high").cast("long").alias("high"), "valid")
