@@ -61,18 +61,22 @@ def host_profiles(flows: DataFrame, findings: DataFrame, home, scan_ports: int =
     names = F.array_compact(F.array(*[F.when(F.col(c) != "", F.col(c)) for c in ("tls_sni", "http_host") if c in flows.columns]))
     two = flows.select("session_id", F.explode(F.array(side(i, r, True), side(r, i, False))).alias("s"), F.when(port != 0, port).alias("port"), "bytes_sent", "bytes_received", "first_seen", "last_seen", "protocol", F.when(F.col("app_protocol") != "", F.col("app_protocol")).alias("app"), names.alias("names"))
     two = two.select("session_id", "s.host", "s.peer", "s.first", "port", "bytes_sent", "bytes_received", "first_seen", "last_seen", "protocol", "app", "names").withColumn("peer_inside", E.in_nets("peer", home))
-    first, inside = F.col("first"), F.col("peer_inside")
+    first = F.col("first")
     n = lambda c: F.count(F.when(c, 1))
-    distinct = lambda c, v: F.countDistinct(F.when(c, F.col(v)))
     listed = lambda c, v, k: F.slice(F.array_sort(F.collect_set(F.when(c, F.col(v)))), 1, k)
     g = two.groupBy("session_id", "host").agg(
         F.count("*").alias("flow_count"), n(first).alias("flows_initiated"), n(~first).alias("flows_received"),
         F.sum(F.when(first, F.col("bytes_sent")).otherwise(F.col("bytes_received"))).alias("bytes_out"), F.sum(F.when(first, F.col("bytes_received")).otherwise(F.col("bytes_sent"))).alias("bytes_in"),
-        F.countDistinct("peer").alias("peer_count"), distinct(inside, "peer").alias("internal_peer_count"), distinct(~inside, "peer").alias("external_peer_count"),
-        distinct(first, "port").alias("unique_ports_contacted"), listed(~first, "port", 8).alias("listening_ports"), distinct(~first & (F.col("port") == 53), "peer").alias("dns_clients"),
+        listed(~first, "port", 8).alias("listening_ports"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.collect_set("protocol")).alias("protocols"), F.array_sort(F.collect_set("app")).alias("app_protocols"),
         F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(first, F.col("names")))))), 1, 8).alias("server_names"),
     ).withColumn("is_internal", E.in_nets("host", home))
+    # Distinct counts go by two groupings each, so that no host's peers meet in one task.
+    key = ["session_id", "host"]
+    peers = two.groupBy(*key, "peer").agg(F.max("peer_inside").alias("inside"), F.max(~first & F.coalesce(F.col("port") == 53, F.lit(False))).alias("asks"))
+    peers = peers.groupBy(*key).agg(F.count("*").alias("peer_count"), F.count_if("inside").alias("internal_peer_count"), F.count_if(~F.col("inside")).alias("external_peer_count"), F.count_if("asks").alias("dns_clients"))
+    ports = two.where(first & F.col("port").isNotNull()).groupBy(*key, "port").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("unique_ports_contacted"))
+    g = g.join(peers, key).join(ports, key, "left").withColumn("unique_ports_contacted", F.coalesce("unique_ports_contacted", F.lit(0)))
     role = (
         F.when(F.col("dns_clients") >= MIN_PEERS_FOR_SERVICE, "resolver")
         .when(~F.col("is_internal") & (F.col("internal_peer_count") >= MIN_PEERS_FOR_SERVICE) & (F.col("flows_received") > 0), "gateway")
