@@ -36,6 +36,7 @@ from .components import components
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 POSTINGS_PER_BUCKET = 1_500_000
 BLOCK = 1_000_000
+ENTRIES_PER_CELL = 30_000
 CHUNK = 512
 TURNS = 5
 CENTRES = 5
@@ -440,11 +441,14 @@ def stars(idx: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
     return materialise(sized.join(materialise(chunks, "chunks"), "centre").select("centre", "node", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")), "stars")
 
 
-def across(idx: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
-    """centre, node, chunk: pairs of one short list and two components that size and position allow."""
+def across(idx: DataFrame, comps: DataFrame) -> DataFrame:
+    """centre, node, chunk: pairs of two components that size, position and the number of shared short lists allow."""
     entries = materialise(postings(idx).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "entries")
     mixed = entries.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo != hi").select("shingle", F.ceil(F.col("k") / (2 * CHUNK)).cast("int").alias("parts"))
-    rows = entries.join(materialise(mixed, "mixed"), "shingle")
+    mixed = materialise(mixed, "mixed")
+    rows = entries.join(mixed, "shingle")
+    # A pair is counted once in each cell, so cells are as few as their bounded size allows.
+    buckets = max(1, math.ceil((entries.join(mixed.select("shingle"), "shingle", "left_semi").count()) / ENTRIES_PER_CELL))
     # A long list is split: each pair of parts is one cell, so no task holds a whole list.
     part = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")
     rows = rows.select("*", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -465,19 +469,26 @@ def across(idx: DataFrame, comps: DataFrame, buckets: int) -> DataFrame:
             x, y = np.triu_indices(b - a, 1) if b - a <= 2 * CHUNK else (None, None)
             steps = [(x + a, y + a)] if x is not None else [(np.full(b - k - 1, k), np.arange(k + 1, b)) for k in range(a, b - 1)]
             for x, y in steps:
-                ok = comp[x] != comp[y]
+                ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * DENOMINATOR >= NUMERATOR * np.maximum(n[x], n[y]))
                 if cross:
                     ok &= mine[x] != mine[y]
                 x, y = x[ok], y[ok]
-                ok = 1 + np.minimum(n[x] - rank[x] - 1, n[y] - rank[y] - 1) >= overlap_needed(n[x], n[y])
-                ok &= np.minimum(n[x], n[y]) * DENOMINATOR >= NUMERATOR * np.maximum(n[x], n[y])
-                if ok.any():
-                    x, y = node[x[ok]], node[y[ok]]
-                    got.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        out = np.unique(np.concatenate(got), axis=0) if got else np.zeros((0, 2), dtype=int)
-        return pd.DataFrame({"centre": out[:, 0], "node": out[:, 1]})
-
-    found = rows.select("bucket", "i", "j", "part", "shingle", "node", "component", "n", "rank").groupBy("bucket", "i", "j").applyInPandas(pairs, "centre long, node long").distinct()
+                if len(x):
+                    # Were this the pair's first common shingle, could enough follow?  True of the first for every link.
+                    enough = 1 + np.minimum(n[x] - rank[x] - 1, n[y] - rank[y] - 1) >= overlap_needed(n[x], n[y])
+                    least = overlap_needed(n[x], n[y]) - np.maximum(-(-NUMERATOR * n[x] // DENOMINATOR), -(-NUMERATOR * n[y] // DENOMINATOR)) + 1
+                    got.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), enough, least], axis=1))
+        if not got:
+            return pd.DataFrame({k: [] for k in ("centre", "node", "lists", "enough", "least")}, dtype="int64")
+        out = np.concatenate(got)
+        order = np.lexsort((out[:, 1], out[:, 0]))
+        out = out[order]
+        first = np.flatnonzero(np.concatenate([[True], (out[1:, :2] != out[:-1, :2]).any(axis=1)]))
+        return pd.DataFrame({"centre": out[first, 0], "node": out[first, 1], "lists": np.diff(np.append(first, len(out))), "enough": np.maximum.reduceat(out[:, 2], first), "least": out[first, 3]})
+
+    cells = rows.select("bucket", "i", "j", "part", "shingle", "node", "component", "n", "rank").groupBy("bucket", "i", "j").applyInPandas(pairs, "centre long, node long, lists long, enough long, least long")
+    # T-occurrence on the short lists: of a link's overlap all but max(T(a), T(b)) - 1 lies in short lists of both.
+    found = cells.groupBy("centre", "node").agg(F.sum("lists").alias("lists"), F.max("enough").alias("enough"), F.max("least").alias("least")).where("enough = 1 AND lists >= least").select("centre", "node")
     return materialise(found.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")), "across")
 
 
@@ -505,7 +516,7 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         most = max(most, n)
         if n <= most // 60:
             break
-    rest = search(across(idx, comps, buckets), idx, "links")
+    rest = search(across(idx, comps), idx, "links")
     comps = materialise(components(links.unionByName(rest)), "components")
     sweep(spark, since, seen, classes, comps)
     named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
