@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -62,6 +63,21 @@ def test_language(docs, odd, none):
     assert language_id.keep_identified(docs).count() >= 0.99 * docs.count()
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(5)
+    alphabets = {"cyrillic": range(0x430, 0x450), "han": range(0x4E00, 0x5A00), "greek": range(0x3B1, 0x3C9), "latin": range(97, 123)}
+    italian = "il gatto dorme sulla sedia mentre la pioggia cade lentamente fuori dalla finestra e nessuno sembra accorgersi che il giorno sta per finire perché tutti guardano il fuoco nella stanza più grande della vecchia casa dove gli uomini parlano ancora delle loro storie".split()
+    texts = [" ".join("".join(chr(rng.choice(a)) for _ in range(rng.randint(2, 9))) for _ in range(n)) for a in alphabets.values() for n in (20, 100, 2000)]
+    texts += [" ".join(rng.choice(italian) for _ in range(n)) for n in (20, 100, 2000)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(texts)], docs.schema)
+    rows = language_id.identify(docs.union(foreign)).join(docs.union(foreign), "doc_id").collect()
+    assert [r["text"][:40] for r in rows if r["doc_id"] < 0 and not r["rejected"]] == []
+    long = [r for r in rows if r["doc_id"] >= 0 and len(r["text"].split()) >= 20]
+    assert sum(r["rejected"] for r in long) <= 0.01 * len(long)
+    assert not [r for r in language_id.keep_identified(docs.union(foreign)).collect() if r["doc_id"] < 0]
+
+
 def quality_brute(t):
     w = re.findall(SPACE, t or "")
     c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
