@@ -118,6 +118,13 @@ def test_quality_keeps_good_and_rejects_junk(docs, sf_dir, spark):
     assert quality_rules.keep_quality(docs).columns == docs.columns
 
 
+def test_quality_rejects_labelled_junk(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = [r for r in quality_rules.quality(docs).join(labels, "doc_id").collect() if not r["base_failed"]]
+    kept = {q: [r["kept"] for r in rows if r["quality"] == q] for q in (0, 1)}
+    assert sum(kept[0]) <= 0.05 * len(kept[0]) and sum(kept[1]) >= 0.99 * len(kept[1])
+
+
 def luhn(d):
     return sum(v - 9 if v > 9 else v for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
 

@@ -1,10 +1,12 @@
 """Quality rules: word statistics plus distribution divergence, entirely in SQL expressions.
 
 ``features`` counts, for each document, what the base rules need and two histograms: character classes and common
-words.  ``references`` sums the histograms of all documents that pass the base rules, for each language.  A document's
+words.  ``references`` sums the histograms of all documents that pass the base rules, for each language, and once more of
+those that the first sums keep, so that junk does not make itself look normal.  A document's
 divergence is the smallest Jensen-Shannon distance (base 2, so 0 to 1) to any language's reference; it rejects a
 document only above a limit, which is wider for short documents (noise falls with the root of the length), and only if
-the document reaches a minimum length.
+the document reaches a minimum length.  Symbols are too rare to move that distance, so their share is also held against
+the largest share of the references.
 
 Cases: null text is an empty document (no words, base_failed, not kept).  A null or unlisted language adds to no
 reference, and has no say in a verdict.  With no reference at all (an empty or wholly rejected corpus) no document
@@ -29,6 +31,8 @@ COMMON_WORDS = {
 CLASSES = {"upper": r"\p{Lu}", "digit": "[0-9]", "punct": r"[.,;:!?'\"()\-]"}
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
+#: Place of the symbols in the histogram of character classes.
+SYMBOL_CLASS = len(CLASSES) + 1
 
 
 def _bins() -> list[str]:
@@ -122,14 +126,23 @@ def quality(
     word_slack: float = 0.8,
     min_chars: int = 100,
     min_words: int = 50,
+    max_symbol_excess: float = 0.02,
+    symbol_slack: float = 0.3,
 ) -> DataFrame:
     """One row for each document: counts, base_failed, both distances and kept."""
+
+    def judged(f: DataFrame, ref: dict[str, list[list[float]]]) -> DataFrame:
+        usual = max((r[SYMBOL_CLASS] for r in ref["chars"]), default=1.0)
+        f = f.withColumn("char_distance", js_distance("chars", ref["chars"])).withColumn("word_distance", js_distance("common", ref["common"]))
+        odd_chars = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance + char_slack / F.sqrt("word_chars"))
+        odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance + word_slack / F.sqrt("n_words"))
+        odd_symbols = (F.col("word_chars") >= min_chars) & (F.col("n_symbols") / F.col("word_chars") > usual + max_symbol_excess + symbol_slack / F.sqrt("word_chars"))
+        return f.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words & ~odd_symbols)
+
     f = materialise(features(docs), "quality")
-    ref = references(f, list(languages))
-    f = f.withColumn("char_distance", js_distance("chars", ref["chars"])).withColumn("word_distance", js_distance("common", ref["common"]))
-    odd_chars = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance + char_slack / F.sqrt("word_chars"))
-    odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance + word_slack / F.sqrt("n_words"))
-    return f.drop("lang", "chars", "common").withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words)
+    first = judged(f, references(f, list(languages)))
+    ref = references(first.where("kept"), list(languages))
+    return judged(f, ref).drop("lang", "chars", "common")
 
 
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
