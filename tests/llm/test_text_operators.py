@@ -97,6 +97,19 @@ def test_quality(docs, odd, none, spark):
     assert quality_rules.quality(none).count() == 0
 
 
+def test_quality_keeps_other_languages(docs, spark):
+    rng = random.Random(7)
+    italian = "il di che la e non un per in una sono mi ho lo ma ha cosa con le ti gatto sedia pioggia finestra giorno fuoco stanza casa uomini storie parlano cadono lentamente dormono".split()
+    russian = "и в не на я быть он с что а по это она этот к но они мы весь который кошка стул дождь окно день огонь комната дом люди рассказы говорят медленно".split()
+    made = [(k, " ".join(rng.choices(ws, [20 - min(i, 19) for i in range(len(ws))], k=300)) + ".") for k, ws in (("it", italian), ("ru", russian)) for _ in range(60)]
+    made += [("pt", " ".join(rng.choices(italian, k=300))), ("bg", " ".join(rng.choices(russian, k=300))), (None, " ".join(rng.choices(russian, k=300)))]
+    made += [("it", " ".join(rng.choices(["parola", "vuota", "tavolo", "mare", "albero", "x"], k=300))), ("bg", " ".join(w + " |" for w in rng.choices(russian, k=300)))]
+    rows = spark.createDataFrame([(-1 - i, t, k) for i, (k, t) in enumerate(made)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality(docs.select("doc_id", "text", "lang").union(rows)).collect()}
+    assert [k for i, (k, _) in enumerate(made[:-2]) if not got[-1 - i]] == []
+    assert not got[-len(made)] and not got[1 - len(made)]
+
+
 def test_quality_distance(spark):
     refs = [[0.5, 0.5, 0.0], [0.1, 0.1, 0.8]]
     df = spark.createDataFrame([([3.0, 1.0, 0.0],), ([0.0, 0.0, 0.0],)], "h array<double>")

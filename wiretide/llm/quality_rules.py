@@ -8,8 +8,12 @@ document only above a limit, which is wider for short documents (noise falls wit
 the document reaches a minimum length.  Symbols are too rare to move that distance, so their share is also held against
 the largest share of the references.
 
+Languages without a fixed list of common words learn theirs from the corpus, given enough documents.  The distances judge
+only documents whose language has a reference (and for words, common words at all, which texts without spaces lack);
+the share of symbols judges every document.
+
 Cases: null text is an empty document (no words, base_failed, not kept).  A null or unlisted language adds to no
-reference, and has no say in a verdict.  With no reference at all (an empty or wholly rejected corpus) no document
+reference, and its documents are not judged by distance.  With no reference at all (an empty or wholly rejected corpus) no document
 diverges.  Ties and repeated rows are separate rows, each judged alone; extra columns are ignored.
 """
 
@@ -35,19 +39,40 @@ WINDOW = 8
 SYMBOL_CLASS = len(CLASSES) + 1
 
 
-def _bins() -> list[str]:
-    return list(dict.fromkeys(w for ws in COMMON_WORDS.values() for w in ws))
+def _bins(words: dict[str, list[str]]) -> list[str]:
+    return list(dict.fromkeys(w for ws in words.values() for w in ws))
 
 
 def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def features(docs: DataFrame) -> DataFrame:
+def common_words(docs: DataFrame, least_docs: int = 50, size: int = 20, share: float = 0.002) -> dict[str, list[str]]:
+    """The fixed lists, and for each further language with enough documents its most frequent words of letters only."""
+    sizes = {r["lang"]: r["count"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()}
+    more = sorted(k for k, n in sizes.items() if n >= least_docs and k not in COMMON_WORDS)
+    out = COMMON_WORDS | {k: [] for k in more}
+    if more:
+        d = docs.where(F.col("lang").isin(more)).select("lang", F.explode(F.split("text", SPACE)).alias("word")).where("word <> ''")
+        counts = materialise(d.groupBy("lang", F.lower("word").alias("word")).agg(F.count("*").alias("n")), "quality-words")
+        totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        # At most 1 / share words of a language reach the driver.
+        enough = F.lit(False)
+        for k in totals:
+            enough = enough | ((F.col("lang") == k) & (F.col("n") >= share * totals[k]))
+        rows = counts.where(enough & F.col("word").rlike(r"^[\p{L}\p{M}]+$")).collect()
+        for r in sorted(rows, key=lambda r: (-r["n"], r["word"])):
+            if len(out[r["lang"]]) < size:
+                out[r["lang"]].append(r["word"])
+    return out
+
+
+def features(docs: DataFrame, words: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
     """doc_id, lang, the five counts of the base rules, base_failed, and the histograms as arrays of doubles."""
-    bins = _bins()
-    # One printable character stands for each common word, so that counting a word is counting a byte.
-    code = {w: chr(48 + i) if i < 44 else chr(93 + i - 44 + 4) for i, w in enumerate(bins)}
+    bins = _bins(words)
+    # One character of one width stands for each common word, so that counting a word is counting bytes.
+    width = 1 if len(bins) <= 74 else 4
+    code = {w: chr(0xF0000 + i) if width == 4 else chr(48 + i) if i < 44 else chr(93 + i - 44 + 4) for i, w in enumerate(bins)}
     forms = {f: code[w] for w in bins for f in (w, w.capitalize())}
     inset = ",".join(map(_quoted, forms))
     mapped = "map(" + ",".join(f"{_quoted(k)},{_quoted(v)}" for k, v in forms.items()) + ")"
@@ -80,8 +105,8 @@ def features(docs: DataFrame) -> DataFrame:
         F.char_length("t").cast("double").alias("n"),
         (F.octet_length("t") - F.char_length("t")).cast("double").alias("wide"),
         *[count(p).alias(k) for k, p in CLASSES.items()],
-        F.octet_length("seen").cast("double").alias("n_common"),
-        F.array(*[(F.octet_length("seen") - F.octet_length(F.replace("seen", F.lit(code[w])))).cast("double") for w in bins]).alias("common"),
+        (F.octet_length("seen") / width).alias("n_common"),
+        F.array(*[((F.octet_length("seen") - F.octet_length(F.replace("seen", F.lit(code[w])))) / width) for w in bins]).alias("common"),
     )
     rest = F.greatest(F.lit(0.0), F.col("word_chars") - sum((F.col(k) for k in CLASSES), F.col("wide")) - F.col("n_symbols"))
     return d.select(
@@ -92,17 +117,17 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def references(feats: DataFrame, languages: list[str]) -> dict[str, list[list[float]]]:
+def references(feats: DataFrame, languages: list[str], words: dict[str, list[str]] = COMMON_WORDS) -> dict[str, dict[str, list[float]]]:
     """For each histogram, one normalised reference for each language that the corpus has: a result of bounded size."""
-    sizes = {"chars": len(CLASSES) + 4, "common": len(_bins()) + 1}
+    sizes = {"chars": len(CLASSES) + 4, "common": len(_bins(words)) + 1}
     sums = [F.sum(F.col(h)[i]).alias(f"{h}{i}") for h, n in sizes.items() for i in range(n)]
     rows = feats.where(~F.col("base_failed") & F.col("lang").isin(languages)).groupBy("lang").agg(*sums).orderBy("lang").collect()
-    out: dict[str, list[list[float]]] = {h: [] for h in sizes}
+    out: dict[str, dict[str, list[float]]] = {h: {} for h in sizes}
     for r in rows:
         for h, n in sizes.items():
             v = [r[f"{h}{i}"] or 0.0 for i in range(n)]
-            if total := sum(v):
-                out[h].append([x / total for x in v])
+            if (total := sum(v)) and (h == "chars" or words[r["lang"]]):
+                out[h][r["lang"]] = [x / total for x in v]
     return out
 
 
@@ -119,7 +144,7 @@ def js_distance(hist: str, refs: list[list[float]]) -> Column:
 
 def quality(
     docs: DataFrame,
-    languages: tuple[str, ...] = tuple(COMMON_WORDS),
+    languages: tuple[str, ...] | None = None,
     max_char_distance: float = 0.25,
     char_slack: float = 1.0,
     max_word_distance: float = 0.27,
@@ -129,20 +154,24 @@ def quality(
     max_symbol_excess: float = 0.02,
     symbol_slack: float = 0.3,
 ) -> DataFrame:
-    """One row for each document: counts, base_failed, both distances and kept."""
-
-    def judged(f: DataFrame, ref: dict[str, list[list[float]]]) -> DataFrame:
-        usual = max((r[SYMBOL_CLASS] for r in ref["chars"]), default=1.0)
-        f = f.withColumn("char_distance", js_distance("chars", ref["chars"])).withColumn("word_distance", js_distance("common", ref["common"]))
-        odd_chars = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance + char_slack / F.sqrt("word_chars"))
-        odd_words = (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance + word_slack / F.sqrt("n_words"))
+    """One row for each document: counts, base_failed, both distances and kept.  Languages: all with enough documents."""
+    words = common_words(pick(docs, "lang", "text"))
+    names = [k for k in words if languages is None or k in languages]
+
+    def judged(f: DataFrame, ref: dict[str, dict[str, list[float]]]) -> DataFrame:
+        usual = max((r[SYMBOL_CLASS] for r in ref["chars"].values()), default=1.0)
+        known = {h: F.coalesce(F.col("lang").isin(list(r)), F.lit(False)) for h, r in ref.items()}
+        f = f.withColumn("char_distance", js_distance("chars", [*ref["chars"].values()])).withColumn("word_distance", js_distance("common", [*ref["common"].values()]))
+        odd_chars = known["chars"] & (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance + char_slack / F.sqrt("word_chars"))
+        odd_words = known["common"] & (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance + word_slack / F.sqrt("n_words"))
         odd_symbols = (F.col("word_chars") >= min_chars) & (F.col("n_symbols") / F.col("word_chars") > usual + max_symbol_excess + symbol_slack / F.sqrt("word_chars"))
         return f.withColumn("kept", ~F.col("base_failed") & ~odd_chars & ~odd_words & ~odd_symbols)
 
-    f = materialise(features(docs), "quality")
-    first = judged(f, references(f, list(languages)))
-    ref = references(first.where("kept"), list(languages))
-    return judged(f, ref).drop("lang", "chars", "common")
+    f = materialise(features(docs, words), "quality")
+    first = references(f, names, words)
+    again = references(judged(f, first).where("kept"), names, words)
+    # A language that loses every document in the first pass keeps its first reference.
+    return judged(f, {h: first[h] | again[h] for h in first}).drop("lang", "chars", "common")
 
 
 def keep_quality(docs: DataFrame, **options) -> DataFrame:
