@@ -137,6 +137,13 @@ def test_neighbours_of_odd_vectors(spark):
     assert sorted((r["rank"], r["vec_id"]) for r in few) == [(1, 1), (2, 7)]
 
 
+def test_neighbours_outlive_one_short_vector(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(25)]
+    search = lambda r: sorted(map(tuple, neighbours.search(spark.createDataFrame(r, "vec_id long, embedding array<float>"), k=3).collect()))
+    want = search(rows)
+    assert len(want) == 6 and search([*rows, (40, [0.5])]) == want and search([*rows, (41, [0.5] * 3)]) == want
+
+
 def test_pipeline(spark, sf_dir):
     """The stages against the operators' own verdicts and the brute-force groups."""
     import corpus_pipeline

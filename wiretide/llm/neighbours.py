@@ -8,7 +8,7 @@ shard in blocks.  A branch is pruned where its lower bound on distance, times ``
 k + 1 smallest ids that could ever be needed.
 
 Cases: vectors that are null, all zero, or with null or non-finite components take no part as rows or queries, nor do
-vectors whose length differs from ``dims`` (the smallest length present unless given).  Ties go to the smaller id.  Fewer than k candidates give fewer rows.  An id that
+vectors whose length differs from ``dims`` (unless given the most frequent length, of equally frequent ones the largest).  Ties go to the smaller id.  Fewer than k candidates give fewer rows.  An id that
 appears twice is two rows; a query never finds itself (its own id).  No vectors give no rows; extra columns are ignored.
 """
 
@@ -105,8 +105,9 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the queries (ids divisible by ``every``) against all rows but their own."""
     rows = materialise(usable(vectors), "vectors")
-    facts = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("dims")).first()
-    dims = dims or facts["dims"] or 0
+    if not dims:
+        usual = rows.groupBy(F.size("v").alias("dims")).count().agg(F.max(F.struct("count", "dims")).alias("m")).first()["m"]
+        dims = usual["dims"] if usual else 0
     rows = rows.where(F.size("v") == dims)
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     facts = rows.agg(F.count("*").alias("n"), F.max(norm2).alias("r2"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
