@@ -78,6 +78,13 @@ def test_html_parts():
         html_extraction.extract(x)
 
 
+def test_html_skips_no_more_than_an_element():
+    first, last = "This is the first long paragraph of the article.", "This is the last long paragraph of the article."
+    for x in ('<svg class="i"/>', "<math/>", "<video-player></video-player>", "<select-box>", "<svg>", "<svg><path/></svg>", "<SVG />", "<script>var a</script>"):
+        assert html_extraction.extract(f"<article><p>{first}</p>{x}<p>{last}</p></article>") == f"{first} {last}", x
+    assert html_extraction.extract(f"<article><p>{first}</p><script>var a = 1;<p>{last}</p></article>") == first
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None, 3), (2, "u", "", 3), (2, "u", "", 3), (3, "u", PAGE, 3)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"], r["n_chars"] > 0) for r in html_extraction.main_text(df).collect()) == [(1, False), (2, False), (2, False), (3, True)]

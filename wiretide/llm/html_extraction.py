@@ -25,7 +25,8 @@ from .common import pick
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|head|textarea|select|canvas|audio|video"
+RAW = "script|style|textarea|iframe"
+SKIPPED = "noscript|template|svg|math|object|head|select|canvas|audio|video"
 AWAY = frozenset("nav footer aside button menu dialog legend fieldset".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body div article section main table td th ul ol dl nav aside footer header form blockquote figure".split())
@@ -45,7 +46,10 @@ WRAPPER_WORDS = frozenset("has with without no page wrapper wrap layout containe
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    rf"|<({SKIPPED})\b(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|(?=<body\b)|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+(?<=/)>"
+    # Without an end tag raw text runs to the page's end; any other element is read as an open one.
+    rf"|<({RAW}|{SKIPPED})(?=[\s/>])(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|(?=<body\b))"
+    rf"|<(?:{RAW})(?=[\s/>])(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+>.*\Z"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>",
@@ -115,7 +119,7 @@ def blocks(source: str) -> list[Block]:
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
-            if m[1]:
+            if m[0][1].isalpha():
                 parts.append(" ")
             continue
         ends, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
