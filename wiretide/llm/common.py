@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local session, whose executors are the driver's own threads, may do without; a cluster must name one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_wiretide_dir", None)
     if not at:
-        at = getattr(spark, "_wiretide_dir", None) or tempfile.mkdtemp(prefix="wiretide-")
-        spark._wiretide_dir = at
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+        at = spark._wiretide_dir = tempfile.mkdtemp(prefix="wiretide-")
     return at
 
 
@@ -61,6 +66,14 @@ def crc32_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so extra input columns can never clash with computed ones."""
     return docs.select(*[F.col(n) for n in names])

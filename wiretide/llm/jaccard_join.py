@@ -9,15 +9,20 @@ T(n) = ceil(0.75 n) shingles of the other.  No stage compares everything with ev
 2. Index.  Over what remains, list lengths are counted, and each set is ordered by them, rarest first.  Shingles of one
    class only match nothing; of the others, those among the first n - T(n) + 1 make the short inverted lists: linked
    classes share one.
-3. Stars.  Each class is searched for from that centre of another component with which it shares most short lists: the
-   centre's shingles are the query, the classes around it the index, and DivideSkip merges the short lists with a heap
-   and probes the long ones by binary search.  Links found are joined into components, and new centres are drawn while
-   that finds much; large groups of near copies collapse here.
-4. Rest.  Short lists whose classes are still of different components give their pairs across components (by size and
-   position filter), which are searched the same way.  Every link of two different components is thus found.
-
-Hot lists are counted before they are shuffled, long lists and stars are split into bounded chunks, and copies never
-reach a list.  Cases: null text has no words; a document without words has no shingle, links with nothing and is its own
+3. Stars.  Each class is searched for from those few centres with which it shares most short lists, the centres being
+   drawn from the lists: the centre's shingles are the query, the classes around it the index.  Links found are joined
+   into components; large groups of near copies collapse here.  A second turn draws other centres from other components.
+4. Rest.  Lists are recounted by component: a shingle that one component alone holds leaves the index, and with it every
+   class that has less than T(n) shingles left.  The classes of a component that stand in one block form a profile, the
+   union of their shingles.  Each class then searches the profiles of larger components (by size, then by name) that it
+   meets in its short lists: whatever it links with lies in a profile holding at least as many of its shingles.  The few
+   profiles found are opened, and the class searches their members.  Every two components that a link joins are found.
+
+Both searches of step 4 and that of step 3 are DivideSkip: a heap merges the short lists of a query, long ones are probed
+by binary search, and what reaches the required overlap stays.  No step gives out the pairs of a list.
+
+Hot lists are counted before they are shuffled, long lists, profiles and stars are split into bounded parts, and copies
+never reach a list.  Cases: null text has no words; a document without words has no shingle, links with nothing and is its own
 component.  With fewer words than ``width`` the whole sequence is the one shingle.  A null id takes no part in naming a
 component.  Repeated rows and repeated ids are copies or separate texts as their texts are; extra columns are ignored.
 """
@@ -30,16 +35,18 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, sweep, written
+from .common import materialise, pick, sweep, unused, written
 from .components import components
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 POSTINGS_PER_BUCKET = 1_500_000
 BLOCK = 1_000_000
-ENTRIES_PER_CELL = 30_000
+ENTRIES_PER_CELL = 500_000
+LONG_LIST = 20_000
 CHUNK = 512
-TURNS = 5
-CENTRES = 5
+TURNS = 2
+CENTRES = 3
+MU = 0.0085  # weighs merging against probing
 
 
 def required(n: int) -> int:
@@ -98,8 +105,17 @@ def _arrow(rows: dict, types: dict):
     return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in types.items()], list(types))
 
 
+def _runs(values, order) -> list:
+    """(value, places) of each value that occurs; order sorts the values."""
+    import numpy as np
+
+    v = values[order]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])), len(v)) if len(v) else [0]
+    return [(int(v[a]), order[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def keys(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (of the word sequence)."""
+    """doc_id, t (hash of the text), n (set size), h1 and h2 (of the word sequence)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -113,9 +129,9 @@ def keys(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s.shingles(words)))
                 h1.append(a)
                 h2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "t", "n", "h1", "h2"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, "doc_id long, t long, n long, h1 long, h2 long")
 
 
 def sieve(docs: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -144,13 +160,10 @@ def sieve(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             h, c, many = h[start], c[start], length > 1
             to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1))
             out = {k: [] for k in kinds}
-            for b in range(buckets):
-                i = order[cuts[b] : cuts[b + 1]]
-                if len(i):
-                    for k, v in zip(kinds, (b, h[i].tobytes(), c[i].tobytes(), many[i].tobytes()), strict=True):
-                        out[k].append(v)
+            for b, i in _runs(to, order):
+                for k, v in zip(kinds, (b, h[i].tobytes(), c[i].tobytes(), many[i].tobytes()), strict=True):
+                    out[k].append(v)
             # Counts travel as rows of the same shape: bucket by class, with no "many" bytes.
             cb = (who % buckets).astype(np.int32)
             for b in np.unique(cb):
@@ -265,9 +278,8 @@ def index(sets: DataFrame, buckets: int) -> DataFrame:
                 h, times = np.unique(np.frombuffer(raw.as_py(), dtype="<u8"), return_counts=True)
                 to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                parts = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets)]
-                yield _arrow({"bucket": [b for b, _ in parts], "block": [block] * buckets, "hashes": [h[i].tobytes() for _, i in parts], "counts": [times[i].astype("<i8").tobytes() for _, i in parts]}, kinds)
+                parts = _runs(to, order)
+                yield _arrow({"bucket": [b for b, _ in parts], "block": [block] * len(parts), "hashes": [h[i].tobytes() for _, i in parts], "counts": [times[i].astype("<i8").tobytes() for _, i in parts]}, kinds)
 
     def total(part):
         import numpy as np
@@ -335,7 +347,12 @@ def postings(idx: DataFrame) -> DataFrame:
     return idx.select("node", "n", "prefix", "ranks").mapInArrow(run, "shingle long, node long, n long, rank long")
 
 
-def divide_skip(lists: list[list[int]], t: int, mu: float = 0.0085) -> dict[int, int]:
+def set_aside(t: int, longest: int, mu: float = MU) -> int:
+    """How many of the longest lists are probed, not merged."""
+    return min(t - 1, int(t / (mu * math.log2(1 + longest) + 1)))
+
+
+def divide_skip(lists: list[list[int]], t: int, mu: float = MU) -> dict[int, int]:
     """Members found in at least t of the sorted lists, with their counts.
 
     The L longest lists are set aside; a heap over the others yields members in order, skipping ahead whenever fewer than
@@ -348,7 +365,7 @@ def divide_skip(lists: list[list[int]], t: int, mu: float = 0.0085) -> dict[int,
     lists = sorted((x for x in lists if x), key=len)
     if len(lists) < t:
         return {}
-    aside = min(t - 1, int(t / (mu * math.log2(1 + len(lists[-1])) + 1)))
+    aside = set_aside(t, len(lists[-1]), mu)
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     need = t - aside
     found: dict[int, int] = {}
@@ -422,8 +439,7 @@ def search(pairs: DataFrame, idx: DataFrame, label: str) -> DataFrame:
 
 
 def stars(idx: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
-    """centre, node, chunk: each class under the centre (after the first turn, the few centres) of other components with
-    which it shares most short lists.
+    """centre, node, chunk: each class under the few centres of other components with which it shares most short lists.
 
     A list's centre is drawn by a hash that changes with every turn."""
     entries = postings(idx).select("shingle", "node")
@@ -435,65 +451,229 @@ def stars(idx: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
     shared = entries.join(centres, "shingle").where("component != other").groupBy("node", "centre").count()
     # A class has no more centres than short lists, so the list that is sorted is bounded by its own size.
     ranked = F.sort_array(F.collect_list(F.struct("count", "centre")), asc=False)
-    best = shared.groupBy("node").agg(F.slice(ranked, 1, 1 if turn == 0 else CENTRES).alias("best")).select("node", F.explode("best.centre").alias("centre"))
-    sized = materialise(best, "stars")
-    chunks = sized.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    return materialise(sized.join(materialise(chunks, "chunks"), "centre").select("centre", "node", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")), "stars")
-
-
-def across(idx: DataFrame, comps: DataFrame) -> DataFrame:
-    """centre, node, chunk: pairs of two components that size, position and the number of shared short lists allow."""
-    entries = materialise(postings(idx).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "entries")
-    mixed = entries.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo != hi").select("shingle", F.ceil(F.col("k") / (2 * CHUNK)).cast("int").alias("parts"))
-    mixed = materialise(mixed, "mixed")
-    rows = entries.join(mixed, "shingle")
-    # A pair is counted once in each cell, so cells are as few as their bounded size allows.
-    buckets = max(1, math.ceil((entries.join(mixed.select("shingle"), "shingle", "left_semi").count()) / ENTRIES_PER_CELL))
-    # A long list is split: each pair of parts is one cell, so no task holds a whole list.
-    part = F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")
-    rows = rows.select("*", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "bucket": F.when(F.col("parts") > 1, F.col("shingle")).otherwise(F.pmod("shingle", F.lit(buckets)))})
-
-    def pairs(part):
+    best = materialise(shared.groupBy("node").agg(F.slice(ranked, 1, CENTRES).alias("best")).select("node", F.explode("best.centre").alias("centre")), "stars")
+    chunks = best.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    return materialise(best.join(chunks, "centre").select("centre", "node", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk")), "stars")
+
+
+def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
+    """What lists by component leave: rows of classes (kind 0) and of profiles (kind 1).
+
+    profile; kind; node (of a class) ; n (a profile's: the least of its classes); x: the shingles that several components
+    hold (a profile's: the union); lists and many: the short lists in which larger components (for a profile: smaller
+    ones) may be met, and how many components hold each.  A component's code orders by size (as a power of two), then
+    name."""
+    size = F.floor(F.log2(F.count("*"))).cast("long")
+    codes = comps.groupBy("component").agg((F.shiftleft(size, 57) + F.col("component")).alias("code"))
+    coded = comps.join(codes, "component").select("node", "code")
+    # Sorted by component, so that one stands in few blocks; a large one may still be split between partitions.
+    rows = idx.select("node", "n", "shared").join(coded, "node", "left").withColumn("code", F.coalesce("code", "node"))
+    rows = rows.repartitionByRange("code", "node").sortWithinPartitions("code", "node")
+
+    def pack(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        kinds = {"block": pa.int64(), **dict.fromkeys(("nodes", "sizes", "codes", "lens", "sets"), pa.binary())}
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def row():
+            longs = lambda x: np.array(x, dtype="<i8").tobytes()
+            node, n, code, sets = zip(*held, strict=True)
+            return _arrow({"block": [number], "nodes": [longs(node)], "sizes": [longs(n)], "codes": [longs(code)], "lens": [longs([len(x) // 8 for x in sets])], "sets": [b"".join(sets)]}, kinds)
+
+        for batch in batches:
+            for h in zip(*[batch.column(k).to_pylist() for k in ("node", "n", "code", "shared")], strict=True):
+                held.append(h)
+                size += len(h[3]) // 8
+                if size >= BLOCK:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row()
+
+    packed = rows.select("node", "n", "code", "shared").mapInArrow(pack, "block long, nodes binary, sizes binary, codes binary, lens binary, sets binary")
+    packed = materialise(packed, "packed")
+    entries = packed.agg(F.sum(F.length("sets") / 8)).first()[0] or 0
+    buckets = max(1, math.ceil(entries / POSTINGS_PER_BUCKET))
+
+    def tally(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        kinds = {"bucket": pa.int32(), "block": pa.int64(), **dict.fromkeys(("hashes", "lo", "hi", "many"), pa.binary())}
+        for batch in batches:
+            for r in batch.to_pylist():
+                h = np.frombuffer(r["sets"], dtype="<u8")
+                if not len(h):
+                    continue
+                c = np.repeat(np.frombuffer(r["codes"], dtype="<i8"), np.frombuffer(r["lens"], dtype="<i8"))
+                order = np.lexsort((c, h))
+                h, c = h[order], c[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+                h, c = h[new], c[new]
+                start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                stop = np.append(start[1:], len(h))
+                h, lo, hi, many = h[start], c[start], c[stop - 1], stop - start
+                to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                parts = _runs(to, np.argsort(to, kind="stable"))
+                yield _arrow({"bucket": [b for b, _ in parts], "block": [r["block"]] * len(parts), **{k: [v[i].tobytes() for _, i in parts] for k, v in (("hashes", h), ("lo", lo), ("hi", hi), ("many", many.astype("<i8")))}}, kinds)
+
+    def total(part):
+        import numpy as np
+        import pandas as pd
+
+        h, lo, hi, many = (np.frombuffer(b"".join(part[k]), dtype=t) for k, t in (("hashes", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("many", "<i8")))
+        whose = np.repeat(part["block"].to_numpy(), part["hashes"].str.len().to_numpy() // 8)
+        order = np.argsort(h, kind="stable")
+        h, lo, hi, many, whose = h[order], lo[order], hi[order], many[order], whose[order]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        each = np.diff(np.append(start, len(h)))
+        lo, hi, many = (np.repeat(f.reduceat(v, start), each) for f, v in ((np.minimum, lo), (np.maximum, hi), (np.add, many)))
+        keep = np.flatnonzero(lo != hi)
+        parts = _runs(whose[keep], np.argsort(whose[keep], kind="stable"))
+        return pd.DataFrame({"block": [b for b, _ in parts], **{k: [v[keep[i]].tobytes() for _, i in parts] for k, v in (("hashes", h), ("lo", lo), ("hi", hi), ("many", many))}}).astype({"block": "int64"})
+
+    columns = ["profile", "kind", "node", "n", "x", "lists", "many"]
+
+    def remain(part, lists):
+        import numpy as np
+        import pandas as pd
+
+        out: list[tuple] = []
+        if len(part) and len(lists):
+            r = part.iloc[0]
+            known, lo, hi, many = (np.frombuffer(b"".join(lists[k]), dtype=t) for k, t in (("hashes", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("many", "<i8")))
+            by = np.argsort(known)
+            known, lo, hi, many = known[by], lo[by], hi[by], many[by]
+            flat, at = np.frombuffer(r["sets"], dtype="<u8"), 0
+            profiles: dict[int, list] = {}
+            for node, n, code, length in zip(*[np.frombuffer(r[k], dtype="<i8").tolist() for k in ("nodes", "sizes", "codes", "lens")], strict=True):
+                x = flat[at : at + length]
+                at += length
+                i = np.searchsorted(known, x)
+                i = i[(i < len(known)) & (known[np.minimum(i, len(known) - 1)] == x)]
+                if len(i) < required(n):
+                    continue
+                short = i[np.lexsort((known[i], many[i]))[: n - required(n) + 1 - (n - len(i))]]
+                up = short[hi[short] > code]
+                p = profiles.setdefault(code, [(r["block"] << 24) + len(profiles), n, [], []])
+                p[1] = min(p[1], n)
+                p[2].append(i)
+                p[3].append(short[lo[short] < code])
+                out.append((p[0], 0, node, n, known[i].tobytes(), known[up].tobytes(), many[up].tobytes()))
+            for name, n, sets, meets in profiles.values():
+                x, down = np.unique(np.concatenate(sets)), np.unique(np.concatenate(meets))
+                if len(down):
+                    out.append((name, 1, -1, n, known[x].tobytes(), known[down].tobytes(), many[down].tobytes()))
+        return pd.DataFrame(out, columns=columns).astype({"profile": "int64", "kind": "int32", "node": "int64", "n": "int64"})
+
+    tallies = packed.select("block", "codes", "lens", "sets").mapInArrow(tally, "bucket int, block long, hashes binary, lo binary, hi binary, many binary")
+    lists = tallies.groupBy("bucket").applyInPandas(total, "block long, hashes binary, lo binary, hi binary, many binary")
+    rest = packed.groupBy("block").cogroup(lists.groupBy("block")).applyInPandas(remain, "profile long, kind int, node long, n long, x binary, lists binary, many binary")
+    return materialise(rest, "rest")
+
+
+def _queries(rows, indexed, floor) -> list[tuple[int, int]]:
+    """(row, indexed row, overlap) of what reaches floor(n, n): rows are queries, indexed rows the lists, both with n and x."""
+    import numpy as np
+
+    sets = [np.frombuffer(b, dtype="<u8") for b in indexed["x"]]
+    names = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    known = np.concatenate(sets)
+    order = np.argsort(known, kind="stable")
+    known, names = known[order], names[order]
+    first = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]])) if len(known) else np.zeros(0, dtype=int)
+    stop = np.append(first[1:], len(known)).astype(int)
+    known = known[first]
+    sizes = indexed["n"].to_numpy()
+    out = []
+    for k, (n, raw) in enumerate(zip(rows["n"].tolist(), rows["x"], strict=True)):
+        x = np.frombuffer(raw, dtype="<u8")
+        i = np.searchsorted(known, x)
+        i = i[(i < len(known)) & (known[np.minimum(i, len(known) - 1)] == x)] if len(known) else i[:0]
+        t = required(n)
+        if len(i) < t:
+            continue
+        # The short lists are counted at once: where none of their members can still reach t, nothing is merged.
+        lens = stop[i] - first[i]
+        by = np.argsort(lens, kind="stable")
+        aside = set_aside(t, int(lens[by[-1]]))
+        few = [names[first[j] : stop[j]] for j in i[by[: len(i) - aside]]]
+        if np.bincount(np.concatenate(few)).max() < t - aside:
+            continue
+        lists = [names[first[j] : stop[j]].tolist() for j in i]
+        out += [(k, m, c) for m, c in divide_skip(lists, t).items() if c >= floor(n, int(sizes[m]))]
+    return out
+
+
+def opened(rest: DataFrame) -> DataFrame:
+    """node, profile: each class with the profiles of larger components that hold as many of its shingles as a link needs."""
+    entries = rest.agg(F.sum(F.length("x") / 8)).first()[0] or 0
+    buckets = max(1, math.ceil(entries / ENTRIES_PER_CELL))
+
+    def deal(batches: Iterator) -> Iterator:
         import numpy as np
+        import pyarrow as pa
+
+        kinds = {"cell": pa.int64(), "i": pa.int32(), "j": pa.int32(), "profile": pa.int64(), "kind": pa.int32(), "node": pa.int64(), "n": pa.int64(), "x": pa.binary()}
+        for batch in batches:
+            for r in batch.to_pylist():
+                h, many = np.frombuffer(r["lists"], dtype="<u8"), np.frombuffer(r["many"], dtype="<i8")
+                cells = [(int(b), 0, 0) for b in np.unique((h[many <= LONG_LIST] >> np.uint64(16)) % np.uint64(buckets))]
+                # A long list has its own cells: each part of its classes against each part of its profiles.
+                for s, k in zip(h[many > LONG_LIST].view("<i8").tolist(), many[many > LONG_LIST].tolist(), strict=True):
+                    parts = -(-k // LONG_LIST)
+                    mine = (r["profile"] if r["kind"] else r["node"]) * 2654435761 % 2**32 % parts
+                    cells += [(s, *((p, mine) if r["kind"] else (mine, p))) for p in range(parts)]
+                for start in range(0, len(cells), 1000):
+                    some = cells[start : start + 1000]
+                    yield _arrow({"cell": [c[0] for c in some], "i": [c[1] for c in some], "j": [c[2] for c in some], **{k: [r[k]] * len(some) for k in ("profile", "kind", "node", "n", "x")}}, kinds)
+
+    def probe(part):
         import pandas as pd
 
-        part = part.sort_values("shingle", kind="stable")
-        s, node, comp, n, rank, mine = (part[k].to_numpy() for k in ("shingle", "node", "component", "n", "rank", "part"))
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s))
-        cross = part["i"].iloc[0] != part["j"].iloc[0]
+        a, b = part[part["kind"] == 0], part[part["kind"] == 1]
         got = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b - a < 2:
-                continue
-            x, y = np.triu_indices(b - a, 1) if b - a <= 2 * CHUNK else (None, None)
-            steps = [(x + a, y + a)] if x is not None else [(np.full(b - k - 1, k), np.arange(k + 1, b)) for k in range(a, b - 1)]
-            for x, y in steps:
-                ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) * DENOMINATOR >= NUMERATOR * np.maximum(n[x], n[y]))
-                if cross:
-                    ok &= mine[x] != mine[y]
-                x, y = x[ok], y[ok]
-                if len(x):
-                    # Were this the pair's first common shingle, could enough follow?  True of the first for every link.
-                    enough = 1 + np.minimum(n[x] - rank[x] - 1, n[y] - rank[y] - 1) >= overlap_needed(n[x], n[y])
-                    least = overlap_needed(n[x], n[y]) - np.maximum(-(-NUMERATOR * n[x] // DENOMINATOR), -(-NUMERATOR * n[y] // DENOMINATOR)) + 1
-                    got.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), enough, least], axis=1))
-        if not got:
-            return pd.DataFrame({k: [] for k in ("centre", "node", "lists", "enough", "least")}, dtype="int64")
-        out = np.concatenate(got)
-        order = np.lexsort((out[:, 1], out[:, 0]))
-        out = out[order]
-        first = np.flatnonzero(np.concatenate([[True], (out[1:, :2] != out[:-1, :2]).any(axis=1)]))
-        return pd.DataFrame({"centre": out[first, 0], "node": out[first, 1], "lists": np.diff(np.append(first, len(out))), "enough": np.maximum.reduceat(out[:, 2], first), "least": out[first, 3]})
-
-    cells = rows.select("bucket", "i", "j", "part", "shingle", "node", "component", "n", "rank").groupBy("bucket", "i", "j").applyInPandas(pairs, "centre long, node long, lists long, enough long, least long")
-    # T-occurrence on the short lists: of a link's overlap all but max(T(a), T(b)) - 1 lies in short lists of both.
-    found = cells.groupBy("centre", "node").agg(F.sum("lists").alias("lists"), F.max("enough").alias("enough"), F.max("least").alias("least")).where("enough = 1 AND lists >= least").select("centre", "node")
-    return materialise(found.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")), "across")
+        if len(a) and len(b):
+            own, other = a["profile"].to_numpy(), b["profile"].to_numpy()
+            # A profile holds at least the overlap that a link with its smallest class needs; its own component never counts
+            # (a class's lists name only components of greater code, but a profile of its own may meet others in the cell).
+            found = _queries(a, b, lambda n, m: int(overlap_needed(n, max(m, required(n)))))
+            got = [(a["node"].iat[k], other[m]) for k, m, _ in found if own[k] != other[m]]
+        return pd.DataFrame(got, columns=["node", "profile"]).astype("int64")
+
+    cells = rest.mapInArrow(deal, "cell long, i int, j int, profile long, kind int, node long, n long, x binary")
+    return materialise(cells.groupBy("cell", "i", "j").applyInPandas(probe, "node long, profile long").distinct(), "opened")
+
+
+def members(rest: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: for each class and profile found, the profile's class of the greatest overlap that links with it."""
+    classes = rest.where("kind = 0").select("profile", "node", "n", "x")
+    parts = found.groupBy("profile").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    asking = found.join(classes.select("node", "n", "x"), "node").join(parts, "profile")
+    asking = asking.select(F.col("profile").alias("asked"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("q_part"), F.col("node").alias("q_node"), F.col("n").alias("q_n"), F.col("x").alias("q_x"))
+    inside = classes.join(parts, "profile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("profile", "part", "node", "n", "x")
+
+    def run(queries, index):
+        import pandas as pd
 
+        best: dict[int, tuple] = {}
+        if len(queries) and len(index):
+            queries = queries.rename(columns={f"q_{k}": k for k in ("node", "n", "x")})
+            a, b = queries["node"].tolist(), index["node"].tolist()
+            for k, m, c in _queries(queries, index, lambda n, m: int(overlap_needed(n, m))):
+                if a[k] != b[m]:
+                    best[a[k]] = max(best.get(a[k], (0, 0)), (c, b[m]))
+        return pd.DataFrame([(a, b) for a, (_, b) in best.items()], columns=["a", "b"]).astype("int64")
 
-def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links) and n_copies (documents of the same words)."""
+    return materialise(asking.groupBy("asked", "q_part").cogroup(inside.groupBy("profile", "part")).applyInPandas(run, "a long, b long"), "links")
+
+
+def _linked(docs: DataFrame, width: int) -> DataFrame:
+    """For each document: doc_id, t (hash of the text), n_shingles, component_id, n_copies, and names: whether its class is
+    the one that gives the component its name (one class even where an id stands for several texts)."""
     since = len(written(docs.sparkSession))
     seen = materialise(keys(docs, width), "keys")
     total = seen.agg(F.sum("n")).first()[0] or 0
@@ -509,28 +689,35 @@ def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     sweep(spark, since, seen, classes, idx)
     for turn in range(TURNS):  # only joins components early: whatever a turn leaves, the last step finds
         found = search(stars(idx, comps, turn), idx, "links")
-        n = found.count()
-        links = materialise(found if links is None else links.unionByName(found), "all-links")
-        comps = materialise(components(links), "components")
+        links = found if links is None else materialise(links.unionByName(found), "all-links")
+        comps = components(links)
         sweep(spark, since, seen, classes, idx, links, comps)
-        most = max(most, n)
-        if n <= most // 60:
-            break
-    rest = search(across(idx, comps), idx, "links")
-    comps = materialise(components(links.unionByName(rest)), "components")
+    rest = recount(idx, comps)
+    comps = components(links.unionByName(members(rest, opened(rest))))
     sweep(spark, since, seen, classes, comps)
     named = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialise(named.select("h1", "h2", "n_copies", "component", "first_doc"), "named")
-    least_id = materialise(named.groupBy("component").agg(F.min("first_doc").alias("component_id")), "least")
-    named = materialise(named.join(least_id, "component").select("h1", "h2", "n_copies", "component_id"), "named")
+    first = F.min(F.when(F.col("first_doc").isNotNull(), F.struct("first_doc", "h1", "h2")))
+    least_id = materialise(named.groupBy("component").agg(first.alias("f")), "least")
+    # Classes without an id of their own stay alone: such a component has no name.
+    mine = F.coalesce((F.col("f.h1") == F.col("h1")) & (F.col("f.h2") == F.col("h2")), F.lit(False))
+    named = materialise(named.join(least_id, "component").select("h1", "h2", "n_copies", F.col("f.first_doc").alias("component_id"), mine.alias("names")), "named")
     out = seen.join(named, ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return out.select("doc_id", "t", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("names", F.lit(True)).alias("names"))
+
+
+def link(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links) and n_copies (documents of the same words)."""
+    return _linked(docs, width).select("doc_id", "n_shingles", "component_id", "n_copies")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents that name their component, once each, those without words, and those without an id; as they were."""
-    kept = link(docs, width).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
-    named = named.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each component, as it was: a row of its least id, and of the text by which it has that id.  Documents
+    without words stay (repeated rows once), and those without an id."""
+    kept = _linked(docs, width).where("names AND doc_id = component_id").groupBy("doc_id", "component_id", "n_shingles").agg(F.min("t").alias("t"))
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("t").alias("kept_t")).distinct()
+    mark = unused(docs, "text_hash")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    named = marked.join(kept, (marked["doc_id"] == kept["kept_id"]) & (marked[mark] == kept["kept_t"]), "left_semi")
+    return named.dropDuplicates(["doc_id", mark]).drop(mark).unionByName(docs.where(F.col("doc_id").isNull()))
