@@ -1,20 +1,22 @@
-"""Language-model scores from a probabilistic suffix tree over characters.
-
-The model writes a text as its words joined by single spaces, then one end.  Symbols are the end, the space, the most
-frequent characters of the training texts, and one for any other character (which then costs a uniform choice of code
-point).  Learning counts every symbol of every training text after its last ``depth`` symbols.  A context is a candidate
-where its share of all training symbols is at least ``p_min`` (so there are at most depth / p_min, whatever the corpus),
-and is retained where its next symbols diverge from its parent's: count * KL(context || parent), in nats, of at least
-``gain`` for each symbol seen.  Its distribution is interpolated with its parent's (the context without its oldest
-symbol), by the number of symbols seen.  A text is scored by the longest retained suffix at each symbol, which an
-automaton over the candidate contexts tracks for many stretches of text at once.
-
-Word counts for the base score stay spread over buckets: frequent words (at most 1 / heavy_share) are sent to every task,
-of the others each block of documents asks its bucket.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+A text is its lower-cased words, then one end; the end also stands before the first word.  The tree's states are contexts:
+the last 0 to ``depth`` symbols.  The root's distribution is (c + 1) / (N + V + 1), which leaves one share for all words
+never learned.  A longer context is a candidate where training texts have it ``least`` times, an absolute count, so that
+the tree grows with the corpus; it is retained where its next symbols diverge from its parent's (the context without its
+oldest symbol): the sum of count * ln(share here / share in the parent) must reach ``gain`` for each symbol seen.  A
+retained state discounts each of its counts by ``discount`` and gives what is left over to its parent's distribution.  A
+symbol is scored by the longest retained suffix before it.
+
+The tree is never gathered: its counts live in buckets dealt by a hash of the whole n-gram, so that a frequent context is
+spread over all of them.  Texts are read once, into blocks of coded words.  In round k a block sends each of its n-grams
+of length k + 1 once, with its training count, and each of its contexts of length k - 1 once, with its share of the
+context's divergence and number of kinds (an occurrence counts 1 / count); buckets add up and answer in the order asked.
+What a bucket or a block holds is bounded by its size, however frequent a word is.
 
 Cases: null text is empty (its end alone).  An id is learned from or held out by its crc32; a null id is learned from.
 With no training text, counts are 0 and the tree is one uniform root.  Repeated rows are counted and scored each; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored.  One text must fit into a task's memory.
 """
 
 from __future__ import annotations
@@ -25,14 +27,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, materialise, pick
+from .common import crc32_mod, materialise, pick, sweep, written
 
 FOLDS, HELD_OUT = 7, 2
-SYMBOLS, END, SPACE, OTHER = 64, 0, 1, 63
-CODE_POINTS = 1_112_064
-END_HASH = 0  # stands for the end token among word hashes
-BLOCK_CHARS = 4_000_000
-LANE = 64
+END_HASH = 0  # stands for the end among word hashes
+BLOCK_TOKENS = 400_000
+KEYS_PER_BUCKET = 3_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -40,375 +40,311 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-def word_hashes():
-    """A growing map from a word to its 64-bit hash (never that of the end)."""
-    import xxhash
+def _batch(rows: dict, types: dict):
+    import pyarrow as pa
 
-    class Words(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) > 500_000:
-                self.clear()
-            self[word] = h = xxhash.xxh3_64_intdigest(word) or 1
-            return h
+    return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in types.items()], list(types))
 
-    return Words()
 
+def read_blocks(rows: DataFrame) -> DataFrame:
+    """block, ids, train (bytes, one a document), lens (tokens of each), words (hashes of the block's distinct words; the
+    first is the end), low and high (two bytes and one of each token's number among them)."""
 
-def code_points(words: list[bytes]):
-    import numpy as np
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+        from pyspark import TaskContext
 
-    return np.frombuffer(b" ".join(words).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), **dict.fromkeys(("train", "lens", "words", "low", "high"), pa.binary())}
+        number = TaskContext.get().partitionId() << 24
 
+        def row(ids, train, lens, known, codes):
+            hashes = np.array([END_HASH, *(xxhash.xxh3_64_intdigest(w) or 1 for w in list(known)[1:])], dtype="<u8")
+            codes = np.array(codes, dtype=np.uint32)
+            return _batch({"block": [number], "ids": [ids], "train": [bytes(train)], "lens": [np.array(lens, dtype="<i8").tobytes()], "words": [hashes.tobytes()], "low": [codes.astype("<u2").tobytes()], "high": [(codes >> 16).astype(np.uint8).tobytes()]}, kinds)
 
-def _batch(rows: dict, types: dict):
-    import pyarrow as pa
+        fresh = lambda: ([], [], [], {b"": 0}, [])
+        ids, train, lens, known, codes = fresh()
+        for batch in batches:
+            for i, t, held in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
+                words = words_of(t.as_py())
+                codes += [known.setdefault(w, len(known)) for w in words]
+                codes.append(0)
+                ids.append(i)
+                train.append(not held)
+                lens.append(len(words) + 1)
+                if len(codes) >= BLOCK_TOKENS:
+                    yield row(ids, train, lens, known, codes)
+                    number += 1
+                    ids, train, lens, known, codes = fresh()
+        if ids:
+            yield row(ids, train, lens, known, codes)
 
-    return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in types.items()], list(types))
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "block long, ids array<long>, train binary, lens binary, words binary, low binary, high binary")
 
 
-def _deal(to, parts: int, *columns):
-    """For each bucket that has rows: (bucket, bytes of each column's rows there)."""
-    import numpy as np
+class Block:
+    """A block's tokens, their n-grams and what the buckets have answered so far."""
 
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(parts + 1))
-    return [(b, *[c[order[cuts[b] : cuts[b + 1]]].tobytes() for c in columns]) for b in range(parts) if cuts[b + 1] > cuts[b]]
+    def __init__(self, row, answers, least: int) -> None:
+        import numpy as np
 
+        self.least = least
+        self.ids = list(row.get("ids", ()))
+        self.words = np.frombuffer(row["words"], dtype="<u8")
+        self.lens = np.frombuffer(row["lens"], dtype="<i8")
+        self.codes = np.frombuffer(row["low"], dtype="<u2").astype(np.int64) + (np.frombuffer(row["high"], dtype=np.uint8).astype(np.int64) << 16)
+        stop = np.cumsum(self.lens)
+        self.place = np.arange(len(self.codes)) - np.repeat(stop - self.lens, self.lens)  # within the document
+        self.train = np.repeat(np.frombuffer(row["train"], dtype=np.uint8).astype(bool), self.lens)
+        self.answers: dict[int, dict] = {}
+        for kind, bucket, values in zip(answers["kind"], answers["bucket"], answers["values"], strict=True):
+            self.answers.setdefault(kind, {})[bucket] = values
+        # Level 0: keys are words.  grams[k] holds for level k: the tokens that have one, its distinct keys, and each's number.
+        self.key = self.words[self.codes]
+        self.grams = [(np.arange(len(self.codes)), self.words, self.codes)]
+        self.counts: list = []
+
+    def grow(self, level: int) -> None:
+        """The n-grams of the next level: tokens whose context occurs often enough; level 1 takes all."""
+        import numpy as np
 
-def count_words(train: DataFrame, buckets: int) -> DataFrame:
-    """bucket, hashes, counts: each word of the training texts once, in its bucket; bucket -1 holds code points."""
+        word = self.words[self.codes]
+        before = np.roll(self.key, 1)
+        if level == 1:
+            before[self.place == 0] = END_HASH
+        key = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (before >> np.uint64(31))
+        key = (key + word) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(32)
+        at = np.arange(len(key))
+        if level > 1:
+            at = at[(self.place >= level - 1) & (np.roll(self.per_token(level - 1), 1) >= self.least)]
+        self.key = key
+        distinct, number = np.unique(key[at], return_inverse=True)
+        self.grams.append((at, distinct, number))
+
+    def fill(self, kind: int, keys, buckets: int):
+        """The answers of a kind in the order of the keys."""
+        import numpy as np
 
-    def post(batches: Iterator) -> Iterator:
+        order, to = deal(keys, buckets)
+        out = np.zeros(len(keys), dtype=np.int64)
+        got = self.answers.get(kind, {})
+        if len(keys):
+            out[order] = np.frombuffer(b"".join(got[b] for b in np.unique(to).tolist()), dtype="<u4")
+        return out
+
+    def per_token(self, level: int):
+        """The training count of each token's n-gram of a level; 0 where it has none."""
         import numpy as np
-        import pyarrow as pa
 
-        kinds = {"bucket": pa.int32(), "hashes": pa.binary(), "counts": pa.binary()}
-        known = word_hashes()
-        parts: list = []
-        chars = np.zeros(0x110000, dtype=np.int64)
-        size = ends = 0
+        at, _, number = self.grams[level]
+        out = np.zeros(len(self.codes), dtype=np.int64)
+        out[at] = self.counts[level][number]
+        return out
 
-        def flush():
-            h, n = np.unique(np.concatenate([*parts, np.zeros(1, dtype=np.uint64)]), return_counts=True)
-            n[0] += ends - 1  # the end's own hash is the least
-            rows = _deal((h % np.uint64(buckets)).astype(np.int64), buckets, h, n.astype("<i8"))
-            return _batch(dict(zip(kinds, zip(*rows, strict=True), strict=True)), kinds)
+    def context_counts(self, level: int):
+        """For each n-gram token of a level, its context's training count."""
+        import numpy as np
 
-        for batch in batches:
-            for t in batch.column("text"):
-                words = words_of(t.as_py())
-                parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
-                ends += 1
-                size += len(words)
-                p = code_points(words)
-                if len(p):
-                    u, n = np.unique(p, return_counts=True)
-                    chars[u] += n
-                if size >= 1_000_000:
-                    yield flush()
-                    parts, size, ends = [], 0, 0
-        if ends:
-            yield flush()
-        at = np.flatnonzero(chars)
-        if len(at):
-            yield _batch({"bucket": [-1], "hashes": [at.astype("<u8").tobytes()], "counts": [chars[at].tobytes()]}, kinds)
-
-    def add(part):
+        at = self.grams[level][0]
+        if level == 1:
+            return self.counts[0][np.where(self.place[at] == 0, 0, self.codes[at - 1])]
+        return self.per_token(level - 1)[at - 1]
+
+    def contexts(self, level: int):
+        """The distinct contexts of a level's n-grams, and each n-gram token's number among them."""
         import numpy as np
-        import pandas as pd
 
-        h = np.frombuffer(b"".join(part["hashes"]), dtype="<u8")
-        n = np.frombuffer(b"".join(part["counts"]), dtype="<i8")
-        h, at = np.unique(h, return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(h)).astype("<i8")
-        return pd.DataFrame({"bucket": part["bucket"].iloc[:1], "hashes": [h.tobytes()], "counts": [n.tobytes()], "n": [int(n.sum())], "v": [len(h)]})
+        at = self.grams[level][0]
+        if level == 1:
+            number = np.where(self.place[at] == 0, 0, self.codes[at - 1])
+            return self.words, number
+        place = np.full(len(self.codes), -1)
+        before, keys, number = self.grams[level - 1]
+        place[before] = number
+        used, number = np.unique(place[at - 1], return_inverse=True)
+        return keys[used], number
+
+    def local_counts(self, level: int):
+        import numpy as np
+
+        at, distinct, number = self.grams[level]
+        return np.bincount(number[self.train[at]], minlength=len(distinct)).astype("<u4")
 
-    posted = train.select("text").mapInArrow(post, "bucket int, hashes binary, counts binary")
-    return posted.groupBy("bucket").applyInPandas(add, "bucket int, hashes binary, counts binary, n long, v long")
+    def evidence(self, level: int):
+        """Contexts, with this block's share of their kinds and of their divergence from their parents."""
+        import numpy as np
+
+        keys, number = self.contexts(level)
+        at, _, mine = self.grams[level]
+        use = self.train[at]
+        count, total = self.counts[level][mine][use], self.context_counts(level)[use]
+        if level == 1:
+            parent = self.counts[0][self.codes[at[use]]] / self.total
+        else:
+            up = np.zeros(len(self.codes))
+            upper, _, n = self.grams[level - 1]
+            up[upper] = self.counts[level - 1][n] / self.context_counts(level - 1).clip(1)
+            parent = up[at[use]]
+        add = lambda w: np.bincount(number[use], weights=w, minlength=len(keys))
+        return keys, add(1 / count), add(np.log(count / total / parent))
 
 
-def coder(chars):
-    """Symbol of each code point: the most frequent ones have their own."""
+def deal(keys, buckets: int):
+    """The order of the keys by bucket, and the bucket of each in that order."""
     import numpy as np
 
-    table = np.full(0x110000, OTHER, dtype=np.uint8)
-    for i, c in enumerate(chars):
-        table[c] = 2 + i
-    table[32] = SPACE
-    return table
+    to = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return order, to[order]
 
 
-def count_contexts(train: DataFrame, table, depth: int, least: float, buckets: int) -> DataFrame:
-    """level, keys, counts: for each candidate context its next symbols.  A key is 6 bits for each symbol, oldest first;
-    level is the context's length.  Buckets go by a context's last two symbols, so all its longer extensions are there."""
+def restore(row, answers, least: int, levels: int, known: int, buckets: list[int], total: int) -> Block:
+    """The block with the n-grams up to a level, those of the first levels counted."""
+    b = Block(row, answers, least)
+    b.total = max(1, total)
+    for level in range(levels + 1):
+        if level:
+            b.grow(level)
+        if level < known:
+            b.counts.append(b.fill(2 * level, b.grams[level][1], buckets[2 * level]))
+    return b
 
-    def post(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        kinds = {"bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
-        parts: list = []
-        size = 0
-        pad = np.zeros(depth, dtype=np.uint8)
-        end = np.zeros(1, dtype=np.uint8)
-
-        def flush():
-            arr = np.concatenate(parts).astype(np.int64)
-            real = np.concatenate([np.concatenate([np.zeros(depth, bool), np.ones(len(x), bool)]) for x in parts[1::2]])
-            key = np.zeros(len(arr) - depth, dtype=np.int64)
-            for j in range(depth + 1):
-                key = (key << 6) | arr[j : len(arr) - depth + j]
-            k, n = np.unique(key[real[depth:]], return_counts=True)
-            pair = (k >> 6) & 4095
-            to = (pair * 2654435761 >> 8) % buckets
-            rows = _deal(to, buckets, k, n.astype("<i4"))
-            return _batch(dict(zip(kinds, zip(*rows, strict=True), strict=True)), kinds)
+ASKED = "kind int, bucket int, block long, keys binary, a binary, b binary"
 
-        for batch in batches:
-            for t in batch.column("text"):
-                p = np.concatenate([table[code_points(words_of(t.as_py()))], end])
-                parts += [pad, p]
-                size += len(p)
-                if size >= BLOCK_CHARS:
-                    yield flush()
-                    parts, size = [], 0
-        if parts:
-            yield flush()
-
-    def levels(part):
+
+def ask(blocks: DataFrame, answers: DataFrame | None, level: int, depth: int, least: int, buckets: list[int], total: int) -> DataFrame:
+    """What the blocks ask in a round: n-grams of the level (kind 2 * level; in round 1 words too), contexts of the last."""
+
+    def run(own, got):
         import numpy as np
         import pandas as pd
 
-        k = np.frombuffer(b"".join(part["keys"]), dtype="<i8")
-        n = np.frombuffer(b"".join(part["counts"]), dtype="<i4").astype(np.int64)
-        out = []
-        for level in range(depth, -1, -1):
-            k, at = np.unique(k & ((1 << 6 * (level + 1)) - 1), return_inverse=True)
-            n = np.bincount(at, weights=n, minlength=len(k)).astype(np.int64)
-            keep = np.ones(len(k), dtype=bool)
-            if level >= 2:
-                context, at = np.unique(k >> 6, return_inverse=True)
-                keep = (np.bincount(at, weights=n, minlength=len(context)) >= least)[at]
-            out.append((level, k[keep].tobytes(), n[keep].tobytes()))
-        return pd.DataFrame(out, columns=["level", "keys", "counts"])
-
-    posted = train.select("text").mapInArrow(post, "bucket int, keys binary, counts binary")
-    return posted.groupBy("bucket").applyInPandas(levels, "level int, keys binary, counts binary")
-
-
-def tree(rows, depth: int, least: float, gain: float):
-    """(next state, log10 probability) for each state and symbol, and the number of retained contexts."""
-    import numpy as np
+        out: list[tuple] = []
+
+        def post(block, kind, keys, a, b=None):
+            order, to = deal(keys, buckets[kind])
+            keys, a, b = keys[order], a[order], b if b is None else b[order]
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)) if len(to) else [0]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                out.append((kind, int(to[s]), block, keys[s:e].tobytes(), a[s:e].tobytes(), None if b is None else b[s:e].tobytes()))
+
+        for _, r in own.iterrows():
+            b = restore(r, got, least, min(level, depth), level if level > 1 else 0, buckets, total)
+            if level == 1:
+                post(r["block"], 0, b.words, b.local_counts(0))
+            if level <= depth:
+                post(r["block"], 2 * level, b.grams[level][1], b.local_counts(level))
+            if level > 1:
+                post(r["block"], 2 * (level - 1) + 1, *b.evidence(level - 1))
+        return pd.DataFrame(out, columns=["kind", "bucket", "block", "keys", "a", "b"]).astype({"kind": "int32", "bucket": "int32", "block": "int64"})
+
+    if answers is None:  # nothing is known yet: no shuffle of the blocks
+        import pandas as pd
 
-    moves, logs, names = [], [], []
-    retained, offset = 0, 0
-    for level in range(depth + 1):
-        mine = [r for r in rows if r["level"] == level]
-        k = np.frombuffer(b"".join(bytes(r["keys"]) for r in mine), dtype="<i8")
-        n = np.frombuffer(b"".join(bytes(r["counts"]) for r in mine), dtype="<i8")
-        k, at = np.unique(k, return_inverse=True)
-        n = np.bincount(at, weights=n, minlength=len(k))
-        context, at = np.unique(k >> 6, return_inverse=True)
-        total = np.bincount(at, weights=n, minlength=len(context))
-        if level:  # candidates whose suffix is a candidate too
-            suffix = context & ((1 << 6 * (level - 1)) - 1)
-            i = np.searchsorted(names[-1], suffix)
-            ok = (total >= least) & (i < len(names[-1]))
-            ok[ok] &= names[-1][i[ok]] == suffix[ok]
-        else:
-            ok = np.ones(len(context), dtype=bool)
-            if not len(context):
-                context, total, ok = np.zeros(1, dtype=np.int64), np.zeros(1), np.ones(1, dtype=bool)
-        number = np.cumsum(ok) - 1
-        use = ok[at] if len(at) else np.zeros(0, dtype=bool)
-        row, col, seen = number[at[use]], k[use] & 63, n[use]
-        context, total = context[ok], total[ok]
-        counts = np.zeros((len(context), SYMBOLS), dtype=np.float32)
-        counts[row, col] = seen
-        kinds = np.bincount(row, minlength=len(context)).astype(np.float32)
-        if level:
-            up = np.searchsorted(names[-1], context & ((1 << 6 * (level - 1)) - 1))
-            parent, move = 10.0 ** logs[-1][up], moves[-1][up].copy()
-        else:
-            parent, move = np.full((len(context), SYMBOLS), 1 / SYMBOLS, dtype=np.float32), np.zeros((len(context), SYMBOLS), dtype=np.int32)
-        share = counts / np.maximum(total, 1)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            divergence = total * np.where(share > 0, share * np.log(share / parent), 0).sum(axis=1)
-        keep = (divergence >= gain * np.maximum(kinds, 1)) if level else np.ones(len(context), dtype=bool)
-        retained += int(keep.sum())
-        mixed = (counts + kinds[:, None] * parent) / np.maximum(total + kinds, 1)[:, None]
-        p = np.where((keep & (total > 0))[:, None], mixed, parent)
-        logs.append(np.log10(p).astype(np.float32))
-        moves.append(move)
-        names.append(context)
-        if level:  # the context without its newest symbol moves here on that symbol
-            before = context >> 6
-            i = np.searchsorted(names[-2], before)
-            ok = i < len(names[-2])
-            ok[ok] &= names[-2][i[ok]] == before[ok]
-            moves[-2][i[ok], (context & 63)[ok]] = offset + np.flatnonzero(ok)
-            moves[-1][:] = moves[-2][up]
-        offset += len(context)
-    return np.concatenate(moves), np.concatenate(logs), retained
-
-
-def walk(arr, moves, logs, depth: int):
-    """log10 probability of each symbol of arr after those before it (arr begins with depth padding symbols)."""
-    import numpy as np
+        empty = pd.DataFrame({"kind": [], "bucket": [], "values": []})
 
-    n = len(arr) - depth
-    lanes = -(-n // LANE)
-    arr = np.concatenate([arr, np.zeros(lanes * LANE - n, dtype=arr.dtype)]).astype(np.int64)
-    state = np.zeros(lanes, dtype=np.int64)
-    out = np.empty((LANE, lanes))
-    moves, logs = moves.ravel(), logs.ravel()
-    at = np.arange(lanes) * LANE
-    for t in range(depth + LANE):
-        i = state * SYMBOLS + arr[at + t]
-        if t >= depth:
-            out[t - depth] = logs[i]
-        state = moves[i]
-    return out.T.ravel()[:n]
-
-
-def score(
-    docs: DataFrame,
-    depth: int = 5,
-    p_min: float = 1e-6,
-    gain: float = 1.0,
-    heavy_share: float = 1e-5,
-) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and tree_contexts (retained)."""
-    import numpy as np
+        def first(frames: Iterator) -> Iterator:
+            for own in frames:
+                yield run(own, empty)
 
-    spark = docs.sparkSession
-    held = F.coalesce(crc32_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    rows = pick(docs, "doc_id", "text").withColumn("held_out", held)
-    train = rows.where(~F.col("held_out"))
-    buckets = max(24, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 100_000_000))
-    counted = materialise(count_words(train, buckets), "words")
-    facts = counted.where("bucket >= 0").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    total, distinct = facts["n"] or 0, facts["v"] or 0
-    least = max(1, math.ceil(heavy_share * total))
-
-    def frequent(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for h, n in zip(batch.column("hashes"), batch.column("counts"), strict=True):
-                h, n = np.frombuffer(h.as_py(), dtype="<u8"), np.frombuffer(n.as_py(), dtype="<i8")
-                keep = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array([h[keep].tobytes()], pa.binary()), pa.array([n[keep].tobytes()], pa.binary())], ["hashes", "counts"])
-
-    got = counted.where("bucket >= 0").select("hashes", "counts").mapInArrow(frequent, "hashes binary, counts binary").collect()
-    heavy = np.frombuffer(b"".join(bytes(r["hashes"]) for r in got), dtype="<u8")
-    heavy_n = np.frombuffer(b"".join(bytes(r["counts"]) for r in got), dtype="<i8")
-    order = np.argsort(heavy)
-    heavy, heavy_n = heavy[order], heavy_n[order]
-    chars = counted.where("bucket < 0").select("hashes", "counts").first()
-    top, n_symbols = [], 0
-    if chars:
-        c, n = np.frombuffer(bytes(chars["hashes"]), dtype="<u8").astype(np.int64), np.frombuffer(bytes(chars["counts"]), dtype="<i8")
-        n_symbols = int(n.sum())
-        c, n = c[c != 32], n[c != 32]
-        top = c[np.lexsort((c, -n))][: OTHER - 2].tolist()
-    table = coder(top)
-    floor = max(2.0, p_min * n_symbols)
-    moves, logs, retained = tree(count_contexts(train, table, depth, floor, buckets).collect(), depth, floor, gain)
-    model = spark.sparkContext.broadcast((moves, logs, table, heavy, heavy_n))
-    denominator = math.log10(total + distinct + 1)
-
-    def read(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
+        return blocks.drop("ids").mapInPandas(first, ASKED)
+    return blocks.drop("ids").groupBy("block").cogroup(answers.groupBy("asker")).applyInPandas(run, ASKED)
 
-        kinds = {"block": pa.int64(), "bucket": pa.int32(), "ids": pa.list_(pa.int64()), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
-        moves, logs, table, heavy, heavy_n = model.value
-        known, number = word_hashes(), TaskContext.get().partitionId() << 24
-        pad, end = np.zeros(depth, dtype=np.uint8), np.zeros(1, dtype=np.uint8)
-        other = math.log10(CODE_POINTS)
-
-        def block(ids, texts):
-            words = [words_of(t) for t in texts]
-            coded = [np.concatenate([pad, table[code_points(w)], end]) for w in words]
-            arr = np.concatenate(coded)
-            p = walk(arr, moves, logs, depth) - other * (arr[depth:] == OTHER)
-            stop = np.cumsum([len(x) for x in coded]) - depth
-            sums = np.concatenate([[0.0], np.cumsum(p)])
-            # Symbols of a text: what follows its padding.
-            s = np.array([p[b - len(x) + depth : b].sum() for x, b in zip(coded, stop, strict=True)]) if len(sums) else np.zeros(0)
-            lens = np.array([len(w) + 1 for w in words], dtype=np.int64)
-            h = np.fromiter((x for w in words for x in (*map(known.__getitem__, w), END_HASH)), dtype=np.uint64, count=int(lens.sum()))
-            doc = np.repeat(np.arange(len(ids)), lens)
-            i = np.minimum(np.searchsorted(heavy, h), max(0, len(heavy) - 1))
-            often = heavy[i] == h if len(heavy) else np.zeros(len(h), dtype=bool)
-            base = np.bincount(doc[often], weights=np.log10(heavy_n[i[often]] + 1) - denominator, minlength=len(ids)) if often.any() else np.zeros(len(ids))
-            hits = np.bincount(doc[often], minlength=len(ids))
-            out = {k: [] for k in kinds}
-
-            def row(bucket, names, a, b, c):
-                for k, v in zip(kinds, (number, bucket, names, a, b, c), strict=True):
-                    out[k].append(v)
-
-            row(-1, ids, s.tobytes(), np.stack([base, hits]).tobytes(), lens.tobytes())
-            h, doc = h[~often], doc[~often].astype("<u4")
-            for b, x, d in _deal((h % np.uint64(buckets)).astype(np.int64), buckets, h, doc):
-                row(b, None, x, d, None)
-            return _batch(out, kinds)
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                t = t.as_py() or ""
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= BLOCK_CHARS:
-                    yield block(ids, texts)
-                    number += 1
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield block(ids, texts)
 
-    asked = materialise(rows.select("doc_id", "text").mapInArrow(read, "block long, bucket int, ids array<long>, a binary, b binary, c binary"), "asked")
+def answer(asked: DataFrame, gain: float) -> DataFrame:
+    """asker, kind, bucket, values: counts of n-grams, or kinds of retained contexts (0: not retained), in the order asked.
+    Rows of asker -1 hold in values two numbers: the sum and the number of what is not 0."""
 
-    def answer(posts, counts):
+    def run(part):
         import numpy as np
         import pandas as pd
 
-        out = []
-        if len(posts):
-            known = np.frombuffer(b"".join(counts["hashes"]), dtype="<u8")
-            n = np.frombuffer(b"".join(counts["counts"]), dtype="<i8")
-            for block, a, b in zip(posts["block"], posts["a"], posts["b"], strict=True):
-                h, doc = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u4").astype(np.int64)
-                i = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                c = np.where(known[i] == h, n[i], 0) if len(known) else np.zeros(len(h), dtype=np.int64)
-                u, at = np.unique(doc, return_inverse=True)
-                out.append((block, u.astype("<u4").tobytes(), np.bincount(at, weights=np.log10(c + 1) - denominator, minlength=len(u)).tobytes(), np.bincount(at, weights=c > 0, minlength=len(u)).tobytes()))
-        return pd.DataFrame(out, columns=["block", "doc", "base", "hits"])
-
-    light = asked.where("bucket >= 0").select("block", "bucket", "a", "b")
-    sums = light.groupBy("bucket").cogroup(counted.where("bucket >= 0").select(F.col("bucket").alias("k"), "hashes", "counts").groupBy("k")).applyInPandas(answer, "block long, doc binary, base binary, hits binary")
-
-    def finish(own, more):
+        part = part.sort_values("block")
+        kind, bucket = int(part["kind"].iloc[0]), int(part["bucket"].iloc[0])
+        keys = np.frombuffer(b"".join(part["keys"]), dtype="<u8")
+        keys, at = np.unique(keys, return_inverse=True)
+        if kind % 2 == 0:
+            value = np.bincount(at, weights=np.frombuffer(b"".join(part["a"]), dtype="<u4"), minlength=len(keys))
+        else:
+            kinds = np.round(np.bincount(at, weights=np.frombuffer(b"".join(part["a"])), minlength=len(keys)))
+            diverge = np.bincount(at, weights=np.frombuffer(b"".join(part["b"])), minlength=len(keys))
+            value = np.where(diverge >= gain * np.maximum(kinds, 1), kinds, 0)
+        facts = np.array([value.sum(), np.count_nonzero(value)], dtype="<i8").tobytes()
+        value = np.minimum(value, 2**32 - 1).astype("<u4")[at]
+        cuts = np.concatenate([[0], np.cumsum(part["keys"].str.len().to_numpy() // 8)])
+        values = [value[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pd.DataFrame({"asker": [-1, *part["block"]], "kind": kind, "bucket": bucket, "values": [facts, *values]}).astype({"asker": "int64", "kind": "int32", "bucket": "int32"})
+
+    return asked.groupBy("kind", "bucket").applyInPandas(run, "asker long, kind int, bucket int, values binary")
+
+
+def facts(answers: DataFrame, kind: int) -> tuple[int, int]:
+    """Sum and number of a kind's values; buckets are few enough to add up here as one row each."""
+    import struct
+
+    rows = answers.where((F.col("asker") == -1) & (F.col("kind") == kind)).select("values").toLocalIterator()
+    sums = [0, 0]
+    for r in rows:
+        for i, x in enumerate(struct.unpack("<2q", bytes(r["values"]))):
+            sums[i] += x
+    return sums[0], sums[1]
+
+
+def finish(blocks: DataFrame, answers: DataFrame, depth: int, least: int, discount: float, buckets: list[int], total: int, distinct: int) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score of every document."""
+
+    def run(own, got):
         import numpy as np
         import pandas as pd
 
         frames = []
-        for r in own.itertuples(index=False):
-            n = len(r.ids)
-            base, hits = np.frombuffer(r.b).reshape(2, n).copy()
-            if len(more):
-                doc = np.frombuffer(b"".join(more["doc"]), dtype="<u4").astype(np.int64)
-                base += np.bincount(doc, weights=np.frombuffer(b"".join(more["base"])), minlength=n)
-                hits += np.bincount(doc, weights=np.frombuffer(b"".join(more["hits"])), minlength=n)
-            frames.append(pd.DataFrame({"doc_id": pd.array(list(r.ids), dtype="Int64"), "n_tokens": np.frombuffer(r.c, dtype="<i8"), "n_known": hits.astype("int64"), "base_score": base, "score": np.frombuffer(r.a)}))
+        for _, r in own.iterrows():
+            b = restore(r, got, least, depth, depth + 1, buckets, total)
+            seen = b.counts[0][b.codes]
+            p = (seen + 1) / (total + distinct + 1)
+            base = np.log10(p)
+            for level in range(1, depth + 1):
+                keys, number = b.contexts(level)
+                kinds = b.fill(2 * level + 1, keys, buckets[2 * level + 1])[number]
+                at, _, mine = b.grams[level]
+                ok = kinds > 0
+                at, kinds, of = at[ok], kinds[ok], b.context_counts(level)[ok]
+                p[at] = np.maximum(b.counts[level][mine][ok] - discount, 0) / of + discount * kinds / of * p[at]
+            doc = np.repeat(np.arange(len(b.ids)), b.lens)
+            add = lambda w: np.bincount(doc, weights=w, minlength=len(b.ids))  # noqa: B023, E731
+            frames.append(pd.DataFrame({"doc_id": pd.array(b.ids, dtype="Int64"), "n_tokens": b.lens, "n_known": add(seen > 0).astype("int64"), "base_score": add(base), "score": add(np.log10(p))}))
         return pd.concat(frames) if frames else pd.DataFrame({k: [] for k in ("doc_id", "n_tokens", "n_known", "base_score", "score")})
 
-    whole = asked.where("bucket < 0").select(F.col("block").alias("k"), "ids", "a", "b", "c")
-    out = whole.groupBy("k").cogroup(sums.groupBy("block")).applyInPandas(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return blocks.groupBy("block").cogroup(answers.groupBy("asker")).applyInPandas(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, depth: int = 2, least: int = 2, gain: float = 1.0, discount: float = 0.75) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and tree_contexts (retained)."""
+    spark = docs.sparkSession
+    since = len(written(spark))
+    held = F.coalesce(crc32_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+    blocks = materialise(read_blocks(pick(docs, "doc_id", "text").withColumn("held_out", held)), "blocks")
+    size = blocks.agg(F.sum(F.length("high")).alias("tokens"), F.sum(F.length("words") / 8).alias("words")).first()
+    share = lambda n: max(1, math.ceil((n or 0) / KEYS_PER_BUCKET))
+    # Of each kind: words, (no contexts,) then n-grams and contexts of each level.
+    buckets = [share(size["words"]), 1, *[share(size["tokens"])] * (2 * depth)]
+    answers, total, distinct, retained = None, 0, 0, 0
+    for level in range(1, depth + 2):
+        asked = ask(blocks, answers, level, depth, least, buckets, total)
+        fresh = materialise(answer(asked, gain), "answers")
+        if level == 1:
+            total, distinct = facts(fresh, 0)
+        else:
+            retained += facts(fresh, 2 * (level - 1) + 1)[1]
+        told = fresh.where("asker >= 0")
+        answers = told if answers is None else answers.unionByName(told)
+        sweep(spark, len(written(spark)))  # shuffle files of the round go
+    out = finish(blocks, answers, depth, least, discount, buckets, total, distinct)
+    out = materialise(out, "scores")
+    sweep(spark, since, out)
     held = F.coalesce(crc32_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(retained).cast("long").alias("tree_contexts"))
