@@ -217,10 +217,68 @@ def test_pii_adds_and_redacts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(df)).collect()}
     assert all("secret:" in spans[i] and "phone:" in spans[i] for i in range(40)) and spans[90] == ""
-    clean = {r["doc_id"]: r["text"] for r in pii.redacted(pii.detect(df, keep=("text",))).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert clean[3] == 'note token = "<SECRET>" then <PHONE> <IP> mail <EMAIL> ok' and clean[90] == rows[-1][1]
 
 
+def test_pii_reliabilities_decide_against_the_majority():
+    """Labelers 0 and 1 are right, the other three fire at random: three of five votes must not do."""
+    rng = random.Random(4)
+    counts: Counter = Counter()
+    truth: dict = {}
+    for _ in range(6000):
+        y = rng.random() < 0.4
+        v = sum((rng.random() < p) << i for i, p in enumerate([0.97 if y else 0.02, 0.95 if y else 0.03, 0.5, 0.5, 0.5]))
+        counts[v] += 1
+        truth.setdefault(v, []).append(y)
+    post = pii.posteriors([("email", v, c) for v, c in counts.items()])
+    right = lambda rule: sum(t == rule(v) for v, ts in truth.items() for t in ts)
+
+    def best(v):  # knows the true rates
+        odds = 0.4 / 0.6
+        for i, (p1, p0) in enumerate([(0.97, 0.02), (0.95, 0.03)]):
+            odds *= p1 / p0 if v >> i & 1 else (1 - p1) / (1 - p0)
+        return odds >= 1
+
+    assert right(lambda v: post["email", v] >= 0.5) >= 0.99 * right(best) > 0.95 * 6000 > right(lambda v: bin(v).count("1") >= 3)
+    assert post["email", 0b11100] < 0.5 < post["email", 0b00011]
+
+
+def test_pii_classifier_sees_the_span():
+    """Of equal votes, a span of the length and digits of the corpus's clear cases has the greater chance."""
+    table = [("secret", 0b11111, 2, 2, 500), ("secret", 0, 0, 0, 500), ("secret", 0b00011, 2, 2, 40), ("secret", 0b00011, 0, 0, 40)]
+    w = pii.fit(table)
+    assert pii.chance(w, "secret", 0b00011, 2, 2) > 1.5 * pii.chance(w, "secret", 0b00011, 0, 0)
+
+
+def test_pii_overlaps(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(40):
+        spans = {(s := rng.randrange(3000), rng.randrange(5), s + rng.randrange(1, 30), rng.random() < 0.3) for _ in range(rng.choice([0, 3, 40, 700]))}
+        rows.append((i, sorted(spans)))
+    df = spark.createDataFrame(rows, f"doc_id long, all array<{pii.SPAN}>")
+    for r in pii.settle(df, ["doc_id"]).collect():
+        spans = rows[r["doc_id"]][1]
+        base = [s for s in spans if s[3]]
+        kept = list(base)
+        for s in spans:
+            if not s[3] and all(s[2] <= k[0] or k[2] <= s[0] for k in kept):
+                kept.append(s)
+        assert [tuple(x) for x in r["spans"]] == [s[:3] for s in sorted(kept)] and [tuple(x) for x in r["base"]] == [s[:3] for s in base]
+    assert df.select(F.size("all")).count() == 40
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    names = ["t", "c", "base", "spans", "row", "x", "all", "some", "clean", "m", "g", "z", "i", "s", "a b", "x.y"]
+    df = spark.createDataFrame([(1, "mail a@b.co now", *range(len(names))), (2, None, *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "mail <EMAIL> now", *range(len(names))), (2, None, *range(len(names)))] or sorted(map(tuple, got.collect()))[1][1] in (None, "")
+
+
 def test_tokens_of_sections(docs, odd, none):
     from tokenizers import Tokenizer
 

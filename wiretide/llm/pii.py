@@ -1,17 +1,18 @@
 """Personal data by weak supervision, entirely in SQL expressions.
 
-Candidates come from the base patterns and three looser ones.  Three labelers vote on each: a strict format check, a
-gazetteer (top-level domains, issuer prefixes, country codes, key words) and the context.  Expectation-maximisation over
-the counts of vote patterns (at most eight for each kind, whatever the corpus) estimates each labeler's reliability and
-each pattern's posterior; a logistic classifier trained on these posteriors decides the candidates.  Valid base matches
-are always kept; accepted candidates that overlap none of them are added.
+Candidates come from the base patterns and three looser ones.  Five labelers vote on each: a strict format check, a
+gazetteer (top-level domains, issuer prefixes, country codes, key words), the characters at the span's edges, words that
+announce a kind, and the span's shape.  Expectation-maximisation over the counts of vote patterns (at most 32 for each
+source, whatever the corpus) estimates each labeler's reliability and each pattern's posterior; a logistic classifier of
+spans, which sees the votes, the length and the share of digits, is trained on these posteriors and alone decides the
+candidates.  Valid base matches are always kept; accepted candidates that overlap none of them are added.
 
 Matching twice over a text is linear: a match is tried only where a run of its leading characters begins or the last
 match ended (nowhere else can a leftmost match begin), and repetitions never give back.  Positions come from the lengths
 of matches and of the text between them.
 
 Cases: null text is empty and has no spans; base_sha256 is then the hash of the empty string.  Equal starts are ordered
-by kind.  Repeated rows are judged alone; an empty table gives no rows and trains nothing; extra columns are ignored.
+by kind.  Repeated rows are judged alone; an empty table gives no rows and trains nothing; extra columns are ignored, or carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import materialise
 
 # Base kinds in the order in which equal starts are listed, then added kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -74,90 +75,187 @@ def _luhn(m: str) -> str:
     return _let(f"reverse(translate({m}, ' -', ''))", "d", f"coalesce(CASE WHEN char_length(d) BETWEEN 14 AND 19 THEN {total} % 10 = 0 END, false)")
 
 
-def _votes(source: str) -> tuple[str, str, str]:
-    """Strict format, gazetteer and context votes of one candidate x."""
+#: The labelers, in order: format, gazetteer, edges of the span, key words before it, shape.
+LABELERS = ("format", "gazetteer", "edges", "words", "shape")
+#: Words that announce a kind.
+HINTS = {
+    "email": r"(?i)(?:e-?mail|mail(?:to)?|contact|write|reach|at|address)\W*$",
+    "ip": r"(?i)(?:ip|address|host|server|from|client|addr|node)\W*$",
+    "card": r"(?i)(?:card|visa|mastercard|amex|credit|debit|payment|number|no|pan)\W*$",
+    "phone": r"(?i)(?:tel|telephone|phone|call|mobile|cell|fax|contact|number|dial|ring|whatsapp)\W*$",
+}
+
+
+def _base(source: str) -> str:
+    """Whether candidate x is a valid match of its base pattern."""
+    if source == "email":
+        return "true"
+    if source == "ip":
+        return r"x.m RLIKE '^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:[.]|$)){4}$'"
+    if source == "card":
+        return _luhn("x.m")
+    return "char_length(regexp_replace(x.m, '[^0-9]', '')) BETWEEN 10 AND 15" if source == "phone" else "false"
+
+
+def _votes(source: str) -> tuple[str, ...]:
+    """The labelers' votes on candidate x, in their order."""
     edge = "x.before NOT RLIKE '[\\\\p{L}0-9]$' AND x.after NOT RLIKE '[\\\\p{L}0-9]'"
     kind = SOURCES[source][0]
     if kind == "email":
-        return "true", f"lower(substring_index(x.m, '.', -1)) IN ({','.join(map(_q, DOMAINS))})", edge
+        good = r"x.m RLIKE '^[A-Za-z0-9_%+-]+(?:[.][A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?[.])+[A-Za-z]{2,}$'"
+        return good, f"lower(substring_index(x.m, '.', -1)) IN ({','.join(map(_q, DOMAINS))})", edge, f"x.before RLIKE {_q(HINTS[kind])}", "char_length(x.m) BETWEEN 6 AND 80"
     if kind == "ip":
-        return r"x.m RLIKE '^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:[.]|$)){4}$'", "x.m RLIKE '^0*(?:[1-9][0-9]?|1[0-9][0-9]|2[0-2][0-9]|23[0-9])[.]'", f"{edge} AND x.before NOT RLIKE '(?i)(?:version|release|v|ver)[. ]*$'"
+        routed = "x.m RLIKE '^0*(?:[1-9][0-9]?|1[0-9][0-9]|2[0-2][0-9]|23[0-9])[.]'"
+        return _base("ip"), routed, f"{edge} AND x.before NOT RLIKE '(?i)(?:version|release|v|ver)[. ]*$'", f"x.before RLIKE {_q(HINTS[kind])}", "x.m NOT RLIKE '(?:^|[.])0[0-9]' AND x.m RLIKE '[0-9]{2}'"
     if kind == "card":
-        return _luhn("x.m"), f"x.m RLIKE {_q(ISSUERS)}", edge
+        return _luhn("x.m"), f"x.m RLIKE {_q(ISSUERS)}", edge, f"x.before RLIKE {_q(HINTS[kind])}", "x.m RLIKE '^(?:[0-9]{4}[ -]?){3}[0-9]{1,7}$' AND x.m NOT RLIKE '^([0-9])[ -]*(?:\\\\1[ -]*)+$'"
     if kind == "phone":
-        return "char_length(regexp_replace(x.m, '[^0-9]', '')) BETWEEN 10 AND 15", f"x.m RLIKE {_q(COUNTRIES)}", edge
-    dense = "char_length(regexp_replace(x.m, '[^0-9]', '')) >= 4 AND x.m RLIKE '[A-Za-z]'"
-    return f"({dense} AND x.m RLIKE '^[0-9a-f]{{32,}}$') OR (x.m RLIKE '[a-z]' AND x.m RLIKE '[A-Z]' AND {dense})", f"x.before RLIKE {_q(KEYWORDS)}", r"x.before RLIKE '[:=]\\s*[\"\']?$'"
+        return "char_length(regexp_replace(x.m, '[^0-9]', '')) BETWEEN 10 AND 15", f"x.m RLIKE {_q(COUNTRIES)}", edge, f"x.before RLIKE {_q(HINTS[kind])}", "x.m RLIKE '^[+][0-9]{1,3}[ .-]?[(]?[0-9]{1,4}[)]?(?:[ .-]?[0-9]{2,4}){2,4}$'"
+    digits = "char_length(regexp_replace(x.m, '[^0-9]', ''))"
+    mixed = f"{digits} >= 4 AND x.m RLIKE '[A-Za-z]'"
+    variety = "size(array_distinct(split(x.m, ''))) >= least(12, char_length(x.m) / 2)"
+    format = f"({mixed} AND x.m RLIKE '^[0-9a-f]{{32,}}$') OR (x.m RLIKE '[a-z]' AND x.m RLIKE '[A-Z]' AND {mixed})"
+    return format, f"x.before RLIKE {_q(KEYWORDS)}", r"x.before RLIKE '[:=]\s*[\"\']?$'", f"x.before RLIKE {_q(KEYWORDS.replace('$', '.{0,12}$'))}", f"{digits} BETWEEN char_length(x.m) / 10 AND char_length(x.m) * 9 / 10 AND {variety}"
+
+
+def _span_features() -> tuple[str, str]:
+    """Of candidate x: its length in four steps, and its share of digits in four."""
+    length = "CAST(least(3, greatest(0, floor(log2(greatest(1, char_length(x.m)))) - 3)) AS INT)"
+    share = "CAST(least(3, floor(4 * char_length(regexp_replace(x.m, '[^0-9]', '')) / greatest(1, char_length(x.m)))) AS INT)"
+    return length, share
 
 
-def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to keep and c: an array of start, end, kind (a number), source, and the votes r, g, c; base: valid base match."""
-    d = pick(docs, "doc_id", "text", *[k for k in keep if k != "text"]).withColumn("t", F.coalesce("text", F.lit("")))
+def candidates(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, c: an array of start, kind (a number), end, source, votes (a bit each, the first labeler's lowest), len and
+    dig (features of the span) and base (a valid base match); with carry also row, the document as it came."""
+    d = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns] if carry else ["doc_id", "text"]).alias("row")).withColumn("t", F.coalesce("row.text", F.lit("")))
     arrays = []
     for source, (kind, test, pattern) in SOURCES.items():
-        r, g, c = _votes(source)
-        base = "r" if source in BASE else "false"
-        inner = f"struct(x.start AS start, {KINDS.index(kind)} AS kind, x.end AS end, {_q(source)} AS source, coalesce({r}, false) AS r, coalesce({g}, false) AS g, coalesce({c}, false) AS c)"
-        arrays.append(f"transform(transform({_matches(pattern, test)}, x -> {inner}), y -> struct(y.start, y.kind, y.end, y.source, y.r, y.g, y.c, {base.replace('r', 'y.r') if base == 'r' else base} AS base))")
-    kept = [F.col("t").alias("text") if k == "text" else F.col(k) for k in keep]
-    return d.select("doc_id", *kept, F.expr(f"concat({','.join(arrays)})").alias("c"))
-
-
-def train(found: DataFrame, rounds: int = 30) -> dict[tuple, float]:
-    """Probability of each vote pattern (source, r, g, c).  Only pattern counts reach the driver: a bounded table."""
-    rows = found.select(F.explode("c").alias("x")).groupBy("x.source", "x.r", "x.g", "x.c").count().collect()
-    table = sorted((r["source"], bool(r["r"]), bool(r["g"]), bool(r["c"]), r["count"]) for r in rows)
-    post = {t[:4]: (0.05 + 0.9 * (sum(t[1:4]) >= 2)) for t in table}
-    sources = sorted({t[0] for t in table})
+        votes = " + ".join(f"CASE WHEN coalesce({v}, false) THEN {1 << i} ELSE 0 END" for i, v in enumerate(_votes(source)))
+        length, share = _span_features()
+        inner = f"struct(x.start AS start, {KINDS.index(kind)} AS kind, x.end AS end, {_q(source)} AS source, {votes} AS votes, {length} AS len, {share} AS dig, coalesce({_base(source)}, false) AS base)"
+        arrays.append(f"transform({_matches(pattern, test)}, x -> {inner})")
+    return d.select(F.col("row.doc_id").alias("doc_id"), *(["row"] if carry else []), F.expr(f"concat({','.join(arrays)})").alias("c"))
+
+
+def posteriors(table: list[tuple[str, int, float]], rounds: int = 50) -> dict[tuple[str, int], float]:
+    """Expectation-maximisation over (source, votes, count): the probability of each vote pattern of each source.
+
+    The labelers' reliabilities are estimated for each source, drawn to those over all sources where a source has few
+    candidates; it starts from the share of votes, and no rule on votes follows."""
+    n = len(LABELERS)
+    total: dict[tuple[str, int], float] = {}
+    for s, v, c in table:
+        total[s, v] = total.get((s, v), 0.0) + c
+    post = {k: min(0.95, max(0.05, bin(k[1]).count("1") / n)) for k in total}
+    sources = sorted({s for s, _ in total})
     for _ in range(rounds):
-        prior = {}
+        mass = {k: (c * (1 - post[k]), c * post[k]) for k, c in total.items()}
+        pooled = {(i, y): (2 * (0.75 if y else 0.25) + sum(m[y] for k, m in mass.items() if k[1] >> i & 1)) / (2 + sum(m[y] for m in mass.values())) for i in range(n) for y in (0, 1)}
+        after = {}
         for s in sources:
-            own = [t for t in table if t[0] == s]
-            prior[s] = (1 + sum(t[4] * post[t[:4]] for t in own)) / (2 + sum(t[4] for t in own))
-        rate = {}  # P(vote | class), for each source and labeler, with the accuracy shared by all as its prior
-        for k in (1, 2, 3):
-            for y in (0, 1):
-                w = lambda t, y=y: t[4] * (post[t[:4]] if y else 1 - post[t[:4]])
-                pooled = (4 * (0.8 if y else 0.2) + sum(w(t) for t in table if t[k])) / (4 + sum(map(w, table)))
-                for s in sources:
-                    own = [t for t in table if t[0] == s]
-                    rate[s, k, y] = (10 * pooled + sum(w(t) for t in own if t[k])) / (10 + sum(map(w, own)))
-        for t in table:
-            like = [(1 - prior[t[0]]) if y == 0 else prior[t[0]] for y in (0, 1)]
-            for y in (0, 1):
-                for k in (1, 2, 3):
-                    p = min(max(rate[t[0], k, y], 1e-3), 1 - 1e-3)
-                    like[y] *= p if t[k] else 1 - p
-            post[t[:4]] = like[1] / (like[0] + like[1])
-    # The final classifier: logistic regression on votes and kind, trained on the posteriors weighted by log counts.
-    names = ["bias", "r", "g", "c", *sources]
-    weight = dict.fromkeys(names, 0.0)
-    row = lambda t: [("bias", 1.0), *[(n, 1.0 if v else -1.0) for n, v in zip("rgc", t[1:4], strict=True)], (t[0], 1.0)]
-    sigmoid = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-    for _ in range(400):
-        step = {n: -0.01 * weight[n] for n in names}
-        total = sum(math.log1p(t[4]) for t in table) or 1.0
-        for t in table:
-            miss = post[t[:4]] - sigmoid(sum(weight[n] * v for n, v in row(t)))
-            for n, v in row(t):
-                step[n] += math.log1p(t[4]) / total * miss * v
-        for n in names:
-            weight[n] += 0.8 * step[n]
-    return {t[:4]: sigmoid(sum(weight[n] * v for n, v in row(t))) for t in table}
-
-
-def detect(docs: DataFrame, threshold: float = 0.5, min_votes: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns to keep, base and spans: sorted arrays of (start, kind, end); kind indexes KINDS, ends are exclusive."""
-    found = materialise(candidates(docs, keep), "pii")
-    model = train(found)
-    good = [k for k, p in model.items() if p >= threshold and sum(k[1:]) >= min_votes and k[1]]
-    ids = ["doc_id", *keep]
-    word = lambda b: "true" if b else "false"
-    test = " OR ".join(f"(x.source = {_q(s)} AND x.r = {word(r)} AND x.g = {word(g)} AND x.c = {word(c)})" for s, r, g, c in good) or "false"
-    narrow = "transform(filter(c, x -> {}), x -> struct(x.start AS start, x.kind AS kind, x.end AS end))"
-    found = found.select(*ids, F.expr(f"sort_array({narrow.format('x.base')})").alias("base"), F.expr(f"sort_array({narrow.format(f'NOT x.base AND ({test})')})").alias("more"))
-    free = "filter(more, (x, i) -> NOT exists(base, b -> b.start < x.end AND x.start < b.end) AND NOT (i > 0 AND get(more, i - 1).end > x.start))"
-    return found.select(*ids, "base", F.expr(f"sort_array(concat(base, {free}))").alias("spans"))
+            own = {k: m for k, m in mass.items() if k[0] == s}
+            whole = [sum(m[y] for m in own.values()) for y in (0, 1)]
+            prior = (1 + whole[1]) / (2 + sum(whole))
+            rate = [[(5 * pooled[i, y] + sum(m[y] for k, m in own.items() if k[1] >> i & 1)) / (5 + whole[y]) for i in range(n)] for y in (0, 1)]
+            for k in own:
+                like = [math.log(1 - prior), math.log(prior)]
+                for y in (0, 1):
+                    for i in range(n):
+                        p = min(max(rate[y][i], 1e-4), 1 - 1e-4)
+                        like[y] += math.log(p if k[1] >> i & 1 else 1 - p)
+                after[k] = 1 / (1 + math.exp(min(60.0, like[0] - like[1])))
+        post = after
+    return post
+
+
+def features(source: str, votes: int, length: int, digits: int) -> dict[str, float]:
+    """What the span classifier sees: the votes (of the source, and of all), the length and the share of digits."""
+    x = {f"{source}": 1.0, f"{source} len {length}": 1.0, f"{source} dig {digits}": 1.0}
+    for i, name in enumerate(LABELERS):
+        x[name] = x[f"{source} {name}"] = 1.0 if votes >> i & 1 else -1.0
+    return x
+
+
+def train(found: DataFrame) -> dict[str, float]:
+    """Weights of the span classifier: logistic regression on the posteriors.
+
+    Only counts of patterns reach the driver: sources * 2^labelers * 16 rows at most."""
+    rows = found.select(F.explode("c").alias("x")).groupBy("x.source", "x.votes", "x.len", "x.dig").count().collect()
+    return fit(sorted((r["source"], r["votes"], r["len"], r["dig"], r["count"]) for r in rows))
+
+
+def fit(table: list[tuple[str, int, int, int, float]], steps: int = 600) -> dict[str, float]:
+    import numpy as np
+
+    if not table:
+        return {}
+    post = posteriors([(s, v, c) for s, v, _, _, c in table])
+    rows = [features(*t[:4]) for t in table]
+    names = sorted({n for r in rows for n in r})
+    at = {n: i for i, n in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for n, v in r.items():
+            x[i, at[n]] = v
+    y = np.array([post[t[0], t[1]] for t in table])
+    c = np.log1p([t[4] for t in table])
+    w = np.zeros(len(names))
+    for _ in range(steps):  # Newton steps would need few; plain ones keep a separable table tame
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += 0.5 * (x.T @ (c * (y - p)) / c.sum() - 0.0005 * w)
+    return {n: round(float(w[i]), 9) for n, i in at.items()}
+
+
+def chance(weights: dict[str, float], source: str, votes: int, length: int, digits: int) -> float:
+    z = sum(weights.get(n, 0.0) * v for n, v in features(source, votes, length, digits).items())
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def _score(weights: dict[str, float]) -> str:
+    """The classifier's linear score of candidate x in SQL."""
+    n = lambda k: f"{weights.get(k, 0.0):.9f}D"
+    cases = []
+    for s in SOURCES:
+        votes = " + ".join(f"CASE WHEN (x.votes & {1 << i}) > 0 THEN 1D ELSE -1D END * ({n(k)} + {n(f'{s} {k}')})" for i, k in enumerate(LABELERS))
+        steps = " + ".join(f"element_at(array({','.join(n(f'{s} {f} {j}') for j in range(4))}), x.{f} + 1)" for f in ("len", "dig"))
+        cases.append(f"WHEN {_q(s)} THEN {n(s)} + {votes} + {steps}")
+    return f"CASE x.source {' '.join(cases)} END"
+
+
+SPAN = "STRUCT<start: BIGINT, kind: INT, end: BIGINT, base: BOOLEAN>"
+
+
+def _fold(spans: str, first: str, keep: str, after: str, block: int = 256) -> str:
+    """The spans that pass, from the left: ``keep`` and ``after`` say of span x and the state i.at whether x stays and what
+    the state then is.  In blocks, so that the work stays linear."""
+    one = f"aggregate(z, struct(s.at AS at, CAST(array() AS ARRAY<{SPAN}>) AS out), (i, x) -> CASE WHEN {keep} THEN struct({after} AS at, array_append(i.out, x) AS out) ELSE i END)"
+    blocks = f"transform(sequence(0, greatest(0, size({spans}) - 1), {block}), b -> slice({spans}, b + 1, {block}))"
+    step = f"transform(array({one}), v -> struct(v.at AS at, array_append(s.out, v.out) AS out))[0]"
+    return f"aggregate({blocks}, struct({first} AS at, CAST(array() AS ARRAY<ARRAY<{SPAN}>>) AS out), (s, z) -> {step}, s -> flatten(s.out))"
+
+
+def detect(docs: DataFrame, threshold: float = 0.5, carry: bool = False) -> DataFrame:
+    """doc_id, base and spans (and row, with carry): sorted arrays of (start, kind, end); kind indexes KINDS, ends are
+    exclusive.  Base spans stay; of the others the classifier accepts, those that overlap no base span stay, from left to
+    right where they overlap each other."""
+    found = materialise(candidates(docs, carry), "pii")
+    weights = train(found)
+    limit = math.log(threshold / (1 - threshold))
+    ids = ["doc_id", *(["row"] if carry else [])]
+    chosen = f"transform(filter(c, x -> x.base OR coalesce({_score(weights)} >= {limit:.9f}D, false)), x -> CAST(struct(x.start AS start, x.kind AS kind, x.end AS end, x.base AS base) AS {SPAN}))"
+    return settle(found.select(*ids, F.expr(f"sort_array({chosen})").alias("all")), ids)
+
+
+def settle(found: DataFrame, ids: list[str]) -> DataFrame:
+    """The columns named, base and spans, from all: sorted (start, kind, end, base)."""
+    # From the right: no base span may begin before a span's end; from the left: none, and no span kept, may end after its start.
+    before = _fold("reverse(all)", "9223372036854775807L", "x.base OR x.end <= i.at", "CASE WHEN x.base THEN x.start ELSE i.at END")
+    found = found.select(*ids, "all", F.expr(f"CASE WHEN forall(all, x -> x.base) THEN NULL ELSE reverse({before}) END").alias("some"))
+    free = _fold("some", "0L", "x.base OR x.start >= i.at", "greatest(i.at, x.end)")
+    plain = "transform({}, x -> struct(x.start AS start, x.kind AS kind, x.end AS end))"
+    base = F.expr(plain.format("filter(all, x -> x.base)"))
+    return found.select(*ids, base.alias("base"), F.expr(f"CASE WHEN some IS NULL THEN {plain.format('all')} ELSE {plain.format(free)} END").alias("spans"))
 
 
 def _listing(spans: str) -> str:
@@ -174,10 +272,16 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def redacted(found: DataFrame) -> DataFrame:
-    """From detect(keep=("text", ...)): the rows, their text with every span replaced by its kind's mark; of overlapping
-    spans the first counts."""
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents, every span of their texts replaced by its kind's mark; of overlapping spans the first counts.  Columns
+    stay as they are, whatever their names."""
     marks = f"array({','.join(_q(MARK[k]) for k in KINDS)})"
-    step = f"CASE WHEN x.start < s.at THEN s ELSE struct(array_append(s.out, concat(substr(text, CAST(s.at + 1 AS INT), CAST(x.start - s.at AS INT)), {marks}[x.kind])) AS out, x.end AS at) END"
-    built = f"aggregate(spans, struct(CAST(array() AS ARRAY<STRING>) AS out, 0L AS at), (s, x) -> {step}, s -> concat(array_join(s.out, ''), substr(text, CAST(s.at + 1 AS INT))))"
-    return found.withColumn("text", F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE {built} END")).drop("base", "spans")
+    # The text is cut in blocks of spans, so that no array of pieces is copied for every span.
+    piece = f"concat(substr(row.text, CAST(i.at + 1 AS INT), CAST(x.start - i.at AS INT)), {marks}[x.kind])"
+    step = f"CASE WHEN x.start < i.at THEN i ELSE struct(x.end AS at, array_append(i.out, {piece}) AS out) END"
+    one = f"aggregate(z, struct(s.at AS at, CAST(array() AS ARRAY<STRING>) AS out), (i, x) -> {step})"
+    each = f"transform(array({one}), v -> struct(v.at AS at, array_append(s.out, array_join(v.out, '')) AS out))[0]"
+    built = f"aggregate(transform(sequence(0, size(spans) - 1, 256), b -> slice(spans, b + 1, 256)), struct(0L AS at, CAST(array() AS ARRAY<STRING>) AS out), (s, z) -> {each}, s -> concat(array_join(s.out, ''), substr(row.text, CAST(s.at + 1 AS INT))))"
+    text = F.expr(f"CASE WHEN size(spans) = 0 THEN row.text ELSE {built} END")
+    found = detect(docs, carry=True).select("row", text.alias("clean"))
+    return found.select(*[F.col("clean").alias("text") if n == "text" else F.col(f"row.`{n}`").alias(n) for n in docs.columns])
