@@ -85,6 +85,66 @@ def test_html_skips_no_more_than_an_element():
     assert html_extraction.extract(f"<article><p>{first}</p><script>var a = 1;<p>{last}</p></article>") == first
 
 
+LONG = "This is a long paragraph of the article, with many words in it and an end."
+
+
+def test_html_names_alone_decide_nothing():
+    for kind in ("share-story", "legal", "feedback", "search-result-text", "notice-of-intent"):
+        assert html_extraction.extract(f"<article><div class='{kind}'><p>{LONG}</p></div></article>") == LONG, kind
+        assert html_extraction.extract(f"<article><p>{LONG}</p><p class='{kind}'>{LONG}</p></article>") == f"{LONG} {LONG}", kind
+    for wrap in ("<form id=aspnetForm>{}</form>", "<div class='sidebar'>{}</div>", "<div class='page with-comments'>{}</div>"):
+        assert html_extraction.extract(wrap.format(f"<article><p>{LONG}</p></article>")) == LONG
+    for kind in ("ad", "ad-slot", "comments", "cookie-notice", "related-posts", "newsletter-signup"):
+        assert html_extraction.extract(f"<article><p>{LONG}</p><div class='{kind}'><p>{LONG}</p></div><p>{LONG}</p></article>") == f"{LONG} {LONG}", kind
+
+
+def test_html_comments_without_names():
+    page = f"<div><h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p></div><div><h3>3 Comments</h3><div><p>A remark by a reader, which goes on for long enough.</p><p>{LONG}</p></div></div>"
+    assert html_extraction.extract(page) == f"Title of it {LONG} {LONG}"
+
+
+def test_html_cut_overrules_the_classifier():
+    """Blocks whose own log-odds point one way go the other with their surroundings."""
+    page = html_extraction.Page(f"<div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div><div><h1>Some title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><ul><li>item</li></ul><p>{LONG}</p></div><div><a href=3>About</a> <a href=4>Help</a></div>")
+    own = html_extraction.costs(page)
+    cut = html_extraction.min_cut(own, html_extraction.graph(page, 0.8, 0.7))
+    alone = html_extraction.min_cut(own, [])
+    assert [t for t, k in zip(page.text, cut, strict=True) if k] == ["Some title", LONG, "Short.", LONG, LONG][: sum(cut)] or "Short." in [t for t, k in zip(page.text, cut, strict=True) if k]
+    changed = {t for t, a, b in zip(page.text, alone, cut, strict=True) if a != b}
+    assert "Short." in changed and page.text[0] not in changed
+
+
+def test_html_cut_decides_on_pages_without_names(spark, sf_dir):
+    """Given pages with every semantic name taken away: the article is still found on most, and the flow is needed."""
+    import html
+    import re
+
+    found = flips = 0
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    for r in pages:
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+        bare = re.sub(r"</?(?:article|nav|footer|header|main|aside)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", r["html"])
+        page = html_extraction.Page(re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|\S+?)(?=[\s>])", "", bare))
+        own = html_extraction.costs(page)
+        cut = html_extraction.min_cut(own, html_extraction.graph(page, 0.8, 0.7))
+        flips += sum((c > 0) != k for c, k in zip(own, cut, strict=True))
+        found += want in " ".join(t for t, k in zip(page.text, cut, strict=True) if k)
+    assert found >= 0.7 * len(pages) and flips >= len(pages) // 2
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        start = time.time()
+        html_extraction.extract("<div>" * n + LONG + "</div>" * n)
+        html_extraction.extract(f"<div>{LONG}" * n)
+        took.append(time.time() - start)
+    assert took[1] < 12 * took[0]
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None, 3), (2, "u", "", 3), (2, "u", "", 3), (3, "u", PAGE, 3)], "page_id long, url string, html string, text int")
     assert sorted((r["page_id"], r["n_chars"] > 0) for r in html_extraction.main_text(df).collect()) == [(1, False), (2, False), (2, False), (3, True)]
