@@ -2,26 +2,36 @@
 
 A vector v gets one more component, sqrt(R^2 - |v|^2) with R the largest norm (one aggregate over all rows); queries get
 zero there.  Then |q - v|^2 = |q|^2 + R^2 - 2 q.v, so the nearest by distance is the largest by inner product, and the
-triangle inequality holds.  Rows are dealt into shards of a bounded size, each with its own tree; queries visit every
-shard in blocks.  A branch is pruned where its lower bound on distance, times ``factor``, exceeds the k-th distance so far
-(with a margin for rounding): 1 is exact, more prunes earlier.  Equal vectors of a shard share one leaf entry, with the
-k + 1 smallest ids that could ever be needed.
+triangle inequality holds.
+
+Rows are dealt into shards by space: to the nearest of at most PIVOTS pivots, taken from a sample of at most SAMPLE rows
+and moved to the means of what is nearest; a pivot with more than ``shard_rows`` rows has several shards.  Each shard's
+tree is built once and kept as one row.  A query first searches the shards of its own pivot; the k-th distance found there
+then prunes whole pivots by their radius, and it searches the rest.  A branch (or pivot) is pruned where its lower bound
+on the distance, times ``factor``, exceeds the k-th distance so far (with a margin for rounding): 1 is exact, more prunes
+earlier.  Rows of equal vectors share one leaf entry.  Only ids and scores leave a search.
 
 Cases: vectors that are null, all zero, or with null or non-finite components take no part as rows or queries, nor do
-vectors whose length differs from ``dims`` (unless given the most frequent length, of equally frequent ones the largest).  Ties go to the smaller id.  Fewer than k candidates give fewer rows.  An id that
-appears twice is two rows; a query never finds itself (its own id).  No vectors give no rows; extra columns are ignored.
+vectors whose length differs from ``dims`` (unless given the most frequent length, of equally frequent ones the largest).
+Ties go to the smaller id.  Fewer than k candidates give fewer rows.  Repeated ids are separate rows; a query never finds
+its own id; a repeated query row (of the same id and vector) is asked once.  No vectors, or none that is a query, give no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import materialise, pick, sweep, written
 
-LEAF = 256
+LEAF = 64
+PIVOTS, SAMPLE = 256, 20_000
+BLOCK_ROWS = 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -32,14 +42,54 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(fine, F.lit(False)))
 
 
+def lift(v, radius: float):
+    """Rows with their further component."""
+    import numpy as np
+
+    return np.concatenate([v, np.sqrt(np.maximum(0, radius**2 - np.einsum("ij,ij->i", v, v)))[:, None]], axis=1)
+
+
+def exact(q, v):
+    """Inner products of paired rows, summed in the order of the components."""
+    import numpy as np
+
+    s = np.zeros(len(q))
+    for d in range(q.shape[1]):
+        s += q[:, d] * v[:, d]
+    return s
+
+
 class Tree:
-    """A vantage-point tree over distinct rows of x; visited for many queries at once."""
+    """A vantage-point tree over the distinct vectors of a shard, visited for many queries at once."""
 
-    def __init__(self, x, ids: list) -> None:
+    def __init__(self, v, ids, radius: float, k: int) -> None:
         import numpy as np
 
-        self.x, self.ids = x, ids
-        self.root = self.build(np.arange(len(x)))
+        order = np.argsort(ids, kind="stable")
+        v, ids = v[order], ids[order]
+        _, first, which = np.unique(v, axis=0, return_index=True, return_inverse=True)
+        # Distinct vectors, numbered by smallest id; each keeps its k smallest ids whichever id is the query's own.
+        order = np.argsort(first, kind="stable")
+        number = np.empty(len(order), dtype=int)
+        number[order] = np.arange(len(order))
+        which = number[which.ravel()]
+        by = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[by], np.arange(len(order) + 1))
+        self.members = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = ids[by[a:b]]
+            self.members.append(own[: k + int(np.unique(own, return_counts=True)[1].max())] if len(own) > k else own)
+        self.x, self.radius, self.scored = lift(v[first[order]], radius), radius, 0
+        self.root = self.build(np.arange(len(self.x)))
+
+    def packed(self) -> bytes:
+        return pickle.dumps(self.__dict__, protocol=5)
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Tree:
+        tree = cls.__new__(cls)
+        tree.__dict__.update(pickle.loads(raw))
+        return tree
 
     def build(self, at):
         import numpy as np
@@ -56,22 +106,31 @@ class Tree:
         near, far = order[:half], order[half:]
         return point, (d[near[0]], d[near[-1]]), (d[far[0]], d[far[-1]]), self.build(at[near]), self.build(at[far])
 
-    def search(self, q, norms, k: int, factor: float, radius: float):
-        """For each query: arrays of the k + 1 best rows by inner product, as far as the pruning lets them be found."""
+    def search(self, q, k: int, factor: float, floor=None):
+        """For each query: the rows of its k best by inner product, as far as the pruning lets them be found, -1 where there
+        are fewer; ``floor``: inner products that k other rows are known to reach."""
         import numpy as np
 
+        norms = np.einsum("ij,ij->i", q, q)
         best = np.full((len(q), k), -np.inf)
         rows = np.full((len(q), k), -1)
-        margin = 1e-9 * (1 + radius)
+        floor = np.full(len(q), -np.inf) if floor is None else floor
+        margin = 1e-9 * (1 + self.radius)
+
+        def open_to(who, bound):
+            known = np.maximum(best[who, -1], floor[who])
+            limit = np.sqrt(np.maximum(0, norms[who] + self.radius**2 - 2 * np.where(np.isfinite(known), known, 0)))
+            return who[(bound * factor <= limit + margin) | ~np.isfinite(known)]
 
         def visit(node, who) -> None:
             if not len(who):
                 return
             if not isinstance(node, tuple):
+                self.scored += len(who) * len(node)
                 s = q[who] @ self.x[node][:, :-1].T
                 both = np.concatenate([best[who], s], axis=1)
                 name = np.concatenate([rows[who], np.broadcast_to(node, s.shape)], axis=1)
-                # Ties at the k-th place must not be lost: rows are ordered by smallest id, so a stable sort keeps the right ones.
+                # Rows are numbered by smallest id, which decides ties.
                 order = np.lexsort((name, -both), axis=1)[:, :k]
                 best[who] = np.take_along_axis(both, order, axis=1)
                 rows[who] = np.take_along_axis(name, order, axis=1)
@@ -87,79 +146,153 @@ class Tree:
             first = (a < b) | ((a == b) & (d <= (inner[1] + outer[0]) / 2))
             for nodes, mine in (((near, a), (far, b)), first), (((far, b), (near, a)), ~first):
                 for n, bound in nodes:
-                    limit = np.sqrt(np.maximum(0, norms[who] + radius**2 - 2 * best[who, -1]))
-                    visit(n, who[mine & ((bound * factor <= limit + margin) | ~np.isfinite(best[who, -1]))])
+                    visit(n, open_to(who[mine], bound[mine]))
 
         visit(self.root, np.arange(len(q)))
         return rows
 
+    def answers(self, ids, q, k: int, factor: float, floor=None):
+        """(query's place, vec_id, score) of the k best candidates of each query, its own id left out."""
+        import numpy as np
+
+        found = self.search(q, k + 1, factor, floor)
+        who, at = np.nonzero(found >= 0)
+        row = found[who, at]
+        score = exact(q[who], self.x[row][:, :-1])
+        out = []
+        lens = np.array([len(self.members[r]) for r in row], dtype=int)
+        who, score = np.repeat(who, lens), np.repeat(score, lens)
+        name = np.concatenate([self.members[r] for r in row]) if len(row) else np.zeros(0, dtype=np.int64)
+        ok = name != ids[who]
+        if floor is not None:
+            ok &= score >= floor[who] - 1e-9 * (1 + np.abs(floor[who]))
+        who, name, score = who[ok], name[ok], score[ok]
+        order = np.lexsort((name, -score, who))
+        who, name, score = who[order], name[order], score[order]
+        place = np.arange(len(who)) - np.searchsorted(who, who)
+        out = place < k
+        return who[out], name[out], score[out]
+
+
+def pivots(rows: DataFrame, n: int, radius: float, shard_rows: int):
+    """Lifted points, one for each shard_rows rows or PIVOTS: a bounded sample's k-means, from a farthest-first start."""
+    import numpy as np
+
+    want = min(PIVOTS, max(1, math.ceil(n / shard_rows)))
+    sample = rows.where(F.rand(seed=5) < min(1.0, 2 * SAMPLE / max(n, 1))).select("v").limit(SAMPLE).collect() or rows.select("v").limit(1).collect()
+    x = lift(np.array([r["v"] for r in sample]), radius)
+    x = x[np.lexsort(x.T[::-1])]
+    centres, far = [x[0]], np.full(len(x), np.inf)
+    while len(centres) < min(want, len(x)):
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(axis=1))
+        centres.append(x[int(np.argmax(far))])
+    c = np.array(centres)
+    for _ in range(8):
+        near = np.argmin((c**2).sum(axis=1) - 2 * x @ c.T, axis=1)
+        c = np.array([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
+    return c
+
 
 def search(
     vectors: DataFrame,
     every: int = 20,
     k: int = 20,
-    factor: float = 1.2,
+    factor: float = 2.0,
     shard_rows: int = 20_000,
-    block_rows: int = 4096,
+    block_rows: int = BLOCK_ROWS,
     dims: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score for the queries (ids divisible by ``every``) against all rows but their own."""
+    spark = vectors.sparkSession
+    since = len(written(spark))
+    result = "query_id long, rank int, vec_id long, score double"
     rows = materialise(usable(vectors), "vectors")
     if not dims:
         usual = rows.groupBy(F.size("v").alias("dims")).count().agg(F.max(F.struct("count", "dims")).alias("m")).first()["m"]
         dims = usual["dims"] if usual else 0
     rows = rows.where(F.size("v") == dims)
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    facts = rows.agg(F.count("*").alias("n"), F.max(norm2).alias("r2"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
-    shards = max(1, math.ceil(facts["n"] / shard_rows))
-    blocks = max(1, math.ceil(facts["q"] / block_rows))
-    radius = math.sqrt(facts["r2"] or 0.0)
-    cells = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", cells)
-    index = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def cell(q, x):
+    asks = F.col("vec_id") % every == 0
+    facts = rows.agg(F.count("*").alias("n"), F.max(norm2).alias("r2"), F.count(F.when(asks, 1)).alias("q")).first()
+    if not facts["q"]:
+        return spark.createDataFrame([], result)
+    radius = math.sqrt(facts["r2"])
+    points = pivots(rows, facts["n"], radius, shard_rows)
+
+    def near(frames: Iterator) -> Iterator:
+        """The nearest pivot of each row, and its distance."""
+        import numpy as np
+
+        for pdf in frames:
+            x = lift(np.array(pdf["v"].tolist()), radius) if len(pdf) else np.zeros((0, points.shape[1]))
+            d = (x**2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * x @ points.T
+            at = np.argmin(d, axis=1)
+            yield pdf.assign(pivot=at.astype("int32"), far=np.sqrt(np.maximum(0, d[np.arange(len(x)), at])))
+
+    placed = materialise(rows.mapInPandas(near, "vec_id long, v array<double>, pivot int, far double"), "placed")
+    cells = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most PIVOTS
+    parts = [max(1, math.ceil(cells.get(p, (0, 0))[0] / shard_rows)) for p in range(len(points))]
+    reach = [cells.get(p, (0, -math.inf))[1] for p in range(len(points))]
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.element_at(F.lit(parts), F.col("pivot") + 1)).cast("int")
+
+    def grow(key, pdf):
         import numpy as np
         import pandas as pd
 
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "v": [], "q": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        if not len(q) or not len(x):
-            return empty
-        x = x.sort_values("vec_id", kind="stable", ignore_index=True)
-        v = np.array(x["v"].tolist())
-        _, first, which = np.unique(v, axis=0, return_index=True, return_inverse=True)
-        # Distinct vectors, numbered by smallest id; each keeps its k + 1 smallest ids, one of which may be the query's own.
-        order = np.argsort(first, kind="stable")
-        number = np.empty(len(order), dtype=int)
-        number[order] = np.arange(len(order))
-        which = number[which.ravel()]
-        by = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[by], np.arange(len(order) + 1))
-        ids = x["vec_id"].to_numpy()
-        members = [ids[by[a : min(b, a + k + 1)]] for a, b in zip(cuts, cuts[1:], strict=False)]
-        u = v[first[order]]
-        extra = np.sqrt(np.maximum(0, radius**2 - np.einsum("ij,ij->i", u, u)))
-        tree = Tree(np.concatenate([u, extra[:, None]], axis=1), members)
-        qv = np.array(q["q"].tolist())
-        found = tree.search(qv, np.einsum("ij,ij->i", qv, qv), k + 1, factor, radius)
-        out = []
-        for me, vec, got in zip(q["query_id"], qv, found, strict=True):
-            got = got[got >= 0]
-            s = u[got] @ vec
-            taken = 0
-            for g in got[np.argsort(-s, kind="stable")]:
-                if taken >= k + 1:
-                    break
-                for i in members[g]:
-                    if i != me:
-                        out.append((me, i, u[g], vec))
-                        taken += 1
-        if not out:
-            return empty
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "v", "q"])
-
-    near = queries.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(cell, "query_id long, vec_id long, v array<double>, q array<double>")
-    scored = near.select("query_id", "vec_id", F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("score"))
-    # Each shard sends at most a few times k rows for a query, so a query's group is bounded by the number of shards.
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.d")).alias("score"))
+        tree = Tree(np.array(pdf["v"].tolist()), pdf["vec_id"].to_numpy(), radius, k)
+        return pd.DataFrame({"pivot": [key[0]], "part": [key[1]], "tree": [tree.packed()]})
+
+    trees = materialise(placed.select("vec_id", "v", "pivot", part.alias("part")).groupBy("pivot", "part").applyInPandas(grow, "pivot int, part int, tree binary"), "trees")
+    queries = materialise(placed.where(asks).select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("mark"), F.col("pivot").alias("home")).dropDuplicates(["query_id", "mark"]), "queries")
+
+    def ask(asked: DataFrame, label: str) -> DataFrame:
+        """(query_id, mark, vec_id, score) of queries in their cells: asked has query_id, mark, v, floor and pivot."""
+        # The queries of a shard are dealt into blocks of a bounded size; each block gets the shard's tree.
+        counts = asked.groupBy("pivot").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+        counts = materialise(counts, "blocks")  # at most PIVOTS rows
+        left = asked.join(F.broadcast(counts), "pivot").select("query_id", "mark", "v", "floor", "pivot", F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"))
+        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.element_at(F.lit(parts), F.col("pivot") + 1) - 1)))
+        right = trees.join(F.broadcast(counts), "pivot").select(F.col("pivot").alias("p"), F.col("part").alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "tree")
+
+        def cell(q, shard):
+            import numpy as np
+            import pandas as pd
+
+            if not len(q) or not len(shard):
+                return pd.DataFrame({"query_id": [], "mark": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "mark": "int64", "vec_id": "int64"})
+            tree, ids = Tree.unpacked(shard["tree"].iloc[0]), q["query_id"].to_numpy()
+            who, name, score = tree.answers(ids, np.array(q["v"].tolist()), k, factor, q["floor"].fillna(-np.inf).to_numpy())
+            return pd.DataFrame({"query_id": ids[who], "mark": q["mark"].to_numpy()[who], "vec_id": name, "score": score})
+
+        found = left.groupBy("pivot", "part", "block").cogroup(right.groupBy("p", "s", "b")).applyInPandas(cell, "query_id long, mark long, vec_id long, score double")
+        return materialise(best(found), label)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    home = ask(queries.select("query_id", "mark", "v", F.lit(None).cast("double").alias("floor"), F.col("home").alias("pivot")), "home")
+    floors = home.where(F.col("rank") == k).select("query_id", "mark", F.col("score").alias("floor"))
+
+    def further(frames: Iterator) -> Iterator:
+        """A row for each other pivot that the query's k-th distance cannot rule out."""
+        import numpy as np
+        import pandas as pd
+
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            v, floor = np.array(pdf["v"].tolist()), pdf["floor"].fillna(-np.inf).to_numpy()
+            norms = (v**2).sum(axis=1)
+            d = np.sqrt(np.maximum(0, norms[:, None] + (points**2).sum(axis=1) - 2 * v @ points[:, :-1].T))
+            limit = np.where(np.isfinite(floor), np.sqrt(np.maximum(0, norms + radius**2 - 2 * np.where(np.isfinite(floor), floor, 0))), np.inf)
+            ok = np.maximum(0, d - np.array(reach)) * factor <= (limit + 1e-9 * (1 + radius))[:, None]
+            ok &= np.isfinite(reach) & (np.arange(len(points)) != pdf["home"].to_numpy()[:, None])
+            who, pivot = np.nonzero(ok)
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[who], "mark": pdf["mark"].to_numpy()[who], "v": pd.Series([v[w] for w in who], dtype=object), "floor": np.where(np.isfinite(floor), floor, np.nan)[who], "pivot": pivot.astype("int32")})
+
+    rest = queries.join(floors, ["query_id", "mark"], "left").select("query_id", "mark", "v", "floor", "home")
+    more = ask(materialise(rest.mapInPandas(further, "query_id long, mark long, v array<double>, floor double, pivot int"), "further"), "more")
+    out = materialise(best(home.drop("rank").unionByName(more.drop("rank"))).select("query_id", "rank", "vec_id", "score"), "nearest")
+    sweep(spark, since, out)
+    return out
