@@ -53,6 +53,19 @@ def test_genetic_steps_keep_every_item(seed):
     assert len(b) <= len(a)
 
 
+@pytest.mark.parametrize(("low", "high", "n", "gain"), [(200, 600, 1000, 5), (250, 500, 600, 8), (100, 700, 2000, 2)])
+def test_islands_beat_best_fit(low, high, n, gain):
+    """Sizes on which plain best fit in decreasing order wastes bins."""
+    rng = random.Random(1)
+    size = sorted((rng.randrange(low, high) for _ in range(n)), reverse=True)
+    plain: list = []
+    packing.best_fit(plain, [], list(range(n)), size, 1024)
+    best = [packing.evolve(size, [], i, 0, 1024, 8, 60) for i in range(3)]
+    best = [packing.evolve(size, [best[i], best[i - 1]], i, 1, 1024, 8, 60) for i in range(3)]
+    assert min(map(len, best)) <= len(plain) - gain
+    assert all(sorted(i for x in b for i in x) == list(range(n)) for b in best)
+
+
 def test_html(spark, sf_dir):
     import html
     import re

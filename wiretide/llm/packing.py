@@ -3,7 +3,8 @@
 Documents are cut only where longer than a sequence.  Full pieces are sequences by themselves; what remains is one item
 for each document.  Items are dealt into groups of a bounded size.  On each group several islands evolve packings:
 crossover injects whole well-filled bins of one parent into the other, drops the bins that then hold an item twice and
-puts displaced items back by best fit in decreasing order; after each epoch an island's elite moves to the next island.
+puts displaced items back, first in exchange where that fills a bin better, then by best fit in decreasing order; after
+each epoch an island's elite moves to the next island.  An island stops at the bound that no packing can pass.
 The best packing of a group wins.  Bins left with room are then packed once more across groups.
 
 Cases: null text is an empty document (its end token alone).  Equal lengths are ordered by row, so repeated rows and
@@ -13,6 +14,8 @@ repeated ids are packed as separate documents.  No documents give no rows; extra
 from __future__ import annotations
 
 import math
+import random
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -56,8 +59,37 @@ def fitness(room: list[int], capacity: int) -> tuple[int, float]:
     return len(room), -sum((capacity - r) ** 2 for r in room)
 
 
+def load(bins: list[list[int]], size) -> list[int]:
+    return [sum(size[i] for i in x) for x in bins]
+
+
+def put_back(bins: list[list[int]], items: list[int], size, capacity: int) -> list[list[int]]:
+    """Displaced items: first each bin with room changes an item for a displaced one that fills it better, then the rest go
+    in by best fit, largest first.  In place."""
+    room = [capacity - x for x in load(bins, size)]
+    spare = sorted(items, key=lambda i: (size[i], i))
+    sizes = [size[i] for i in spare]
+    for b in sorted((b for b, r in enumerate(room) if r), key=lambda b: room[b]):
+        best = (0, 0, 0)
+        for at, i in enumerate(bins[b]):
+            j = bisect_right(sizes, size[i] + room[b]) - 1
+            if j >= 0 and sizes[j] - size[i] > best[0]:
+                best = (sizes[j] - size[i], at, j)
+        gain, at, j = best
+        if gain:
+            out, bins[b][at] = bins[b][at], spare[j]
+            room[b] -= gain
+            del spare[j], sizes[j]
+            k = bisect_right(sizes, size[out])
+            spare.insert(k, out)
+            sizes.insert(k, size[out])
+    best_fit(bins, room, spare[::-1], size, capacity)
+    return bins
+
+
 def crossover(a: list[list[int]], b: list[list[int]], size, capacity: int, rng) -> list[list[int]]:
-    full = sorted(range(len(b)), key=lambda k: (sum(size[i] for i in b[k]), k), reverse=True)
+    filled = load(b, size)
+    full = sorted(range(len(b)), key=lambda k: (filled[k], k), reverse=True)
     take = [b[k] for k in full[: max(1, len(full) // 2)] if rng.random() < 0.5]
     inside = {i for x in take for i in x}
     bins, displaced = [list(x) for x in take], []
@@ -66,49 +98,64 @@ def crossover(a: list[list[int]], b: list[list[int]], size, capacity: int, rng)
             bins.append(list(x))
         else:
             displaced += [i for i in x if i not in inside]
-    room = [capacity - sum(size[i] for i in x) for x in bins]
-    displaced.sort(key=lambda i: (-size[i], i))
-    best_fit(bins, room, displaced, size, capacity)
-    return bins
+    return put_back(bins, displaced, size, capacity)
 
 
 def mutate(bins: list[list[int]], size, capacity: int, rng) -> list[list[int]]:
     """Empty the emptiest bins and a few others, and put their items back."""
-    order = sorted(range(len(bins)), key=lambda k: (sum(size[i] for i in bins[k]), k))
-    drop = set(order[: max(1, len(order) // 50)]) | {rng.randrange(len(bins)) for _ in range(max(1, len(bins) // 50))}
+    filled = load(bins, size)
+    order = sorted(range(len(bins)), key=lambda k: (filled[k], k))
+    few = max(2, min(12, len(bins) // 20))
+    drop = set(order[: rng.randint(1, few)]) | {rng.randrange(len(bins)) for _ in range(rng.randint(1, few))}
     kept = [list(x) for k, x in enumerate(bins) if k not in drop]
-    out = sorted((i for k in drop for i in bins[k]), key=lambda i: (-size[i], rng.random()))
-    best_fit(kept, [capacity - sum(size[i] for i in x) for x in kept], out, size, capacity)
-    return kept
+    return put_back(kept, [i for k in drop for i in bins[k]], size, capacity)
 
 
 def evolve(size: list[int], elites: list[list[list[int]]], island: int, epoch: int, capacity: int, population: int, generations: int) -> list[list[int]]:
-    """One island's epoch; gives its best packing.  Stops at once where no packing can be better."""
-    import random
+    """One island's epoch over items in descending order of size; gives its best packing.
 
+    Exactly full bins of its best packing rest, but for as many as there are others, which are drawn anew each epoch; the
+    packings evolve over what is left.  Stops where no packing can be better."""
     rng = random.Random(f"{island} {epoch} {len(size)} {sum(size)}")
     least = math.ceil(sum(size) / capacity)
-    score = lambda bins: fitness([capacity - sum(size[i] for i in x) for x in bins], capacity)
-    pop = [(score(e), e) for e in elites]
-    if not pop:
+    score = lambda bins: fitness([capacity - x for x in load(bins, size)], capacity)
+    if not elites:
         bins: list[list[int]] = []
         best_fit(bins, [], list(range(len(size))), size, capacity)
-        pop = [(score(bins), bins)]
-    while len(pop) < population and min(p[0] for p in pop)[0] > least:
-        order = sorted(range(len(size)), key=lambda i: -size[i] * rng.uniform(0.85, 1))
+        elites = [bins]
+    best = min(elites, key=score)
+    if len(best) <= least:
+        return best
+    filled = load(best, size)
+    full = [x for x, f in zip(best, filled, strict=True) if f == capacity]
+    rng.shuffle(full)
+    others = len(best) - len(full)
+    resting = full[max(20, others) :]
+    still = {i for x in resting for i in x}
+    free = [i for i in range(len(size)) if i not in still]
+    bound = math.ceil(sum(size[i] for i in free) / capacity)
+
+    def member(bins):  # an elite over the free items alone
+        whole = [list(x) for x in bins if still.isdisjoint(x)]
+        return put_back(whole, [i for x in bins if not still.isdisjoint(x) for i in x if i not in still], size, capacity)
+
+    pop = [(score(m), m) for m in map(member, elites)]
+    while len(pop) < population:
+        order = sorted(free, key=lambda i: -size[i] * rng.uniform(0.7, 1))
         bins = []
         best_fit(bins, [], order, size, capacity)
         pop.append((score(bins), bins))
     for _ in range(generations):
         pop.sort(key=lambda p: p[0])
-        if pop[0][0][0] <= least:
+        if pop[0][0][0] <= bound:
             break
-        a, b = rng.sample(range(len(pop)), 2)
-        child = crossover(pop[min(a, b)][1], pop[max(a, b)][1], size, capacity, rng)
-        if rng.random() < 0.5:
-            child = mutate(child, size, capacity, rng)
-        pop[-1] = min(pop[-1], (score(child), child), key=lambda p: p[0])
-    return min(pop, key=lambda p: p[0])[1]
+        a, b = sorted(rng.sample(range(len(pop)), 2))
+        child = pop[a][1] if rng.random() < 0.4 else crossover(pop[a][1], pop[b][1], size, capacity, rng)
+        child = mutate(child, size, capacity, rng)
+        s = score(child)
+        if s < pop[-1][0] and all(s != p[0] for p in pop):  # no twins
+            pop[-1] = (s, child)
+    return resting + min(pop, key=lambda p: p[0])[1]
 
 
 def pack_items(items: DataFrame, capacity: int, group_size: int, islands: int, epochs: int, population: int, generations: int, label: str) -> DataFrame:
@@ -179,10 +226,10 @@ def pack(
     end_id: int = END_ID,
     files: tuple[str, str, str] | None = None,
     group_size: int = 8192,
-    islands: int = 2,
-    epochs: int = 2,
-    population: int = 5,
-    generations: int = 8,
+    islands: int = 3,
+    epochs: int = 3,
+    population: int = 8,
+    generations: int = 60,
     loose_below: float = 0.98,
 ) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
