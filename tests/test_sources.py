@@ -50,6 +50,41 @@ def test_odd_frames():
         list(captures.frames(b"x" * 40))
 
 
+def test_a_bad_file_is_refused_alone(spark, tmp_path):
+    (tmp_path / "good.pcap").write_bytes(pcap([(1.0, ETH + ip4(6, tcp(50000, 443, 2)))]))
+    (tmp_path / "radio.pcap").write_bytes(pcap([(1.0, b"x" * 40)], link=127))
+    (tmp_path / "text.pcap").write_bytes(b"this is no capture at all, but text")
+    assert captures.read_captures(spark, str(tmp_path)).count() == 1
+    why = {r["path"].rsplit("/", 1)[1]: r["reason"] for r in captures.refusals(spark, str(tmp_path)).collect()}
+    assert why == {"radio.pcap": "link type 127 is not supported", "text.pcap": "not a capture file"}
+
+
+def test_dns_names():
+    name = b"\x03www\x07example\x03com\0"
+    assert messages.read_name(b"xx" + name, 2) == ("www.example.com.", 2 + len(name))
+    assert messages.read_name(name + b"\x01a\xc0\x04", len(name)) == ("a.example.com.", len(name) + 4)  # labels, then a pointer
+    assert messages.read_name(name + b"\x40\x04", len(name))[0] == "example.com."  # one high bit is a pointer too
+    assert messages.read_name(b"\xc0\x02\xc0\x00", 0) == (".", 2)  # two pointers at each other
+    assert messages.read_name(b"\x05ab", 0) == ("ab.", 6) and messages.read_name(b"\xc0", 0) == (".", 2)
+    chain = b"".join(struct.pack("!H", 0xC000 | 2 * (i + 1)) for i in range(40)) + b"\x01a\0"
+    assert messages.read_name(chain, 0) == (".", 2)  # more pointers than a name may follow
+    many = struct.pack("!6H", 7, 0x8180, 1, 65535, 0, 0) + name + struct.pack("!HH", 1, 1) + (b"\xc0\x0c" + struct.pack("!HHIH", 1, 1, 60, 4) + bytes([9, 9, 9, 9])) * 70
+    assert len(messages.parse_dns(many)["answers"]) == messages.MAX_ANSWERS
+    assert messages.parse_dns(many[:-2])["answers"] and messages.parse_dns(many[: 12 + len(name) + 3]) is None
+    assert messages.parse_dns(b"\0\0" + many, True)["qname"] == "www.example.com." and messages.parse_dns(struct.pack("!6H", 1, 0, 0, 0, 0, 0)) is None
+
+
+def test_feed_names(spark, tmp_path):
+    lines = spark.createDataFrame(list(enumerate(["bad.xn--p1ai", "c2.example.c0m", "host_1.example.com", "-x.example.com", "single"])), "line_no long, value string")
+    assert {r["value"] for r in feeds.parse_feed(lines, "PLAIN_DOMAIN").collect()} == {"bad.xn--p1ai", "c2.example.c0m"}
+    (tmp_path / "f.txt").write_text("# Generated: 2024-05-01 10:00:00\na.example\nb.example\n")
+    import hashlib
+
+    got = feeds.describe_feed(spark, str(tmp_path / "f.txt"), "PLAIN_DOMAIN").first()
+    assert got["file_sha256"] == hashlib.sha256((tmp_path / "f.txt").read_bytes()).hexdigest()
+    assert (got["lines"], got["domain"], got["url"], str(got["published_on"])) == (3, 2, 0, "2024-05-01 10:00:00")
+
+
 def test_dns_loops():
     assert messages.read_name(b"\xc0\x00", 0) == (".", 2)
     assert messages.parse_dns(b"\0" * 11) is None

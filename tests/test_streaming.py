@@ -25,7 +25,22 @@ def test_recompute_and_alert_once(spark, tmp_path):
     assert alerts == [1, 0]
     whole = flows.build_flows(spark.createDataFrame(all_rows, schema)).first()
     assert whole["interval_count"] == 59
-    assert '"sample_count":59' in spark.read.parquet(str(tmp_path / "out")).first()["evidence"]
+    assert '"sample_count":59' in live.current(spark, str(tmp_path / "out")).first()["evidence"]
+
+
+def test_a_session_that_lost_its_findings_keeps_none(spark, tmp_path):
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    least = [1]
+
+    def analyse(f):
+        found = f.select("session_id", F.lit("R").alias("rule_id"), F.col("src_ip").alias("subject_ip"), F.lit("t").alias("title"), "packets_sent")
+        return found.where(F.col("packets_sent") <= least[0])
+
+    for n, want in ((1, 1), (9, 0)):
+        spark.createDataFrame(rows(n), live.PACKETS).coalesce(1).write.mode("append").parquet(str(landing))
+        live.recompute(spark, live.packet_stream(spark, str(landing)), str(tmp_path / "store"), out, analyse, str(tmp_path / "ckpt"), once=True).awaitTermination(120)
+        assert live.current(spark, out).count() == want
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 10
 
 
 def test_gap_sessions(spark, tmp_path):

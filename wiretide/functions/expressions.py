@@ -54,10 +54,54 @@ def parse_nets(declared: str | None, default: tuple[str, ...] = DEFAULT_HOME) ->
     return good or list(default)
 
 
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+
+
+def _number(n: int) -> str:
+    """A number up to 255 as an address may write it, with leading zeros to three digits."""
+    return f"{'0?' * (3 - len(str(n)))}{n}"
+
+
+def _net_pattern(net: str) -> str | None:
+    """A pattern of the addresses of a network, or None where one doesn't follow from its prefix.
+
+    Whole octets are written out, a divided one as its numbers.  For IPv6 the first group must decide, and have no zeros
+    that may be left out."""
+    n = ipaddress.ip_network(net.strip(), strict=False)
+    bits, start = n.prefixlen, n.network_address
+    if n.version == 4:
+        octets = list(start.packed)
+        whole, part = divmod(bits, 8)
+        out = [_number(o) for o in octets[:whole]]
+        if part:
+            out.append(f"(?:{'|'.join(_number(o) for o in range(octets[whole], octets[whole] + (1 << 8 - part)))})")
+        return r"\.".join(out + [_OCTET] * (4 - len(out)))
+    first = int(start) >> 112
+    if bits > 16 or first < 0x1000:
+        return None
+    digits, part = divmod(bits, 4)
+    text = f"{first:04x}"
+    out = [f"[{d}{d.upper()}]" if d.isalpha() else d for d in text[:digits]]
+    if part:
+        low = int(text[digits], 16)
+        some = [f"{d:x}" for d in range(low, low + (1 << 4 - part))]
+        out.append(f"[{''.join(some)}{''.join(d.upper() for d in some if d.isalpha())}]")
+    tail = "[0-9A-Fa-f]" * (4 - len(out))
+    return f"(?=[0-9A-Fa-f:]{{2,39}}$)(?=.*::|(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}$){''.join(out)}{tail}:.*"
+
+
 def in_nets(ip: Column | str, nets) -> Column:
-    """Whether an address is in any of the networks; never NULL.  Lists are configuration, so this is an OR of ranges."""
-    h = ip_hex(ip)
-    return F.coalesce(let(h, lambda x: _any([(F.length(x) == len(lo)) & x.between(F.lit(lo), F.lit(hi)) for lo, hi in map(net_range, nets)])), F.lit(False))
+    """Whether an address is in any of the networks; never NULL.
+
+    Lists are configuration.  Networks that a pattern describes become one regular expression, which stays inside code
+    generation; others compare as ranges."""
+    known = {n: _net_pattern(n) for n in nets}
+    patterns, ranges = [p for p in known.values() if p], [n for n, p in known.items() if not p]
+    out = F.coalesce(col(ip).rlike(f"^(?:{'|'.join(patterns)})$"), F.lit(False)) if patterns else F.lit(False)
+    if ranges:
+        held = let(ip_hex(ip), lambda x: _any([(F.length(x) == len(lo)) & x.between(F.lit(lo), F.lit(hi)) for lo, hi in map(net_range, ranges)]))
+        out = out | F.coalesce(held, F.lit(False))
+    return out
 
 
 def _any(tests: list[Column]) -> Column:
@@ -103,10 +147,8 @@ def severity_weight(c: Column | str = "severity") -> Column:
 
 
 def _case(c, table: dict, default) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(col(c) == k, F.lit(v)) if out is None else out.when(col(c) == k, F.lit(v))
-    return out.otherwise(F.lit(default))
+    """A column's value in a table, as one lookup."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), col(c)), F.lit(default))
 
 
 def rnd(c: Column | str, digits: int = 0) -> Column:

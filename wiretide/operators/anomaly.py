@@ -116,3 +116,23 @@ def outliers(flows: DataFrame, contamination: float = 0.02, least: int = 50, cap
     e = explain(robust_z(f, names), names).select("session_id", "flow_id", "reasons").where(F.size("reasons") > 0)
     out = top.join(e, ["session_id", "flow_id"])
     return out.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "flow_id"))).where(F.col("place") <= cap).drop("bar")
+
+
+RULE = "ANOMALY_STATISTICAL"
+LIMIT = "Learns what is ordinary in this capture. If the whole capture is malicious, nothing in it will look unusual."
+
+
+def findings(flows: DataFrame, **options) -> DataFrame:
+    """Outliers as findings: a lead, never above medium, with the features that stand out."""
+    from ..functions import expressions as E
+    from . import rules
+
+    named = flows.select("session_id", "flow_id", E.initiator().alias("host"), E.peer().alias("peer"))
+    g = outliers(flows, **options).join(named, ["session_id", "flow_id"])
+    said = F.transform("reasons", lambda r: F.concat(r.feature, F.when(r.z > 0, " high").otherwise(" low")))
+    return rules.finding(
+        g, RULE, "anomaly", F.lit("medium"), F.lit(0.5), F.col("host"), F.col("flow_id"),
+        F.concat(F.col("host"), F.lit(" → "), F.col("peer"), F.lit(": "), F.get(said, F.lit(0)), F.lit(" for this capture")),
+        F.concat(F.lit("Set apart from the other flows of this capture by "), F.array_join(F.slice(said, 1, 3), ", "), F.lit(". A statistical signal: no threshold was compared and nothing is proven by it.")),
+        F.struct(F.lit("isolation forest over this capture alone").alias("model"), F.round("score", 4).alias("isolation_score"), F.col("reasons").alias("unusual_features"), F.lit(LIMIT).alias("limitation")),
+    ).withColumn("method", F.lit("model"))

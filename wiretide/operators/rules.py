@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from . import anomaly
 
 # Ports that carry sustained sessions.
 WELL_KNOWN_PORTS = (
@@ -125,14 +126,18 @@ def covert_channel(flows: DataFrame, ctx: Context) -> DataFrame:
 
 
 def exfil_volume(flows: DataFrame, ctx: Context) -> DataFrame:
-    """session_id, volume: the floored percentile of positive outbound bytes, by index min(int(n * p / 100), n - 1)."""
-    s = flows.where("bytes_sent > 0")
-    n = s.groupBy("session_id").agg(F.count("*").alias("n"))
+    """session_id, volume: the floored percentile of positive outbound bytes, by index min(int(n * p / 100), n - 1).
+
+    In two steps, so that no task sorts a session: counts by sixteenths of powers of two find the step that holds the
+    rank, and only the values of that step are ranked."""
+    s = flows.where("bytes_sent > 0").select("session_id", "bytes_sent", F.floor(F.log2("bytes_sent") * 16).cast("int").alias("step"))
+    steps = s.groupBy("session_id", "step").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("session_id")
     at = F.least((F.col("n") * ctx.t("exfil_volume_percentile") / 100).cast("long"), F.col("n") - 1)
-    # Ranks come from counts of distinct values, so no task holds or sorts all flows of a session.
-    values = s.groupBy("session_id", "bytes_sent").agg(F.count("*").alias("k"))
-    upto = values.withColumn("upto", F.sum("k").over(Window.partitionBy("session_id").orderBy("bytes_sent")))
-    value = upto.join(n.withColumn("at", at), "session_id").where(F.col("upto") > F.col("at")).groupBy("session_id").agg(F.min("bytes_sent").alias("v"))
+    steps = steps.withColumns({"upto": F.sum("k").over(w.orderBy("step")), "n": F.sum("k").over(w)}).withColumn("at", at - (F.col("upto") - F.col("k")))
+    held = steps.where((F.col("at") >= 0) & (F.col("at") < F.col("k"))).select("session_id", "step", "at")
+    values = s.join(held, ["session_id", "step"]).groupBy("session_id", "at", "bytes_sent").agg(F.count("*").alias("k"))
+    value = values.withColumn("upto", F.sum("k").over(Window.partitionBy("session_id").orderBy("bytes_sent"))).where(F.col("upto") > F.col("at")).groupBy("session_id").agg(F.min("bytes_sent").alias("v"))
     return value.select("session_id", F.greatest("v", F.lit(ctx.t("exfil_absolute_floor")).cast("long")).alias("volume"))
 
 
@@ -299,12 +304,15 @@ def risk_rollup(flows: DataFrame, findings: DataFrame) -> DataFrame:
     return flows.drop("risk_score").join(worst, ["session_id", "flow_id"], "left").withColumn("risk_score", F.coalesce("risk", F.lit(0))).drop("risk")
 
 
-def analyse(flows: DataFrame, dns: DataFrame, ctx: Context, base_rates: DataFrame, indicators: DataFrame | None = None, feeds: DataFrame | None = None) -> DataFrame:
-    """All rules, then corroboration, then base rates."""
+def analyse(flows: DataFrame, dns: DataFrame, ctx: Context, base_rates: DataFrame, indicators: DataFrame | None = None, feeds: DataFrame | None = None, outliers: bool = True) -> DataFrame:
+    """All rules, then corroboration of what they found, then statistical outliers, then base rates."""
     parts = [beaconing(flows, ctx), keepalive(flows, ctx), covert_channel(flows, ctx), dns_long_label(dns, flows, ctx), dns_subdomain_volume(dns, flows, ctx), port_scan(flows, ctx), exfiltration(flows, ctx), icmp_tunnel(flows, ctx)]
     if indicators is not None and feeds is not None:
         parts.append(ioc_matches(flows, dns, indicators, feeds, ctx))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return annotate(found.unionByName(corroborate(found, base_rates, ctx)), base_rates)
+    found = found.unionByName(corroborate(found, base_rates, ctx))
+    if outliers:
+        found = found.unionByName(anomaly.findings(flows))
+    return annotate(found, base_rates)

@@ -633,10 +633,10 @@ def beacon_groups(spark, sf_dir):
     return g.withColumns({"median_s": F.round("median_s", 3), "cv": F.round("cv", 5), "flare_share": F.round("flare_share", 5), "bytes_cov": F.round("bytes_cov", 5)})
 
 
-@query("indicator_correlation", """WITH e AS (SELECT page_id AS sample_id, split_part(split_part(url, '//', 2), '/', 1) AS value FROM pages WHERE page_id % 10 = 0), r AS (SELECT DISTINCT sample_id, 'dns' AS kind, e.value AS indicator, session_id, 'resolved by ' || src_ip AS detail FROM e JOIN v_dns ON query_name = e.value UNION SELECT DISTINCT sample_id, 'feed', e.value, CAST(NULL AS BIGINT), 'listed in feed ' || feed_id FROM e JOIN v_indicator i ON i.value = e.value)
+@query("indicator_correlation", """WITH e AS (SELECT page_id AS sample_id, split_part(split_part(url, '//', 2), '/', 1) AS value FROM pages), r AS (SELECT DISTINCT sample_id, 'dns' AS kind, e.value AS indicator, session_id, 'resolved by ' || src_ip AS detail FROM e JOIN v_dns ON query_name = e.value UNION SELECT DISTINCT sample_id, 'feed', e.value, CAST(NULL AS BIGINT), 'listed in feed ' || feed_id FROM e JOIN v_indicator i ON i.value = e.value)
 SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY sample_id, kind ORDER BY indicator, session_id, detail) <= 60""")
 def indicator_correlation(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 10 = 0").select(F.col("page_id").alias("sample_id"), F.split("url", "/")[2].alias("value"), F.lit("name").alias("scope"))
+    e = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("sample_id"), F.split("url", "/")[2].alias("value"), F.lit("name").alias("scope"))
     return evidence.correlate(e, view(spark, sf_dir, "v_dns"), v_flow(spark, sf_dir), view(spark, sf_dir, "v_indicator"))
 
 

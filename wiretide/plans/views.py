@@ -62,11 +62,12 @@ SELECT * FROM (VALUES ('C2_BEACON_KEEPALIVE', 10, 22, 0, 8), ('C2_BEACON_PERIODI
   ('EXFIL_VOLUME_ASYMMETRY', 8, 22, 1, 8), ('ICMP_TUNNEL_OVERSIZED', 2, 22, 1, 8), ('IOC_FEED_MATCH', 0, 22, 0, 8), ('RECON_PORT_SCAN', 2, 22, 4, 8)) AS t(rule_id, benign_fired, benign_captures, malicious_fired, malicious_captures)""",
     "v_custody": """
 SELECT conv_id AS exhibit_id, CAST(turn AS INT) AS sequence, upper(role) AS action, 'B' || CAST(conv_id % 9 AS VARCHAR(20)) AS actor_badge, '10.0.0.' || CAST(turn AS VARCHAR(20)) AS actor_ip, substr(text, 1, 80) AS detail, CAST(1700000000 + conv_id * 100 + turn AS VARCHAR(20)) AS timestamp FROM conversations""",
+    # A flow is a finding by its port or its bytes.
     "v_finding": """
 SELECT session_id, flow_id, src_ip AS subject_ip, CASE WHEN port = 22 THEN 'RECON_PORT_SCAN' WHEN port = 3232 THEN 'COVERT_CHANNEL_UNKNOWN_PORT' WHEN port = 2048 THEN 'ICMP_TUNNEL_OVERSIZED' ELSE 'EXFIL_VOLUME_ASYMMETRY' END AS rule_id,
   CASE WHEN bytes_sent > 80000 THEN 'critical' WHEN bytes_sent > 60000 THEN 'high' WHEN bytes_sent > 30000 THEN 'medium' ELSE 'low' END AS severity, CAST(packets_sent AS DOUBLE) / CAST(50 AS DOUBLE) AS confidence,
   'finding ' || CAST(flow_id AS VARCHAR(20)) || ' |= on ' || dst_ip AS title, CASE WHEN flow_id % 5 = 0 THEN 'confirmed' WHEN flow_id % 5 = 1 THEN 'dismissed' ELSE 'pending' END AS triage_status, first_seen, app_protocol
-FROM (SELECT *, CASE WHEN src_ip = initiator_ip THEN dst_port ELSE src_port END AS port FROM v_flow) f WHERE flow_id % 17 = 0""",
+FROM (SELECT *, CASE WHEN src_ip = initiator_ip THEN dst_port ELSE src_port END AS port FROM v_flow) f WHERE port IN (22, 3232, 2048) OR bytes_sent > 60000""",
     "v_audit": """
 SELECT event_id AS id, 'user' || CAST(user_id AS VARCHAR(20)) AS username_attempted, CASE WHEN event_type = 'error' THEN 'LOGIN_FAILED' WHEN event_type = 'signup' THEN 'LOGIN_LOCKED' ELSE 'LOGIN_OK' END AS action, '10.0.0.' || CAST(user_id % 250 AS VARCHAR(20)) AS ip_address, {seconds:ts} AS timestamp FROM events""",
     # Labelled samples and boolean signals over their texts.

@@ -1,7 +1,8 @@
 """Packet captures (pcap and pcapng) to packet rows.
 
 Files are read through Spark's ``binaryFile`` reader, so any store that Spark reads will do; one file is one task's work.
-A frame that holds no IP packet gives no row; a file of an unsupported link type is refused with its name."""
+A frame that holds no IP packet gives no row.  A file that is no capture, or has frames of an unsupported link type, is
+refused whole: it gives no packets, and ``refusals`` names it with the reason; the other files are read."""
 
 from __future__ import annotations
 
@@ -142,8 +143,37 @@ def decode(f: bytes, link: int) -> tuple | None:
         return None
 
 
+def refusal(data: bytes) -> str | None:
+    """Why a file is not read, or None."""
+    try:
+        for _, _, link, _ in frames(data):
+            if link not in SUPPORTED:
+                return f"link type {link} is not supported"
+    except (ValueError, struct.error) as e:
+        return str(e)
+    return None
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.xxhash64("path").alias("session_id"), "path", "content")
+
+
+def refusals(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, path and reason of each file that is not read."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            why = [(r.session_id, r.path, refusal(r.content)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame([w for w in why if w[2]], columns=["session_id", "path", "reason"]).astype({"session_id": "int64"})
+
+    return _files(spark, path).mapInPandas(run, "session_id long, path string, reason string")
+
+
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packet rows of all captures under a path.  A session is a file: its id is a hash of the path, also in ``file``."""
+    """Packet rows of all captures under a path but those refused.  A session is a file: its id is a hash of the path."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -151,9 +181,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 out, number = [], 0
-                for frame, ts, link, wire in frames(row.content):
-                    if link not in SUPPORTED:
-                        raise ValueError(f"{row.path}: link type {link} is not supported")
+                for frame, ts, link, wire in frames(row.content) if refusal(row.content) is None else ():
                     number += 1
                     d = decode(frame, link)
                     if d:
@@ -165,5 +193,4 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.xxhash64("path").alias("session_id"), "path", "content").mapInPandas(run, SCHEMA)
+    return _files(spark, path).mapInPandas(run, SCHEMA)

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 
 FORMATS = ("FEODO_IP", "URLHAUS", "PLAIN_IP", "PLAIN_DOMAIN")
-DOMAIN = r"^(?=.{4,253}$)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}$"
+# Fixed value: what counts as a name in a feed; deliberately wide, for the feed decides what is in it.
+DOMAIN = r"^(?=.{1,253}$)(?!-)[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+$"
+
+STAMP = r"(?i)^#.*(?:last updated|generated)\s*:?\s*(\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d:\d\d)?)"
 
 
 def _kind(ip: Column) -> Column:
@@ -45,10 +48,21 @@ def parse_feed(lines: DataFrame, fmt: str, feed_id: int = 1) -> DataFrame:
 
 def published_on(lines: DataFrame) -> DataFrame:
     """One row: the time that a comment names as the feed's, else NULL."""
-    stamp = F.regexp_extract("value", r"(?i)^#.*(?:last updated|generated)\s*:?\s*(\d{4}-\d\d-\d\d(?:[ T]\d\d:\d\d:\d\d)?)", 1)
+    stamp = F.regexp_extract("value", STAMP, 1)
     return lines.select(stamp.alias("s")).where("s <> ''").select(F.expr("try_cast(s AS timestamp_ntz)").alias("t")).agg(F.min("t").alias("published_on"))
 
 
+def describe_feed(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """One row for each file: path, sha256 of its bytes, published_on, lines, and indicators of each kind."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("file_sha256"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"), "value")
+    stamp = F.regexp_extract("value", STAMP, 1)
+    counted = lines.withColumn("s", stamp).groupBy("path").agg(F.count("*").alias("lines"), F.min(F.when(F.col("s") != "", F.expr("try_cast(s AS timestamp_ntz)"))).alias("published_on"))
+    found = parse_feed(lines.select("line_no", "value"), fmt).join(lines.select("line_no", "path"), "line_no")
+    kinds = found.groupBy("path").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("ipv4", "ipv6", "domain", "url")])
+    return files.join(counted, "path", "left").join(kinds, "path", "left").fillna(0, ["lines", "ipv4", "ipv6", "domain", "url"])
+
+
 def read_feed(spark: SparkSession, path: str, fmt: str, feed_id: int = 1) -> DataFrame:
     """The indicators of a feed file; a feed without any is refused."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")

@@ -28,17 +28,19 @@ def gap_sessions(packets: DataFrame, gap: str = "300 seconds", delay: str = "300
 def recompute(spark: SparkSession, packets: DataFrame, store: str, results: str, analyse: Callable[[DataFrame], DataFrame], checkpoint: str, alert: Callable[[DataFrame], None] | None = None, every: str = "30 seconds", once: bool = False) -> StreamingQuery:
     """Each batch adds its packets to the store and recomputes the flows and findings of the sessions it touched.
 
-    A batch is written to a folder of its own number, so one that runs again replaces itself.  Results replace their
-    sessions' partitions.  Findings that no earlier batch alerted are passed on, once for each claim."""
+    The store is laid out by session, so that a batch reads only what it touched; a batch that runs again replaces its own
+    folders.  Results replace their sessions' partitions: a session without findings keeps a row without a rule, which
+    ``current`` leaves out.  Findings that no earlier batch alerted are passed on, once for each claim."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "batch").parquet(store)
         touched = batch.select("session_id").distinct()
-        whole = spark.read.option("basePath", store).parquet(store).drop("batch").join(touched, "session_id", "left_semi")
+        whole = spark.read.option("basePath", store).schema(f"{PACKETS}, batch long").parquet(store).drop("batch").join(touched, "session_id", "left_semi")
         findings = analyse(flows.build_flows(whole))
-        findings.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(results)
+        empty = touched.select(*[F.col("session_id") if f.name == "session_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in findings.schema.fields])
+        findings.unionByName(empty).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(results)
         if alert:
-            now = spark.read.parquet(results).join(touched, "session_id", "left_semi")
+            now = current(spark, results).join(touched, "session_id", "left_semi")
             sent = f"{results}-alerted"
             try:
                 known = spark.read.option("basePath", sent).parquet(sent).where(F.col("batch") < number)
@@ -54,6 +56,11 @@ def recompute(spark: SparkSession, packets: DataFrame, store: str, results: str,
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def current(spark: SparkSession, results: str) -> DataFrame:
+    """The findings that the live path has written."""
+    return spark.read.parquet(results).where("rule_id IS NOT NULL")
+
+
 def reordering(packets: DataFrame) -> DataFrame:
     """How far time runs backwards in each session, to set the watermark by; for stored packets."""
     from pyspark.sql import Window
