@@ -46,11 +46,12 @@ def compare(examinations: DataFrame, opinions: DataFrame) -> DataFrame:
     """Four aspects side by side for each file that both looked at; no score of agreement."""
     j = opinions.join(examinations.select("sha256", F.col("tier"), F.col("package").alias("own_package"), "basis"), "sha256", "left")
     ours = lambda c, other: F.when(F.col("tier").isNull(), "not examined here").otherwise(F.coalesce(c, F.lit(other)))
+    row = lambda aspect, own, other: F.struct(F.lit(aspect).alias("aspect"), own.alias("ours"), other.alias("theirs"))
     rows = F.array(
-        F.struct(F.lit("conclusion").alias("aspect"), ours(F.format_string("tier %d of 4", "tier"), "").alias("ours"), F.coalesce(F.format_string("security score %d/100", "score"), F.lit("no score")).alias("theirs")),
-        F.struct(F.lit("package"), ours(F.col("own_package"), "not read"), F.coalesce("package", F.lit("not read"))),
-        F.struct(F.lit("flagged"), ours(F.when(F.size("basis") > 0, F.array_join("basis", ", ")), "nothing that raised a tier"), F.format_string("%d high, %d warning", "high", "warning")),
-        F.struct(F.lit("permissions and components"), F.lit("-"), F.format_string("%d permissions (%d dangerous), %d components", "permissions", "dangerous", "components")),
+        row("conclusion", ours(F.format_string("tier %d of 4", "tier"), ""), F.when(F.col("score").isNull(), "no score").otherwise(F.format_string("security score %d/100", "score"))),
+        row("package", ours(F.col("own_package"), "not read"), F.coalesce("package", F.lit("not read"))),
+        row("flagged", ours(F.when(F.size("basis") > 0, F.array_join("basis", ", ")), "nothing that raised a tier"), F.format_string("%d high, %d warning", "high", "warning")),
+        row("permissions and components", F.lit("-"), F.format_string("%d permissions (%d dangerous), %d components", "permissions", "dangerous", "components")),
     )
     return j.select("report_id", F.inline(rows))
 

@@ -671,3 +671,6 @@ def second_opinions(spark, sf_dir):
     high = F.transform(F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("p_partkey") % 3).cast("int")), lambda x: x)
     content = F.to_json(F.struct(F.col("p_name").alias("package_name"), F.when(F.col("p_partkey") % 2 == 0, F.sha2("p_name", 256)).otherwise("bad").alias("sha256"), F.struct(F.col("p_size").alias("security_score"), high.alias("high")).alias("appsec")))
     return evidence.second_opinions(p.select(F.col("p_partkey").alias("report_id"), content.alias("content"))).select("report_id", "package", "score", F.col("high").cast("long").alias("high"), "valid")
+
+
+from . import record  # noqa: E402, F401  (registers its queries)

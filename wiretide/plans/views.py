@@ -68,6 +68,15 @@ SELECT session_id, flow_id, src_ip AS subject_ip, CASE WHEN port = 22 THEN 'RECO
   CASE WHEN bytes_sent > 80000 THEN 'critical' WHEN bytes_sent > 60000 THEN 'high' WHEN bytes_sent > 30000 THEN 'medium' ELSE 'low' END AS severity, CAST(packets_sent AS DOUBLE) / CAST(50 AS DOUBLE) AS confidence,
   'finding ' || CAST(flow_id AS VARCHAR(20)) || ' |= on ' || dst_ip AS title, CASE WHEN flow_id % 5 = 0 THEN 'confirmed' WHEN flow_id % 5 = 1 THEN 'dismissed' ELSE 'pending' END AS triage_status, first_seen, app_protocol
 FROM (SELECT *, CASE WHEN src_ip = initiator_ip THEN dst_port ELSE src_port END AS port FROM v_flow) f WHERE port IN (22, 3232, 2048) OR bytes_sent > 60000""",
+    # Archive entries over pages: two headers of each entry, some of them forged; runtimes' and other entries of packages.
+    "v_header": """
+SELECT CAST(floor(page_id / 20) AS BIGINT) AS sample_id, side, CASE page_id % 9 WHEN 0 THEN 'a' WHEN 1 THEN 'a/b/' || CAST(page_id % 20 AS VARCHAR(20)) WHEN 2 THEN '' WHEN 3 THEN 'a/b' ELSE 'f' || CAST(page_id % 20 AS VARCHAR(20)) || CASE WHEN page_id % 31 = 0 THEN repeat('x', 300) ELSE '' END END AS name,
+  CASE WHEN page_id % 19 = 0 AND side = 'central' THEN 99 WHEN page_id % 2 = 0 THEN 8 ELSE 0 END AS method, CASE WHEN page_id % 23 = 0 THEN 9 ELSE 8 END AS flags, page_id * 7 + CASE WHEN page_id % 29 = 0 AND side = 'local' THEN 1 ELSE 0 END AS crc, length(html) AS size
+FROM (SELECT *, 'central' AS side FROM pages UNION ALL SELECT *, 'local' FROM pages) h WHERE NOT (side = 'central' AND page_id % 13 = 0) AND NOT (side = 'local' AND page_id % 17 = 0)""",
+    "v_entry": """
+SELECT CAST(floor(page_id / 5) AS BIGINT) AS sample_id, page_id AS entry_no, CASE page_id % 12 WHEN 0 THEN 'lib/arm64/libflutter.so' WHEN 1 THEN 'assets/index.android.bundle' WHEN 2 THEN 'lib/x86/libreactnativejni.so' WHEN 3 THEN 'assemblies/a.dll' WHEN 4 THEN 'lib/x/libunity.so' WHEN 5 THEN 'assets/www/index.html' WHEN 6 THEN 'res/next.APK' ELSE 'res/' || CAST(page_id AS VARCHAR(20)) END AS name,
+  length(html) AS size, page_id % 10 = 7 AS opaque FROM pages""",
+    "v_package": "SELECT CAST(floor(page_id / 5) AS BIGINT) AS sample_id, max(page_id * 7919 % 1000000) AS dex_bytes FROM pages GROUP BY CAST(floor(page_id / 5) AS BIGINT)",
     "v_audit": """
 SELECT event_id AS id, 'user' || CAST(user_id AS VARCHAR(20)) AS username_attempted, CASE WHEN event_type = 'error' THEN 'LOGIN_FAILED' WHEN event_type = 'signup' THEN 'LOGIN_LOCKED' ELSE 'LOGIN_OK' END AS action, '10.0.0.' || CAST(user_id % 250 AS VARCHAR(20)) AS ip_address, {seconds:ts} AS timestamp FROM events""",
     # Labelled samples and boolean signals over their texts.
