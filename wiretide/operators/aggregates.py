@@ -161,6 +161,8 @@ def graph_edges(flow_edges: DataFrame, nodes: DataFrame, per_host: int = 2, limi
 
 # Techniques with their tactic, the tactics' names and their order in an intrusion.
 TECHNIQUES = {"T1071": ("Application Layer Protocol", "TA0011"), "T1071.004": ("Application Layer Protocol: DNS", "TA0011"), "T1572": ("Protocol Tunneling", "TA0011"), "T1095": ("Non-Application Layer Protocol", "TA0011"), "T1571": ("Non-Standard Port", "TA0011"), "T1046": ("Network Service Discovery", "TA0007"), "T1595.001": ("Active Scanning: Scanning IP Blocks", "TA0043"), "T1048": ("Exfiltration Over Alternative Protocol", "TA0010"), "T1048.003": ("Exfiltration Over Unencrypted Non-C2 Protocol", "TA0010"), "T1041": ("Exfiltration Over C2 Channel", "TA0010")}
+CALLS_BACK = ("C2_BEACON_PERIODIC", "C2_BEACON_KEEPALIVE")
+RULE_TECHNIQUES = {**dict.fromkeys(CALLS_BACK, ("T1071",)), **dict.fromkeys(("DNS_TUNNEL_LONG_LABEL", "DNS_TUNNEL_SUBDOMAIN_VOLUME"), ("T1071.004", "T1572")), "ICMP_TUNNEL_OVERSIZED": ("T1572", "T1095"), "COVERT_CHANNEL_UNKNOWN_PORT": ("T1571",)}
 TACTICS = {"TA0043": "Reconnaissance", "TA0042": "Resource Development", "TA0001": "Initial Access", "TA0002": "Execution", "TA0003": "Persistence", "TA0004": "Privilege Escalation", "TA0005": "Defense Evasion", "TA0006": "Credential Access", "TA0007": "Discovery", "TA0008": "Lateral Movement", "TA0009": "Collection", "TA0011": "Command and Control", "TA0010": "Exfiltration", "TA0040": "Impact"}
 
 
@@ -171,13 +173,15 @@ def techniques(findings: DataFrame) -> DataFrame:
     for c in ("source_is_internal", "is_tls"):
         if c not in f.columns:
             f = f.withColumn(c, F.lit(None).cast("boolean"))
-    hosts = f.where(F.col("rule_id").startswith("C2_BEACON_") & F.col("subject_ip").isNotNull()).select("session_id", "subject_ip").distinct().withColumn("calls_back", F.lit(True))
+    hosts = f.where(F.col("rule_id").isin(*CALLS_BACK) & F.col("subject_ip").isNotNull()).select("session_id", "subject_ip").distinct().withColumn("calls_back", F.lit(True))
     f = f.join(hosts, ["session_id", "subject_ip"], "left")
     ids = lambda *x: F.array(*map(F.lit, x))
     rule = F.col("rule_id")
     scan = F.when(F.col("source_is_internal"), ids("T1046")).when(~F.col("source_is_internal"), ids("T1595.001")).otherwise(ids("T1595.001", "T1046"))
     exfil = F.when(F.col("calls_back"), ids("T1041")).when(~F.col("is_tls"), ids("T1048.003")).otherwise(ids("T1048"))
-    out = F.when(rule.startswith("C2_BEACON_"), ids("T1071")).when(rule.startswith("DNS_TUNNEL_"), ids("T1071.004", "T1572")).when(rule == "RECON_PORT_SCAN", scan).when(rule == "EXFIL_VOLUME_ASYMMETRY", exfil).when(rule == "ICMP_TUNNEL_OVERSIZED", ids("T1572", "T1095")).when(rule == "COVERT_CHANNEL_UNKNOWN_PORT", ids("T1571"))
+    # One lookup instead of a chain of tests: a derived rule column would be written out for each.
+    plain = F.element_at(F.create_map(*[x for k, v in RULE_TECHNIQUES.items() for x in (F.lit(k), ids(*v))]), rule)
+    out = F.when(rule == "RECON_PORT_SCAN", scan).when(rule == "EXFIL_VOLUME_ASYMMETRY", exfil).otherwise(plain)
     return f.withColumn("techniques", F.coalesce(out, F.array().cast("array<string>"))).drop("calls_back", "source_is_internal", "is_tls")
 
 

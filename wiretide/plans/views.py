@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -117,8 +118,19 @@ def oracle(sql: str) -> str:
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
 
 
+#: Stands for the stored table of flows, which every rule reads: persisted on first use in a session, as the table would be.
+STORED = ("v_flow",)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables of a folder."""
+    df = _view(spark, sf_dir, name)
+    if name in STORED and not df.is_cached and df.storageLevel == StorageLevel.NONE:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = dialect(VIEWS[name], True)
     parts = {v: view(spark, sf_dir, v) for v in VIEWS if re.search(rf"\b{v}\b", sql)}
     parts |= {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", sql)}
