@@ -97,3 +97,33 @@ def test_one_of_each(docs):
     kept = [r["doc_id"] for r in jaccard_join.one_of_each(docs).select("doc_id").collect()]
     want = {c for _, n, c in brute([(r["doc_id"], r["text"]) for r in docs.collect()])}
     assert sorted(kept) == sorted(want)
+
+
+def test_one_of_each_goes_by_id_and_text(spark):
+    """Two texts under one id: the near copy goes, the other stays; columns may have any name."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    names = ["t", "n", "h1", "h2", "node", "kept_id", "kept_t", "text_hash", "_hash", "_id", "component_id"]
+    rows = [(3, near), (7, near + " x"), (7, other), (9, near), (9, near), (None, near), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = jaccard_join.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, near), (7, other), (None, near), (4, None), (5, "")], key=str)
+
+
+def test_profiles_find_what_stars_leave(spark, monkeypatch):
+    """Chains and borderline copies without a single turn of stars: all is left to the profiles."""
+    monkeypatch.setattr(jaccard_join, "TURNS", 1)
+    monkeypatch.setattr(jaccard_join, "CENTRES", 1)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 4)
+    monkeypatch.setattr(jaccard_join, "ENTRIES_PER_CELL", 300)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 500)
+    rng = random.Random(11)
+    core = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(core)
+        for _ in range(rng.choice([0, 1, 1, 2, 2])):
+            w[rng.randrange(60)] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(w[: rng.choice([60, 60, 55, 50, 46])] + [f"e{i}_{k}" for k in range(rng.choice([0, 0, 4, 9, 14]))])))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
