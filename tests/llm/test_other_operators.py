@@ -215,7 +215,7 @@ def test_neighbours_prune_what_has_structure():
     for v, factor, share in ((clustered, 1.0, 0.97), (clustered, 2.0, 0.8), (clustered, 3.0, 0.6), (flat, 1.0, 0.9), (flat, 2.0, 0.4)):
         v = v / np.linalg.norm(v, axis=1)[:, None]
         ids = np.arange(len(v))
-        q = ids[::40]
+        q = ids[::4]
         tree = neighbours.Tree(v, ids, 1.0, 20)
         who, name, _ = tree.answers(q, v[q], 20, factor)
         s = v[q] @ v.T

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, pick, sweep, written
 
-LEAF = 64
+LEAF, TOGETHER = 64, 256
 PIVOTS, SAMPLE = 256, 20_000
 BLOCK_ROWS = 4096
 
@@ -128,6 +128,8 @@ class Tree:
             if not isinstance(node, tuple):
                 self.scored += len(who) * len(node)
                 s = q[who] @ self.x[node][:, :-1].T
+                some = np.flatnonzero(s.max(axis=1) >= best[who, -1])  # only these have anything better, or a tie
+                who, s = who[some], s[some]
                 both = np.concatenate([best[who], s], axis=1)
                 name = np.concatenate([rows[who], np.broadcast_to(node, s.shape)], axis=1)
                 # Rows are numbered by smallest id, which decides ties.
@@ -144,6 +146,8 @@ class Tree:
 
             a, b = lower(inner), lower(outer)
             first = (a < b) | ((a == b) & (d <= (inner[1] + outer[0]) / 2))
+            if len(who) < TOGETHER:  # few queries go the way that most of them prefer
+                first = np.full(len(who), 2 * np.count_nonzero(first) >= len(who))
             for nodes, mine in (((near, a), (far, b)), first), (((far, b), (near, a)), ~first):
                 for n, bound in nodes:
                     visit(n, open_to(who[mine], bound[mine]))
