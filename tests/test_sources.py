@@ -138,3 +138,31 @@ def test_transcripts(spark):
     assert {("USER", "bob", False), ("PASS", "secret", True), ("331", "go on", False)} <= got
     http = spark.createDataFrame([(1, "client", "GET / HTTP/1.1\r\nHost: x\r\nAuthorization: Basic a\r\n\r\nHidden: body\r\n")], ftp.schema)
     assert {(r["verb"], r["sensitive"]) for r in transport.transcript(http, "http").collect()} == {("GET", False), ("HOST", False), ("AUTHORIZATION", True)}
+
+
+def test_one_conversation(spark):
+    p = lambda n, src, dst, flags, seq, data: (n, src[0], dst[0], "TCP", src[1], dst[1], flags, seq, bytearray(data))
+    a, b, c = ("10.0.0.1", 5000), ("8.8.8.8", 80), ("8.8.4.4", 80)
+    rows = [p(1, a, b, 2, 99, b""), p(2, b, a, 18, 499, b""), p(3, a, b, 24, 100, b"GET"), p(4, a, c, 24, 100, b"other"), p(5, b, a, 24, 500, b"early"), p(6, b, a, 24, 515, b"late")]
+    df = spark.createDataFrame(rows, "packet_no long, src string, dst string, proto string, sport int, dport int, tcp_flags int, seq long, payload binary")
+    s = transport.conversation(df, a, b)
+    assert sorted((r["packet_no"], r["direction"], r["syn"]) for r in s.collect()) == [(1, "client", True), (2, "server", True), (3, "client", False), (5, "server", False), (6, "server", False)]
+    streams = transport.reassemble(s)
+    assert {r["direction"]: [bytes(x["bytes"]) for x in r["runs"]] for r in streams.collect()} == {"client": [b"GET"], "server": [b"early", b"late"]}
+    assert [(r["direction"], r["caveat"]) for r in transport.caveats(streams).collect()] == [("server", "10 bytes in 1 gap(s) were not captured")]
+
+
+def test_uploads_and_errors(spark):
+    files = [("a", 100, bytes.fromhex("d4c3b2a1ff")), ("b", 100, b"PK"), ("c", 600 << 20, bytes.fromhex("0a0d0d0a")), ("d", 0, b"")]
+    df = spark.createDataFrame([(n, k, bytearray(h)) for n, k, h in files], "path string, length long, head binary")
+    assert {r["path"]: r["problem"] for r in captures.upload_problems(df).collect()} == {"a": None, "b": "not a capture file", "c": "too large", "d": "not a capture file"}
+    quoted = lambda kind, n: captures.decode(ip4(1, bytes([kind, 0]) + b"\0" * 6 + b"q" * (n - 8)), 12)[8]
+    assert [len(quoted(3, n)) for n in (143, 144, 300)] == [135, 128, 128] and len(quoted(4, 300)) == len(quoted(8, 300)) == 292
+
+
+def test_small_texts(spark):
+    from wiretide.functions import expressions as E
+
+    df = spark.createDataFrame([("AB:cd 0F",), (None,)], "f string")
+    assert [r[0] for r in df.select(E.fingerprint("f")).collect()] == ["abcd0f", ""]
+    assert E.describe_nets(["10.0.0.5/8", "fd00::/8"]) == "10.0.0.0/8, fd00::/8"

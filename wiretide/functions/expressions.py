@@ -54,6 +54,16 @@ def parse_nets(declared: str | None, default: tuple[str, ...] = DEFAULT_HOME) ->
     return good or list(default)
 
 
+def describe_nets(nets) -> str:
+    """The networks that a finding was judged by, as its evidence names them."""
+    return ", ".join(str(ipaddress.ip_network(n.strip(), strict=False)) for n in nets)
+
+
+def fingerprint(c: Column | str) -> Column:
+    """A fingerprint's hex digits alone, in lower case; empty for null."""
+    return F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[^0-9a-f]", "")
+
+
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
 

@@ -18,6 +18,30 @@ def protocol_of(port_a: Column, port_b: Column) -> Column:
     return F.coalesce(of(port_a), of(port_b))
 
 
+def conversation(packets: DataFrame, client: tuple[str, int], server: tuple[str, int], most: int = 2_000_000) -> DataFrame:
+    """The segments of one conversation, for ``reassemble`` and ``stream_gaps``: packet_no, direction, seq, syn, length,
+    payload.  The client is given, not taken from whichever address comes first.  At most the first ``most`` packets."""
+    end = lambda ip, port, of: (F.col(ip) == of[0]) & (F.col(port) == of[1])
+    up = end("src", "sport", client) & end("dst", "dport", server)
+    down = end("src", "sport", server) & end("dst", "dport", client)
+    p = packets.where((F.col("proto") == "TCP") & (up | down)).orderBy("packet_no").limit(most)
+    return p.select(F.lit(1).cast("long").alias("flow_id"), F.when(up, "client").otherwise("server").alias("direction"), "packet_no", "seq", (F.col("tcp_flags").bitwiseAND(2) > 0).alias("syn"), F.length("payload").cast("long").alias("length"), "payload")
+
+
+def caveats(streams: DataFrame) -> DataFrame:
+    """flow_id, direction, caveat: what a reader of reassembled streams must know; no row where there is nothing.
+
+    streams: what ``reassemble`` gives."""
+    lost = F.aggregate("gaps", F.lit(0).cast("long"), lambda a, g: a + g.length.cast("long"))
+    each = F.array_compact(F.array(
+        F.when(F.size("gaps") > 0, F.format_string("%d bytes in %d gap(s) were not captured", lost, F.size("gaps"))),
+        F.when(F.col("mid_stream"), "no opening was captured: earlier bytes are unknown"),
+        F.when(F.size("conflicts") > 0, F.format_string("%d segment(s) contradict bytes that came before", F.size("conflicts"))),
+        F.when(F.col("truncated"), "the stream was cut at the limit"),
+    ))
+    return streams.select("flow_id", "direction", F.explode(each).alias("caveat"))
+
+
 def stream_gaps(segments: DataFrame) -> DataFrame:
     """flow_id, direction, offset, length of every gap, by a running end over segments in order; nothing is assembled.
 

@@ -18,6 +18,11 @@ SCHEMA = "session_id long, packet_no long, ts double, src string, dst string, pr
 ETHERNET, NULL, LOOP, RAW, SLL, SLL2, ONLY4, ONLY6 = 1, 0, 108, (12, 101), 113, 276, 228, 229
 IPV4, IPV6, VLAN = 0x0800, 0x86DD, (0x8100, 0x88A8, 0x9100)
 SKIPPED_HEADERS, FRAGMENT = (0, 43, 51, 60), 44
+# ICMP errors that may carry an extension, from which length on, and how much of the packet they then quote.
+EXTENDED_ERRORS, EXTENDED_LEAST, QUOTED_MOST = (3, 11, 12), 144, 128
+# First bytes of captures, and the most that is taken by upload.
+MAGICS = ("d4c3b2a1", "a1b2c3d4", "4d3cb2a1", "a1b23c4d", "0a0d0d0a")
+LARGEST_UPLOAD = 512 << 20
 SUPPORTED = (ETHERNET, NULL, LOOP, *RAW, SLL, SLL2, ONLY4, ONLY6)
 
 
@@ -137,6 +142,8 @@ def decode(f: bytes, link: int) -> tuple | None:
         if number in (1, 58):
             kind, code = f[body], f[body + 1]
             data = f[min(body + {13: 20, 14: 20, 17: 12, 18: 12}.get(kind if number == 1 else 0, 8), end) : end]
+            if number == 1 and kind in EXTENDED_ERRORS and end - body >= EXTENDED_LEAST:
+                data = data[:QUOTED_MOST]  # what follows is the error's own extension
             return src, dst, "ICMP", 0, kind * 256 + code, 0, len(data), None, data
         return src, dst, "OTHER", 0, 0, 0, max(0, end - body), None, b""
     except (struct.error, IndexError):
@@ -159,6 +166,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.xxhash64("path").alias("session_id"), "path", "content")
 
 
+def upload_problems(files: DataFrame) -> DataFrame:
+    """files (path, length, head: the first bytes) with why each is not taken, or null."""
+    known = F.lower(F.hex(F.substring("head", 1, 4))).isin(*MAGICS)
+    return files.withColumn("problem", F.when(F.col("length") > LARGEST_UPLOAD, "too large").when(~F.coalesce(known, F.lit(False)), "not a capture file"))
+
+
 def refusals(spark: SparkSession, path: str) -> DataFrame:
     """session_id, path and reason of each file that is not read."""
 
