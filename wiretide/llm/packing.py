@@ -4,7 +4,8 @@ Documents are cut only where longer than a sequence.  Full pieces are sequences
 for each document.  Items are dealt into groups of a bounded size.  On each group several islands evolve packings:
 crossover injects whole well-filled bins of one parent into the other, drops the bins that then hold an item twice and
 puts displaced items back, first in exchange where that fills a bin better, then by best fit in decreasing order; after
-each epoch an island's elite moves to the next island.  An island stops at the bound that no packing can pass.
+each epoch an island's elite moves to the next island.  An island stops at the bound that no packing can pass, and an epoch
+when its best has not improved for a while.
 The best packing of a group wins.  Bins left with room are then packed once more across groups.
 
 Cases: null text is an empty document (its end token alone).  Equal lengths are ordered by row, so repeated rows and
@@ -25,6 +26,7 @@ from . import tokens
 from .common import materialise
 
 CAPACITY, END_ID = 1024, 2
+PATIENCE = 12  # generations without a better best after which an epoch ends
 
 
 def best_fit(bins: list[list[int]], room: list[int], items: list[int], size, capacity: int) -> None:
@@ -145,14 +147,16 @@ def evolve(size: list[int], elites: list[list[list[int]]], island: int, epoch: i
         bins = []
         best_fit(bins, [], order, size, capacity)
         pop.append((score(bins), bins))
+    idle = 0
     for _ in range(generations):
         pop.sort(key=lambda p: p[0])
-        if pop[0][0][0] <= bound:
+        if pop[0][0][0] <= bound or idle >= PATIENCE:
             break
         a, b = sorted(rng.sample(range(len(pop)), 2))
         child = pop[a][1] if rng.random() < 0.4 else crossover(pop[a][1], pop[b][1], size, capacity, rng)
         child = mutate(child, size, capacity, rng)
         s = score(child)
+        idle = 0 if s < pop[0][0] else idle + 1
         if s < pop[-1][0] and all(s != p[0] for p in pop):  # no twins
             pop[-1] = (s, child)
     return resting + min(pop, key=lambda p: p[0])[1]
