@@ -49,7 +49,7 @@ def suffix_tree(rows, depth, least, gain, discount):
     for g, c in grams.items():
         follow.setdefault(g[:-1], []).append((g, c))
     count = lambda s: sum(c for _, c in follow[s])
-    kept = {s for s in follow if s and count(s) >= least and sum(c * math.log(share(g) / share(g[1:])) for g, c in follow[s]) >= gain * len(follow[s])}
+    kept = {s for s in follow if s and count(s) >= least * len(s) and sum(c * math.log(share(g) / share(g[1:])) for g, c in follow[s]) >= gain * len(follow[s])}
 
     def p(s, w):
         if not s:

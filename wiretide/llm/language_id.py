@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import crc32_mod, pick
 
 FOLDS, HELD_OUT = 4, 2
+LANGUAGES = 512  # the most frequent labels are learned; rarer ones are taken for dirt
 #: Classes of length: powers of two of a text's letters and spaces.
 LENGTHS = 32
 
@@ -154,13 +155,18 @@ def limits(owner: list[int], cosine, to, letters, quantile: float, least: int):
     return out
 
 
+def held_out():
+    """Whether a document is kept from learning; a null id never is."""
+    return F.coalesce(crc32_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+
+
 def fit(docs: DataFrame, dims: int, centroids: int, sample_rows: int, rounds: int, quantile: float, least: int) -> tuple[list[str], list[int], object, object, object]:
     """(languages, language of each centroid, centroids, idf, limits) from documents with a language outside the held-out fold."""
     import numpy as np
     import pandas as pd
 
-    train = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (crc32_mod("doc_id", FOLDS) != HELD_OUT)).where(F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    train = pick(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out()).where(F.col("text").rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], [], np.zeros((0, dims)), np.zeros(dims), np.zeros((0, LENGTHS))
@@ -168,9 +174,8 @@ def fit(docs: DataFrame, dims: int, centroids: int, sample_rows: int, rounds: in
     idf = np.log((1 + n) / (1 + df)) + 1e-3
     each = max(1, sample_rows // len(langs))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    limit = F.lit(0)
-    for lang in langs:
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, each / sizes[lang]) * (1 << 30)))).otherwise(limit)
+    shares = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, each / sizes[lang]) * (1 << 30)))])
+    limit = F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0))
 
     def vectors(batches: Iterator) -> Iterator:
         letter = letters_table()
@@ -229,7 +234,7 @@ def identify(docs: DataFrame, dims: int = 1 << 16, centroids: int = 4, sample_ro
             columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    rows = pick(docs, "doc_id", "text").select("doc_id", (crc32_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
+    rows = pick(docs, "doc_id", "text").select("doc_id", held_out().alias("held_out"), "text")
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

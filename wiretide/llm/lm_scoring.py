@@ -2,8 +2,8 @@
 
 A text is its lower-cased words, then one end; the end also stands before the first word.  The tree's states are contexts:
 the last 0 to ``depth`` symbols.  The root's distribution is (c + 1) / (N + V + 1), which leaves one share for all words
-never learned.  A longer context is a candidate where training texts have it ``least`` times, an absolute count, so that
-the tree grows with the corpus; it is retained where its next symbols diverge from its parent's (the context without its
+never learned.  A longer context is a candidate where training texts have it ``least`` times for each of its symbols, an absolute
+count, so that the tree grows with the corpus; it is retained where its next symbols diverge from its parent's (the context without its
 oldest symbol): the sum of count * ln(share here / share in the parent) must reach ``gain`` for each symbol seen.  A
 retained state discounts each of its counts by ``discount`` and gives what is left over to its parent's distribution.  A
 symbol is scored by the longest retained suffix before it.
@@ -12,7 +12,9 @@ The tree is never gathered: its counts live in buckets dealt by a hash of the wh
 spread over all of them.  Texts are read once, into blocks of coded words.  In round k a block sends each of its n-grams
 of length k + 1 once, with its training count, and each of its contexts of length k - 1 once, with its share of the
 context's divergence and number of kinds (an occurrence counts 1 / count); buckets add up and answer in the order asked.
-What a bucket or a block holds is bounded by its size, however frequent a word is.
+What a bucket or a block holds is bounded by its size, however frequent a word is.  Within its bucket a word is known by
+48 bits of its hash and a longer n-gram by 40: of the two million that a bucket holds about one in 100 million, and two
+in a million, share the count of another.
 
 Cases: null text is empty (its end alone).  An id is learned from or held out by its crc32; a null id is learned from.
 With no training text, counts are 0 and the tree is one uniform root.  Repeated rows are counted and scored each; an
@@ -31,8 +33,8 @@ from .common import crc32_mod, materialise, pick, sweep, written
 
 FOLDS, HELD_OUT = 7, 2
 END_HASH = 0  # stands for the end among word hashes
-BLOCK_TOKENS = 400_000
-KEYS_PER_BUCKET = 3_000_000
+BLOCK_TOKENS = 600_000
+KEYS_PER_BUCKET = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -46,6 +48,27 @@ def _batch(rows: dict, types: dict):
     return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in types.items()], list(types))
 
 
+def width(kind: int) -> int:
+    """Bytes of a key within its bucket."""
+    return 6 if kind == 0 else 5
+
+
+def pack(values, size: int) -> bytes:
+    """Whole numbers as their ``size`` low bytes, all first bytes before all second ones: sorted or small numbers then have
+    bytes that compress."""
+    import numpy as np
+
+    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].T.tobytes()
+
+
+def unpack(raw: bytes, size: int):
+    import numpy as np
+
+    out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
+    out[:, 8 - size :] = np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def read_blocks(rows: DataFrame) -> DataFrame:
     """block, ids, train (bytes, one a document), lens (tokens of each), words (hashes of the block's distinct words; the
     first is the end), low and high (two bytes and one of each token's number among them)."""
@@ -119,7 +142,7 @@ class Block:
         key ^= key >> np.uint64(32)
         at = np.arange(len(key))
         if level > 1:
-            at = at[(self.place >= level - 1) & (np.roll(self.per_token(level - 1), 1) >= self.least)]
+            at = at[(self.place >= level - 1) & (np.roll(self.per_token(level - 1), 1) >= self.least * level)]
         self.key = key
         distinct, number = np.unique(key[at], return_inverse=True)
         self.grams.append((at, distinct, number))
@@ -128,11 +151,11 @@ class Block:
         """The answers of a kind in the order of the keys."""
         import numpy as np
 
-        order, to = deal(keys, buckets)
+        order, to = deal(keys, kind, buckets)
         out = np.zeros(len(keys), dtype=np.int64)
         got = self.answers.get(kind, {})
         if len(keys):
-            out[order] = np.frombuffer(b"".join(got[b] for b in np.unique(to).tolist()), dtype="<u4")
+            out[order] = np.concatenate([unpack(got[b], 4) for b in np.unique(to).tolist()])
         return out
 
     def per_token(self, level: int):
@@ -154,18 +177,23 @@ class Block:
         return self.per_token(level - 1)[at - 1]
 
     def contexts(self, level: int):
-        """The distinct contexts of a level's n-grams, and each n-gram token's number among them."""
+        """The distinct contexts of a level's n-grams that occur often enough, the n-grams that have one, and each's number
+        among them."""
         import numpy as np
 
         at = self.grams[level][0]
         if level == 1:
             number = np.where(self.place[at] == 0, 0, self.codes[at - 1])
-            return self.words, number
-        place = np.full(len(self.codes), -1)
-        before, keys, number = self.grams[level - 1]
-        place[before] = number
-        used, number = np.unique(place[at - 1], return_inverse=True)
-        return keys[used], number
+            own = np.flatnonzero(self.counts[0][number] >= self.least)
+            keys, number = self.words, number[own]
+        else:
+            own = np.arange(len(at))
+            place = np.zeros(len(self.codes), dtype=np.int64)
+            before, keys, found = self.grams[level - 1]
+            place[before] = found
+            number = place[at - 1]
+        used, number = np.unique(number, return_inverse=True)
+        return keys[used], own, number
 
     def local_counts(self, level: int):
         import numpy as np
@@ -177,28 +205,29 @@ class Block:
         """Contexts, with this block's share of their kinds and of their divergence from their parents."""
         import numpy as np
 
-        keys, number = self.contexts(level)
+        keys, own, number = self.contexts(level)
         at, _, mine = self.grams[level]
-        use = self.train[at]
-        count, total = self.counts[level][mine][use], self.context_counts(level)[use]
+        use = self.train[at[own]]
+        own, number = own[use], number[use]
+        count, total = self.counts[level][mine][own], self.context_counts(level)[own]
         if level == 1:
-            parent = self.counts[0][self.codes[at[use]]] / self.total
+            parent = self.counts[0][self.codes[at[own]]] / self.total
         else:
             up = np.zeros(len(self.codes))
             upper, _, n = self.grams[level - 1]
             up[upper] = self.counts[level - 1][n] / self.context_counts(level - 1).clip(1)
-            parent = up[at[use]]
-        add = lambda w: np.bincount(number[use], weights=w, minlength=len(keys))
+            parent = up[at[own]]
+        add = lambda w: np.bincount(number, weights=w, minlength=len(keys)).astype("<f4")
         return keys, add(1 / count), add(np.log(count / total / parent))
 
 
-def deal(keys, buckets: int):
-    """The order of the keys by bucket, and the bucket of each in that order."""
+def deal(keys, kind: int, buckets: int):
+    """The order of the keys by bucket, then by what they are known by there, and the bucket of each in that order."""
     import numpy as np
 
-    to = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    return order, to[order]
+    to = (keys >> np.uint64(40)) % np.uint64(buckets)
+    order = np.lexsort((keys & np.uint64((1 << 8 * width(kind)) - 1), to)) if width(kind) > 5 else np.argsort((to << np.uint64(40)) | (keys & np.uint64((1 << 40) - 1)), kind="stable")
+    return order, to[order].astype(np.int64)
 
 
 def restore(row, answers, least: int, levels: int, known: int, buckets: list[int], total: int) -> Block:
@@ -226,11 +255,12 @@ def ask(blocks: DataFrame, answers: DataFrame | None, level: int, depth: int, le
         out: list[tuple] = []
 
         def post(block, kind, keys, a, b=None):
-            order, to = deal(keys, buckets[kind])
+            order, to = deal(keys, kind, buckets[kind])
             keys, a, b = keys[order], a[order], b if b is None else b[order]
+            show = (lambda x: pack(x, 4)) if b is None else (lambda x: x.tobytes())
             cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)) if len(to) else [0]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                out.append((kind, int(to[s]), block, keys[s:e].tobytes(), a[s:e].tobytes(), None if b is None else b[s:e].tobytes()))
+                out.append((kind, int(to[s]), block, pack(keys[s:e], width(kind)), show(a[s:e]), None if b is None else show(b[s:e])))
 
         for _, r in own.iterrows():
             b = restore(r, got, least, min(level, depth), level if level > 1 else 0, buckets, total)
@@ -265,18 +295,18 @@ def answer(asked: DataFrame, gain: float) -> DataFrame:
 
         part = part.sort_values("block")
         kind, bucket = int(part["kind"].iloc[0]), int(part["bucket"].iloc[0])
-        keys = np.frombuffer(b"".join(part["keys"]), dtype="<u8")
-        keys, at = np.unique(keys, return_inverse=True)
+        rows = [unpack(x, width(kind)) for x in part["keys"]]
+        keys, at = np.unique(np.concatenate(rows), return_inverse=True)
         if kind % 2 == 0:
-            value = np.bincount(at, weights=np.frombuffer(b"".join(part["a"]), dtype="<u4"), minlength=len(keys))
+            value = np.bincount(at, weights=np.concatenate([unpack(x, 4) for x in part["a"]]).astype(float), minlength=len(keys))
         else:
-            kinds = np.round(np.bincount(at, weights=np.frombuffer(b"".join(part["a"])), minlength=len(keys)))
-            diverge = np.bincount(at, weights=np.frombuffer(b"".join(part["b"])), minlength=len(keys))
-            value = np.where(diverge >= gain * np.maximum(kinds, 1), kinds, 0)
+            kinds = np.round(np.bincount(at, weights=np.frombuffer(b"".join(part["a"]), dtype="<f4"), minlength=len(keys)))
+            diverge = np.bincount(at, weights=np.frombuffer(b"".join(part["b"]), dtype="<f4"), minlength=len(keys))
+            value = np.where((kinds > 0) & (diverge >= gain * kinds), kinds, 0)
         facts = np.array([value.sum(), np.count_nonzero(value)], dtype="<i8").tobytes()
-        value = np.minimum(value, 2**32 - 1).astype("<u4")[at]
-        cuts = np.concatenate([[0], np.cumsum(part["keys"].str.len().to_numpy() // 8)])
-        values = [value[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        value = np.minimum(value, 2**32 - 1).astype(np.uint64)[at]
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        values = [pack(value[a:b], 4) for a, b in zip(cuts, cuts[1:], strict=False)]
         return pd.DataFrame({"asker": [-1, *part["block"]], "kind": kind, "bucket": bucket, "values": [facts, *values]}).astype({"asker": "int64", "kind": "int32", "bucket": "int32"})
 
     return asked.groupBy("kind", "bucket").applyInPandas(run, "asker long, kind int, bucket int, values binary")
@@ -308,12 +338,12 @@ def finish(blocks: DataFrame, answers: DataFrame, depth: int, least: int, discou
             p = (seen + 1) / (total + distinct + 1)
             base = np.log10(p)
             for level in range(1, depth + 1):
-                keys, number = b.contexts(level)
+                keys, own, number = b.contexts(level)
                 kinds = b.fill(2 * level + 1, keys, buckets[2 * level + 1])[number]
+                own, kinds = own[kinds > 0], kinds[kinds > 0]
                 at, _, mine = b.grams[level]
-                ok = kinds > 0
-                at, kinds, of = at[ok], kinds[ok], b.context_counts(level)[ok]
-                p[at] = np.maximum(b.counts[level][mine][ok] - discount, 0) / of + discount * kinds / of * p[at]
+                at, of = at[own], b.context_counts(level)[own]
+                p[at] = np.maximum(b.counts[level][mine][own] - discount, 0) / of + discount * kinds / of * p[at]
             doc = np.repeat(np.arange(len(b.ids)), b.lens)
             add = lambda w: np.bincount(doc, weights=w, minlength=len(b.ids))  # noqa: B023, E731
             frames.append(pd.DataFrame({"doc_id": pd.array(b.ids, dtype="Int64"), "n_tokens": b.lens, "n_known": add(seen > 0).astype("int64"), "base_score": add(base), "score": add(np.log10(p))}))
@@ -342,6 +372,7 @@ def score(docs: DataFrame, depth: int = 2, least: int = 2, gain: float = 1.0, di
             retained += facts(fresh, 2 * (level - 1) + 1)[1]
         told = fresh.where("asker >= 0")
         answers = told if answers is None else answers.unionByName(told)
+        del asked, fresh, told
         sweep(spark, len(written(spark)))  # shuffle files of the round go
     out = finish(blocks, answers, depth, least, discount, buckets, total, distinct)
     out = materialise(out, "scores")
