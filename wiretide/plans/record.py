@@ -90,7 +90,7 @@ def heartbeat(spark, sf_dir):
     return posture.heartbeat(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("done").alias("state"), F.col("o_orderdate").alias("started_at")))
 
 
-@query("headroom", "SELECT s_name AS path, CAST(100000 - s_suppkey * 97 % 100001 AS BIGINT) AS used_bytes, round_even((s_suppkey * 97 % 100001) / 1000.0 * 10, 0) / 10 AS free_pct, CASE WHEN (s_suppkey * 97 % 100001) <= 5000 THEN 'critical' WHEN (s_suppkey * 97 % 100001) <= 15000 THEN 'warning' ELSE 'ok' END AS level FROM supplier")
+@query("headroom", "SELECT s_name AS path, CAST(100000 - s_suppkey * 97 % 100001 AS BIGINT) AS used_bytes, round_even(CAST(s_suppkey * 97 % 100001 AS DOUBLE) / 100000 * 100 * 10, 0) / 10 AS free_pct, CASE WHEN (s_suppkey * 97 % 100001) <= 5000 THEN 'critical' WHEN (s_suppkey * 97 % 100001) <= 15000 THEN 'warning' ELSE 'ok' END AS level FROM supplier")
 def headroom(spark, sf_dir):
     return posture.headroom(read(spark, sf_dir, "supplier").select(F.col("s_name").alias("path"), F.lit(100000).cast("long").alias("total_bytes"), (F.col("s_suppkey") * 97 % 100001).alias("free_bytes")))
 
