@@ -54,16 +54,19 @@ def width(kind: int) -> int:
 
 
 def pack(values, size: int) -> bytes:
-    """Whole numbers as their ``size`` low bytes, all first bytes before all second ones: sorted or small numbers then have
-    bytes that compress."""
+    """Whole numbers as their ``size`` low bytes, all first bytes before all second ones, compressed: sorted or small numbers
+    then take far less to shuffle and keep."""
     import numpy as np
+    import zstandard
 
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].T.tobytes()
+    return zstandard.compress(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].T.tobytes(), 1)
 
 
 def unpack(raw: bytes, size: int):
     import numpy as np
+    import zstandard
 
+    raw = zstandard.decompress(raw)
     out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
     out[:, 8 - size :] = np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T
     return out.reshape(-1).view(">u8").astype(np.uint64)
@@ -71,7 +74,7 @@ def unpack(raw: bytes, size: int):
 
 def read_blocks(rows: DataFrame) -> DataFrame:
     """block, ids, train (bytes, one a document), lens (tokens of each), words (hashes of the block's distinct words; the
-    first is the end), low and high (two bytes and one of each token's number among them)."""
+    first is the end), codes (each token's number among them, packed), tokens (how many)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -79,13 +82,13 @@ def read_blocks(rows: DataFrame) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), **dict.fromkeys(("train", "lens", "words", "low", "high"), pa.binary())}
+        kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), **dict.fromkeys(("train", "lens", "words", "codes"), pa.binary()), "tokens": pa.int64()}
         number = TaskContext.get().partitionId() << 24
 
         def row(ids, train, lens, known, codes):
             hashes = np.array([END_HASH, *(xxhash.xxh3_64_intdigest(w) or 1 for w in list(known)[1:])], dtype="<u8")
-            codes = np.array(codes, dtype=np.uint32)
-            return _batch({"block": [number], "ids": [ids], "train": [bytes(train)], "lens": [np.array(lens, dtype="<i8").tobytes()], "words": [hashes.tobytes()], "low": [codes.astype("<u2").tobytes()], "high": [(codes >> 16).astype(np.uint8).tobytes()]}, kinds)
+            codes = np.array(codes, dtype=np.uint64)
+            return _batch({"block": [number], "ids": [ids], "train": [bytes(train)], "lens": [np.array(lens, dtype="<i8").tobytes()], "words": [hashes.tobytes()], "codes": [pack(codes, 4)], "tokens": [len(codes)]}, kinds)
 
         fresh = lambda: ([], [], [], {b"": 0}, [])
         ids, train, lens, known, codes = fresh()
@@ -104,7 +107,7 @@ def read_blocks(rows: DataFrame) -> DataFrame:
         if ids:
             yield row(ids, train, lens, known, codes)
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "block long, ids array<long>, train binary, lens binary, words binary, low binary, high binary")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, "block long, ids array<long>, train binary, lens binary, words binary, codes binary, tokens long")
 
 
 class Block:
@@ -117,7 +120,7 @@ class Block:
         self.ids = list(row.get("ids", ()))
         self.words = np.frombuffer(row["words"], dtype="<u8")
         self.lens = np.frombuffer(row["lens"], dtype="<i8")
-        self.codes = np.frombuffer(row["low"], dtype="<u2").astype(np.int64) + (np.frombuffer(row["high"], dtype=np.uint8).astype(np.int64) << 16)
+        self.codes = unpack(row["codes"], 4).astype(np.int64)
         stop = np.cumsum(self.lens)
         self.place = np.arange(len(self.codes)) - np.repeat(stop - self.lens, self.lens)  # within the document
         self.train = np.repeat(np.frombuffer(row["train"], dtype=np.uint8).astype(bool), self.lens)
@@ -358,7 +361,7 @@ def score(docs: DataFrame, depth: int = 2, least: int = 2, gain: float = 1.0, di
     since = len(written(spark))
     held = F.coalesce(crc32_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     blocks = materialise(read_blocks(pick(docs, "doc_id", "text").withColumn("held_out", held)), "blocks")
-    size = blocks.agg(F.sum(F.length("high")).alias("tokens"), F.sum(F.length("words") / 8).alias("words")).first()
+    size = blocks.agg(F.sum("tokens").alias("tokens"), F.sum(F.length("words") / 8).alias("words")).first()
     share = lambda n: max(1, math.ceil((n or 0) / KEYS_PER_BUCKET))
     # Of each kind: words, (no contexts,) then n-grams and contexts of each level.
     buckets = [share(size["words"]), 1, *[share(size["tokens"])] * (2 * depth)]
