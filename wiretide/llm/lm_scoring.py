@@ -13,7 +13,7 @@ spread over all of them.  Texts are read once, into blocks of coded words.  In r
 of length k + 1 once, with its training count, and each of its contexts of length k - 1 once, with its share of the
 context's divergence and number of kinds (an occurrence counts 1 / count); buckets add up and answer in the order asked.
 What a bucket or a block holds is bounded by its size, however frequent a word is.  Within its bucket a word is known by
-48 bits of its hash and a longer n-gram by 40: of the two million that a bucket holds about one in 100 million, and two
+48 bits of its hash and a longer n-gram by 40: of the million that a bucket holds about one in 100 million, and one
 in a million, share the count of another.
 
 Cases: null text is empty (its end alone).  An id is learned from or held out by its crc32; a null id is learned from.
@@ -33,8 +33,8 @@ from .common import crc32_mod, materialise, pick, sweep, written
 
 FOLDS, HELD_OUT = 7, 2
 END_HASH = 0  # stands for the end among word hashes
-BLOCK_TOKENS = 600_000
-KEYS_PER_BUCKET = 2_000_000
+BLOCK_TOKENS = 400_000
+KEYS_PER_BUCKET = 1_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
