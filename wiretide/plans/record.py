@@ -209,8 +209,8 @@ def overlapping_entries(spark, sf_dir):
     return packages.overlapping_entries(e.withColumn("start", start).withColumn("end", F.col("start") + F.col("size"))).select("sample_id", "entry_no", "overlaps")
 
 
-@query("opaque_payloads", f"WITH d AS (SELECT doc_id, substr(text, 1, 500) AS h, length(text) AS size FROM documents WHERE length(text) >= 400 AND length(text) = strlen(text)), c AS (SELECT doc_id, unnest(string_split(h, '')) AS ch, length(h) AS n FROM d), k AS (SELECT doc_id, ch, n, count(*) AS k FROM c GROUP BY ALL) SELECT doc_id, round_even(-sum(k / n * log2(k / n)) * 1e4, 0) / 1e4 >= 4.1 AS opaque FROM k GROUP BY doc_id")
-def opaque_payloads(spark, sf_dir):
+@query("payloads_like_ciphertext", f"WITH d AS (SELECT doc_id, substr(text, 1, 500) AS h, length(text) AS size FROM documents WHERE length(text) >= 400 AND length(text) = strlen(text)), c AS (SELECT doc_id, unnest(string_split(h, '')) AS ch, length(h) AS n FROM d), k AS (SELECT doc_id, ch, n, count(*) AS k FROM c GROUP BY ALL) SELECT doc_id, round_even(-sum(k / n * log2(k / n)) * 1e4, 0) / 1e4 >= 4.1 AS opaque FROM k GROUP BY doc_id")
+def payloads_like_ciphertext(spark, sf_dir):
     d = read(spark, sf_dir, "documents").where("length(text) = octet_length(text)").select("doc_id", F.length("text").alias("size"), F.col("text").cast("binary").alias("head"))
     return packages.opaque_payloads(d, 400, 500, 4.1).select("doc_id", "opaque")
 
