@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extraction, jaccard_join, language_id, lm_scoring, neighbours, packing, pii, quality_rules, sentencepieces, tokens
+from . import centroids, html_extraction, jaccard_join, language_id, lm_scoring, neighbours, packing, pii, quality_rules, sentencepieces, tokens
 from .common import table
 
 COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,6 +52,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -63,7 +67,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_pii": op9_pii,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
+
+
+def lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round as two tables: the assignment and the moved centroids."""
+    nearest = "SELECT c, vec_id, d FROM (SELECT k.c, x.vec_id, list_sum(list_transform(range(1, 65), lambda i: (x.q[i] - k.q[i]) * (x.q[i] - k.q[i]))) AS d FROM x, k{r} k) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1"
+    moved = "SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS q FROM (SELECT a.c, j, sum(x.q[j]) AS s, count(*) AS n FROM a{r} a JOIN x USING (vec_id), range(1, 65) t(j) GROUP BY a.c, j) GROUP BY c UNION ALL SELECT c, q FROM k{r} WHERE c NOT IN (SELECT c FROM a{r})"
+    steps = ["x AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS HUGEINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64)"]
+    steps.append(f"k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q FROM x QUALIFY c < {k})")
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(r=r)})")
+        if r < rounds:
+            steps.append(f"k{r + 1} AS MATERIALIZED ({moved.format(r=r)})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256 FROM a{rounds} JOIN k{rounds} USING (c)"
+
+
 #: Where SQL expresses the whole result.  The search's SQL is exact; at the oracle's size its pruning loses nothing.
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -76,4 +96,5 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, CAS
     "op10_nearest_neighbours": """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i]), lambda a, b: a + b) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 20""",
+    "op11_centroid_clustering": lloyd_sql(),
 }
