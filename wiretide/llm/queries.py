@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, html_extraction, jaccard_join, language_id, lm_scoring, neighbours, packing, pii, quality_rules, sentencepieces, tokens
+from . import centroids, html_extraction, jaccard_join, language_id, lm_scoring, neighbours, packing, pii, quality_rules, sentencepieces, spellings, tokens
 from .common import table
 
 COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,6 +56,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 
@@ -97,4 +102,18 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, CAS
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i]), lambda a, b: a + b) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p QUALIFY rank <= 20""",
     "op11_centroid_clustering": lloyd_sql(),
+    "op12_spelling_variants": r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+own AS MATERIALIZED (SELECT run, count(*) AS n, concat(doc_id, ':', run) AS s FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END))), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))) AS h FROM own, t),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, CAST(h % length(run) AS INT)), substr(run, CAST(h % length(run) AS INT) + 2)) ELSE run END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, n, concat(substr(word, 1, i), '*', substr(word, i + 2)) AS wild, concat(substr(word, 1, i), substr(word, i + 2)) AS shorter FROM (SELECT word, n, CAST(unnest(range(length(word))) AS INT) AS i FROM v)),
+short AS MATERIALIZED (SELECT DISTINCT c.word AS a, c.n AS a_n, v.word AS b, v.n AS b_n FROM cut c JOIN v ON v.word = c.shorter),
+near AS (SELECT x.word, y.word AS other, y.n AS other_n FROM cut x JOIN cut y ON x.wild = y.wild AND x.word <> y.word UNION ALL SELECT a, b, b_n FROM short UNION ALL SELECT b, a, a_n FROM short),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top, first(other ORDER BY other_n DESC, other) AS other FROM near GROUP BY word),
+rated AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN other END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
+chain(word, tip, form) AS (SELECT word, word, form FROM rated UNION ALL SELECT c.word, r.word, r.form FROM chain c JOIN rated r ON r.word = c.form)
+SELECT r.word, r.form, c.tip AS root, r.n, r.n_near, r.form_n FROM rated r JOIN chain c ON c.word = r.word AND c.form IS NULL""",
 }
