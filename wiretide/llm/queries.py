@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, html_extraction, jaccard_join, language_id, lm_scoring, neighbours, packing, pii, quality_rules, sentencepieces, spellings, tokens
+from . import centroids, html_extraction, jaccard_join, language_id, lm_scoring, neighbours, packing, pii, quality_rules, sentencepieces, spellings, tokens, warc
 from .common import table
 
 COUNTS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,6 +60,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_warc": op13_warc,
 }
 
 
@@ -116,4 +121,7 @@ best AS (SELECT word, count(*) AS n_near, max(other_n) AS top, first(other ORDER
 rated AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN other END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n FROM v LEFT JOIN best USING (word)),
 chain(word, tip, form) AS (SELECT word, word, form FROM rated UNION ALL SELECT c.word, r.word, r.form FROM chain c JOIN rated r ON r.word = c.form)
 SELECT r.word, r.form, c.tip AS root, r.n, r.n_near, r.form_n FROM rated r JOIN chain c ON c.word = r.word AND c.form IS NULL""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages), r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS top FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM r""",
 }
