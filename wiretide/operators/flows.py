@@ -13,6 +13,8 @@ DEFAULT_IDLE = 60.0
 # What a port suggests where nothing was observed.
 PORT_PROTOCOLS = {20: "FTP", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 80: "HTTP", 110: "POP3", 123: "NTP", 143: "IMAP", 443: "TLS", 445: "SMB", 993: "IMAPS", 995: "POP3S", 3389: "RDP", 8080: "HTTP"}
 ENTROPY_SAMPLES, ENTROPY_BYTES = 40, 512
+# Bits of the TCP flags, in the order of their letters.
+FLAGS = {"A": 16, "F": 1, "P": 8, "R": 4, "S": 2, "U": 32}
 KEY = ("session_id", "a", "b", "proto")
 
 
@@ -50,32 +52,45 @@ def interval_stats(times: Column) -> Column:
     return F.when(F.size(times) >= 3, E.let(gaps, of)).otherwise(zero)
 
 
-def build_flows(packets: DataFrame, idle: dict[str, float] | None = None, default_idle: float = DEFAULT_IDLE) -> DataFrame:
-    """One row for each flow.  Order within a conversation is that of packet_no, never of time alone."""
-    idle = IDLE_SECONDS if idle is None else idle
+def conversations(packets: DataFrame, idle: dict[str, float] | None = None, default_idle: float = DEFAULT_IDLE) -> DataFrame:
+    """Packets with the ends of their conversation (a before b), its idle timeout and whether they open a handshake."""
     src, dst = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
-    p = packets.withColumns({"a": F.least(src, dst), "b": F.greatest(src, dst)})
-    timeout = F.lit(default_idle)
-    for proto, seconds in idle.items():
+    timeout = F.lit(float(default_idle))
+    for proto, seconds in (IDLE_SECONDS if idle is None else idle).items():
         timeout = F.when(F.col("proto") == proto, F.lit(float(seconds))).otherwise(timeout)
     syn = (F.col("proto") == "TCP") & (F.col("tcp_flags").bitwiseAND(2) > 0) & (F.col("tcp_flags").bitwiseAND(16) == 0)
-    p = sessionise(p, list(KEY), ["packet_no"], "ts", timeout, F.coalesce(syn, F.lit(False)))
+    return packets.withColumns({"a": F.least(src, dst), "b": F.greatest(src, dst), "timeout": timeout, "syn": F.coalesce(syn, F.lit(False))})
+
+
+def suggested() -> Column:
+    """The protocol that a packet's ports suggest, or null."""
+    return F.coalesce(E._case("dport", PORT_PROTOCOLS, None), E._case("sport", PORT_PROTOCOLS, None))
+
+
+def payload_sample() -> Column:
+    """Entropy of the first bytes of a payload; null without one."""
+    return F.when(F.length("payload") > 0, E.shannon_entropy(F.substring("payload", 1, ENTROPY_BYTES)))
+
+
+def build_flows(packets: DataFrame, idle: dict[str, float] | None = None, default_idle: float = DEFAULT_IDLE) -> DataFrame:
+    """One row for each flow.  Order within a conversation is that of packet_no, never of time alone."""
+    p = sessionise(conversations(packets, idle, default_idle), list(KEY), ["packet_no"], "ts", F.col("timeout"), F.col("syn"))
+    src = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port"))
     flow = Window.partitionBy(*KEY, "seg").orderBy("packet_no")
     filled = F.length("payload") > 0
     p = p.withColumns({
         "init": F.first(src).over(flow),
-        "confirmed": F.first(syn).over(flow),
+        "confirmed": F.first("syn").over(flow),
         "nth": F.sum(F.when(filled, 1).otherwise(0)).over(flow.rowsBetween(Window.unboundedPreceding, 0)),
     })
     out = src == F.col("init")
     sends = out & ((F.col("proto") != "TCP") | (F.col("data_len") > 1))
-    sample = F.when(filled & (F.col("nth") <= ENTROPY_SAMPLES), E.shannon_entropy(F.substring("payload", 1, ENTROPY_BYTES)))
-    named = lambda c: E._case(c, PORT_PROTOCOLS, None)
-    port = F.coalesce(named("dport"), named("sport"))
+    sample = F.when(F.col("nth") <= ENTROPY_SAMPLES, payload_sample())
     n = lambda c: F.count(F.when(c, 1))
     size = lambda c: F.sum(F.when(c, F.col("frame_len").cast("long")).otherwise(F.lit(0).cast("long")))
-    flags = [F.when(F.max(F.when(F.col("tcp_flags").bitwiseAND(b) > 0, 1).otherwise(0)) == 1, F.lit(k)).otherwise(F.lit("")) for k, b in {"A": 16, "F": 1, "P": 8, "R": 4, "S": 2, "U": 32}.items()]
-    g = p.groupBy(*KEY, "seg").agg(
+    flags = [F.when(F.max(F.when(F.col("tcp_flags").bitwiseAND(b) > 0, 1).otherwise(0)) == 1, F.lit(k)).otherwise(F.lit("")) for k, b in FLAGS.items()]
+    port = suggested()
+    return describe(p.groupBy(*KEY, "seg").agg(
         F.min("packet_no").alias("flow_id"),
         F.min_by(F.struct("src", "dst", "sport", "dport"), "packet_no").alias("first"),
         F.first("confirmed").alias("initiator_confirmed"),
@@ -87,7 +102,11 @@ def build_flows(packets: DataFrame, idle: dict[str, float] | None = None, defaul
         F.avg(sample).alias("entropy"), F.count(sample).cast("int").alias("entropy_sample_count"),
         F.concat(*flags).alias("tcp_flags_seen"),
         F.min_by(port, F.when(port.isNotNull(), F.col("packet_no"))).alias("app"),
-    )
+    ))
+
+
+def describe(g: DataFrame) -> DataFrame:
+    """Flow rows from their sums, first packets and send times."""
     duration = F.greatest(F.col("last_seen") - F.col("first_seen"), F.lit(0.0))
     total_p, total_b = F.col("packets_sent") + F.col("packets_received"), F.col("bytes_sent") + F.col("bytes_received")
     return g.withColumn("i", interval_stats(F.col("times"))).select(
