@@ -673,4 +673,4 @@ def second_opinions(spark, sf_dir):
     return evidence.second_opinions(p.select(F.col("p_partkey").alias("report_id"), content.alias("content"))).select("report_id", "package", "score", F.col("high").cast("long").alias("high"), "valid")
 
 
-from . import record, stream  # noqa: E402, F401  (they register their queries)
+from . import files, record, stream  # noqa: E402, F401  (they register their queries)

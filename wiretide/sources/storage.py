@@ -30,7 +30,35 @@ def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
     at = fresh_dir(df.sparkSession, label)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._wiretide_at = at
+    return out
+
+
+def folder_of(table: DataFrame) -> str:
+    """Where ``stored`` has put a table."""
+    return table._wiretide_at
+
+
+def store(path: str):
+    """Arrow's file system for a path, and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path.replace("s3a://", "s3://", 1)))
+
+
+def opened(path: str):
+    """A file, open for reading at any place."""
+    at, base = store(path)
+    return at.open_input_file(base)
+
+
+def rows(path: str) -> list[dict]:
+    """The rows of a stored table of bounded size, read without Spark (a data source plans in a process of its own)."""
+    import pyarrow.parquet as pq
+
+    at, base = store(path)
+    return pq.read_table(base, filesystem=at).to_pylist()
 
 
 def drained(stream: DataFrame, label: str, **settings: str) -> DataFrame:
