@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sinks import delivery
 from ..sources import captures, storage
-from .queries import packets, query
+from .queries import ORACLES, RANK, full_findings, packets, query
 
 
 # Packets become captures, one for each session and ten days; these are read in ranges far smaller than a file.
@@ -21,3 +22,15 @@ def capture_round_trip(spark, sf_dir):
     named = plan.select("session_id", F.regexp_extract("path", r"([^/]+)\.pcap$", 1).alias("capture")).distinct()
     found = captures.read_captures(spark, root, plan=plan).join(named, "session_id")
     return found.select("capture", "packet_no", "ts", "src", "dst", "proto", "sport", "dport", "tcp_flags", "data_len", "frame_len", F.md5("payload").alias("payload_md5"))
+
+
+# The records of the sessions' gravest findings, through the sink's spool; what is withheld is said in a record of its own.
+def alert_spool(spark, sf_dir):
+    ledger = storage.fresh_dir(spark, "alerts")
+    delivery.send(delivery.alert_records(full_findings(spark, sf_dir)), transport="spool", ledger=ledger)
+    return delivery.spooled(spark, ledger)
+
+
+SYSLOG = ORACLES["export_syslog"].rpartition("SELECT flow_id AS finding_id, ")
+query("alert_spool", f"""WITH c AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY session_id) AS n FROM v_finding WHERE {RANK} >= 3 WINDOW w AS (PARTITION BY session_id ORDER BY {RANK} DESC, confidence DESC, flow_id))
+SELECT {SYSLOG[2].replace("FROM v_finding", "FROM c WHERE place <= 100")} UNION ALL SELECT '<133>1 - - wiretide - withheld - ' || CAST(n - 100 AS VARCHAR) || ' further findings of severity high or above are withheld from session ' || CAST(session_id AS VARCHAR) FROM c WHERE place = 1 AND n > 100""")(alert_spool)
