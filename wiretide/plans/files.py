@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import flows, tables
 from ..sinks import delivery
 from ..sources import captures, storage
-from .queries import ORACLES, RANK, full_findings, packets, query
+from .queries import ORACLES, RANK, SEGMENTS, full_findings, packets, query
 
 
 # Packets become captures, one for each session and ten days; these are read in ranges far smaller than a file.
@@ -34,3 +37,20 @@ def alert_spool(spark, sf_dir):
 SYSLOG = ORACLES["export_syslog"].rpartition("SELECT flow_id AS finding_id, ")
 query("alert_spool", f"""WITH c AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY session_id) AS n FROM v_finding WHERE {RANK} >= 3 WINDOW w AS (PARTITION BY session_id ORDER BY {RANK} DESC, confidence DESC, flow_id))
 SELECT {SYSLOG[2].replace("FROM v_finding", "FROM c WHERE place <= 100")} UNION ALL SELECT '<133>1 - - wiretide - withheld - ' || CAST(n - 100 AS VARCHAR) || ' further findings of severity high or above are withheld from session ' || CAST(session_id AS VARCHAR) FROM c WHERE place = 1 AND n > 100""")(alert_spool)
+
+
+# Messages (packets of port 53) are stored before their flows are, linked session by session, and read with their flows.
+@query("late_links", f"""WITH {SEGMENTS}, f AS (SELECT *, min(packet_no) OVER z AS flow_id, count(*) OVER z AS n FROM x WINDOW z AS (PARTITION BY session_id, k, proto, seg))
+SELECT session_id, packet_no, flow_id, n AS packets FROM f WHERE 53 IN (sport, dport)""")
+def late_links(spark, sf_dir):
+    p = packets(spark, sf_dir)
+    name, at = f"t{uuid.uuid4().hex}", storage.fresh_dir(spark, "tables")
+    asked = p.where("53 IN (sport, dport)").select("session_id", "packet_no", "ts", "src", "dst", "proto", "sport", "dport", "tcp_flags").withColumn("flow_id", F.lit(None).cast("long"))
+    tables.save(asked, f"{name}_dns", f"{at}/dns", 8)
+    tables.save(flows.build_flows(p, {"TCP": 86400.0}, 43200.0), f"{name}_flows", f"{at}/flows", 8)
+    sessions = [0, 1, 2]
+    for s in sessions:
+        tables.link(spark, f"{name}_dns", f"{name}_flows", [s])
+    each = [tables.with_flows(spark, f"{name}_dns", f"{name}_flows", s) for s in sessions]
+    found = each[0].unionByName(each[1]).unionByName(each[2])
+    return found.select("session_id", "packet_no", "flow_id", (F.col("packets_sent") + F.col("packets_received")).cast("long").alias("packets"))
