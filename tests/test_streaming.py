@@ -47,3 +47,20 @@ def test_gap_sessions(spark, tmp_path):
     p = spark.createDataFrame(rows(3) + [(1, 9, 5000.0, "10.0.0.1", "203.0.113.5", "TCP", 50000, 443, 16, 100, 40, bytearray(b"x"))], live.PACKETS)
     assert sorted(r["packets"] for r in live.gap_sessions(p).collect()) == [1, 3]
     assert live.reordering(p).first()["max_reordering"] == 0
+
+
+def test_reordering_across_stretches(spark):
+    times = [5.0, 9.0, 8.0, 20.0, 3.0, 21.0, 4.0, 30.0]
+    p = spark.createDataFrame([(s, 10 * i if s == 1 else i, t if s == 1 else float(i)) for s in (1, 2) for i, t in enumerate(times)] + [(3, 1, 7.0), (3, None, 1.0)], "session_id long, packet_no long, ts double")
+    for stretch in (1, 15, 1000):
+        assert {r[0]: r[1] for r in live.reordering(p, stretch).collect()} == {1: 17.0, 2: 0.0, 3: 0.0}
+
+
+def test_a_batch_reads_only_the_folders_it_touched(spark, tmp_path):
+    spark.range(100).selectExpr("id % 10 AS session_id", "id AS packet_no").write.partitionBy("session_id").parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    read = live.only(stored, spark.createDataFrame([(3,), (7,)], "session_id long"))
+    assert read.count() == 20
+    scan = [line for line in read._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+    assert "PartitionFilters: [cast(session_id" in scan[0] or "PartitionFilters: [session_id" in scan[0]
+    assert "IN (3,7)" in scan[0]

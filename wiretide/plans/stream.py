@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import storage
-from ..streaming import sessions
-from .queries import SEGMENTS, query
+from ..streaming import live, sessions
+from .queries import SEGMENTS, query, v_flow
 from .views import VIEWS, dialect
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -26,3 +26,10 @@ def stream_flows(spark, sf_dir):
     packets = packets.withColumn("payload", F.col("payload_text").cast("binary")).drop("payload_text")
     closed = sessions.stream_flows(packets, {"TCP": 86400.0, "UDP": 43200.0, "ICMP": 43200.0}, "7200 seconds", 600.0)
     return storage.drained(closed.select("session_id", "flow_id", "protocol", "initiator_confirmed", "packets_sent", "packets_received", "bytes_sent", "bytes_received", "first_seen", "last_seen", "unique_dst_ports"), "stream-flows", **ROCKSDB)
+
+
+# Flows in the order of their numbers, whose times run back and forth.
+@query("time_reordering", "SELECT session_id, greatest(0.0, max(latest - first_seen)) AS max_reordering FROM (SELECT session_id, first_seen, max(first_seen) OVER (PARTITION BY session_id ORDER BY flow_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM v_flow) f GROUP BY session_id")
+def time_reordering(spark, sf_dir):
+    f = v_flow(spark, sf_dir).select("session_id", F.col("flow_id").alias("packet_no"), F.col("first_seen").alias("ts"))
+    return live.reordering(f, 5_000)
