@@ -15,7 +15,9 @@ Cases: vectors that are null, all zero, or with null or non-finite components ta
 vectors whose length differs from ``dims`` (unless given the most frequent length, of equally frequent ones the largest).
 Ties go to the smaller id.  Fewer than k candidates give fewer rows.  Repeated ids are separate rows; a query never finds
 its own id; a repeated query row (of the same id and vector) is asked once.  No vectors, or none that is a query, give no
-rows; extra columns are ignored.
+rows; extra columns are ignored.  Any finite components will do: where squares or products could leave the range of doubles,
+trees and bounds work on vectors scaled by a power of two, and scores on the vectors as they are; a score that is no number
+(an infinity less another) counts as minus infinity.
 """
 
 from __future__ import annotations
@@ -54,15 +56,23 @@ def exact(q, v):
     import numpy as np
 
     s = np.zeros(len(q))
-    for d in range(q.shape[1]):
-        s += q[:, d] * v[:, d]
-    return s
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(q.shape[1]):
+            s += q[:, d] * v[:, d]
+    return np.where(np.isnan(s), -np.inf, s)
+
+
+def scale_of(largest: float, smallest: float) -> float:
+    """1 where squares and products of components stay in range; else the power of two that takes the largest below 1."""
+    if largest < 2.0**400 and smallest > 2.0**-400:
+        return 1.0
+    return math.ldexp(1.0, -math.frexp(largest)[1])
 
 
 class Tree:
     """A vantage-point tree over the distinct vectors of a shard, visited for many queries at once."""
 
-    def __init__(self, v, ids, radius: float, k: int) -> None:
+    def __init__(self, v, ids, radius: float, k: int, scale: float = 1.0) -> None:
         import numpy as np
 
         order = np.argsort(ids, kind="stable")
@@ -79,7 +89,9 @@ class Tree:
         for a, b in zip(cuts, cuts[1:], strict=False):
             own = ids[by[a:b]]
             self.members.append(own[: k + int(np.unique(own, return_counts=True)[1].max())] if len(own) > k else own)
-        self.x, self.radius, self.scored = lift(v[first[order]], radius), radius, 0
+        v = v[first[order]]
+        self.x, self.radius, self.scored = lift(v * scale, radius), radius, 0
+        self.scale, self.plain = scale, None if scale == 1 else v  # what scores are taken from
         self.root = self.build(np.arange(len(self.x)))
 
     def packed(self) -> bytes:
@@ -159,17 +171,18 @@ class Tree:
         """(query's place, vec_id, score) of the k best candidates of each query, its own id left out."""
         import numpy as np
 
-        found = self.search(q, k + 1, factor, floor)
+        with np.errstate(over="ignore"):
+            found = self.search(q * self.scale, k + 1, factor, None if floor is None else floor * self.scale * self.scale)
         who, at = np.nonzero(found >= 0)
         row = found[who, at]
-        score = exact(q[who], self.x[row][:, :-1])
+        score = exact(q[who], self.x[row][:, :-1] if self.plain is None else self.plain[row])
         out = []
         lens = np.array([len(self.members[r]) for r in row], dtype=int)
         who, score = np.repeat(who, lens), np.repeat(score, lens)
         name = np.concatenate([self.members[r] for r in row]) if len(row) else np.zeros(0, dtype=np.int64)
         ok = name != ids[who]
         if floor is not None:
-            ok &= score >= floor[who] - 1e-9 * (1 + np.abs(floor[who]))
+            ok &= score >= floor[who] - np.where(np.isfinite(floor[who]), 1e-9 * (1 + np.abs(floor[who])), 0)
         who, name, score = who[ok], name[ok], score[ok]
         order = np.lexsort((name, -score, who))
         who, name, score = who[order], name[order], score[order]
@@ -178,13 +191,13 @@ class Tree:
         return who[out], name[out], score[out]
 
 
-def pivots(rows: DataFrame, n: int, radius: float, shard_rows: int):
+def pivots(rows: DataFrame, n: int, radius: float, shard_rows: int, scale: float = 1.0):
     """Lifted points, one for each shard_rows rows or PIVOTS: a bounded sample's k-means, from a farthest-first start."""
     import numpy as np
 
     want = min(PIVOTS, max(1, math.ceil(n / shard_rows)))
     sample = rows.where(F.rand(seed=5) < min(1.0, 2 * SAMPLE / max(n, 1))).select("v").limit(SAMPLE).collect() or rows.select("v").limit(1).collect()
-    x = lift(np.array([r["v"] for r in sample]), radius)
+    x = lift(np.array([r["v"] for r in sample]) * scale, radius)
     x = x[np.lexsort(x.T[::-1])]
     centres, far = [x[0]], np.full(len(x), np.inf)
     while len(centres) < min(want, len(x)):
@@ -215,20 +228,22 @@ def search(
         usual = rows.groupBy(F.size("v").alias("dims")).count().agg(F.max(F.struct("count", "dims")).alias("m")).first()["m"]
         dims = usual["dims"] if usual else 0
     rows = rows.where(F.size("v") == dims)
-    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    sizes = F.transform("v", lambda x: F.abs(x))
     asks = F.col("vec_id") % every == 0
-    facts = rows.agg(F.count("*").alias("n"), F.max(norm2).alias("r2"), F.count(F.when(asks, 1)).alias("q")).first()
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.array_max(sizes)).alias("largest"), F.min(F.array_min(F.filter(sizes, lambda x: x > 0))).alias("smallest"), F.count(F.when(asks, 1)).alias("q")).first()
     if not facts["q"]:
         return spark.createDataFrame([], result)
-    radius = math.sqrt(facts["r2"])
-    points = pivots(rows, facts["n"], radius, shard_rows)
+    scale = scale_of(facts["largest"], facts["smallest"])
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x * scale) * (x * scale))
+    radius = math.sqrt(rows.agg(F.max(norm2)).first()[0])
+    points = pivots(rows, facts["n"], radius, shard_rows, scale)
 
     def near(frames: Iterator) -> Iterator:
         """The nearest pivot of each row, and its distance."""
         import numpy as np
 
         for pdf in frames:
-            x = lift(np.array(pdf["v"].tolist()), radius) if len(pdf) else np.zeros((0, points.shape[1]))
+            x = lift(np.array(pdf["v"].tolist()) * scale, radius) if len(pdf) else np.zeros((0, points.shape[1]))
             d = (x**2).sum(axis=1)[:, None] + (points**2).sum(axis=1) - 2 * x @ points.T
             at = np.argmin(d, axis=1)
             yield pdf.assign(pivot=at.astype("int32"), far=np.sqrt(np.maximum(0, d[np.arange(len(x)), at])))
@@ -243,7 +258,7 @@ def search(
         import numpy as np
         import pandas as pd
 
-        tree = Tree(np.array(pdf["v"].tolist()), pdf["vec_id"].to_numpy(), radius, k)
+        tree = Tree(np.array(pdf["v"].tolist()), pdf["vec_id"].to_numpy(), radius, k, scale)
         return pd.DataFrame({"pivot": [key[0]], "part": [key[1]], "tree": [tree.packed()]})
 
     trees = materialise(placed.select("vec_id", "v", "pivot", part.alias("part")).groupBy("pivot", "part").applyInPandas(grow, "pivot int, part int, tree binary"), "trees")
@@ -286,14 +301,15 @@ def search(
         for pdf in frames:
             if not len(pdf):
                 continue
-            v, floor = np.array(pdf["v"].tolist()), pdf["floor"].fillna(-np.inf).to_numpy()
-            norms = (v**2).sum(axis=1)
-            d = np.sqrt(np.maximum(0, norms[:, None] + (points**2).sum(axis=1) - 2 * v @ points[:, :-1].T))
+            v, told = np.array(pdf["v"].tolist()), pdf["floor"].fillna(-np.inf).to_numpy()
+            near, floor = v * scale, told * scale * scale
+            norms = (near**2).sum(axis=1)
+            d = np.sqrt(np.maximum(0, norms[:, None] + (points**2).sum(axis=1) - 2 * near @ points[:, :-1].T))
             limit = np.where(np.isfinite(floor), np.sqrt(np.maximum(0, norms + radius**2 - 2 * np.where(np.isfinite(floor), floor, 0))), np.inf)
             ok = np.maximum(0, d - np.array(reach)) * factor <= (limit + 1e-9 * (1 + radius))[:, None]
             ok &= np.isfinite(reach) & (np.arange(len(points)) != pdf["home"].to_numpy()[:, None])
             who, pivot = np.nonzero(ok)
-            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[who], "mark": pdf["mark"].to_numpy()[who], "v": pd.Series([v[w] for w in who], dtype=object), "floor": np.where(np.isfinite(floor), floor, np.nan)[who], "pivot": pivot.astype("int32")})
+            yield pd.DataFrame({"query_id": pdf["query_id"].to_numpy()[who], "mark": pdf["mark"].to_numpy()[who], "v": pd.Series([v[w] for w in who], dtype=object), "floor": np.where(np.isfinite(told), told, np.nan)[who], "pivot": pivot.astype("int32")})
 
     rest = queries.join(floors, ["query_id", "mark"], "left").select("query_id", "mark", "v", "floor", "home")
     more = ask(materialise(rest.mapInPandas(further, "query_id long, mark long, v array<double>, floor double, pivot int"), "further"), "more")
