@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import flows, tables
+from ..operators import capabilities, flows, tables
 from ..sinks import delivery
-from ..sources import captures, storage
+from ..sources import archives, captures, storage
+from . import compose
 from .queries import ORACLES, RANK, SEGMENTS, full_findings, packets, query
 
 
@@ -54,3 +55,85 @@ def late_links(spark, sf_dir):
     each = [tables.with_flows(spark, f"{name}_dns", f"{name}_flows", s) for s in sessions]
     found = each[0].unionByName(each[1]).unionByName(each[2])
     return found.select("session_id", "packet_no", "flow_id", (F.col("packets_sent") + F.col("packets_received")).cast("long").alias("packets"))
+
+
+# ---- packages: five pages are one; a page is an entry, whose kind and faults follow from its number ----------------------
+
+IMPORTED = ["execve", "ptrace", "dlopen", "strlen", "chmod"]
+FORGED = ["", "axml.attribute_size", "axml.attribute_start", "axml.junk_between_elements", "axml.unknown_chunk", "axml.bad_magic", "axml.string_count_mismatch", "axml.zero_size_namespace_end", "axml.attribute_names"]
+
+
+def entry_of(page: int, html: str) -> tuple:
+    kind, pick = page % 6, page // 6
+    if kind in (0, 1):
+        data = compose.library([IMPORTED[pick % 5], IMPORTED[pick % 3]], ["JNI_OnLoad"], ["libc.so"], bits=64 if pick % 2 else 32, more=b"..magisk.." * (pick % 4 == 0))
+        return (f"lib/arm64-v8a/lib{page}.so" if kind == 0 else f"assets/{page}.png", data, 8)
+    if kind == 2:
+        return ("lib/x86/libjiagu.so", compose.library(["execve"])[: 80 if pick % 2 else None], 0)
+    if kind == 3:
+        parts = [("uses-sdk", {"targetSdkVersion": 20 + page % 5}, []), *[("uses-permission", {"name": f"p{i}"}, []) for i in range(page % 14)]]
+        boot = [("intent-filter", {}, [("action", {"name": "android.intent.action.BOOT_COMPLETED"}, [])])] if pick % 2 else []
+        parts.append(("application", {}, [("receiver", {"name": f"R{page}"}, boot)]))
+        return ("AndroidManifest.xml", compose.manifest([("manifest", {"package": f"org.p{page}"}, parts)], FORGED[pick % 9], utf8=pick % 4 == 1), 8)
+    forged = [{}, {"method": 99}, {"flags": 0x801}, {"crc": 1}, {"name": f"other{page}"}]
+    return (f"../{page}" if kind == 4 else f"res/{page}", html.encode(), 8 if page % 2 else 0, forged[pick % 5] if pick % 3 == 0 else {}, {})
+
+
+def written_packages(spark, sf_dir):
+    root = storage.fresh_dir(spark, "packages")
+
+    def write(part):
+        import pandas as pd
+
+        at, base = storage.store(root)
+        at.create_dir(base, recursive=True)
+        sample = int(part["page_id"].iloc[0]) // 5
+        data = compose.archive([entry_of(int(p), h or "") for p, h in zip(part["page_id"], part["html"], strict=True)], b"#!" * (sample % 2))
+        with at.open_output_stream(f"{base}/.{sample}", compression=None) as out:
+            out.write(data)
+        at.move(f"{base}/.{sample}", f"{base}/{sample}.apk")
+        return pd.DataFrame({"sample": [sample]})
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    storage.stored(pages.groupBy(F.floor(F.col("page_id") / 5).alias("s")).applyInPandas(lambda part: write(part.sort_values("page_id")), "sample long"), "packages-written")
+    return root
+
+
+def numbered(spark, root, df):
+    """sample_id as the number in the file's name."""
+    files = spark.read.format("binaryFile").load(root).select(F.xxhash64("path").alias("sample_id"), F.regexp_extract("path", r"(\d+)\.apk$", 1).cast("long").alias("sample"))
+    return df.join(files, "sample_id").drop("sample_id").withColumnRenamed("sample", "sample_id")
+
+
+@query("package_headers", """WITH e AS (SELECT CAST(floor(page_id / 5) AS BIGINT) AS sample_id, page_id % 6 AS kind, CAST(floor(page_id / 6) AS BIGINT) AS pick FROM pages), f AS (SELECT *, CASE WHEN kind IN (4, 5) AND pick % 3 = 0 THEN pick % 5 ELSE 0 END AS forged FROM e),
+m AS (SELECT sample_id, pick % 9 AS k FROM e WHERE kind = 3 AND pick % 9 > 0)
+SELECT sample_id, unnest(CASE forged WHEN 1 THEN ['zip.unknown_compression_method', 'zip.header_mismatch'] WHEN 2 THEN ['zip.encryption_flag_on_package', 'zip.header_mismatch'] WHEN 3 THEN ['zip.header_mismatch'] WHEN 4 THEN ['zip.entry_sets_differ'] ELSE [] END) AS indicator, CAST(sum(CASE WHEN forged = 4 THEN 2 ELSE 1 END) AS BIGINT) AS entries FROM f GROUP BY sample_id, indicator
+UNION ALL SELECT sample_id, ['axml.attribute_size', 'axml.attribute_start', 'axml.junk_between_elements', 'axml.unknown_chunk', 'axml.bad_magic', 'axml.string_count_mismatch', 'axml.zero_size_namespace_end', 'axml.attribute_names'][CAST(k AS INT)], CASE WHEN k = 8 THEN NULL ELSE 1 END FROM m
+UNION ALL SELECT sample_id, 'archive.path_traversal_names', count(*) FILTER (kind = 4 AND forged <> 4) FROM f GROUP BY sample_id HAVING count(*) FILTER (kind = 4 AND forged <> 4) > 0""")
+def package_headers(spark, sf_dir):
+    root = written_packages(spark, sf_dir)
+    headers = storage.stored(archives.read_headers(spark, root), "package-headers")
+    found = capabilities.package_integrity(headers, archives.read_manifests(spark, root)).withColumn("entries", F.when(F.col("indicator") != "axml.attribute_names", F.col("entries"))).select("sample_id", "indicator", "entries")
+    return numbered(spark, root, found.unionByName(archives.safety(headers).withColumnRenamed("finding", "indicator")))
+
+
+@query("package_libraries", """WITH e AS (SELECT CAST(floor(page_id / 5) AS BIGINT) AS sample_id, page_id, page_id % 6 AS kind, CAST(floor(page_id / 6) AS BIGINT) AS pick FROM pages),
+i AS (SELECT sample_id, page_id, unnest(list_distinct([['execve', 'ptrace', 'dlopen', 'strlen', 'chmod'][CAST(pick % 5 + 1 AS INT)], ['execve', 'ptrace', 'dlopen', 'strlen', 'chmod'][CAST(pick % 3 + 1 AS INT)]])) AS s FROM e WHERE kind < 2 UNION ALL SELECT sample_id, page_id, 'execve' FROM e WHERE kind = 2 AND pick % 2 = 0),
+c AS (SELECT sample_id, CASE s WHEN 'execve' THEN 'process_execution' WHEN 'ptrace' THEN 'anti_debugging' WHEN 'dlopen' THEN 'dynamic_loading' WHEN 'chmod' THEN 'file_permissions' END AS capability, page_id FROM i UNION ALL SELECT sample_id, 'root_manager', page_id FROM e WHERE kind < 2 AND pick % 4 = 0
+  UNION ALL SELECT sample_id, 'native_code_outside_lib', page_id FROM e WHERE kind = 1 UNION ALL SELECT sample_id, 'native_code_disguised', page_id FROM e WHERE kind = 1 UNION ALL SELECT sample_id, 'native_header_damaged', page_id FROM e WHERE kind = 2 AND pick % 2 = 1 UNION ALL SELECT sample_id, 'packer_library', page_id FROM e WHERE kind = 2)
+SELECT sample_id, capability, count(*) AS evidence FROM c WHERE capability IS NOT NULL GROUP BY sample_id, capability""")
+def package_libraries(spark, sf_dir):
+    root = written_packages(spark, sf_dir)
+    libraries = storage.stored(archives.read_libraries(spark, root), "package-libraries")
+    native = capabilities.native_capabilities(*capabilities.library_tables(libraries)).groupBy("sample_id", "capability").agg(F.sum("evidence").alias("evidence"))
+    placed = capabilities.library_placement(libraries).withColumn("evidence", F.size("evidence").cast("long"))
+    return numbered(spark, root, native.unionByName(placed))
+
+
+@query("package_manifests", """WITH e AS (SELECT CAST(floor(page_id / 5) AS BIGINT) AS sample_id, page_id, CAST(floor(page_id / 6) AS BIGINT) AS pick FROM pages WHERE page_id % 6 = 3)
+SELECT sample_id, 'boot_start' AS capability, 'R' || page_id AS evidence FROM e WHERE pick % 2 = 1 UNION ALL SELECT sample_id, 'targets_pre_marshmallow', CAST(20 + page_id % 5 AS VARCHAR) FROM e WHERE page_id % 5 < 3 UNION ALL SELECT sample_id, 'minimal_permission_set', (page_id % 14) || ' permissions' FROM e WHERE page_id % 14 BETWEEN 1 AND 10""")
+def package_manifests(spark, sf_dir):
+    root = written_packages(spark, sf_dir)
+    manifests = storage.stored(archives.read_manifests(spark, root), "package-manifests")
+    declared = capabilities.component_capabilities(capabilities.manifest_components(manifests)).withColumn("evidence", F.array_join("components", "|")).drop("components")
+    return numbered(spark, root, declared.unionByName(capabilities.manifest_capabilities(manifests)))
