@@ -13,7 +13,8 @@ T(n) = ceil(0.75 n) shingles of the other.  No stage compares everything with ev
    drawn from the lists: the centre's shingles are the query, the classes around it the index.  Links found are joined
    into components; large groups of near copies collapse here.  A second turn draws other centres from other components.
 4. Rest.  Lists are recounted by component: a shingle that one component alone holds leaves the index, and with it every
-   class that has less than T(n) shingles left.  The classes of a component that stand in one block form a profile, the
+   class that has less than T(n) shingles left.  What is left bounds the size of a partner too, and a shingle that larger
+   classes alone hold is of no use then: so classes that share a template, but too little of it, leave here.  The classes of a component that stand in one block form a profile, the
    union of their shingles.  Each class then searches the profiles of larger components (by size, then by name) that it
    meets in its short lists: whatever it links with lies in a profile holding at least as many of its shingles.  The few
    profiles found are opened, and the class searches their members.  Every two components that a link joins are found.
@@ -47,6 +48,7 @@ CHUNK = 512
 TURNS = 2
 CENTRES = 3
 MU = 0.0085  # weighs merging against probing
+COMMON = 64  # rows of a list that is rather probed
 
 
 def required(n: int) -> int:
@@ -59,6 +61,24 @@ def overlap_needed(na, nb):
     return -(-(NUMERATOR * (na + nb)) // (NUMERATOR + DENOMINATOR))
 
 
+def largest_partner(n: int, overlap: int) -> int:
+    """The largest set that an overlap can link with one of n."""
+    return (NUMERATOR + DENOMINATOR) * overlap // NUMERATOR - n
+
+
+def within_reach(n: int, lists, small):
+    """Of a class's lists (places in small, the size of the smallest class that holds each) those that a link can use.
+
+    What a class links with is no larger than its remaining lists allow, so a list of larger classes alone is of no use;
+    without it fewer lists remain, and so on until nothing changes."""
+    while len(lists):
+        kept = lists[small[lists] <= largest_partner(n, len(lists))]
+        if len(kept) == len(lists):
+            break
+        lists = kept
+    return lists
+
+
 class Shingler:
     """Word sequences to sorted arrays of distinct 64-bit shingle hashes."""
 
@@ -352,20 +372,20 @@ def set_aside(t: int, longest: int, mu: float = MU) -> int:
     return min(t - 1, int(t / (mu * math.log2(1 + longest) + 1)))
 
 
-def divide_skip(lists: list[list[int]], t: int, mu: float = MU) -> dict[int, int]:
+def divide_skip(lists: list[list[int]], t: int, aside: int | None = None, mu: float = MU) -> dict[int, int]:
     """Members found in at least t of the sorted lists, with their counts.
 
-    The L longest lists are set aside; a heap over the others yields members in order, skipping ahead whenever fewer than
+    The L longest lists are set aside (``aside``, or as many as pays by their length); a heap over the others yields members in order, skipping ahead whenever fewer than
     t - L lists can still agree; each member that reaches t - L is looked up in the long lists by binary search.
     """
     import heapq
     from bisect import bisect_left
 
     t = max(1, t)
-    lists = sorted((x for x in lists if x), key=len)
+    lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < t:
         return {}
-    aside = set_aside(t, len(lists[-1]), mu)
+    aside = set_aside(t, len(lists[-1]), mu) if aside is None else min(aside, t - 1)
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     need = t - aside
     found: dict[int, int] = {}
@@ -382,7 +402,7 @@ def divide_skip(lists: list[list[int]], t: int, mu: float = MU) -> dict[int, int
                 if count + len(long) - left < t:
                     break
                 i = bisect_left(x, m)
-                count += i < len(x) and x[i] == m
+                count += int(i < len(x) and x[i] == m)
             if count >= t:
                 found[m] = count
             for _, k, i in out:
@@ -502,38 +522,39 @@ def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        kinds = {"bucket": pa.int32(), "block": pa.int64(), **dict.fromkeys(("hashes", "lo", "hi", "many"), pa.binary())}
+        kinds = {"bucket": pa.int32(), "block": pa.int64(), **dict.fromkeys(("hashes", "lo", "hi", "many", "small"), pa.binary())}
         for batch in batches:
             for r in batch.to_pylist():
                 h = np.frombuffer(r["sets"], dtype="<u8")
                 if not len(h):
                     continue
-                c = np.repeat(np.frombuffer(r["codes"], dtype="<i8"), np.frombuffer(r["lens"], dtype="<i8"))
-                order = np.lexsort((c, h))
-                h, c = h[order], c[order]
+                lens = np.frombuffer(r["lens"], dtype="<i8")
+                c, n = (np.repeat(np.frombuffer(r[k], dtype="<i8"), lens) for k in ("codes", "sizes"))
+                order = np.lexsort((n, c, h))
+                h, c, n = h[order], c[order], n[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-                h, c = h[new], c[new]
+                h, c, n = h[new], c[new], n[new]
                 start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 stop = np.append(start[1:], len(h))
-                h, lo, hi, many = h[start], c[start], c[stop - 1], stop - start
+                h, lo, hi, many, small = h[start], c[start], c[stop - 1], stop - start, np.minimum.reduceat(n, start)
                 to = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 parts = _runs(to, np.argsort(to, kind="stable"))
-                yield _arrow({"bucket": [b for b, _ in parts], "block": [r["block"]] * len(parts), **{k: [v[i].tobytes() for _, i in parts] for k, v in (("hashes", h), ("lo", lo), ("hi", hi), ("many", many.astype("<i8")))}}, kinds)
+                yield _arrow({"bucket": [b for b, _ in parts], "block": [r["block"]] * len(parts), **{k: [v[i].tobytes() for _, i in parts] for k, v in (("hashes", h), ("lo", lo), ("hi", hi), ("many", many.astype("<i8")), ("small", small))}}, kinds)
 
     def total(part):
         import numpy as np
         import pandas as pd
 
-        h, lo, hi, many = (np.frombuffer(b"".join(part[k]), dtype=t) for k, t in (("hashes", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("many", "<i8")))
+        h, lo, hi, many, small = (np.frombuffer(b"".join(part[k]), dtype=t) for k, t in (("hashes", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("many", "<i8"), ("small", "<i8")))
         whose = np.repeat(part["block"].to_numpy(), part["hashes"].str.len().to_numpy() // 8)
         order = np.argsort(h, kind="stable")
-        h, lo, hi, many, whose = h[order], lo[order], hi[order], many[order], whose[order]
+        h, lo, hi, many, small, whose = h[order], lo[order], hi[order], many[order], small[order], whose[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         each = np.diff(np.append(start, len(h)))
-        lo, hi, many = (np.repeat(f.reduceat(v, start), each) for f, v in ((np.minimum, lo), (np.maximum, hi), (np.add, many)))
+        lo, hi, many, small = (np.repeat(f.reduceat(v, start), each) for f, v in ((np.minimum, lo), (np.maximum, hi), (np.add, many), (np.minimum, small)))
         keep = np.flatnonzero(lo != hi)
         parts = _runs(whose[keep], np.argsort(whose[keep], kind="stable"))
-        return pd.DataFrame({"block": [b for b, _ in parts], **{k: [v[keep[i]].tobytes() for _, i in parts] for k, v in (("hashes", h), ("lo", lo), ("hi", hi), ("many", many))}}).astype({"block": "int64"})
+        return pd.DataFrame({"block": [b for b, _ in parts], **{k: [v[keep[i]].tobytes() for _, i in parts] for k, v in (("hashes", h), ("lo", lo), ("hi", hi), ("many", many), ("small", small))}}).astype({"block": "int64"})
 
     columns = ["profile", "kind", "node", "n", "x", "lists", "many"]
 
@@ -544,9 +565,9 @@ def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
         out: list[tuple] = []
         if len(part) and len(lists):
             r = part.iloc[0]
-            known, lo, hi, many = (np.frombuffer(b"".join(lists[k]), dtype=t) for k, t in (("hashes", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("many", "<i8")))
+            known, lo, hi, many, small = (np.frombuffer(b"".join(lists[k]), dtype=t) for k, t in (("hashes", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("many", "<i8"), ("small", "<i8")))
             by = np.argsort(known)
-            known, lo, hi, many = known[by], lo[by], hi[by], many[by]
+            known, lo, hi, many, small = known[by], lo[by], hi[by], many[by], small[by]
             flat, at = np.frombuffer(r["sets"], dtype="<u8"), 0
             profiles: dict[int, list] = {}
             for node, n, code, length in zip(*[np.frombuffer(r[k], dtype="<i8").tolist() for k in ("nodes", "sizes", "codes", "lens")], strict=True):
@@ -554,6 +575,7 @@ def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
                 at += length
                 i = np.searchsorted(known, x)
                 i = i[(i < len(known)) & (known[np.minimum(i, len(known) - 1)] == x)]
+                i = within_reach(n, i, small)
                 if len(i) < required(n):
                     continue
                 short = i[np.lexsort((known[i], many[i]))[: n - required(n) + 1 - (n - len(i))]]
@@ -569,8 +591,8 @@ def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
                     out.append((name, 1, -1, n, known[x].tobytes(), known[down].tobytes(), many[down].tobytes()))
         return pd.DataFrame(out, columns=columns).astype({"profile": "int64", "kind": "int32", "node": "int64", "n": "int64"})
 
-    tallies = packed.select("block", "codes", "lens", "sets").mapInArrow(tally, "bucket int, block long, hashes binary, lo binary, hi binary, many binary")
-    lists = tallies.groupBy("bucket").applyInPandas(total, "block long, hashes binary, lo binary, hi binary, many binary")
+    tallies = packed.select("block", "sizes", "codes", "lens", "sets").mapInArrow(tally, "bucket int, block long, hashes binary, lo binary, hi binary, many binary, small binary")
+    lists = tallies.groupBy("bucket").applyInPandas(total, "block long, hashes binary, lo binary, hi binary, many binary, small binary")
     rest = packed.groupBy("block").cogroup(lists.groupBy("block")).applyInPandas(remain, "profile long, kind int, node long, n long, x binary, lists binary, many binary")
     return materialise(rest, "rest")
 
@@ -588,23 +610,26 @@ def _queries(rows, indexed, floor) -> list[tuple[int, int]]:
     stop = np.append(first[1:], len(known)).astype(int)
     known = known[first]
     sizes = indexed["n"].to_numpy()
+    least = int(sizes.min()) if len(sizes) else 0
     out = []
     for k, (n, raw) in enumerate(zip(rows["n"].tolist(), rows["x"], strict=True)):
         x = np.frombuffer(raw, dtype="<u8")
         i = np.searchsorted(known, x)
         i = i[(i < len(known)) & (known[np.minimum(i, len(known) - 1)] == x)] if len(known) else i[:0]
-        t = required(n)
+        t = max(required(n), int(floor(n, least)))  # no indexed row asks for less
         if len(i) < t:
             continue
-        # The short lists are counted at once: where none of their members can still reach t, nothing is merged.
+        # The short lists are counted at once: where none of their members can still reach t, nothing is merged.  Lists that
+        # many rows share are set aside as far as t allows, so that a common template is probed, not merged.
         lens = stop[i] - first[i]
         by = np.argsort(lens, kind="stable")
-        aside = set_aside(t, int(lens[by[-1]]))
-        few = [names[first[j] : stop[j]] for j in i[by[: len(i) - aside]]]
+        aside = min(t - 1, max(set_aside(t, int(lens[by[-1]])), int(np.count_nonzero(lens > COMMON))))
+        each = [names[first[j] : stop[j]] for j in i[by]]
+        few = each[: len(i) - aside]
         if np.bincount(np.concatenate(few)).max() < t - aside:
             continue
-        lists = [names[first[j] : stop[j]].tolist() for j in i]
-        out += [(k, m, c) for m, c in divide_skip(lists, t).items() if c >= floor(n, int(sizes[m]))]
+        lists = [x.tolist() for x in few] + each[len(few) :]
+        out += [(k, m, c) for m, c in divide_skip(lists, t, aside).items() if c >= floor(n, int(sizes[m]))]
     return out
 
 
