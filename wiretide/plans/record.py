@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
-from ..operators import capabilities, evidence, governance, packages, posture, transport
+from ..operators import capabilities, dataflow, evidence, governance, packages, posture, transport
 from .queries import AS_OF, query, v_flow
 from .views import view
 
@@ -231,3 +231,33 @@ def mail_envelope(spark, sf_dir):
     line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("MAIL FROM:<u"), t, F.lit(">"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("RCPT TO:<r"), t, F.lit(">"))).otherwise("AUTH PLAIN x")
     streams = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("flow_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x.line), "\r\n").alias("text")).withColumn("direction", F.lit("client"))
     return transport.mail_envelope(transport.transcript(streams, "smtp")).select("flow_id", joined("senders"), joined("recipients"), "credentials")
+
+
+# Order lines are instructions of methods (orders): constants, moves, jumps, calls that are watched and others.
+INSTRUCTIONS = """SELECT CAST(1 AS INT) AS sample_id, l_orderkey AS method, l_linenumber * CAST(1000000000000 AS BIGINT) + l_partkey * 1000000 + l_suppkey AS pc, l_partkey % 7 AS kind, CAST(l_suppkey % 3 AS INT) AS r, l_partkey % 50 AS v FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) l"""
+
+
+@query("constant_arguments", f"""WITH i AS ({INSTRUCTIONS}), w AS (SELECT method, r, pc, CASE kind WHEN 0 THEN CAST(v AS VARCHAR) WHEN 1 THEN 's' || v WHEN 2 THEN CAST(-v AS VARCHAR) END AS value FROM i WHERE kind IN (0, 1, 2, 3, 6)),
+a AS (SELECT method, pc, unnest([1, 2]) AS place, unnest([(r + 1) % 3, (r + 2) % 3]) AS register FROM i WHERE kind = 5), h AS (SELECT a.method, a.pc, place, max(w.pc) AS at FROM a LEFT JOIN w ON w.method = a.method AND w.r = register AND w.pc < a.pc GROUP BY a.method, a.pc, place)
+SELECT h.method, h.pc, array_to_string(list(coalesce(w.value, '?') ORDER BY place), '|') AS arguments FROM h LEFT JOIN w ON w.method = h.method AND w.pc = h.at GROUP BY h.method, h.pc""")
+def constant_arguments(spark, sf_dir):
+    k, reg = F.col("kind"), lambda n: F.concat(F.lit("v"), ((F.col("r") + n) % 3).cast("string"))
+    i = spark.sql(INSTRUCTIONS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
+    op = F.when(k == 0, "const/16").when(k == 1, "const-string").when(k == 2, "const/4").when(k == 3, "move-result").when(k == 4, "if-eqz").when(k == 5, "invoke-virtual").otherwise("invoke-static")
+    literal = F.when(k == 0, F.concat(F.lit("0x"), F.lower(F.hex("v")))).when(k == 1, F.concat(F.lit('"s'), F.col("v"), F.lit('"'))).when(k == 2, F.concat(F.lit("-"), F.col("v")))
+    i = i.select("sample_id", "method", "pc", op.alias("op"), F.when(k == 5, F.array(reg(0), reg(1), reg(2))).otherwise(F.array(reg(0))).alias("registers"), literal.alias("literal"), F.when(k >= 5, "La;").alias("api_class"), F.when(k == 5, "watched").when(k == 6, "other").alias("api_method"), F.lit(False).alias("label"))
+    found = dataflow.constant_arguments(i, spark.createDataFrame([("La;", "watched")], "api_class string, api_method string"))
+    return found.select("method", "pc", F.array_join("arguments", "|", "?").alias("arguments"))
+
+
+# Suppliers call each other by their keys; those of one nation in five are components.
+@query("ways_from_components", """WITH RECURSIVE c AS (SELECT s_suppkey AS caller, unnest([CAST(floor(s_suppkey / 2) AS BIGINT), CAST(floor(s_suppkey / 3) AS BIGINT)]) AS callee FROM supplier), t AS (SELECT s_suppkey AS target FROM supplier WHERE s_suppkey % 10 = 1),
+w(target, name, steps) AS (SELECT target, target, 0 FROM t UNION SELECT w.target, c.caller, w.steps + 1 FROM w JOIN c ON c.callee = w.name WHERE w.steps < 8 AND c.caller <> w.name)
+SELECT target, CAST(min(steps) AS INT) AS steps FROM w JOIN supplier s ON s.s_suppkey = w.name WHERE s_nationkey % 5 = 0 GROUP BY target""")
+def ways_from_components(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    one = F.lit(1).alias("sample_id")
+    calls = s.select(one, F.col("s_suppkey").cast("long").alias("caller"), F.explode(F.array(F.floor(F.col("s_suppkey") / 2), F.floor(F.col("s_suppkey") / 3))).alias("callee"))
+    targets = s.where("s_suppkey % 10 = 1").select(one, F.col("s_suppkey").cast("long").alias("target"))
+    components = s.where("s_nationkey % 5 = 0").select(one, F.col("s_suppkey").cast("long").alias("method"))
+    return dataflow.ways(calls, targets, components).select("target", "steps")
