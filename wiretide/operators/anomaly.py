@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import storage
+
 # The features, of which the first group enters by its logarithm.
 LOG_FEATURES = ("bytes_sent", "bytes_received", "packets_sent", "packets_received", "duration_seconds", "packets_per_second", "dns_query_count")
 RAW_FEATURES = ("avg_packet_size", "bytes_ratio", "payload_entropy", "interval_dispersion", "unique_dst_ports", "longest_dns_label")
@@ -18,11 +20,39 @@ def features(flows: DataFrame) -> tuple[DataFrame, list[str]]:
     return flows.select("session_id", "flow_id", *[v.alias(k) for k, v in cols.items()]), list(cols)
 
 
+def medians(f: DataFrame, names: list[str], by: str, accuracy: int = 10_000) -> DataFrame:
+    """by and m_<name>: exact medians of several columns, no group of which is ever one task's work.
+
+    One pass sketches each column of each group (percentile_approx: bounded memory, merged from partial sketches) between
+    two ranks that enclose the middle by more than the sketch's error.  A second counts what lies below the bracket and, by
+    value, what lies in it: four parts in ``accuracy`` of the rows, of which equal values are one row.  The middle ranks are
+    then picked among these.  Nulls and NaN do not count; a column of nulls has a null median."""
+    off = 2.0 / accuracy
+    clean = f.select(by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in names])
+    brackets = clean.groupBy(by).agg(*[F.percentile_approx(c, [0.5 - off, 0.5 + off], accuracy).alias(f"b_{c}") for c in names], *[F.count(c).alias(f"n_{c}") for c in names])
+    brackets = storage.stored(brackets, "brackets")  # a row for each group
+    joined = clean.join(brackets, by)
+    lo, hi = (lambda c: F.get(f"b_{c}", F.lit(0))), (lambda c: F.get(f"b_{c}", F.lit(1)))
+    below = joined.groupBy(by).agg(*[F.count(F.when(F.col(c) < lo(c), 1)).alias(c) for c in names])
+    below = below.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("below")) for c in names])).alias("s")).select(by, "s.*")
+    sizes = brackets.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n")) for c in names])).alias("s")).select(by, "s.*")
+    inside = F.array_compact(F.array(*[F.when(F.col(c).between(lo(c), hi(c)), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c in names]))
+    values = joined.select(by, F.explode(inside).alias("s")).select(by, "s.*").groupBy(by, "column", "value").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(by, "column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    v = values.withColumn("upto", upto).join(below, [by, "column"]).join(sizes, [by, "column"])
+    end = F.col("below") + F.col("upto")
+    held = lambda rank: F.min(F.when(end > rank, F.col("value")))
+    middle = v.groupBy(by, "column").agg(((held(F.floor((F.col("n") - 1) / 2)) + held(F.floor(F.col("n") / 2))) / 2).alias("m"))
+    return brackets.select(by).join(middle.groupBy(by).agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"m_{c}") for c in names]), by, "left")
+
+
 def robust_z(f: DataFrame, names: list[str]) -> DataFrame:
     """z of each feature from median and MAD; from the deviation where the MAD is 0; capped where the feature is constant."""
-    med = f.groupBy("session_id").agg(*[F.median(c).alias(f"m_{c}") for c in names], *[F.stddev_pop(c).alias(f"s_{c}") for c in names])
-    d = f.join(med, "session_id")
-    mad = d.groupBy("session_id").agg(*[(F.median(F.abs(F.col(c) - F.col(f"m_{c}"))) * SIGMA).alias(f"a_{c}") for c in names])
+    f = storage.stored(f.select("session_id", "flow_id", *names), "features")
+    spread = f.groupBy("session_id").agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in names])
+    d = f.join(medians(f, names, "session_id").join(spread, "session_id"), "session_id")
+    off = d.select("session_id", *[F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
+    mad = medians(off, names, "session_id").select("session_id", *[(F.col(f"m_{c}") * SIGMA).alias(f"a_{c}") for c in names])
     d = d.join(mad, "session_id")
 
     def z(c):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import storage
-from ..streaming import live, sessions
-from .queries import SEGMENTS, query, v_flow
+from ..streaming import live, monitor, sessions
+from .queries import SEGMENTS, packets, query, v_flow
 from .views import VIEWS, dialect
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -22,9 +22,9 @@ FROM n, m WHERE last_seen + 600 <= mark AND CASE WHEN next_seen IS NULL THEN mar
 def stream_flows(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern, as a stream takes no single file
-    packets = spark.sql(dialect(VIEWS["v_packet"], True).replace("FROM events", "FROM {events}"), events=events)
-    packets = packets.withColumn("payload", F.col("payload_text").cast("binary")).drop("payload_text")
-    closed = sessions.stream_flows(packets, {"TCP": 86400.0, "UDP": 43200.0, "ICMP": 43200.0}, "7200 seconds", 600.0)
+    arriving = spark.sql(dialect(VIEWS["v_packet"], True).replace("FROM events", "FROM {events}"), events=events)
+    arriving = arriving.withColumn("payload", F.col("payload_text").cast("binary")).drop("payload_text")
+    closed = sessions.stream_flows(arriving, {"TCP": 86400.0, "UDP": 43200.0, "ICMP": 43200.0}, "7200 seconds", 600.0)
     return storage.drained(closed.select("session_id", "flow_id", "protocol", "initiator_confirmed", "packets_sent", "packets_received", "bytes_sent", "bytes_received", "first_seen", "last_seen", "unique_dst_ports"), "stream-flows", **ROCKSDB)
 
 
@@ -33,3 +33,9 @@ def stream_flows(spark, sf_dir):
 def time_reordering(spark, sf_dir):
     f = v_flow(spark, sf_dir).select("session_id", F.col("flow_id").alias("packet_no"), F.col("first_seen").alias("ts"))
     return live.reordering(f, 5_000)
+
+
+@query("monitor_activity", """WITH w AS (SELECT session_id, floor(ts / 3600) * 3600 AS "window", count(*) AS packets, sum(frame_len) AS bytes FROM v_packet GROUP BY ALL)
+SELECT session_id, CAST("window" AS DOUBLE) AS "window", packets, CAST(bytes AS BIGINT) AS bytes, CAST(coalesce(round(("window" - lag("window") OVER (PARTITION BY session_id ORDER BY "window")) / 3600 - 1), 0) AS BIGINT) AS silent FROM w QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY "window" DESC) <= 20""")
+def monitor_activity(spark, sf_dir):
+    return monitor.activity(packets(spark, sf_dir), 3600)
