@@ -483,12 +483,21 @@ def bundle_problems(spark, sf_dir):
 # ---- packages ----------------------------------------------------------------------------------------------------------
 
 
-@query("clopper_pearson")
-def clopper_pearson(spark, sf_dir):
-    return view(spark, sf_dir, "v_base_rate").select("rule_id", E.rnd(E.binomial_upper(F.col("benign_fired"), F.col("benign_captures")), 4).alias("benign_upper95"), E.rnd(E.binomial_upper(F.col("malicious_fired"), F.col("malicious_captures")), 4).alias("malicious_upper95"))
+# A part's brand is a rule that small parts fire; every third part is of the attack corpus.
+TALLY = "SELECT p_brand AS rule_id, count(*) FILTER (WHERE p_partkey % 3 > 0 AND p_size <= {most}) AS benign_fired, count(*) FILTER (WHERE p_partkey % 3 > 0) AS benign_captures, count(*) FILTER (WHERE p_partkey % 3 = 0 AND p_size <= {most}) AS malicious_fired, count(*) FILTER (WHERE p_partkey % 3 = 0) AS malicious_captures FROM {part} GROUP BY p_brand"
+
 
+def tally(spark, sf_dir, most: int) -> DataFrame:
+    return spark.sql(TALLY.replace("{most}", str(most)), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
-ORACLES["clopper_pearson"] = "SELECT * FROM (VALUES ('C2_BEACON_KEEPALIVE', 0.6475, 0.3123), ('C2_BEACON_PERIODIC', 0.3691, 0.3123), ('COVERT_CHANNEL_UNKNOWN_PORT', 0.4685, 0.7108), ('DNS_TUNNEL_LONG_LABEL', 0.1981, 0.5997), ('DNS_TUNNEL_SUBDOMAIN_VOLUME', 0.2595, 0.4707), ('EXFIL_VOLUME_ASYMMETRY', 0.5609, 0.4707), ('ICMP_TUNNEL_OVERSIZED', 0.2595, 0.4707), ('IOC_FEED_MATCH', 0.1273, 0.3123), ('RECON_PORT_SCAN', 0.2595, 0.8071)) t(rule_id, benign_upper95, malicious_upper95)"
+
+# The bound is the rate at which so few would fire with a probability of 5 %: halved into, from the sum of the probabilities.
+@query("clopper_pearson", f"""WITH RECURSIVE t AS ({TALLY.replace("{most}", "5").replace("{part}", "part")}), r AS (SELECT rule_id, 'b' AS corpus, benign_fired AS k, benign_captures AS n FROM t UNION ALL SELECT rule_id, 'm', malicious_fired, malicious_captures FROM t),
+h(rule_id, corpus, k, n, lo, hi, step) AS (SELECT rule_id, corpus, k, n, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM r UNION ALL SELECT rule_id, corpus, k, n, CASE WHEN few > 0.05 THEN mid ELSE lo END, CASE WHEN few > 0.05 THEN hi ELSE mid END, step + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)))) AS few FROM h WHERE step < 50) x)
+SELECT rule_id, max(CASE WHEN corpus = 'b' THEN {r("CASE WHEN k = n THEN 1 ELSE hi END", 4)} END) AS benign_upper95, max(CASE WHEN corpus = 'm' THEN {r("CASE WHEN k = n THEN 1 ELSE hi END", 4)} END) AS malicious_upper95 FROM h WHERE step = 50 GROUP BY rule_id""")
+def clopper_pearson(spark, sf_dir):
+    return tally(spark, sf_dir, 5).select("rule_id", E.rnd(E.binomial_upper(F.col("benign_fired"), F.col("benign_captures")), 4).alias("benign_upper95"), E.rnd(E.binomial_upper(F.col("malicious_fired"), F.col("malicious_captures")), 4).alias("malicious_upper95"))
 
 
 @query("signal_table", "WITH n AS (SELECT label, count(DISTINCT sample_id) AS samples FROM v_signal GROUP BY ALL) SELECT signal_id, label, count(*) FILTER (fired) AS fired, max(samples) AS samples FROM v_signal JOIN n USING (label) GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..operators import capabilities, dataflow, evidence, governance, packages, posture, transport
-from .queries import AS_OF, query, v_flow
+from .queries import AS_OF, TALLY, query, tally, v_flow
 from .views import view
 
 
@@ -80,9 +80,9 @@ def rule_tally(spark, sf_dir):
     return t.select("rule_id", "benign_fired", "benign_findings", "malicious_fired", "benign_captures", "malicious_captures")
 
 
-@query("rate_limits", """SELECT string_agg(rule_id, '|' ORDER BY rule_id) FILTER (benign_fired > 0) AS on_ordinary_traffic, string_agg(rule_id, '|' ORDER BY rule_id) FILTER (benign_fired = 0 AND malicious_fired = 0) AS untested, string_agg(rule_id, '|' ORDER BY rule_id) FILTER (benign_fired > 0 AND malicious_fired = 0) AS never_on_an_attack FROM v_base_rate""")
+@query("rate_limits", f"""WITH t AS ({TALLY.replace("{most}", "1").replace("{part}", "part")}) SELECT string_agg(rule_id, '|' ORDER BY rule_id) FILTER (benign_fired > 0) AS on_ordinary_traffic, string_agg(rule_id, '|' ORDER BY rule_id) FILTER (benign_fired = 0 AND malicious_fired = 0) AS untested, string_agg(rule_id, '|' ORDER BY rule_id) FILTER (benign_fired > 0 AND malicious_fired = 0) AS never_on_an_attack FROM t""")
 def rate_limits(spark, sf_dir):
-    return posture.limits(view(spark, sf_dir, "v_base_rate")).select(*map(joined, ("on_ordinary_traffic", "untested", "never_on_an_attack")))
+    return posture.limits(tally(spark, sf_dir, 1)).select(*map(joined, ("on_ordinary_traffic", "untested", "never_on_an_attack")))
 
 
 @query("heartbeat", "SELECT o_orderstatus = 'P' AS running, o_orderkey AS session_id, o_orderpriority AS name, CASE WHEN o_orderstatus = 'P' THEN 'running' ELSE 'done' END AS state FROM orders ORDER BY o_orderstatus = 'P' DESC, o_orderdate DESC, o_orderkey DESC LIMIT 1")
@@ -150,7 +150,7 @@ def component_capabilities(spark, sf_dir):
 def constant_calls(spark, sf_dir):
     n, q = F.col("l_linenumber"), F.col("l_quantity")
     api = F.when(n == 1, "Landroid/net/VpnService$Builder; addRoute").when(n == 2, "Landroid/view/WindowManager; addView").when(n == 3, "Landroid/view/accessibility/AccessibilityNodeInfo; performAction").otherwise("Landroid/content/pm/PackageManager; setComponentEnabledSetting")
-    calls = read(spark, sf_dir, "lineitem").where("l_linenumber <= 4").select(
+    calls = read(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("sample_id"), F.col("l_orderkey").alias("site"), F.when(F.col("l_returnflag") == "R", "library").otherwise("app").alias("owner"), F.split(api, " ")[0].alias("api_class"), F.split(api, " ")[1].alias("api_method"),
         F.array(F.when((n == 2) & (q < 20), 2038).when((n == 3) & (q < 30), 2097152).otherwise(1)).alias("constants"),
         F.array(F.when((n == 1) & (q < 10), "0.0.0.0").otherwise("10.0.0.0"), F.when(n == 1, "0").when((n == 4) & (q < 40), "2").otherwise("1")).alias("arguments"),

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import storage
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
@@ -118,16 +119,20 @@ def oracle(sql: str) -> str:
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
 
 
-#: Stands for the stored table of flows, which every rule reads: persisted on first use in a session, as the table would be.
+#: Stands for the stored table of flows, which every rule reads: written once for each session and folder of tables.
 STORED = ("v_flow",)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables of a folder."""
-    df = _view(spark, sf_dir, name)
-    if name in STORED and not df.is_cached and df.storageLevel == StorageLevel.NONE:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    if name not in STORED:
+        return _view(spark, sf_dir, name)
+    if not hasattr(spark, "_wiretide_tables"):
+        spark._wiretide_tables = {}
+    made = spark._wiretide_tables
+    if (sf_dir, name) not in made:
+        made[sf_dir, name] = storage.stored(_view(spark, sf_dir, name), name)
+    return made[sf_dir, name]
 
 
 def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
