@@ -55,48 +55,70 @@ def stream_gaps(segments: DataFrame) -> DataFrame:
     return s.where(F.col("offset") > F.col("reached")).select(*key, F.col("reached").alias("offset"), (F.col("offset") - F.col("reached")).alias("length"))
 
 
+STREAMS = "flow_id long, direction string, runs array<struct<offset:long,bytes:binary>>, gaps array<struct<offset:long,length:long>>, conflicts array<struct<offset:long,length:long,kept_from:long,contradicted_by:long>>, retransmissions int, bytes_recovered long, truncated boolean, mid_stream boolean"
+
+
 def reassemble(segments: DataFrame, limit: int = MAX_STREAM_BYTES) -> DataFrame:
-    """One row for each flow and direction: runs of bytes, gaps, conflicts, retransmissions.  The first arrival of a byte
-    wins; a later different copy is a conflict, kept on record.  A stream is held whole, up to limit bytes."""
-    schema = "flow_id long, direction string, runs array<struct<offset:long,bytes:binary>>, gaps array<struct<offset:long,length:long>>, conflicts array<struct<offset:long,length:long,kept_from:long,contradicted_by:long>>, retransmissions int, bytes_recovered long, truncated boolean, mid_stream boolean"
+    """One row for each flow and direction: runs of bytes, gaps, conflicts, retransmissions.
+
+    A stream is a union of intervals.  Segments in order of their offsets (then of arrival) reach as far as the greatest end
+    so far; a segment beyond that leaves a gap and opens a run; what it adds is its part beyond that, and the runs are these
+    parts put together.  What a segment covers again is compared with the run: equal, it is a retransmission, else a
+    conflict, of which the first arrival is kept.  A stream is held whole; one whose run comes to ``limit`` bytes ends there."""
 
     def build(key, pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("packet_no", kind="stable")
-        syn = pdf[pdf["syn"]]
-        data = pdf[[len(p or b"") > 0 for p in pdf["payload"]]]
-        base = int(syn["seq"].iloc[-1]) + 1 if len(syn) else int(data["seq"].iloc[0]) if len(data) else 0
-        pieces = sorted(((int(q) - base) % (1 << 32), k, bytes(p)) for q, p, k in zip(data["seq"], data["payload"], data["packet_no"], strict=True))
-        runs, gaps, conflicts, again, cut = [], [], [], 0, False
-        for offset, packet, body in pieces:
-            if runs and offset > runs[-1][0] + len(runs[-1][1]):
-                end = runs[-1][0] + len(runs[-1][1])
-                gaps.append({"offset": end, "length": offset - end})
-                runs.append((offset, bytearray(), []))
-            elif not runs:
-                runs.append((offset, bytearray(), []))
-            start, held, origin = runs[-1]
-            at = offset - start
-            both = min(len(body), len(held) - at)
-            if both > 0:
-                if held[at : at + both] == body[:both]:
-                    again += 1
-                else:
-                    owner = max(o for o in origin if o[0] <= at)[1]
-                    conflicts.append({"offset": offset, "length": both, "kept_from": int(owner), "contradicted_by": int(packet)})
-            new = body[max(0, len(held) - at) :]
-            if new:
-                origin.append((len(held), packet))
-                held += new
-            if sum(len(r[1]) for r in runs) >= limit:
-                cut = True
-                del held[max(0, limit - sum(len(r[1]) for r in runs[:-1])) :]
-                break
-        out = [{"offset": s, "bytes": bytes(h)} for s, h, _ in runs if h]
-        return pd.DataFrame([(key[0], key[1], out, gaps, conflicts, again, sum(len(r["bytes"]) for r in out), cut, not len(syn) and len(data) > 0)], columns=["flow_id", "direction", "runs", "gaps", "conflicts", "retransmissions", "bytes_recovered", "truncated", "mid_stream"])
-
-    return segments.groupBy("flow_id", "direction").applyInPandas(build, schema)
+        opening = pdf.loc[pdf["syn"], "seq"]
+        data = pdf[pdf["payload"].map(lambda p: len(p or b"") > 0)]
+        row = {"flow_id": key[0], "direction": key[1], "runs": [], "gaps": [], "conflicts": [], "retransmissions": 0, "bytes_recovered": 0, "truncated": False, "mid_stream": False}
+        if len(data):
+            base = int(opening.iloc[-1]) + 1 if len(opening) else int(data["seq"].iloc[0])
+            data = data.assign(offset=(data["seq"].astype("int64") - base) % (1 << 32)).sort_values(["offset", "packet_no"], kind="stable")
+            row |= union_of(data["offset"].to_numpy(), data["packet_no"].to_numpy(), [bytes(p) for p in data["payload"]], limit)
+            row["mid_stream"] = not len(opening)
+        return pd.DataFrame({k: pd.Series([v], dtype=object if isinstance(v, list) else None) for k, v in row.items()})
+
+    def union_of(offset, packet, bodies, limit):
+        import numpy as np
+
+        end = offset + np.array([len(b) for b in bodies])
+        reach = np.maximum.accumulate(end)
+        before = np.concatenate([offset[:1], reach[:-1]])  # how far the stream reaches before each segment
+        opens = np.concatenate([[True], offset[1:] > before[1:]])
+        run = np.cumsum(opens) - 1
+        starts = offset[opens]
+        full = np.flatnonzero(reach - starts[run] >= limit)
+        n = int(full[0]) + 1 if len(full) else len(bodies)
+        adds = np.maximum(0, end - np.maximum(offset, before))[:n]
+        parts = grouped(bodies, adds, run[:n])
+        parts[-1] = parts[-1][:limit] if len(full) else parts[-1]
+        again = np.flatnonzero((np.minimum(end, before) > offset)[:n] & ~opens[:n])
+        differ = []
+        for i in again.tolist():
+            at, size = int(offset[i] - starts[run[i]]), int(min(end[i], before[i]) - offset[i])
+            if parts[run[i]][at : at + size] != bodies[i][:size]:
+                differ.append((i, size))
+        giving = np.flatnonzero(adds > 0)  # segments that the bytes come from, by where they begin to
+        owner = giving[np.searchsorted(np.maximum(offset, before)[giving], offset[[i for i, _ in differ]], side="right") - 1] if differ else []
+        return {
+            "runs": [{"offset": int(s), "bytes": b} for s, b in zip(starts, parts, strict=False) if b],
+            "gaps": [{"offset": int(before[i]), "length": int(offset[i] - before[i])} for i in np.flatnonzero(opens[:n])[1:]],
+            "conflicts": [{"offset": int(offset[i]), "length": size, "kept_from": int(packet[o]), "contradicted_by": int(packet[i])} for (i, size), o in zip(differ, owner, strict=True)],
+            "retransmissions": len(again) - len(differ),
+            "bytes_recovered": sum(map(len, parts)),
+            "truncated": bool(len(full)),
+        }
+
+    def grouped(bodies, adds, run):
+        parts: list[list[bytes]] = [[] for _ in range(int(run[-1]) + 1)]
+        for b, k, r in zip(bodies, adds.tolist(), run.tolist(), strict=False):
+            parts[r].append(b[len(b) - k :])
+        return [b"".join(p) for p in parts]
+
+    return segments.groupBy("flow_id", "direction").applyInPandas(build, STREAMS)
+
 
 
 def transcript(streams: DataFrame, protocol: str) -> DataFrame:
