@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, DataSourceWriter, WriterCommitMessage
 
-from ..operators import exports
+from ..operators import aggregates, exports
 from ..sources import storage
 
 #: Records of one POST, and seconds before the first further try.
@@ -304,8 +304,8 @@ def alert_records(findings: DataFrame, fmt: str = "syslog", floor: str = "high",
     A claim is what its finding asserts: session, rule, subject and title."""
     chosen = exports.select_alerts(findings, floor, limit)
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("session_id", "rule_id", "subject_ip", "title")]
-    claims = chosen.select("finding_id", F.concat_ws("\x1f", *parts).alias("claim"))
-    records = exports.export(chosen.drop("place", "suppressed"), fmt).join(claims, "finding_id").select("claim", "record")
+    known = aggregates.techniques(chosen)
+    records = known.select(F.concat_ws("\x1f", *parts).alias("claim"), exports.FORMATS[fmt](known).alias("record"))
     more = chosen.where("suppressed > 0").groupBy("session_id").agg(F.max("suppressed").alias("n"), F.max("created").alias("created"))
     said = F.concat(F.col("n").cast("string"), F.lit(f" further findings of severity {floor} or above are withheld from session "), F.col("session_id").cast("string"))
     if fmt == "ecs":
