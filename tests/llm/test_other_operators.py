@@ -280,4 +280,4 @@ def test_pipeline(spark, sf_dir):
 
 def test_registry():
     entry = importlib.import_module("__spark_entry__")
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in entry.queries() if n.startswith("op")} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in entry.queries() if n.startswith("op")} and "pipeline" in entry.queries()

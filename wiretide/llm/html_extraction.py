@@ -58,7 +58,7 @@ HOME_WORDS = frozenset("article main content story post entry body text maincont
 PLACING_WORDS = frozenset(
     "area bar block body bottom box button card cell center col column component content fixed footer global group head header heading holder icon inner "
     "item items left link links list lists mobile module nav outer panel primary right row secondary section segment site slot small sticky "
-    "tab table tertiary text thread title top unit view zone form field user reader".split()
+    "tab table tertiary text thread title top unit view zone form field user reader posts articles stories news products videos images topics pages tags count".split()
 )
 WRAPPER_WORDS = frozenset("has with without no page wrapper wrap layout container content main article post entry body is".split())
 AWAY_TAGS = {"nav": 10.0, "footer": 10.0, "aside": 10.0, "button": 10.0, "menu": 10.0, "dialog": 10.0, "legend": 10.0, "fieldset": 10.0, "form": 10.0, "header": 5.0}
