@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from wiretide.operators import capabilities
+from wiretide.operators import capabilities, packages
 from wiretide.plans import compose
 from wiretide.sources import archives, binary_xml, elf
 
@@ -128,3 +128,14 @@ def test_manifests_of_packages(spark, tmp_path):
     assert [(r.capability, r.evidence) for r in capabilities.manifest_capabilities(m).orderBy("capability").collect()] == [("minimal_permission_set", "1 permissions"), ("targets_pre_marshmallow", "22")]
     assert [(r.capability, r.components) for r in capabilities.component_capabilities(capabilities.manifest_components(m)).collect()] == [("boot_start", ["R"])]
     assert [(r.indicator, r.entries) for r in capabilities.package_integrity(archives.read_headers(spark, root), m).collect()] == [("axml.attribute_size", 1)]
+
+
+def test_opaque_entries_announce_no_format(spark):
+    noise = bytes(range(256)) * 8
+    names = ["a", "lib/x/b.so", "classes2.dex", "dir/", "z.zip", "v.mp4", "flat", "small"]
+    heads = [noise, noise, noise, noise, b"PK\x03\x04" + noise, b"\0\0\0\x18ftyp" + noise, b"x" * 2048, noise]
+    rows = [(1, k, n, 10 if n == "small" else 5000, bytearray(h)) for k, (n, h) in enumerate(zip(names, heads, strict=True))]
+    rows += [(2, k, f"e{k}", 5000, bytearray(noise)) for k in range(10)] + [(3, 0, "empty", 5000, None)]
+    df = spark.createDataFrame(rows, "sample_id int, entry_no int, name string, size long, head binary")
+    got = packages.opaque_entries(df, 1000, 1 << 16, 7.9, most=4).collect()
+    assert sorted((r.sample_id, r.name) for r in got) == [(1, "a"), (2, "e0"), (2, "e1"), (2, "e2"), (2, "e3")]

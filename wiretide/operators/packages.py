@@ -150,3 +150,26 @@ def endpoints(texts: DataFrame, key: str, text: str) -> DataFrame:
 def opaque_payloads(entries: DataFrame, least: int = 1 << 20, sample: int = 1 << 16, bar: float = 7.99) -> DataFrame:
     """Large entries that look like encrypted data by the entropy of their head.  entries: sample_id, name, size, head."""
     return entries.where(F.col("size") >= least).withColumn("entropy", E.shannon_entropy(F.substring("head", 1, sample))).withColumn("opaque", F.col("entropy") >= bar)
+
+
+# First bytes of compressed formats, which look random too but say what they are; ISO media say so at byte 4.
+FORMATS = (
+    "504b0304", "504b0506", "89504e470d0a1a0a", "ffd8ff", "474946383761", "474946383961", "52494646", "4f676753", "664c6143", "494433",
+    "1f8b", "fd377a585a00", "377abcaf271c", "425a68", "28b52ffd", "774f4646", "774f4632", "00010000", "4f54544f",
+)
+MEDIA = "66747970"
+
+
+def opaque_entries(entries: DataFrame, least: int = 1_000_000, sample: int = 1 << 16, bar: float = 7.99, most: int = 64) -> DataFrame:
+    """sample_id, name, size, entropy: entries outside the code that look like encrypted data and announce no format.
+
+    entries: sample_id, entry_no, name, size, head.  Of a package the first ``most`` entries in question are looked at."""
+    code = F.startswith("name", F.lit("lib/")) | (F.startswith("name", F.lit("classes")) & F.endswith("name", F.lit(".dex"))) | F.endswith("name", F.lit("/"))
+    asked = entries.where(~code & (F.col("size") >= least))
+    nth = F.row_number().over(Window.partitionBy("sample_id").orderBy("entry_no"))
+    head = F.lower(F.hex(F.substring("head", 1, 8)))
+    known = F.substring(head, 9, 8) == MEDIA
+    for f in FORMATS:
+        known = known | F.startswith(head, F.lit(f))
+    looked = asked.withColumn("nth", nth).where(F.col("nth") <= most).where(~F.coalesce(known, F.lit(True)))
+    return looked.select("sample_id", "name", "size", E.shannon_entropy(F.substring("head", 1, sample)).alias("entropy")).where(F.col("entropy") >= bar)

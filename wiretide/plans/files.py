@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import capabilities, flows, tables
+from ..operators import capabilities, flows, packages, tables
 from ..sinks import delivery
 from ..sources import archives, captures, storage
 from . import compose
@@ -137,3 +137,15 @@ def package_manifests(spark, sf_dir):
     manifests = storage.stored(archives.read_manifests(spark, root), "package-manifests")
     declared = capabilities.component_capabilities(capabilities.manifest_components(manifests)).withColumn("evidence", F.array_join("components", "|")).drop("components")
     return numbered(spark, root, declared.unionByName(capabilities.manifest_capabilities(manifests)))
+
+
+# Of the entries made of pages' bytes (kinds 4 and 5), those whose first 500 bytes are varied; without those whose forged
+# method makes them read as they are packed.
+@query("package_payloads", """WITH e AS (SELECT CAST(floor(page_id / 5) AS BIGINT) AS sample_id, page_id, hex(encode(html)) AS h FROM pages WHERE page_id % 6 IN (4, 5) AND strlen(html) >= 600 AND NOT floor(page_id / 6) % 15 = 6), c AS (SELECT sample_id, page_id, substr(h, 2 * CAST(i AS INT) + 1, 2) AS b FROM e, range(500) t(i)), k AS (SELECT sample_id, page_id, b, count(*) AS k FROM c GROUP BY ALL),
+x AS (SELECT sample_id, page_id, round_even(-sum(k / 500 * log2(k / 500)) * 1e4, 0) / 1e4 AS entropy FROM k GROUP BY sample_id, page_id) SELECT sample_id, count(*) AS entries, max(entropy) AS entropy FROM x WHERE entropy >= 4.5 GROUP BY sample_id""")
+def package_payloads(spark, sf_dir):
+    root = written_packages(spark, sf_dir)
+    heads = archives.read_heads(spark, root, 600, 500).where("NOT name LIKE 'assets/%' AND name <> 'AndroidManifest.xml'")
+    heads = heads.where(F.floor(F.regexp_extract("name", r"(\d+)$", 1).cast("long") / 6) % 15 != 6)
+    found = packages.opaque_entries(heads, 600, 500, 4.5).groupBy("sample_id").agg(F.count("*").alias("entries"), F.max("entropy").alias("entropy"))
+    return numbered(spark, root, found)

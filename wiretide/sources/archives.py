@@ -258,3 +258,21 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
             yield _frame(out, MANIFESTS)
 
     return _files(spark, path).mapInPandas(run, MANIFESTS)
+
+
+HEADS = "sample_id long, entry_no int, name string, size long, head binary"
+
+
+def read_heads(spark: SparkSession, path: str, least: int = 1_000_000, window: int = 1 << 16, most: int = 64) -> DataFrame:
+    """The first bytes of the large entries of each package, for ``packages.opaque_entries``; libraries and code are left
+    out, and no more than ``most`` entries of a package are read, however it is built."""
+
+    def run(parts: Iterator) -> Iterator:
+        for part in parts:
+            out = []
+            for r, archive, _ in each_archive(part):
+                large = [e for e in archive.entries if e.size >= least and not e.name.startswith("lib/") and not e.name.endswith("/") and not (e.name.startswith("classes") and e.name.endswith(".dex"))] if archive else []
+                out += [(r.sample_id, e.number, e.name, e.size, archive.content(e, window)) for e in large[:most]]
+            yield _frame(out, HEADS)
+
+    return _files(spark, path).mapInPandas(run, HEADS)
