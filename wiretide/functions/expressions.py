@@ -197,17 +197,17 @@ def madm(s: Column) -> Column:
 
 
 def shannon_entropy(data: Column | str) -> Column:
-    """Bits for each byte of a binary column, to 4 digits; 0 if empty.  Sorts the bytes and measures the runs."""
-    h = F.hex(col(data))
-    n = F.length(h) / 2
-    octets = F.sort_array(F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), lambda i: F.substr(h, i * 2 - 1, F.lit(2))))
+    """Bits for each byte of a binary column, to 4 digits; 0 if empty.  One character stands for each byte; those that
+    occur are counted by what is left without them."""
+    n = F.octet_length(col(data))
 
     def of(s):
-        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i)))
-        runs = let(ends, lambda e: F.transform(e, lambda x, k: x - F.coalesce(F.get(e, k - 1), F.lit(0))))
-        return F.aggregate(runs, F.lit(0.0), lambda a, c: a - c / F.size(s) * F.log2(c / F.size(s)))
+        kinds = F.sort_array(F.array_distinct(F.split(s, "")))
+        count = lambda b: (F.octet_length(s) - F.octet_length(F.replace(s, b, F.lit("")))) / F.octet_length(b)
+        counts = F.transform(kinds, count)
+        return F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n * F.log2(c / n))
 
-    return F.when(n >= 1, rnd(let(octets, of), 4)).otherwise(F.lit(0.0))
+    return F.when(n >= 1, rnd(let(F.decode(col(data), "iso-8859-1"), of), 4)).otherwise(F.lit(0.0))
 
 
 def dns_features(name: Column | str) -> Column:
