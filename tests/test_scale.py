@@ -39,3 +39,22 @@ def test_entropy_of_a_long_text(spark):
     shares = [data.count(bytes([b])) / len(data) for b in set(data)]
     assert got == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-4)
     assert time.monotonic() - began < 20
+
+
+def test_upper_bound_of_many(spark):
+    cases = [(1, 3), (7, 8), (99, 100), (60, 1_000), (6_000, 60_000), (59_990, 60_000)]
+
+    def bound(k, n, lo=0.0, hi=1.0):
+        c = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(k + 1)]
+        for _ in range(30):
+            p = (lo + hi) / 2
+            few = math.fsum(math.exp(c[i] + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+            lo, hi = (p, hi) if few > 0.05 else (lo, p)
+        return hi
+
+    began = time.monotonic()
+    got = [r[0] for r in spark.createDataFrame(cases, "k long, n long").select(E.binomial_upper(F.col("k"), F.col("n"))).collect()]
+    assert time.monotonic() - began < 20
+    assert got == pytest.approx([bound(k, n) for k, n in cases], abs=1e-7)
+    with pytest.raises(ValueError):
+        E.binomial_upper(F.lit(1), F.lit(2), 0.5)
