@@ -58,3 +58,9 @@ def test_upper_bound_of_many(spark):
     assert got == pytest.approx([bound(k, n) for k, n in cases], abs=1e-7)
     with pytest.raises(ValueError):
         E.binomial_upper(F.lit(1), F.lit(2), 0.5)
+
+
+def test_limits_without_a_rule(spark, tmp_path):
+    parts = [(i, f"Brand#{i % 2}", 1) for i in range(12)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").coalesce(1).toPandas().to_parquet(tmp_path / "part.parquet")
+    assert against_sql(spark, "rate_limits", tmp_path, "part") == [("Brand#0|Brand#1", None, None)]
