@@ -64,3 +64,11 @@ def test_limits_without_a_rule(spark, tmp_path):
     parts = [(i, f"Brand#{i % 2}", 1) for i in range(12)]
     spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int").coalesce(1).toPandas().to_parquet(tmp_path / "part.parquet")
     assert against_sql(spark, "rate_limits", tmp_path, "part") == [("Brand#0|Brand#1", None, None)]
+
+
+def test_a_value_seen_and_listed_often(spark):
+    flows = spark.range(600).selectExpr("1L AS session_id", "id AS flow_id", "'10.0.0.1' AS src_ip", "'10.0.0.1' AS initiator_ip", "'198.51.0.1' AS dst_ip", "100D - id AS first_seen", "'a.evil.com' AS tls_sni")
+    dns = spark.createDataFrame([], "session_id long, src_ip string, flow_id long, timestamp double, query_name string")
+    listed = spark.range(500).selectExpr("1L AS feed_id", "IF(id % 2 = 0, 'ipv4', 'domain') AS kind", "IF(id % 2 = 0, '198.51.0.1', 'evil.com') AS value", "'c' || id AS context")
+    got = {r.seen_in: (r.value, r.n, r.seen, r.flow_id, r.context) for r in rules.ioc_hits(flows, dns, listed, CTX).collect()}
+    assert got == {"address": ("198.51.0.1", 150_000, -499.0, 599, "c0"), "server name": ("evil.com", 150_000, -499.0, 599, "c1")}

@@ -239,26 +239,34 @@ def dns_subdomain_volume(dns: DataFrame, flows: DataFrame, ctx: Context) -> Data
 
 
 def ioc_hits(flows: DataFrame, dns: DataFrame, indicators: DataFrame, ctx: Context) -> DataFrame:
-    """session_id, subject, kind, value, seen_in, flow_id, ts: each place where a listed address or name appears.
+    """session_id, subject, feed_id, kind, value, seen_in, n, seen (first time), flow_id (of the first), context: where a listed address or
+    name appears, how often and when first.
 
     Addresses match an external end of a flow; names match a label suffix of a server name, HTTP host or query.  Listed
-    URLs never match traffic."""
+    URLs never match traffic.  Both sides are counted by value before they meet: a value that n rows hold and that a feed
+    lists m times is seen n * m times, without its pairs."""
     f = flows.withColumn("host", E.initiator())
-    ends = f.select("session_id", "host", "flow_id", F.col("first_seen").alias("ts"), F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))).alias("value")).where(~E.in_nets("value", ctx.home))
-    a = ends.join(indicators.where(F.col("kind").isin("ipv4", "ipv6")), "value").withColumn("seen_in", F.lit("address"))
-    named = [f.select("session_id", "host", "flow_id", F.col("first_seen").alias("ts"), F.col(c).alias("name"), F.lit(w).alias("seen_in")) for c, w in (("tls_sni", "server name"), ("http_host", "http host")) if c in flows.columns]
-    named.append(dns.select("session_id", F.col("src_ip").alias("host"), "flow_id", F.col("timestamp").alias("ts"), F.col("query_name").alias("name"), F.lit("dns query").alias("seen_in")))
+    at = F.struct(F.col("first_seen").alias("ts"), "flow_id").alias("at")
+    ends = f.select("session_id", "host", at, F.explode(F.array_distinct(F.array("src_ip", "dst_ip"))).alias("value")).where(~E.in_nets("value", ctx.home)).withColumn("seen_in", F.lit("address"))
+    named = [f.select("session_id", "host", at, F.col(c).alias("name"), F.lit(w).alias("seen_in")) for c, w in (("tls_sni", "server name"), ("http_host", "http host")) if c in flows.columns]
+    named.append(dns.select("session_id", F.col("src_ip").alias("host"), F.struct(F.col("timestamp").alias("ts"), "flow_id").alias("at"), F.col("query_name").alias("name"), F.lit("dns query").alias("seen_in")))
     n = named[0]
     for other in named[1:]:
         n = n.unionByName(other)
-    n = n.where("name <> ''").withColumn("value", F.explode(E.label_suffixes("name"))).join(indicators.where("kind = 'domain'"), "value")
-    cols = ["session_id", F.col("host").alias("subject"), "kind", "value", "context", "feed_id", "seen_in", "flow_id", "ts"]
+    key = ["session_id", "host", "seen_in"]
+    count = [F.count("*").alias("times"), F.min("at.ts").alias("seen"), F.min("at").alias("first")]
+    n = n.where("name <> ''").groupBy(*key, "name").agg(*count)
+    n = n.withColumn("value", F.explode(E.label_suffixes("name"))).groupBy(*key, "value").agg(F.sum("times").alias("times"), F.min("seen").alias("seen"), F.min("first").alias("first"))
+    listed = indicators.groupBy("feed_id", "kind", "value").agg(F.count("*").alias("listed"), F.min("context").alias("context"))
+    a = ends.groupBy(*key, "value").agg(*count).join(listed.where(F.col("kind").isin("ipv4", "ipv6")), "value")
+    n = n.join(listed.where("kind = 'domain'"), "value")
+    cols = ["session_id", F.col("host").alias("subject"), "feed_id", "kind", "value", "seen_in", (F.col("times") * F.col("listed")).alias("n"), "seen", F.col("first.flow_id").alias("flow_id"), "context"]
     return a.select(*cols).unionByName(n.select(*cols))
 
 
 def ioc_matches(flows: DataFrame, dns: DataFrame, indicators: DataFrame, feeds: DataFrame, ctx: Context) -> DataFrame:
     """feeds: feed_id, name, published_on and retrieved_on in epoch seconds (either may be NULL)."""
-    g = ioc_hits(flows, dns, indicators, ctx).groupBy("session_id", "subject", "feed_id", "kind", "value", "seen_in").agg(F.count("*").alias("n"), F.min("ts").alias("seen"), F.min_by("flow_id", F.struct("ts", "flow_id")).alias("flow_id"), F.min("context").alias("context"))
+    g = ioc_hits(flows, dns, indicators, ctx)
     g = g.join(feeds, "feed_id").withColumn("stale_days", E.rnd((F.coalesce("published_on", "retrieved_on") - F.col("seen")) / 86400, 1))
     return finding(
         g, "IOC_FEED_MATCH", "indicator", F.when(F.col("stale_days") > ctx.t("ioc_stale_days"), "medium").otherwise("high"), F.lit(1.0), F.col("subject"), F.col("flow_id"),
