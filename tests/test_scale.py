@@ -72,3 +72,16 @@ def test_a_value_seen_and_listed_often(spark):
     listed = spark.range(500).selectExpr("1L AS feed_id", "IF(id % 2 = 0, 'ipv4', 'domain') AS kind", "IF(id % 2 = 0, '198.51.0.1', 'evil.com') AS value", "'c' || id AS context")
     got = {r.seen_in: (r.value, r.n, r.seen, r.flow_id, r.context) for r in rules.ioc_hits(flows, dns, listed, CTX).collect()}
     assert got == {"address": ("198.51.0.1", 150_000, -499.0, 599, "c0"), "server name": ("evil.com", 150_000, -499.0, 599, "c1")}
+
+
+def test_a_host_of_many_samples_and_queries(spark):
+    n = 30_000
+    endpoints = spark.range(n).selectExpr("id AS sample_id", "'h' AS value", "'name' AS scope")
+    dns = spark.range(n).selectExpr("'H' AS query_name", "id % 7 AS session_id", "'10.0.' || id AS src_ip")
+    flows = spark.createDataFrame([], "session_id long, src_ip string, dst_ip string, dst_port int")
+    listed = spark.createDataFrame([(1, "h"), (1, "h"), (2, "h")], "feed_id long, value string")
+    began = time.monotonic()
+    got = evidence.correlate(endpoints, dns, flows, listed).groupBy("kind").agg(F.count("*").alias("n"), F.max("session_id").alias("s"), F.max("detail").alias("d")).collect()
+    assert time.monotonic() - began < 60
+    last = sorted(f"resolved by 10.0.{i}" for i in range(0, n, 7))[59]
+    assert {r.kind: (r.n, r.s, r.d) for r in got} == {"dns": (n * 60, 0, last), "feed": (n * 2, None, "listed in feed 2")}

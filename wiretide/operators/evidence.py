@@ -17,11 +17,18 @@ def correlate(endpoints: DataFrame, dns: DataFrame, flows: DataFrame, indicators
     endpoints: sample_id, value, scope ('name', 'global', 'private', 'url').  At most limit rows of a kind for each sample,
     in a fixed order."""
     hosts, ips = endpoints.where("scope = 'name'"), endpoints.where("scope = 'global'")
-    a = hosts.join(dns.select(F.lower("query_name").alias("value"), "session_id", F.concat(F.lit("resolved by "), "src_ip").alias("detail")), "value").withColumn("kind", F.lit("dns"))
-    b = ips.join(flows.select(F.col("dst_ip").alias("value"), "session_id", F.format_string("contacted by %s on port %d", "src_ip", "dst_port").alias("detail")), "value").withColumn("kind", F.lit("flow"))
-    c = endpoints.join(indicators.select("value", F.lit(None).cast("long").alias("session_id"), F.concat(F.lit("listed in feed "), F.col("feed_id").cast("string")).alias("detail")), "value").withColumn("kind", F.lit("feed"))
+    asked = dns.select(F.lower("query_name").alias("value"), "session_id", F.concat(F.lit("resolved by "), "src_ip").alias("detail"))
+    reached = flows.select(F.col("dst_ip").alias("value"), "session_id", F.format_string("contacted by %s on port %d", "src_ip", "dst_port").alias("detail"))
+    listed = indicators.select("value", F.lit(None).cast("long").alias("session_id"), F.concat(F.lit("listed in feed "), F.col("feed_id").cast("string")).alias("detail"))
+
+    def first(seen):
+        """What one value can add to a sample: its first rows in the order, each once."""
+        w = Window.partitionBy("value").orderBy("session_id", "detail")
+        return seen.distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).drop("nth")
+
+    parts = [e.distinct().join(first(seen), "value").withColumn("kind", F.lit(kind)) for e, seen, kind in ((hosts, asked, "dns"), (ips, reached, "flow"), (endpoints, listed, "feed"))]
     cols = ["sample_id", "kind", F.col("value").alias("indicator"), "session_id", "detail"]
-    rows = a.select(*cols).unionByName(b.select(*cols)).unionByName(c.select(*cols)).distinct()
+    rows = parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(parts[2].select(*cols)).distinct()
     w = Window.partitionBy("sample_id", "kind").orderBy("indicator", "session_id", "detail")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("place")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..operators import aggregates, anomaly, custody, evidence, exports, flows, governance, packages, rules, transport
-from .views import oracle, view
+from .views import once, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -646,7 +646,7 @@ def beacon_groups(spark, sf_dir):
 SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY sample_id, kind ORDER BY indicator, session_id, detail) <= 60""")
 def indicator_correlation(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("sample_id"), F.split("url", "/")[2].alias("value"), F.lit("name").alias("scope"))
-    return evidence.correlate(e, view(spark, sf_dir, "v_dns"), v_flow(spark, sf_dir), view(spark, sf_dir, "v_indicator"))
+    return evidence.correlate(e, view(spark, sf_dir, "v_dns"), once(spark, sf_dir, "v_flow"), view(spark, sf_dir, "v_indicator"))
 
 
 @query("package_chains", "SELECT exhibit_id, CAST(NULL AS INT) AS sequence, 'recorded count differs' AS problem FROM (SELECT DISTINCT exhibit_id FROM v_custody) WHERE exhibit_id % 7 = 1")
