@@ -46,21 +46,34 @@ def medians(f: DataFrame, names: list[str], by: str, accuracy: int = 10_000) ->
     return brackets.select(by).join(middle.groupBy(by).agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"m_{c}") for c in names]), by, "left")
 
 
-def robust_z(f: DataFrame, names: list[str]) -> DataFrame:
-    """z of each feature from median and MAD; from the deviation where the MAD is 0; capped where the feature is constant."""
-    f = storage.stored(f.select("session_id", "flow_id", *names), "features")
+def centres(f: DataFrame, names: list[str]) -> DataFrame:
+    """session_id and the median (m_<name>), MAD (a_<name>) and deviation (s_<name>) of each feature.
+
+    Stored, a row for each session: the joins of the flows with it then need no exchange of the flows, which a session's
+    number would deal to a few tasks."""
     spread = f.groupBy("session_id").agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in names])
-    d = f.join(medians(f, names, "session_id").join(spread, "session_id"), "session_id")
-    off = d.select("session_id", *[F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
+    m = storage.stored(medians(f, names, "session_id").join(spread, "session_id"), "centres")
+    off = f.join(m, "session_id").select("session_id", *[F.abs(F.col(c) - F.col(f"m_{c}")).alias(c) for c in names])
     mad = medians(off, names, "session_id").select("session_id", *[(F.col(f"m_{c}") * SIGMA).alias(f"a_{c}") for c in names])
-    d = d.join(mad, "session_id")
+    return storage.stored(m.join(mad, "session_id"), "spreads")
+
+
+def z_scores(f: DataFrame, at: DataFrame, names: list[str]) -> DataFrame:
+    """f with z in place of each feature: from median and MAD; from the deviation where the MAD is 0; capped where the
+    feature is constant.  at: as ``centres`` gives it."""
 
     def z(c):
         off = F.col(c) - F.col(f"m_{c}")
         spread = F.when(F.col(f"a_{c}") < 1e-9, F.col(f"s_{c}")).otherwise(F.col(f"a_{c}"))
         return F.when(spread < 1e-9, F.when(off == 0, 0.0).otherwise(F.signum(off) * CONSTANT_Z)).otherwise(off / spread)
 
-    return d.select("session_id", "flow_id", *[z(c).alias(c) for c in names])
+    return f.join(at, "session_id").select(*[c for c in f.columns if c not in names], *[z(c).alias(c) for c in names])
+
+
+def robust_z(f: DataFrame, names: list[str]) -> DataFrame:
+    """z of each feature among all flows of its session."""
+    f = storage.stored(f.select("session_id", "flow_id", *names), "features")
+    return z_scores(f, centres(f, names), names)
 
 
 def explain(z: DataFrame, names: list[str], bar: float = 2.0) -> DataFrame:
@@ -125,17 +138,6 @@ def _grow(x, rng, depth: int = 0, limit: int = 8):
     return node
 
 
-def _depths(node, x, depth: int = 0):
-    import numpy as np
-
-    if "c" not in node:
-        return np.full(len(x), depth + _average(node["n"]))
-    out = np.empty(len(x))
-    left = x[:, node["c"]] < node["cut"]
-    out[left], out[~left] = _depths(node["l"], x[left], depth + 1), _depths(node["r"], x[~left], depth + 1)
-    return out
-
-
 def outliers(flows: DataFrame, contamination: float = 0.02, least: int = 50, cap: int = 50) -> DataFrame:
     """Flows that the forest isolates and a feature explains: at most cap for each session of enough flows."""
     enough = flows.groupBy("session_id").count().where(F.col("count") >= least).select("session_id")
@@ -166,3 +168,14 @@ def findings(flows: DataFrame, **options) -> DataFrame:
         F.concat(F.lit("Set apart from the other flows of this capture by "), F.array_join(F.slice(said, 1, 3), ", "), F.lit(". A statistical signal: no threshold was compared and nothing is proven by it.")),
         F.struct(F.lit("isolation forest over this capture alone").alias("model"), F.round("score", 4).alias("isolation_score"), F.col("reasons").alias("unusual_features"), F.lit(LIMIT).alias("limitation")),
     ).withColumn("method", F.lit("model"))
+
+
+def _depths(node, x, depth: int = 0):
+    import numpy as np
+
+    if "c" not in node:
+        return np.full(len(x), depth + _average(node["n"]))
+    out = np.empty(len(x))
+    left = x[:, node["c"]] < node["cut"]
+    out[left], out[~left] = _depths(node["l"], x[left], depth + 1), _depths(node["r"], x[~left], depth + 1)
+    return out
