@@ -85,3 +85,9 @@ def test_a_host_of_many_samples_and_queries(spark):
     assert time.monotonic() - began < 60
     last = sorted(f"resolved by 10.0.{i}" for i in range(0, n, 7))[59]
     assert {r.kind: (r.n, r.s, r.d) for r in got} == {"dns": (n * 60, 0, last), "feed": (n * 2, None, "listed in feed 2")}
+
+
+def test_sessions_do_not_deal_out_their_flows(spark, sf_dir):
+    flows = views.view(spark, sf_dir, "v_flow")
+    for df in (QUERIES["robust_z"](spark, sf_dir), rules.exfiltration(flows, CTX)):
+        assert "SortMergeJoin" not in strategy(df)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from ..sources import storage
 from . import anomaly
 
 # Ports that carry sustained sessions.
@@ -135,15 +136,17 @@ def exfil_volume(flows: DataFrame, ctx: Context) -> DataFrame:
     w = Window.partitionBy("session_id")
     at = F.least((F.col("n") * ctx.t("exfil_volume_percentile") / 100).cast("long"), F.col("n") - 1)
     steps = steps.withColumns({"upto": F.sum("k").over(w.orderBy("step")), "n": F.sum("k").over(w)}).withColumn("at", at - (F.col("upto") - F.col("k")))
-    held = steps.where((F.col("at") >= 0) & (F.col("at") < F.col("k"))).select("session_id", "step", "at")
+    held = storage.stored(steps.where((F.col("at") >= 0) & (F.col("at") < F.col("k"))).select("session_id", "step", "at"), "steps")
     values = s.join(held, ["session_id", "step"]).groupBy("session_id", "at", "bytes_sent").agg(F.count("*").alias("k"))
     value = values.withColumn("upto", F.sum("k").over(Window.partitionBy("session_id").orderBy("bytes_sent"))).where(F.col("upto") > F.col("at")).groupBy("session_id").agg(F.min("bytes_sent").alias("v"))
     return value.select("session_id", F.greatest("v", F.lit(ctx.t("exfil_absolute_floor")).cast("long")).alias("volume"))
 
 
 def exfiltration(flows: DataFrame, ctx: Context) -> DataFrame:
-    """Large one-sided uploads; peers inside count too."""
-    f = flows.join(exfil_volume(flows, ctx), "session_id").withColumns({"host": E.initiator(), "peer": E.peer()})
+    """Large one-sided uploads; peers inside count too.
+
+    The volumes, a row for each session, are stored: the flows join them where they are, not dealt out by session."""
+    f = flows.join(storage.stored(exfil_volume(flows, ctx), "volumes"), "session_id").withColumns({"host": E.initiator(), "peer": E.peer()})
     f = f.where(~E.is_link_scoped("peer") & ~E.is_link_scoped("dst_ip"))
     received = F.when(F.coalesce("bytes_received", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("bytes_received"))
     f = f.withColumn("ratio", F.col("bytes_sent") / received).where((F.col("bytes_sent") >= F.col("volume")) & (F.col("ratio") >= ctx.t("exfil_ratio")))
