@@ -91,3 +91,21 @@ def test_sessions_do_not_deal_out_their_flows(spark, sf_dir):
     flows = views.view(spark, sf_dir, "v_flow")
     for df in (QUERIES["robust_z"](spark, sf_dir), rules.exfiltration(flows, CTX)):
         assert "SortMergeJoin" not in strategy(df)
+
+
+def test_findings_read_once_write_no_flows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(spark, "_wiretide_tables", {}, raising=False)
+    for name in ("severity_share", "base_rate_annotation"):
+        QUERIES[name](spark, sf_dir).count()
+    assert not spark._wiretide_tables
+
+
+def test_lines_meet_orders_once(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = strategy(views._view(spark, sf_dir, "v_flow"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    inner, outer = sorted((line for line in plan.splitlines() if "SortMergeJoin" in line), key=len)[::-1]
+    assert "o_custkey" in inner and "l_orderkey" in outer and plan.index(outer) < plan.index(inner)
