@@ -93,6 +93,13 @@ def test_sessions_do_not_deal_out_their_flows(spark, sf_dir):
         assert "SortMergeJoin" not in strategy(df)
 
 
+def test_alerts_pass_on_few_rows(spark):
+    f = spark.range(1_000).selectExpr("id % 2 AS session_id", "id AS finding_id", "'high' AS severity", "1D AS confidence")
+    chosen = exports.select_alerts(f, limit=3)
+    assert "WindowGroupLimit" in strategy(chosen)
+    assert sorted((r.session_id, r.finding_id, r.place, r.suppressed) for r in chosen.collect()) == [(s, s + 2 * k, k + 1, 497) for s in (0, 1) for k in range(3)]
+
+
 def test_findings_read_once_write_no_flows(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(spark, "_wiretide_tables", {}, raising=False)
     for name in ("severity_share", "base_rate_annotation"):

@@ -78,9 +78,10 @@ def export(findings: DataFrame, fmt: str = "ecs") -> DataFrame:
 def select_alerts(findings: DataFrame, floor: str = "high", limit: int = 100) -> DataFrame:
     """The gravest findings at or above the floor, at most limit for each session; suppressed says how many were left out."""
     f = findings.withColumn("rank", E.severity_rank()).where(F.col("rank") >= E.SEVERITY_RANK[floor])
-    w = Window.partitionBy("session_id")
-    f = f.withColumns({"place": F.row_number().over(w.orderBy(F.desc("rank"), F.desc("confidence"), "finding_id")), "suppressed": F.greatest(F.count("*").over(w) - limit, F.lit(0))})
-    return f.where(F.col("place") <= limit).drop("rank")
+    # The place alone is a window, so that each task passes on no more than limit rows of a session; counts are added up.
+    first = f.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("rank"), F.desc("confidence"), "finding_id"))).where(F.col("place") <= limit)
+    counts = f.groupBy(F.col("session_id").alias("of_session")).agg(F.count("*").alias("n"))
+    return first.join(counts, F.col("session_id").eqNullSafe(F.col("of_session"))).withColumn("suppressed", F.greatest(F.col("n") - limit, F.lit(0))).drop("rank", "n", "of_session")
 
 
 def fresh(findings: DataFrame, alerted: DataFrame) -> DataFrame:
