@@ -116,3 +116,19 @@ def test_lines_meet_orders_once(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     inner, outer = sorted((line for line in plan.splitlines() if "SortMergeJoin" in line), key=len)[::-1]
     assert "o_custkey" in inner and "l_orderkey" in outer and plan.index(outer) < plan.index(inner)
+
+
+def test_flat_trees_give_the_same_paths():
+    import numpy as np
+
+    def depth(node, row, level=0):
+        if "c" not in node:
+            return level + anomaly._average(node["n"])
+        return depth(node["l"] if row[node["c"]] < node["cut"] else node["r"], row, level + 1)
+
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    trees = [anomaly._grow(x[rng.choice(300, 64, replace=False)], rng) for _ in range(9)] + [anomaly._grow(x[:1], rng)]
+    x[3, 2] = np.nan
+    got = anomaly._mean_depth(x, *anomaly._flattened(trees, 4))
+    assert got.tolist() == pytest.approx([np.mean([depth(t, row) for t in trees]) for row in x], abs=1e-12)

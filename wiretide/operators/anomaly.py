@@ -83,40 +83,44 @@ def explain(z: DataFrame, names: list[str], bar: float = 2.0) -> DataFrame:
 
 
 def isolation_scores(f: DataFrame, names: list[str], trees: int = 200, sample: int = 256, seed: int = 0) -> DataFrame:
-    """session_id, flow_id, score in (0, 1): higher is easier to isolate.
+    """f with a score in (0, 1): higher is easier to isolate.
 
-    Each tree is grown on a sample of bounded size (the flows with the least hashes for that tree), collected to the
-    driver; scoring is a map over all flows, so its cost is linear and nothing is gathered."""
+    Each tree is grown on a sample of bounded size (of the flows with the least hashes of each of 16 shards), collected to
+    the driver; scoring is a map over all flows, so its cost is linear and nothing is gathered.  Only flows with hashes so
+    small that a shard has twice what it gives are ranked."""
     import numpy as np
     from pyspark.sql import functions as G
 
-    spark_sessions = [r["session_id"] for r in f.select("session_id").distinct().collect()]
+    counts = storage.stored(f.groupBy("session_id").agg(G.count("*").alias("n")), "counts")
+    spark_sessions = [r["session_id"] for r in counts.select("session_id").collect()]
     forests = {}
     pool = min(trees * sample, 20_000)
     w = Window.partitionBy("session_id", "shard").orderBy("h", "flow_id")
-    hashed = f.withColumn("h", G.xxhash64(G.lit(seed), "flow_id")).withColumn("shard", G.pmod("h", G.lit(16)))
+    hashed = f.withColumn("h", G.xxhash64(G.lit(seed), "flow_id")).join(counts, "session_id").where((G.col("h") / 2.0**64 + 0.5) * G.col("n") <= 2 * pool)
+    hashed = hashed.withColumn("shard", G.pmod("h", G.lit(16)))
     rows = hashed.withColumn("nth", G.row_number().over(w)).where(G.col("nth") <= pool // 16).select("session_id", "h", "flow_id", *names).collect()
     for s in spark_sessions:
         mine = sorted((r for r in rows if r["session_id"] == s), key=lambda r: (r["h"], r["flow_id"]))
         x = np.array([[r[c] for c in names] for r in mine], dtype=float)
         rng = np.random.default_rng([seed, int(s) & 0xFFFFFFFF])
-        forests[s] = [_grow(x[rng.choice(len(x), min(sample, len(x)), replace=False)], rng) for _ in range(trees)]
+        forests[s] = (min(sample, len(x)), *_flattened([_grow(x[rng.choice(len(x), min(sample, len(x)), replace=False)], rng) for _ in range(trees)], len(names)))
 
     def score(batches):
         import numpy as np
-        import pandas as pd
 
         for pdf in batches:
             x = pdf[names].to_numpy(dtype=float)
             out = np.zeros(len(pdf))
             for s in pdf["session_id"].unique():
                 at = np.flatnonzero(pdf["session_id"] == s)
-                n = min(sample, forests[s][0]["n"])
-                depth = np.mean([_depths(t, x[at]) for t in forests[s]], axis=0)
-                out[at] = 2.0 ** (-depth / max(_average(n), 1e-9))
-            yield pd.DataFrame({"session_id": pdf["session_id"], "flow_id": pdf["flow_id"], "score": out})
+                n, cuts, flat = forests[s]
+                for lo in range(0, len(at), BLOCK):  # what a block needs stays in the cache
+                    mine = at[lo : lo + BLOCK]
+                    out[mine] = 2.0 ** (-_mean_depth(x[mine], cuts, flat) / max(_average(n), 1e-9))
+            yield pdf.assign(score=out)
 
-    return f.mapInPandas(score, "session_id long, flow_id long, score double")
+    kinds = ", ".join(f"`{c}` double" for c in names)
+    return f.select("session_id", "flow_id", *names).mapInPandas(score, f"session_id long, flow_id long, {kinds}, score double")
 
 
 def _average(n: float) -> float:
@@ -138,16 +142,70 @@ def _grow(x, rng, depth: int = 0, limit: int = 8):
     return node
 
 
+def _flattened(trees: list[dict], n_features: int):
+    """The cuts of each feature over all trees, sorted, and each tree as arrays: depth, and by node its feature, the place
+    of its cut among those of the feature, its left child (the right one follows it) and the path length if it is a leaf.
+
+    A value is then looked up once among its feature's cuts, and trees compare small integers."""
+    import numpy as np
+
+    cuts: list[set] = [set() for _ in range(n_features)]
+    listed = []
+    for tree in trees:
+        nodes, at, depth = [(tree, 0)], 0, 0
+        left = []
+        while at < len(nodes):
+            node, level = nodes[at]
+            depth = max(depth, level)
+            if "c" in node:
+                cuts[node["c"]].add(node["cut"])
+                left.append(len(nodes))
+                nodes += [(node["l"], level + 1), (node["r"], level + 1)]
+            else:
+                left.append(at)
+            at += 1
+        listed.append((depth, nodes, left))
+    cuts = [np.array(sorted(c), dtype=float) for c in cuts]
+    kind = np.uint16 if all(len(c) < 2**16 - 1 for c in cuts) else np.uint32
+    flat = []
+    for depth, nodes, left in listed:
+        inner = ["c" in node for node, _ in nodes]
+        feature = np.array([node.get("c", 0) for node, _ in nodes], dtype=np.intp)
+        place = np.array([np.searchsorted(cuts[node["c"]], node["cut"]) if i else np.iinfo(kind).max for (node, _), i in zip(nodes, inner, strict=True)], dtype=kind)
+        length = np.array([0.0 if i else level + _average(node["n"]) for (node, level), i in zip(nodes, inner, strict=True)])
+        flat.append((depth, feature, place, np.array(left, dtype=np.intp), length))
+    return cuts, flat
+
+
+BLOCK = 8_192
+
+
+def _mean_depth(x, cuts: list, flat: list):
+    """Mean path length of each row of x over the trees.  A row goes right where its value is not below the cut, NaN too;
+    at a leaf it stays."""
+    import numpy as np
+
+    kind = flat[0][2].dtype
+    ranks = np.stack([np.searchsorted(c, x[:, k], side="right").astype(kind) for k, c in enumerate(cuts)], axis=1).ravel()
+    first, total = np.arange(len(x), dtype=np.intp) * len(cuts), np.zeros(len(x))
+    for depth, feature, place, left, length in flat:
+        node = np.zeros(len(x), dtype=np.intp)
+        for _ in range(depth):
+            right = ranks.take(first + feature.take(node)) > place.take(node)
+            node = left.take(node) + right
+        total += length.take(node)
+    return total / len(flat)
+
+
 def outliers(flows: DataFrame, contamination: float = 0.02, least: int = 50, cap: int = 50) -> DataFrame:
     """Flows that the forest isolates and a feature explains: at most cap for each session of enough flows."""
-    enough = flows.groupBy("session_id").count().where(F.col("count") >= least).select("session_id")
+    enough = storage.stored(flows.groupBy("session_id").count().where(F.col("count") >= least).select("session_id"), "enough")
     f, names = features(flows.join(enough, "session_id", "left_semi"))
-    scored = isolation_scores(f, names)
-    bar = scored.groupBy("session_id").agg(F.percentile_approx("score", F.lit(1 - contamination), F.lit(10_000)).alias("bar"))
-    top = scored.join(bar, "session_id").where("score >= bar")
-    e = explain(robust_z(f, names), names).select("session_id", "flow_id", "reasons").where(F.size("reasons") > 0)
-    out = top.join(e, ["session_id", "flow_id"])
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "flow_id"))).where(F.col("place") <= cap).drop("bar")
+    scored = storage.stored(isolation_scores(f, names), "scored")  # with its features: scores are computed once
+    bar = storage.stored(scored.groupBy("session_id").agg(F.percentile_approx("score", F.lit(1 - contamination), F.lit(10_000)).alias("bar")), "bar")
+    top = scored.join(bar, "session_id").where("score >= bar").drop("bar")
+    out = explain(z_scores(top, centres(scored, names), names), names).select("session_id", "flow_id", "score", "reasons").where(F.size("reasons") > 0)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), "flow_id"))).where(F.col("place") <= cap)
 
 
 RULE = "ANOMALY_STATISTICAL"
@@ -160,7 +218,7 @@ def findings(flows: DataFrame, **options) -> DataFrame:
     from . import rules
 
     named = flows.select("session_id", "flow_id", E.initiator().alias("host"), E.peer().alias("peer"))
-    g = outliers(flows, **options).join(named, ["session_id", "flow_id"])
+    g = storage.stored(outliers(flows, **options), "outliers").join(named, ["session_id", "flow_id"])  # few, so the flows stay where they are
     said = F.transform("reasons", lambda r: F.concat(r.feature, F.when(r.z > 0, " high").otherwise(" low")))
     return rules.finding(
         g, RULE, "anomaly", F.lit("medium"), F.lit(0.5), F.col("host"), F.col("flow_id"),
@@ -168,14 +226,3 @@ def findings(flows: DataFrame, **options) -> DataFrame:
         F.concat(F.lit("Set apart from the other flows of this capture by "), F.array_join(F.slice(said, 1, 3), ", "), F.lit(". A statistical signal: no threshold was compared and nothing is proven by it.")),
         F.struct(F.lit("isolation forest over this capture alone").alias("model"), F.round("score", 4).alias("isolation_score"), F.col("reasons").alias("unusual_features"), F.lit(LIMIT).alias("limitation")),
     ).withColumn("method", F.lit("model"))
-
-
-def _depths(node, x, depth: int = 0):
-    import numpy as np
-
-    if "c" not in node:
-        return np.full(len(x), depth + _average(node["n"]))
-    out = np.empty(len(x))
-    left = x[:, node["c"]] < node["cut"]
-    out[left], out[~left] = _depths(node["l"], x[left], depth + 1), _depths(node["r"], x[~left], depth + 1)
-    return out
