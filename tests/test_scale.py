@@ -132,3 +132,11 @@ def test_flat_trees_give_the_same_paths():
     x[3, 2] = np.nan
     got = anomaly._mean_depth(x, *anomaly._flattened(trees, 4))
     assert got.tolist() == pytest.approx([np.mean([depth(t, row) for t in trees]) for row in x], abs=1e-12)
+
+
+def test_rules_and_scores_run_once(spark, sf_dir, monkeypatch):
+    written = []
+    keep = storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, label, *by: written.append(label) or keep(df, label, *by))
+    plan = strategy(QUERIES["findings_all"](spark, sf_dir))
+    assert {"found", "scored", "outliers"} <= set(written) and "MapInPandas" not in plan and "Window" not in plan

@@ -323,6 +323,7 @@ def analyse(flows: DataFrame, dns: DataFrame, ctx: Context, base_rates: DataFram
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    found = storage.stored(found, "found")  # read twice: the rules run once
     found = found.unionByName(corroborate(found, base_rates, ctx))
     if outliers:
         found = found.unionByName(anomaly.findings(flows))
