@@ -66,6 +66,20 @@ def test_limits_without_a_rule(spark, tmp_path):
     assert against_sql(spark, "rate_limits", tmp_path, "part") == [("Brand#0|Brand#1", None, None)]
 
 
+def test_addresses_beyond_four_octets_travel(spark, sf_dir, tmp_path):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").toPandas()
+    e["user_id"] = e["user_id"] + e["event_id"] % 3 * 64_000
+    e.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    want = against_sql(spark, "capture_round_trip", tmp_path, "events")
+    assert any(".0.256." in r[3] for r in want) and len(want) == len(e)
+
+
+def test_many_ranges_share_tasks(spark, monkeypatch):
+    monkeypatch.setattr(captures.storage, "rows", lambda plan: [{"n": i, "problem": None} for i in range(2_500)])
+    found = captures.CaptureReader("").partitions()
+    assert len(found) <= captures.MOST_TASKS and [r["n"] for p in found for r in p.rows] == list(range(2_500))
+
+
 def test_a_value_seen_and_listed_often(spark):
     flows = spark.range(600).selectExpr("1L AS session_id", "id AS flow_id", "'10.0.0.1' AS src_ip", "'10.0.0.1' AS initiator_ip", "'198.51.0.1' AS dst_ip", "100D - id AS first_seen", "'a.evil.com' AS tls_sni")
     dns = spark.createDataFrame([], "session_id long, src_ip string, flow_id long, timestamp double, query_name string")

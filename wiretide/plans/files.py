@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
 from ..operators import capabilities, flows, packages, tables
 from ..sinks import delivery
 from ..sources import archives, captures, storage
@@ -13,6 +14,9 @@ from . import compose
 from .queries import ORACLES, RANK, SEGMENTS, full_findings, packets, query
 
 
+CARRIER = "fd00:1:1:1:"
+
+
 # Packets become captures, one for each session and ten days; these are read in ranges far smaller than a file.
 @query("capture_round_trip", """WITH p AS (SELECT *, 's' || CAST(session_id AS VARCHAR) || '-' || CAST(CAST(floor(ts / 864000) AS BIGINT) AS VARCHAR) AS capture FROM v_packet)
 SELECT capture, row_number() OVER (PARTITION BY capture ORDER BY packet_no) AS packet_no, ts, src, dst, proto, CASE proto WHEN 'ICMP' THEN 0 ELSE sport END AS sport, CASE proto WHEN 'ICMP' THEN 2048 ELSE dport END AS dport, CASE proto WHEN 'TCP' THEN tcp_flags ELSE 0 END AS tcp_flags,
@@ -20,12 +24,19 @@ SELECT capture, row_number() OVER (PARTITION BY capture ORDER BY packet_no) AS p
 def capture_round_trip(spark, sf_dir):
     p = packets(spark, sf_dir).withColumn("capture", F.concat(F.lit("s"), F.col("session_id"), F.lit("-"), F.floor(F.col("ts") / 864000)))
     p = p.withColumns({"seq": F.col("packet_no"), "dport": F.when(F.col("proto") == "ICMP", 2048).otherwise(F.col("dport"))})
+    # Numbers of users beyond IPv4 make addresses like 10.0.256.1: such packets travel as IPv6, whose last groups are the numbers.
+    beyond = F.exists(F.split(F.concat_ws(".", "src", "dst"), r"\."), lambda x: x.cast("int") > 255)
+    carried = lambda c: F.when(beyond, F.concat(F.lit(CARRIER), F.array_join(F.transform(F.split(c, r"\."), lambda x: F.hex(x.cast("int"))), ":"))).otherwise(F.col(c))
+    p = p.select(*[c for c in p.columns if c not in ("src", "dst")], carried("src").alias("src"), carried("dst").alias("dst"))
     root = storage.fresh_dir(spark, "captures")
     captures.write_captures(p, root)
     plan = captures.plan_ranges(spark, root, 16_384)
     named = plan.select("session_id", F.regexp_extract("path", r"([^/]+)\.pcap$", 1).alias("capture")).distinct()
     found = captures.read_captures(spark, root, plan=plan).join(named, "session_id")
-    return found.select("capture", "packet_no", "ts", "src", "dst", "proto", "sport", "dport", "tcp_flags", "data_len", "frame_len", F.md5("payload").alias("payload_md5"))
+    six = F.col("src").startswith(CARRIER)
+    plain = lambda c: F.when(six, E.let(E.ip_hex(c), lambda h: F.array_join(F.transform(F.sequence(F.lit(17), F.lit(29), F.lit(4)), lambda i: F.conv(F.substr(h, i, F.lit(4)), 16, 10)), "."))).otherwise(F.col(c)).alias(c)
+    size = (F.col("frame_len") - F.when(six, 20).otherwise(0)).alias("frame_len")  # by which the header is longer
+    return found.select("capture", "packet_no", "ts", plain("src"), plain("dst"), "proto", "sport", "dport", "tcp_flags", "data_len", size, F.md5("payload").alias("payload_md5"))
 
 
 # The records of the sessions' gravest findings, through the sink's spool; what is withheld is said in a record of its own.

@@ -382,37 +382,41 @@ class CaptureSource(DataSource):
         return CaptureReader(self.options["plan"])
 
 
-class Range(InputPartition):
-    def __init__(self, row: dict) -> None:
-        self.row = row
+MOST_TASKS = 1_000
+
+
+class Ranges(InputPartition):
+    def __init__(self, rows: list[dict]) -> None:
+        self.rows = rows
 
 
 class CaptureReader(DataSourceReader):
     def __init__(self, plan: str) -> None:
         self.plan = plan
 
-    def partitions(self) -> list[Range]:
-        return [Range(r) for r in storage.rows(self.plan) if r["problem"] is None] or [Range({})]
+    def partitions(self) -> list[Ranges]:
+        """A partition for each range; where there are more ranges than tasks are worth, each takes as many more."""
+        rows = [r for r in storage.rows(self.plan) if r["problem"] is None]
+        each = -(-len(rows) // MOST_TASKS) or 1
+        return [Ranges(rows[i : i + each]) for i in range(0, len(rows), each)] or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator:
+    def read(self, partition: Ranges) -> Iterator:
         import pyarrow as pa
 
-        r = partition.row
-        if not r:
-            return
-        with storage.opened(r["path"]) as file:
-            f, out, held = Bytes(file, r["size"]), [], 0
-            for n, (frame, ts, link, wire) in packets_of(f, kind_of(f), r["start"], r["hi"], json.loads(r["state"])):
-                d = decode(frame, link)
-                if d:
-                    src, dst, proto, sport, dport, flags, length, seq, data = d
-                    out.append((r["session_id"], r["before"] + n, ts, src, dst, proto, sport, dport, flags, wire, length, seq, data))
-                    held += len(data)
-                if len(out) >= 20_000 or held > BLOCK:
+        for r in partition.rows:
+            with storage.opened(r["path"]) as file:
+                f, out, held = Bytes(file, r["size"]), [], 0
+                for n, (frame, ts, link, wire) in packets_of(f, kind_of(f), r["start"], r["hi"], json.loads(r["state"])):
+                    d = decode(frame, link)
+                    if d:
+                        src, dst, proto, sport, dport, flags, length, seq, data = d
+                        out.append((r["session_id"], r["before"] + n, ts, src, dst, proto, sport, dport, flags, wire, length, seq, data))
+                        held += len(data)
+                    if len(out) >= 20_000 or held > BLOCK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW(), strict=True)], names=COLUMNS)
+                        out, held = [], 0
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW(), strict=True)], names=COLUMNS)
-                    out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ARROW(), strict=True)], names=COLUMNS)
 
 
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
