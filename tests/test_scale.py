@@ -121,6 +121,18 @@ def test_findings_read_once_write_no_flows(spark, sf_dir, monkeypatch):
     assert not spark._wiretide_tables
 
 
+def test_dns_rules_read_flows_once(spark, sf_dir, monkeypatch):
+    written = []
+    keep = storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, label, *by: written.append(label) or keep(df, label, *by))
+    monkeypatch.setattr(spark, "_wiretide_tables", {}, raising=False)
+    for name in ("rule_dns_subdomain_volume", "rule_dns_long_label"):
+        df = QUERIES[name](spark, sf_dir)
+        df.count()
+        assert "l_orderkey" not in strategy(df)
+    assert written == ["peers", "peers"] and not spark._wiretide_tables
+
+
 def test_lines_meet_orders_once(spark, sf_dir):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

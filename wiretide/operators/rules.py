@@ -199,11 +199,12 @@ def dns_usage(dns: DataFrame, flows: DataFrame) -> DataFrame:
     """dns plus used: whether the asking host exchanged traffic with an address that any client got for the name; and
     evidence: whether the session has anything but DNS to judge by."""
     f = flows.where((F.coalesce("app_protocol", F.lit("")) != "DNS") & (F.col("dst_port") != 53))
-    peers = f.select("session_id", F.col("src_ip").alias("host"), F.col("dst_ip").alias("ip")).unionByName(f.select("session_id", F.col("dst_ip").alias("host"), F.col("src_ip").alias("ip"))).distinct()
+    ways = F.explode(F.array(*[F.struct(F.col(x).alias("host"), F.col(y).alias("ip")) for x, y in (("src_ip", "dst_ip"), ("dst_ip", "src_ip"))]))
+    peers = storage.stored(f.select("session_id", ways.alias("way")).select("session_id", "way.*").distinct(), "peers")  # read twice: the flows once
     answers = dns.select("session_id", F.lower("query_name").alias("name"), F.explode("response_ips").alias("ip")).distinct()
     asked = dns.select("session_id", F.col("src_ip").alias("host"), F.lower("query_name").alias("name")).distinct()
     used = asked.join(answers, ["session_id", "name"]).join(peers, ["session_id", "host", "ip"], "left_semi").select("session_id", "host", "name", F.lit(True).alias("used")).distinct()
-    evidence = f.select("session_id").distinct().withColumn("evidence", F.lit(True))
+    evidence = peers.select("session_id").distinct().withColumn("evidence", F.lit(True))
     d = dns.withColumns({"host": F.col("src_ip"), "name": F.lower("query_name")}).join(used, ["session_id", "host", "name"], "left").join(evidence, "session_id", "left")
     return d.withColumns({"used": F.coalesce("used", F.lit(False)), "evidence": F.coalesce("evidence", F.lit(False))})
 

@@ -176,14 +176,14 @@ z AS (SELECT h.*, u.name IS NOT NULL AS used FROM h LEFT JOIN u ON h.session_id
 g AS (SELECT session_id, src_ip, parent, count(*) AS names, count(*) FILTER (NOT used) AS loose, count(*) FILTER (NOT used AND asked = 1) AS once FROM c GROUP BY ALL)
 SELECT session_id, 'DNS_TUNNEL_SUBDOMAIN_VOLUME' AS rule_id, 'medium' AS severity, {r('least(loose / 8.0, 1.0)', 6)} AS confidence, src_ip AS subject_ip, CAST(NULL AS BIGINT) AS flow_id, names AS observed_unique_subdomains, loose AS observed_unused_subdomains, once AS unused_names_queried_once FROM g WHERE names > 2 AND loose > 2""")
 def rule_dns_subdomain_volume(spark, sf_dir):
-    return _core(rules.dns_subdomain_volume(v_dns(spark, sf_dir), v_flow(spark, sf_dir), CTX), *[_ev(c, "long").alias(c) for c in ("observed_unique_subdomains", "observed_unused_subdomains", "unused_names_queried_once")])
+    return _core(rules.dns_subdomain_volume(v_dns(spark, sf_dir), once(spark, sf_dir, "v_flow"), CTX), *[_ev(c, "long").alias(c) for c in ("observed_unique_subdomains", "observed_unused_subdomains", "unused_names_queried_once")])
 
 
 @query("rule_dns_long_label", f"""WITH {DNS_FACTS}, e AS (SELECT sub, {r('-sum(c / n * log2(c / n))', 4)} AS ent FROM (SELECT sub, ch, count(*) AS c, sum(count(*)) OVER (PARTITION BY sub) AS n FROM (SELECT sub, unnest(string_split(sub, '')) AS ch FROM (SELECT DISTINCT sub FROM h)) GROUP BY sub, ch) GROUP BY sub),
 g AS (SELECT session_id, src_ip, parent, count(*) AS n, max(longest) AS longest, arg_min(flow_id, (timestamp, flow_id)) AS flow_id FROM z JOIN e USING (sub) WHERE longest >= 52 AND ent >= 3.5 AND NOT used GROUP BY ALL)
 SELECT session_id, 'DNS_TUNNEL_LONG_LABEL' AS rule_id, 'high' AS severity, {r('least(longest / 208.0, 1.0)', 6)} AS confidence, src_ip AS subject_ip, flow_id, n AS observed_query_count FROM g""")
 def rule_dns_long_label(spark, sf_dir):
-    return _core(rules.dns_long_label(v_dns(spark, sf_dir), v_flow(spark, sf_dir), CTX), _ev("observed_query_count", "long").alias("observed_query_count"))
+    return _core(rules.dns_long_label(v_dns(spark, sf_dir), once(spark, sf_dir, "v_flow"), CTX), _ev("observed_query_count", "long").alias("observed_query_count"))
 
 
 IOC_HITS = f"""
