@@ -42,6 +42,20 @@ def test_pieces_are_cut_only_when_long(docs):
             at += p["length"]
 
 
+def test_ids_by_every_way():
+    """Single white space goes by the pattern without lookahead, runs by the whole one, long runs by the library."""
+    enc = tokens.encoder(*tokens.public_files())
+    assert enc is tokens.encoder(*tokens.public_files())
+    assert "(?!" in enc.fast._pat_str and "(?!" not in enc.single._pat_str
+    rng = random.Random(7)
+    letters = [*" \n\t\rab's\u00e9tZ9\u00bd\u00b2_-\u2026\u2028\u202f\u20ac\u024f", "'re", "  ", "\n\n", " x", "\x0b", "\xa0", "\u65e5", "<|endoftext|>"]
+    texts = ["".join(rng.choices(letters[: rng.choice([-4, None])], k=rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["a b " * k + "q" * n + " z" for k in (0, 1, 249, 250, 400) for n in (999, 1999, 2999, 3000, 3999)]
+    for text in texts:
+        assert enc.ids(text).tolist() == enc.slow.encode(text, add_special_tokens=False).ids
+    assert [enc.odd(t) for t in ("a" * 2999 + " b", "b" + " a" * 700 + "a" * 3000, "a " * 3000, "a\xa0b", "a<|endoftext|>")] == [False, True, False, True, True]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_genetic_steps_keep_every_item(seed):
     rng = random.Random(seed)

@@ -3,12 +3,14 @@
 Ids are those of the ``tokenizers`` library for the given JSON file without special tokens added.  Ordinary texts go
 through the faster rank encoder of the same vocabulary, which gives the same ids; a text that holds the special token's
 own string, an unusual character (where the two libraries' character tables may differ) or a very long run without a
-break goes through ``tokenizers`` itself.
+break goes through ``tokenizers`` itself.  Where no two white space characters meet, the rank encoder splits by a pattern
+without the lookahead that only runs of white space need, which takes half the time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 
@@ -17,10 +19,12 @@ from .common import pick
 #: Characters for which both libraries' patterns are known to agree; anything else takes the slow way.
 PLAIN = r"[^\t\n\r -~¡-ɏ‐-›€]"
 LONG_RUN = r"[^\s]{3000}"
+#: How the pattern ends, and what it may end with where white space comes singly.
+RUNS, SINGLE = r"\s+(?!\S)|\s+", r"\s"
 
 
 class Encoder:
-    """Made once in each task: vocabulary files are read where the task runs."""
+    """Made where a task runs, from the vocabulary files there."""
 
     def __init__(self, json_file: str, rank_file: str, pattern: str) -> None:
         import base64
@@ -33,8 +37,13 @@ class Encoder:
         self.slow = Tokenizer.from_file(json_file)
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(f"{PLAIN}|{LONG_RUN}|<\\|endoftext\\|>")
+        special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.single = self.fast
+        if pattern.endswith(RUNS):
+            self.single = tiktoken.Encoding("single", pat_str=pattern.removesuffix(RUNS) + SINGLE, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
+        self.plain, self.long, self.space, self.spaces = map(re.compile, (PLAIN, LONG_RUN, r"\s", r"\s\s"))
         self.width = np.zeros(self.slow.get_vocab_size(), dtype=np.int64)
         for b, i in ranks.items():
             self.width[i] = len(b)
@@ -42,12 +51,24 @@ class Encoder:
             if not self.width[i]:  # a special token: its own string
                 self.width[i] = len(t.encode())
 
+    def odd(self, text: str) -> bool:
+        """Whether a text takes the slow way.  A very long run covers a thousand characters from some multiple of it on."""
+        if self.plain.search(text) or any(s in text for s in self.special):
+            return True
+        return any(not self.space.search(text, k, k + 1000) for k in range(0, len(text) - 999, 1000)) and bool(self.long.search(text))
+
     def ids(self, text: str):
         import numpy as np
 
-        if self.odd.search(text):
+        if self.odd(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
+        return (self.fast if self.spaces.search(text) else self.single).encode_to_numpy(text, disallowed_special=())
+
+
+@cache
+def encoder(json_file: str, rank_file: str, pattern: str) -> Encoder:
+    """One for each worker, which its tasks share."""
+    return Encoder(json_file, rank_file, pattern)
 
 
 def public_files() -> tuple[str, str, str]:
@@ -68,7 +89,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, files: tuple[str, str, s
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = Encoder(*files)
+        enc = encoder(*files)
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -102,7 +123,7 @@ def section_counts(docs: DataFrame, rule: str = "start", files: tuple[str, str,
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = Encoder(*files)
+        enc = encoder(*files)
         for batch in batches:
             got: list[list] = [[] for _ in range(6)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
