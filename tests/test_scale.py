@@ -133,6 +133,17 @@ def test_dns_rules_read_flows_once(spark, sf_dir, monkeypatch):
     assert written == ["peers", "peers"] and not spark._wiretide_tables
 
 
+def test_beaconing_reads_flows_once_and_tests_ends_found(spark, sf_dir, monkeypatch):
+    """No table of flows; the join of lines and orders carries no copies of how a host or its peer is found."""
+    monkeypatch.setattr(spark, "_wiretide_tables", {}, raising=False)
+    df = QUERIES["rule_beaconing"](spark, sf_dir)
+    plan = strategy(df)
+    assert "RLIKE" in plan and not any("RLIKE" in line for line in plan.splitlines() if "Join" in line)
+    assert all(line.count("RLIKE") <= 3 for line in plan.splitlines())
+    df.count()
+    assert not spark._wiretide_tables
+
+
 def test_lines_meet_orders_once(spark, sf_dir):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -145,8 +145,16 @@ def service_port() -> Column:
     return F.when(initiator() == F.col("src_ip"), F.col("dst_port")).otherwise(F.col("src_port"))
 
 
-def egress(nets) -> Column:
-    return in_nets(initiator(), nets) & ~in_nets(peer(), nets) & ~is_link_scoped(peer())
+def ends() -> Column:
+    """Columns host and peer: a generator, so that tests of them stay above it and read its values.
+
+    A filter over a projection would be carried down with a copy of how an end is found for each use of it."""
+    return F.inline(F.array(F.struct(initiator().alias("host"), peer().alias("peer"))))
+
+
+def egress(nets, host: Column | str | None = None, far: Column | str | None = None) -> Column:
+    host, far = initiator() if host is None else host, peer() if far is None else far
+    return in_nets(host, nets) & ~in_nets(far, nets) & ~is_link_scoped(far)
 
 
 def severity_rank(c: Column | str = "severity") -> Column:

@@ -76,7 +76,7 @@ def beacon_score(intervals: Column, sizes: Column, ctx: Context) -> Column:
 
 def beacon_pairs(flows: DataFrame, ctx: Context) -> DataFrame:
     """Host pairs with enough connections, their score, ports and first flow."""
-    g = flows.select("session_id", "flow_id", E.initiator().alias("host"), E.peer().alias("peer"), "first_seen", "bytes_sent", "dst_port", E.egress(ctx.home).alias("out")).where("out")
+    g = flows.select("session_id", "flow_id", "first_seen", "bytes_sent", "dst_port", E.ends()).where(E.egress(ctx.home, "host", "peer"))
     g = g.groupBy("session_id", "host", "peer").agg(
         F.count("*").alias("n"),
         F.array_sort(F.collect_list(F.struct("first_seen", "flow_id", F.coalesce("bytes_sent", F.lit(0)).alias("sent")))).alias("c"),

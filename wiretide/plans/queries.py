@@ -161,7 +161,7 @@ d AS ({_score_sql('ds', 'SELECT session_id, host, peer, list(CAST(bytes_sent AS
 k AS (SELECT *, {r('(ceil((ts_skew + ts_madm) / 2 * 1000) / 1000 + ceil((ds_skew + ds_madm + greatest(0.0, 1 - ds_mode / 65535)) / 3 * 1000) / 1000) / 2', 4)} AS score FROM ok JOIN t USING (session_id, host, peer) JOIN d USING (session_id, host, peer))
 SELECT session_id, 'C2_BEACON_PERIODIC' AS rule_id, CASE WHEN score >= 0.62 THEN 'high' ELSE 'medium' END AS severity, {r('least(score, 1.0)', 6)} AS confidence, host AS subject_ip, flow_id, n AS connection_count FROM k WHERE score >= 0.55""")
 def rule_beaconing(spark, sf_dir):
-    return _core(rules.beaconing(v_flow(spark, sf_dir), CTX), _ev("connection_count", "long").alias("connection_count"))
+    return _core(rules.beaconing(once(spark, sf_dir, "v_flow"), CTX), _ev("connection_count", "long").alias("connection_count"))
 
 
 DNS_FACTS = """
