@@ -68,3 +68,48 @@ def test_a_search_that_finds_nothing_is_linear():
 
     took(50)
     assert took(1600) < 12 * max(took(400), 0.05)
+
+
+def edited(n, draw):
+    """What is left of sets of 396: 350 shingles of one base, of which two share 309 or so; a link needs 340."""
+    sets = [np.sort(draw.permutation(396)[:350]).astype("<u8") for _ in range(n)]
+    return pd.DataFrame({"n": [396] * n, "x": [x.tobytes() for x in sets]}), sets
+
+
+def test_edits_of_one_text_that_do_not_link_are_counted_not_merged_one_by_one():
+    part, sets = edited(500, np.random.default_rng(3))
+    began = time.perf_counter()
+    found = J._queries(part, part, lambda a, b: int(J.overlap_needed(a, b)))
+    took = time.perf_counter() - began
+    assert [(a, b, c) for a, b, c in found] == [(i, i, 350) for i in range(500)]
+    began = time.perf_counter()
+    for x in sets[:40]:  # every two compared, one at a time
+        for y in sets:
+            np.intersect1d(x, y, assume_unique=True)
+    assert took < (time.perf_counter() - began) * 500 / 40
+
+
+def test_a_template_meets_in_few_cells(spark, monkeypatch):
+    """Classes share dozens of lists, but go to the cell of the largest component that holds them, not to a cell for each."""
+    monkeypatch.setattr(J, "TURNS", 1)
+    monkeypatch.setattr(J, "ENTRIES_PER_CELL", 500)
+    seen, search = [], J.opened
+
+    def spy(rest):
+        seen.append(rest.selectExpr("kind", "size(meets) AS cells").collect())
+        return search(rest)
+
+    monkeypatch.setattr(J, "opened", spy)
+    draw = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    docs = [(i, " ".join(base)) for i in range(2)]
+    for i in range(2, 60):
+        w = list(base)
+        for k in draw.sample(range(20), 4 + i % 5):
+            w[k * 10 + i % 10] = f"n{i}_{k}"
+        docs.append((i, " ".join(w)))
+    want = components(docs)
+    got = {r.doc_id: r.component_id for r in J.link(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+    rows = seen[0]
+    assert len(rows) > 10 and max(r.cells for r in rows) <= 8

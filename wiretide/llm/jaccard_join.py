@@ -19,11 +19,13 @@ T(n) = ceil(0.75 n) shingles of the other.  No stage compares everything with ev
    meets in its short lists: whatever it links with lies in a profile holding at least as many of its shingles.  The few
    profiles found are opened, and the class searches their members.  Every two components that a link joins are found.
 
-Both searches of step 4 and that of step 3 are DivideSkip: a heap merges the short lists of a query, long ones are probed
-by binary search, and what reaches the required overlap stays.  No step gives out the pairs of a list.
+Both searches of step 4 and that of step 3 are DivideSkip: the short lists of a query are merged by counting, long ones are
+probed by binary search (or merged too, where so much is left that this is less work), and what reaches the required overlap
+stays.  No step gives out the pairs of a list.  In step 4 classes and profiles meet by the largest component that holds a
+list of both: the classes of one template travel once, not once for each list they share.
 
-Hot lists are counted before they are shuffled, long lists, profiles and stars are split into bounded parts, and copies
-never reach a list.  Cases: null text has no words; a document without words has no shingle, links with nothing and is its own
+Cells of such components are counted before they are shuffled, large ones, profiles and stars are split into bounded parts,
+and copies never reach a list.  Cases: null text has no words; a document without words has no shingle, links with nothing and is its own
 component.  With fewer words than ``width`` the whole sequence is the one shingle.  A null id takes no part in naming a
 component.  Repeated rows and repeated ids are copies or separate texts as their texts are; extra columns are ignored.
 """
@@ -43,12 +45,14 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 POSTINGS_PER_BUCKET = 1_500_000
 BLOCK = 1_000_000
 ENTRIES_PER_CELL = 500_000
-LONG_LIST = 20_000
+LONG_LIST = 20_000  # rows of one side of a cell
 CHUNK = 512
 TURNS = 2
 CENTRES = 3
 MU = 0.0085  # weighs merging against probing
 COMMON = 64  # rows of a list that is rather probed
+LOOK_UP = 5_000  # what a look into a list costs besides the search itself, in rows merged
+BATCH_BYTES = 50_000_000
 
 
 def required(n: int) -> int:
@@ -372,90 +376,100 @@ def set_aside(t: int, longest: int, mu: float = MU) -> int:
     return min(t - 1, int(t / (mu * math.log2(1 + longest) + 1)))
 
 
-def divide_skip(lists: list[list[int]], t: int, aside: int | None = None, mu: float = MU) -> dict[int, int]:
-    """Members found in at least t of the sorted lists, with their counts.
+def occurrences(lists: list, t: int, aside: int | None = None, mu: float = MU):
+    """Members found in at least t of the sorted lists (arrays of small numbers), and their counts.
 
-    The L longest lists are set aside (``aside``, or as many as pays by their length); a heap over the others yields members in order, skipping ahead whenever fewer than
-    t - L lists can still agree; each member that reaches t - L is looked up in the long lists by binary search.
+    The L longest lists are set aside (``aside``, or as many as pays by their length).  The others are merged by counting; a
+    member that fewer than t - L of them hold cannot reach t.  What remains is looked up in the long lists by binary search,
+    and goes as soon as the lists left cannot bring it to t; where so many remain that this costs more, the long lists are
+    merged too.
     """
-    import heapq
-    from bisect import bisect_left
+    import numpy as np
 
     t = max(1, t)
     lists = sorted((x for x in lists if len(x)), key=len)
+    none = np.zeros(0, dtype=np.int64)
     if len(lists) < t:
-        return {}
+        return none, none
     aside = set_aside(t, len(lists[-1]), mu) if aside is None else min(aside, t - 1)
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    need = t - aside
-    found: dict[int, int] = {}
-    heap = [(x[0], k, 0) for k, x in enumerate(short)]
-    heapq.heapify(heap)
-    while len(heap) >= need:
-        m = heap[0][0]
-        out = []
-        while heap and heap[0][0] == m:
-            out.append(heapq.heappop(heap))
-        if len(out) >= need:
-            count = len(out)
-            for left, x in enumerate(reversed(long)):
-                if count + len(long) - left < t:
-                    break
-                i = bisect_left(x, m)
-                count += int(i < len(x) and x[i] == m)
-            if count >= t:
-                found[m] = count
-            for _, k, i in out:
-                if i + 1 < len(short[k]):
-                    heapq.heappush(heap, (short[k][i + 1], k, i + 1))
-        else:  # skip: need - 1 lists leave the heap, and nothing below the then least member can reach need
-            while heap and len(out) < need - 1:
-                out.append(heapq.heappop(heap))
-            if not heap:
+    counts = np.bincount(np.concatenate(short))
+    found = np.flatnonzero(counts >= t - aside)
+    counts = counts[found]
+    if not len(found) or not long:
+        return found, counts
+    merging = sum(map(len, long))
+    if len(long) * (LOOK_UP + 4 * len(found) * math.log2(1 + len(long[-1]))) > merging:
+        more = np.bincount(np.concatenate(long), minlength=int(found[-1]) + 1)
+        counts = counts + more[found]
+    else:
+        for left, x in enumerate(long):
+            alive = counts + (len(long) - left) >= t
+            found, counts = found[alive], counts[alive]
+            if not len(found):
                 break
-            to = heap[0][0]
-            for _, k, i in out:
-                j = bisect_left(short[k], to, i)
-                if j < len(short[k]):
-                    heapq.heappush(heap, (short[k][j], k, j))
-    return found
+            counts = counts + (x[np.minimum(np.searchsorted(x, found), len(x) - 1)] == found)
+    return found[counts >= t], counts[counts >= t]
+
+
+def divide_skip(lists: list, t: int, aside: int | None = None, mu: float = MU) -> dict[int, int]:
+    """Members found in at least t of the sorted lists, with their counts."""
+    import numpy as np
+
+    found, counts = occurrences([np.asarray(x, dtype=np.int64) for x in lists], t, aside, mu)
+    return dict(zip(found.tolist(), counts.tolist(), strict=True))
 
 
 def search(pairs: DataFrame, idx: DataFrame, label: str) -> DataFrame:
-    """The links among (centre, node, chunk): each chunk's nodes are indexed, the centre is the query."""
+    """The links among (centre, node, chunk): each chunk's nodes are indexed, the centre is the query.
+
+    Most centres have few nodes, so the rows of a task pass in order and one centre's chunk is held at a time."""
     sets = idx.select("node", "n", F.col("shared").alias("x"))
-    around = pairs.join(sets, "node").select("centre", "chunk", "node", "n", "x")
-    middle = pairs.select(F.col("centre").alias("qid"), F.col("chunk").alias("qchunk")).distinct()
-    middle = middle.join(idx.select(F.col("node").alias("qid"), F.col("n").alias("qn"), F.col("shared").alias("q")), "qid")
+    around = pairs.join(sets, "node").select("centre", "chunk", F.lit(1).alias("kind"), "node", "n", "x")
+    middle = pairs.select(F.col("centre").alias("node"), "chunk").distinct().join(sets, "node").select(F.col("node").alias("centre"), "chunk", F.lit(0).alias("kind"), "node", "n", "x")
 
-    def run(near, query):
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        empty = pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        if not len(near) or not len(query):
-            return empty
-        q, qn = np.frombuffer(query["q"].iloc[0], dtype="<u8"), int(query["qn"].iloc[0])
-        n = near["n"].to_numpy()
-        small = min(qn, int(n.min()))
-        rows, at = [], []
-        for k, raw in enumerate(near["x"]):
-            x = np.frombuffer(raw, dtype="<u8")
-            i = np.searchsorted(q, x)
-            i = i[(i < len(q)) & (q[np.minimum(i, len(q) - 1)] == x)] if len(q) else i[:0]
-            rows.append(np.full(len(i), k))
-            at.append(i)
-        row, at = np.concatenate(rows), np.concatenate(at)
-        order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(len(q) + 1))
-        row = row[order]
-        lists = [row[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-        found = divide_skip(lists, int(overlap_needed(qn, small)))
-        hits = [k for k, c in found.items() if DENOMINATOR * c >= NUMERATOR * (qn + int(n[k]) - c)]
-        return pd.DataFrame({"a": [int(query["qid"].iloc[0])] * len(hits), "b": near["node"].to_numpy()[hits]}, dtype="int64") if hits else empty
-
-    found = around.groupBy("centre", "chunk").cogroup(middle.groupBy("qid", "qchunk")).applyInPandas(run, "a long, b long")
-    return materialise(found, label)
+        def hits(query: tuple, near: list[tuple]):
+            (qid, qn, q), n = query, np.array([r[1] for r in near])
+            q, x = np.frombuffer(q, dtype="<u8"), np.frombuffer(b"".join([r[2] for r in near]), dtype="<u8")
+            if not len(q):
+                return
+            row = np.repeat(np.arange(len(near)), [len(r[2]) // 8 for r in near])
+            at = np.searchsorted(q, x)
+            hit = q[np.minimum(at, len(q) - 1)] == x
+            row, at = row[hit], at[hit]
+            order = np.argsort(at, kind="stable")
+            row, at = row[order], at[order]
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            found, counts = occurrences([row[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], int(overlap_needed(qn, min(qn, int(n.min())))))
+            for k in found[DENOMINATOR * counts >= NUMERATOR * (qn + n[found] - counts)].tolist():
+                links["a"].append(qid)
+                links["b"].append(near[k][0])
+
+        kinds = {"a": pa.int64(), "b": pa.int64()}
+        links: dict[str, list] = {k: [] for k in kinds}
+        key, query, near = None, None, []
+        for batch in batches:
+            for centre, chunk, kind, *row in zip(*[batch.column(k).to_pylist() for k in ("centre", "chunk", "kind", "node", "n", "x")], strict=True):
+                if (centre, chunk) != key:
+                    if query and near:
+                        hits(query, near)
+                    key, query, near = (centre, chunk), None, []
+                if kind:
+                    near.append(row)
+                else:
+                    query = row
+            yield _arrow(links, kinds)
+            links = {k: [] for k in kinds}
+        if query and near:
+            hits(query, near)
+        yield _arrow(links, kinds)
+
+    rows = around.unionByName(middle).repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "kind")
+    return materialise(rows.mapInArrow(run, "a long, b long"), label)
 
 
 def stars(idx: DataFrame, comps: DataFrame | None, turn: int) -> DataFrame:
@@ -480,9 +494,8 @@ def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
     """What lists by component leave: rows of classes (kind 0) and of profiles (kind 1).
 
     profile; kind; node (of a class) ; n (a profile's: the least of its classes); x: the shingles that several components
-    hold (a profile's: the union); lists and many: the short lists in which larger components (for a profile: smaller
-    ones) may be met, and how many components hold each.  A component's code orders by size (as a power of two), then
-    name."""
+    hold (a profile's: the union); meets: the largest components that hold the short lists in which larger components (for a
+    profile: smaller ones) may be met.  A component's code orders by size (as a power of two), then name."""
     size = F.floor(F.log2(F.count("*"))).cast("long")
     codes = comps.groupBy("component").agg((F.shiftleft(size, 57) + F.col("component")).alias("code"))
     coded = comps.join(codes, "component").select("node", "code")
@@ -556,7 +569,7 @@ def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
         parts = _runs(whose[keep], np.argsort(whose[keep], kind="stable"))
         return pd.DataFrame({"block": [b for b, _ in parts], **{k: [v[keep[i]].tobytes() for _, i in parts] for k, v in (("hashes", h), ("lo", lo), ("hi", hi), ("many", many), ("small", small))}}).astype({"block": "int64"})
 
-    columns = ["profile", "kind", "node", "n", "x", "lists", "many"]
+    columns = ["profile", "kind", "node", "n", "x", "meets"]
 
     def remain(part, lists):
         import numpy as np
@@ -584,34 +597,33 @@ def recount(idx: DataFrame, comps: DataFrame) -> DataFrame:
                 p[1] = min(p[1], n)
                 p[2].append(i)
                 p[3].append(short[lo[short] < code])
-                out.append((p[0], 0, node, n, known[i].tobytes(), known[up].tobytes(), many[up].tobytes()))
+                out.append((p[0], 0, node, n, known[i].tobytes(), np.unique(hi[up])))
             for name, n, sets, meets in profiles.values():
                 x, down = np.unique(np.concatenate(sets)), np.unique(np.concatenate(meets))
                 if len(down):
-                    out.append((name, 1, -1, n, known[x].tobytes(), known[down].tobytes(), many[down].tobytes()))
+                    out.append((name, 1, -1, n, known[x].tobytes(), np.unique(hi[down])))
         return pd.DataFrame(out, columns=columns).astype({"profile": "int64", "kind": "int32", "node": "int64", "n": "int64"})
 
     tallies = packed.select("block", "sizes", "codes", "lens", "sets").mapInArrow(tally, "bucket int, block long, hashes binary, lo binary, hi binary, many binary, small binary")
     lists = tallies.groupBy("bucket").applyInPandas(total, "block long, hashes binary, lo binary, hi binary, many binary, small binary")
-    rest = packed.groupBy("block").cogroup(lists.groupBy("block")).applyInPandas(remain, "profile long, kind int, node long, n long, x binary, lists binary, many binary")
+    rest = packed.groupBy("block").cogroup(lists.groupBy("block")).applyInPandas(remain, "profile long, kind int, node long, n long, x binary, meets array<long>")
     return materialise(rest, "rest")
 
 
-def _queries(rows, indexed, floor) -> list[tuple[int, int]]:
-    """(row, indexed row, overlap) of what reaches floor(n, n): rows are queries, indexed rows the lists, both with n and x."""
+def _found(rows, indexed, floor) -> Iterator:
+    """(row, indexed rows, overlaps) of what reaches floor(n, n): rows are queries, indexed rows the lists, both with n and x."""
     import numpy as np
 
-    sets = [np.frombuffer(b, dtype="<u8") for b in indexed["x"]]
-    names = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    known = np.concatenate(sets)
+    lengths = indexed["x"].str.len().to_numpy() // 8
+    known = np.frombuffer(b"".join(indexed["x"]), dtype="<u8")
     order = np.argsort(known, kind="stable")
-    known, names = known[order], names[order]
+    known, names = known[order], np.repeat(np.arange(len(indexed)), lengths)[order]
     first = np.flatnonzero(np.concatenate([[True], known[1:] != known[:-1]])) if len(known) else np.zeros(0, dtype=int)
     stop = np.append(first[1:], len(known)).astype(int)
     known = known[first]
-    sizes = indexed["n"].to_numpy()
-    least = int(sizes.min()) if len(sizes) else 0
-    out = []
+    kinds, kind = np.unique(indexed["n"].to_numpy(), return_inverse=True)
+    least = int(kinds[0]) if len(kinds) else 0
+    needs: dict[int, dict] = {}
     for k, (n, raw) in enumerate(zip(rows["n"].tolist(), rows["x"], strict=True)):
         x = np.frombuffer(raw, dtype="<u8")
         i = np.searchsorted(known, x)
@@ -619,41 +631,58 @@ def _queries(rows, indexed, floor) -> list[tuple[int, int]]:
         t = max(required(n), int(floor(n, least)))  # no indexed row asks for less
         if len(i) < t:
             continue
-        # The short lists are counted at once: where none of their members can still reach t, nothing is merged.  Lists that
-        # many rows share are set aside as far as t allows, so that a common template is probed, not merged.
+        # Lists that many rows share are set aside as far as t allows: where none of the members of the others can still
+        # reach t, a common template is not looked at.
         lens = stop[i] - first[i]
-        by = np.argsort(lens, kind="stable")
-        aside = min(t - 1, max(set_aside(t, int(lens[by[-1]])), int(np.count_nonzero(lens > COMMON))))
-        each = [names[first[j] : stop[j]] for j in i[by]]
-        few = each[: len(i) - aside]
-        if np.bincount(np.concatenate(few)).max() < t - aside:
+        aside = max(set_aside(t, int(lens.max())), int(np.count_nonzero(lens > COMMON)))
+        m, c = occurrences([names[a:b] for a, b in zip(first[i].tolist(), stop[i].tolist(), strict=True)], t, aside)
+        if not len(m):
             continue
-        lists = [x.tolist() for x in few] + each[len(few) :]
-        out += [(k, m, c) for m, c in divide_skip(lists, t, aside).items() if c >= floor(n, int(sizes[m]))]
-    return out
+        known_needs = needs.setdefault(n, {})
+        sizes, which = np.unique(kind[m], return_inverse=True)
+        for s in sizes.tolist():
+            if s not in known_needs:
+                known_needs[s] = int(floor(n, int(kinds[s])))
+        enough = c >= np.array([known_needs[s] for s in sizes.tolist()])[which]
+        if enough.any():
+            yield k, m[enough], c[enough]
+
+
+def _queries(rows, indexed, floor) -> list[tuple[int, int, int]]:
+    """The finds of ``_found`` one by one."""
+    return [(k, m, c) for k, ms, cs in _found(rows, indexed, floor) for m, c in zip(ms.tolist(), cs.tolist(), strict=True)]
 
 
 def opened(rest: DataFrame) -> DataFrame:
-    """node, profile: each class with the profiles of larger components that hold as many of its shingles as a link needs."""
-    entries = rest.agg(F.sum(F.length("x") / 8)).first()[0] or 0
-    buckets = max(1, math.ceil(entries / ENTRIES_PER_CELL))
+    """node, profile: each class with the profiles of larger components that hold as many of its shingles as a link needs.
+
+    Classes and profiles meet in the cell of the largest component that holds a list of both.  A template's lists have one
+    such component, so that its classes travel once and two rows are compared once, not for each list they share.  Cells are
+    counted before: small ones are put together, a large one is dealt out, each part of its classes against each part of its
+    profiles."""
+    mine = [F.sum(F.when(F.col("kind") == k, v).otherwise(0)) for k in (0, 1) for v in (F.length("x") / 8, F.lit(1))]
+    cells = rest.select("kind", "x", F.explode("meets").alias("cell")).groupBy("cell").agg(*[c.alias(a) for c, a in zip(mine, ("x0", "n0", "x1", "n1"), strict=True)])
+    cells = materialise(cells.where("n0 > 0 AND n1 > 0"), "cells")
+    buckets = max(1, math.ceil((cells.agg(F.sum(F.col("x0") + F.col("x1"))).first()[0] or 0) / ENTRIES_PER_CELL))
+    parts = [F.ceil(F.greatest(F.col(f"x{k}") / ENTRIES_PER_CELL, F.col(f"n{k}") / LONG_LIST)).cast("int").alias(f"p{k}") for k in (0, 1)]
+    large = {r["cell"]: (r["p0"], r["p1"]) for r in cells.select("cell", *parts).where("p0 > 1 OR p1 > 1").collect()}
 
     def deal(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         kinds = {"cell": pa.int64(), "i": pa.int32(), "j": pa.int32(), "profile": pa.int64(), "kind": pa.int32(), "node": pa.int64(), "n": pa.int64(), "x": pa.binary()}
         for batch in batches:
             for r in batch.to_pylist():
-                h, many = np.frombuffer(r["lists"], dtype="<u8"), np.frombuffer(r["many"], dtype="<i8")
-                cells = [(int(b), 0, 0) for b in np.unique((h[many <= LONG_LIST] >> np.uint64(16)) % np.uint64(buckets))]
-                # A long list has its own cells: each part of its classes against each part of its profiles.
-                for s, k in zip(h[many > LONG_LIST].view("<i8").tolist(), many[many > LONG_LIST].tolist(), strict=True):
-                    parts = -(-k // LONG_LIST)
-                    mine = (r["profile"] if r["kind"] else r["node"]) * 2654435761 % 2**32 % parts
-                    cells += [(s, *((p, mine) if r["kind"] else (mine, p))) for p in range(parts)]
-                for start in range(0, len(cells), 1000):
-                    some = cells[start : start + 1000]
+                to = set()
+                for c in r["meets"]:
+                    if c not in large:
+                        to.add((-1 - c * 2654435761 % 2**32 % buckets, 0, 0))
+                        continue
+                    own = (r["profile"] if r["kind"] else r["node"]) * 2654435761 % 2**32 % large[c][r["kind"]]
+                    to.update((c, *((p, own) if r["kind"] else (own, p))) for p in range(large[c][1 - r["kind"]]))
+                to, step = sorted(to), max(1, min(1000, BATCH_BYTES // max(1, len(r["x"]))))
+                for start in range(0, len(to), step):
+                    some = to[start : start + step]
                     yield _arrow({"cell": [c[0] for c in some], "i": [c[1] for c in some], "j": [c[2] for c in some], **{k: [r[k]] * len(some) for k in ("profile", "kind", "node", "n", "x")}}, kinds)
 
     def probe(part):
@@ -669,8 +698,8 @@ def opened(rest: DataFrame) -> DataFrame:
             got = [(a["node"].iat[k], other[m]) for k, m, _ in found if own[k] != other[m]]
         return pd.DataFrame(got, columns=["node", "profile"]).astype("int64")
 
-    cells = rest.mapInArrow(deal, "cell long, i int, j int, profile long, kind int, node long, n long, x binary")
-    return materialise(cells.groupBy("cell", "i", "j").applyInPandas(probe, "node long, profile long").distinct(), "opened")
+    dealt = rest.where(F.size("meets") > 0).mapInArrow(deal, "cell long, i int, j int, profile long, kind int, node long, n long, x binary")
+    return materialise(dealt.groupBy("cell", "i", "j").applyInPandas(probe, "node long, profile long").distinct(), "opened")
 
 
 def members(rest: DataFrame, found: DataFrame) -> DataFrame:
@@ -687,10 +716,12 @@ def members(rest: DataFrame, found: DataFrame) -> DataFrame:
         best: dict[int, tuple] = {}
         if len(queries) and len(index):
             queries = queries.rename(columns={f"q_{k}": k for k in ("node", "n", "x")})
-            a, b = queries["node"].tolist(), index["node"].tolist()
-            for k, m, c in _queries(queries, index, lambda n, m: int(overlap_needed(n, m))):
-                if a[k] != b[m]:
-                    best[a[k]] = max(best.get(a[k], (0, 0)), (c, b[m]))
+            a, b = queries["node"].tolist(), index["node"].to_numpy()
+            for k, ms, cs in _found(queries, index, lambda n, m: int(overlap_needed(n, m))):
+                others = b[ms] != a[k]
+                if others.any():
+                    c = int(cs[others].max())
+                    best[a[k]] = max(best.get(a[k], (0, 0)), (c, int(b[ms][others & (cs == c)].max())))
         return pd.DataFrame([(a, b) for a, (_, b) in best.items()], columns=["a", "b"]).astype("int64")
 
     return materialise(asking.groupBy("asked", "q_part").cogroup(inside.groupBy("profile", "part")).applyInPandas(run, "a long, b long"), "links")
